@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, quality_rules, sharding
+from . import bpe, chat, packing, quality_rules, sharding
 
 MODULES = {
+    "op1_grouping_packing": packing,
     "op2_quality_rules": quality_rules,
+    "op5_tree_bpe": bpe,
     "op6_external_shuffle": sharding,
     "op8_chat_events": chat,
 }
