@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, packing, quality_rules, sharding
+from . import bpe, chat, packing, quality_pu, quality_rules, sharding, toxicity
 
 MODULES = {
     "op1_grouping_packing": packing,
     "op2_quality_rules": quality_rules,
+    "op3_nbsvm_toxicity": toxicity,
     "op5_tree_bpe": bpe,
     "op6_external_shuffle": sharding,
     "op8_chat_events": chat,
+    "op9_pu_quality": quality_pu,
 }
 
 
