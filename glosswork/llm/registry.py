@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, near_dups, packing, quality_pu, quality_rules, sharding, toxicity
+from . import bpe, chat, media, near_dups, packing, quality_pu, quality_rules, sharding, toxicity
 
 MODULES = {
     "op1_grouping_packing": packing,
@@ -10,6 +10,7 @@ MODULES = {
     "op3_nbsvm_toxicity": toxicity,
     "op5_tree_bpe": bpe,
     "op6_external_shuffle": sharding,
+    "op7_webp_media": media,
     "op8_chat_events": chat,
     "op9_pu_quality": quality_pu,
     "op10_icws_near_dups": near_dups,
