@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, near_dups, packing, quality_pu, quality_rules, sharding, toxicity
+from . import bpe, chat, lm, media, near_dups, packing, quality_pu, quality_rules, sharding, toxicity
 
 MODULES = {
     "op1_grouping_packing": packing,
     "op2_quality_rules": quality_rules,
     "op3_nbsvm_toxicity": toxicity,
+    "op4_gru_scoring": lm,
     "op5_tree_bpe": bpe,
     "op6_external_shuffle": sharding,
     "op7_webp_media": media,
