@@ -23,8 +23,10 @@ like a result is replaced).
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -40,7 +42,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Code points of a leaf, and of the first window on each side of a cut.
 LEAF_CHARS, WINDOW_CHARS = 8192, 32
 #: Words that one worker's cache holds at most.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 
 #: Marks that are neither letters, digits nor white space, nor begin a contraction.
 _MARKS = ".,;:!?$%&*#|()[]-"
@@ -55,9 +57,30 @@ def coder(path: str = VOCABULARY) -> "Coder":
     return _coders[path]
 
 
+#: A full stop or comma after a letter, at the end of a word.
+_STOP = re.compile(r"[.,](?<=[a-z\xdf-\xf6\xf8-\xff][.,])(?=[ \n]|\Z)")
+
+
+def _spread(text: str) -> str:
+    """A text with the same ids and fewer different words.
+
+    The tokenizer lower-cases, and parts a stop from the letters before it, with
+    or without a blank between. In Latin-1 lower case is the same everywhere; a
+    special token is looked for before it is lowered, so `<|` keeps its text.
+    """
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else _STOP.sub(r" \g<0>", text.lower())
+
+
 def _letters(word: str) -> bool:
-    """Whether the tokenizer's normal form of the word is letters only."""
-    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+    """Whether the tokenizer's normal form of a word of letters is letters only; in Latin-1 it always is."""
+    try:
+        return bool(word.encode("latin-1"))
+    except UnicodeEncodeError:
+        return unicodedata.normalize("NFC", word).lower().isalpha()
 
 
 class Coder:
@@ -86,15 +109,21 @@ class Coder:
         put = self.cache
         if len(put) > self.cache_words:
             put.clear()
-        new = [w for w in words if w not in put]
-        parts = [(w, (core := w.rstrip(_MARKS)), w[len(core) :]) for w in new]
-        plain = [x for x in parts if _letters(x[1])]
-        odd = {w for w, c, _ in parts if not _letters(c)}
-        self._plain([c for c in {c for _, c, _ in plain} if c not in put])
-        self._each([x for x in {m for _, _, m in plain} | odd if x not in put])
-        for w, core, marks in plain:
-            if marks:
-                put[w] = put[core] + put[marks]
+        new = words.difference(put)
+        plain, marked, odd = set(), [], []
+        for w in new:
+            core = w.rstrip(_MARKS)
+            if core.isalpha() and (core.isascii() or _letters(core)):
+                if core not in put:
+                    plain.add(core)
+                if len(core) < len(w):
+                    marked.append((w, core, w[len(core) :]))
+            else:
+                odd.append(w)
+        self._plain(list(plain))
+        self._each([x for x in {m for _, _, m in marked}.union(odd) if x not in put])
+        for w, core, marks in marked:
+            put[w] = put[core] + put[marks]
 
     def _plain(self, words: list[str]) -> None:
         ends, put = self.ends, self.cache
@@ -121,14 +150,23 @@ class Coder:
         cut = [p.replace("\n", " ").split(" ") for p in pieces]
         out = []
         for k in range(0, len(cut), 256):
-            part = cut[k : k + 256]
-            self.learn({w for ws in part for w in ws})
-            out += [list(map(self.cache.__getitem__, ws)) for ws in part]
+            known, gaps = self.cache.get, []
+            for words in cut[k : k + 256]:
+                got = list(map(known, words))
+                out.append(got)
+                i = -1
+                with contextlib.suppress(ValueError):
+                    while True:
+                        i = got.index(None, i + 1)
+                        gaps.append((got, i, words[i]))
+            self.learn({w for _, _, w in gaps})
+            for got, i, w in gaps:
+                got[i] = self.cache[w]
         return out
 
     def encode(self, texts: list[str], leaf: int = LEAF_CHARS, window: int = WINDOW_CHARS) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit bytes."""
-        plans, pieces = [], []
+        texts, plans, pieces = [_spread(t) for t in texts], [], []
         for t in texts:
             parts = _halves(0, len(t), leaf)
             plans.append((len(pieces), parts))
