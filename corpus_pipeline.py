@@ -1,4 +1,8 @@
-"""A pipeline over the documents table, each stage one operator of the subpackage llm."""
+"""A pipeline over the documents table, each stage one operator of the subpackage llm.
+
+Each stage takes what its predecessor kept, whole. Repeated rows go through as
+rows of their own until near duplicates, which keep one document of each class.
+"""
 
 from __future__ import annotations
 
@@ -7,23 +11,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm import quality_rules
+from glosswork.llm import near_dups, packing, quality_rules, toxicity
+from glosswork.llm.base import checkpoint
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.apply_rules(docs).filter("kept").select(*COLUMNS)
+    return quality_rules.apply_rules(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored under the threshold by a classifier of the labels of what is here."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs.select(*COLUMNS), model).filter(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: the one whose id names the class."""
+    return near_dups.representatives(docs.select(*COLUMNS))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of what is left, each with its sequence and place."""
+    return packing.pack(packing.pieces_of(docs.select("doc_id", "text")))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality_rules", quality)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality),
+    ("toxicity", toxic),
+    ("near_duplicates", one_of_each),
+    ("packing", packed),
+]
 
+#: The classifier, the samples and the packing have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces, from the documents table. Each stage's rows are checkpointed, as the next reads them more than once."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = checkpoint(docs)
     return docs

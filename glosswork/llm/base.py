@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters of white space by which the operators cut words: blank and 0x09 to 0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -18,6 +19,14 @@ def fold_of(key: str, n: int) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8")), F.lit(n))
 
 
+def widened(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
+    """The schema of df with more fields (name, type); df's own is left as it is."""
+    out = T.StructType(list(df.schema.fields))
+    for name, kind in fields:
+        out = out.add(name, kind)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once for each row however often the body names it."""
     return F.transform(F.array(value), body)[0]

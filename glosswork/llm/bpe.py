@@ -36,7 +36,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import table, widened
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Code points of a leaf, and of the first window on each side of a cut.
@@ -221,7 +221,7 @@ def _halves(a: int, b: int, leaf: int) -> list[tuple[int, int]]:
 def encode_column(docs: DataFrame, text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """docs with `ids`: array of int."""
     docs = docs.drop("ids")
-    schema = docs.schema.add("ids", "array<int>")
+    schema = widened(docs, ("ids", "array<int>"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = coder(path)
@@ -235,7 +235,7 @@ def encode_column(docs: DataFrame, text: str = "text", path: str = VOCABULARY) -
 def decode_column(docs: DataFrame, ids: str = "ids", path: str = VOCABULARY) -> DataFrame:
     """docs with `decoded`: string."""
     docs = docs.drop("decoded")
-    schema = docs.schema.add("decoded", "string")
+    schema = widened(docs, ("decoded", "string"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = coder(path)

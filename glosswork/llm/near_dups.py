@@ -160,6 +160,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) for each row of docs (doc_id, text)."""
+    return _classes(docs, least).select("doc_id", "class_id")
+
+
+def _classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, digest, root, class_id) for each row of docs; root tells classes apart even where their class_ids agree."""
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("digest"))
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs))
@@ -199,8 +204,23 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     node = nodes.select("node", "digest", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = node.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = node.join(first, "root").select("digest", "class_id")
-    return signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
+    named = node.join(first, "root").select("digest", "root", "class_id")
+    return signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "digest", "root", "class_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of docs (with doc_id and text) for each class of near duplicates: one whose doc_id names the class.
+
+    Classes whose ids are all null keep one row as well. Rows that repeat the
+    chosen id are told apart by their text's digest and reduced to one; only the
+    chosen rows are shuffled whole.
+    """
+    own = docs.withColumn("_digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    named = _classes(docs)
+    chosen = named.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("_c")).select("_c.*")
+    same = own["_digest"].eqNullSafe(chosen["digest"]) & own["doc_id"].eqNullSafe(chosen["doc_id"])
+    kept = own.join(chosen.select("doc_id", "digest"), same).select(*[own[c] for c in own.columns])
+    return kept.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

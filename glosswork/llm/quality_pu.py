@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import fold_of, table
+from .base import fold_of, table, widened
 from .words import batches, mix, word_hashes
 
 SAMPLE = 6000
@@ -200,7 +200,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     """The columns keep, and score (0 to 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     made = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = widened(docs.select(*keep), ("score", "double"))
 
     def run(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batch:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import fold_of, table
+from .base import fold_of, table, widened
 from .words import batches
 
 #: Lengths of the n-grams, bits of their hash, features kept, least documents of a feature.
@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             s = [m.score(texts[a:b], known) for a, b in batches(texts, 1 << 20)]
             yield pdf.assign(score=np.concatenate(s) if s else np.zeros(0))
 
-    return docs.mapInPandas(run, docs.schema.add("score", "double"))
+    return docs.mapInPandas(run, widened(docs, ("score", "double")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
