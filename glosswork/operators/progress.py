@@ -70,7 +70,7 @@ def pace_eta(positions: DataFrame, ring: int = RING, goal: float = GOAL) -> Data
     g = last.groupBy("learner").agg(F.count("*").alias("n"), F.min(F.struct("session", "x")).alias("a"), F.max(F.struct("session", "x")).alias("b"))
     pace = F.when(F.col("n") == ring, (F.col("b.x") - F.col("a.x")) / F.nullif(F.col("b.session") - F.col("a.session"), F.lit(0)))
     eta = F.when(F.col("b.x") >= goal, F.lit(0)).when(pace > 0, F.ceil((goal - F.col("b.x")) / pace - 1e-9))
-    return g.select("learner", F.col("b.x").alias("x"), F.round(pace, 9).alias("pace"), eta.cast("long").alias("sessions_to_go"))
+    return g.select("learner", F.col("b.x").alias("x"), F.round(pace, 9).alias("pace"), eta.cast("double").alias("sessions_to_go"))
 
 
 #: A curve of sessions left by position.

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glosswork.plans import learner
+from glosswork.plans import learner, words
 
-PARTS = (learner,)
+PARTS = (learner, words)
 
 
 def queries() -> dict:

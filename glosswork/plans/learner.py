@@ -165,7 +165,7 @@ pos AS (SELECT learner, session, round(sum(coalesce(n, 0)) OVER (PARTITION BY le
 l AS (SELECT *, row_number() OVER (PARTITION BY learner ORDER BY session DESC) AS i FROM pos),
 g AS (SELECT learner, count(*) AS n, arg_min(x, session) AS xa, arg_max(x, session) AS xb, min(session) AS sa, max(session) AS sb FROM l WHERE i <= 14 GROUP BY learner),
 p AS (SELECT *, CASE WHEN n = 14 THEN (xb - xa) / nullif(sb - sa, 0) END AS pace FROM g)
-SELECT learner, xb AS x, round(pace, 9) AS pace, CAST(CASE WHEN xb >= 0.9 THEN 0 WHEN pace > 0 THEN ceil((0.9 - xb) / pace - 1e-9) END AS BIGINT) AS sessions_to_go FROM p""")
+SELECT learner, xb AS x, round(pace, 9) AS pace, CAST(CASE WHEN xb >= 0.9 THEN 0 WHEN pace > 0 THEN ceil((0.9 - xb) / pace - 1e-9) END AS DOUBLE) AS sessions_to_go FROM p""")
 def q12(spark, d):
     return P.pace_eta(P.session_positions(T.answers(spark, d)))
 
