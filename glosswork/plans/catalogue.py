@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glosswork.plans import learner, words
+from glosswork.plans import learner, relational, words
 
-PARTS = (learner, words)
+PARTS = (learner, words, relational)
 
 
 def queries() -> dict:
