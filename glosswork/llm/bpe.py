@@ -34,9 +34,8 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .base import table, widened
+from .base import keyed, table, unkeyed, with_made
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Code points of a leaf, and of the first window on each side of a cut.
@@ -220,29 +219,12 @@ def _halves(a: int, b: int, leaf: int) -> list[tuple[int, int]]:
 
 def encode_column(docs: DataFrame, text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """docs with `ids`: array of int."""
-    docs = docs.drop("ids")
-    schema = widened(docs, ("ids", "array<int>"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = coder(path)
-        for pdf in batches:
-            got = c.encode(["" if t is None else t for t in pdf[text]])
-            yield pdf.assign(ids=[np.frombuffer(x, "<u4").astype("int32") for x in got])
-
-    return docs.mapInPandas(run, schema)
+    return with_made(docs, text, [("ids", "array<int>")], lambda texts: [[np.frombuffer(x, "<u4").astype("int32") for x in coder(path).encode([t or "" for t in texts])]])
 
 
 def decode_column(docs: DataFrame, ids: str = "ids", path: str = VOCABULARY) -> DataFrame:
     """docs with `decoded`: string."""
-    docs = docs.drop("decoded")
-    schema = widened(docs, ("decoded", "string"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = coder(path)
-        for pdf in batches:
-            yield pdf.assign(decoded=[c.decode(np.asarray([] if x is None else x, "<u4").tobytes()) for x in pdf[ids]])
-
-    return docs.mapInPandas(run, schema)
+    return with_made(docs, ids, [("decoded", "string")], lambda rows: [[coder(path).decode(np.asarray(x or [], "<u4").tobytes()) for x in rows]])
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -259,8 +241,8 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
                     text_sha.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pd.DataFrame({key: pdf[key], "n_tokens": np.array(n, "int64"), "ids_sha256": ids_sha, "decoded_sha256": text_sha})
 
-    return docs.select(key, text).mapInPandas(run, f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return unkeyed(keyed(docs, key, text).mapInPandas(run, f"{key} string, n_tokens long, ids_sha256 string, decoded_sha256 string"), key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"))
+    return digests(table(spark, sf_dir, "documents"))

@@ -31,14 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import checkpoint, table
+from .base import checkpoint, keyed, table, unkeyed
 from .bpe import VOCABULARY, coder
 
 CAPACITY = 2048
 #: Pieces of an island, packings of a population, generations of an epoch, patterns that migrate.
 ISLAND_PIECES, POPULATION, GENERATIONS, ELITES = 4096, 4, 8, 64
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
+#: Keys pass through pandas as text, see keyed.
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long, uid long"
 
 
 def pieces_of(docs: DataFrame, capacity: int = CAPACITY, path: str = VOCABULARY) -> DataFrame:
@@ -56,11 +57,9 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, path: str = VOCABULARY)
                         raw = ids[a : a + 4 * capacity]
                         rows.append((doc, i, i * capacity, len(raw) // 4, zlib.crc32(raw), uid))
                         uid += 1
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "uid"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "uid"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PIECES)
+    return unkeyed(keyed(docs).mapInPandas(run, PIECES))
 
 
 class Bins:
@@ -190,7 +189,7 @@ def _placed(pdf: pd.DataFrame, lengths: list[int], bins: list[list[int]], capaci
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, island_pieces: int = ISLAND_PIECES) -> DataFrame:
     """pieces with sequence_id and offset."""
-    pieces = checkpoint(pieces)
+    pieces = checkpoint(pieces.withColumn("doc_id", F.col("doc_id").cast("string")))
     cols = [c for c in pieces.columns if c != "uid"]
     done = [pieces.filter(F.col("length") == capacity).select(*cols, (F.col("uid") + (1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     left, level = pieces.filter(F.col("length") < capacity), 0
@@ -233,7 +232,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, island_pieces: int = ISLAN
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out
+    return unkeyed(out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import fold_of, table, widened
+from .base import fold_of, table, with_made
 from .words import batches, mix, word_hashes
 
 SAMPLE = 6000
@@ -190,25 +190,22 @@ def train(docs: DataFrame, labels: DataFrame, all_labels: DataFrame, rows: int =
         x, y = np.concatenate(x), np.concatenate(y)
         yield pd.DataFrame({"model": [pickle.dumps(fit(x[y == 1], x[y == 0]))]})
 
-    return pickle.loads(bytes(sample.select("p", "text").repartition(1).mapInPandas(one, "model binary").first()[0]))
+    made = sample.select("p", "text").repartition(1).mapInPandas(one, "model binary").first()
+    return pickle.loads(bytes(made[0])) if made else fit(np.zeros((0, _WIDTH)), np.zeros((0, _WIDTH)))
 
 
 _WIDTH = features([""]).shape[1]
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep, and score (0 to 1)."""
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with score (0 to 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    made = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
-    schema = widened(docs.select(*keep), ("score", "double"))
 
-    def run(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batch:
-            texts = pdf["_text"].tolist()
-            s = [shared.value.score(features(texts[a:b])) for a, b in batches(texts)]
-            yield pdf.drop(columns="_text").assign(score=np.concatenate(s) if s else np.zeros(0))
+    def make(texts: list) -> list:
+        texts = [t or "" for t in texts]
+        return [np.concatenate([shared.value.score(features(texts[a:b])) for a, b in batches(texts)])]
 
-    return made.mapInPandas(run, schema)
+    return with_made(docs, text, [("score", "double")], make)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import fold_of, table, widened
+from .base import fold_of, table, with_made
 from .words import batches
 
 #: Lengths of the n-grams, bits of their hash, features kept, least documents of a feature.
@@ -79,11 +79,17 @@ class Model:
     buckets: np.ndarray
     weights: np.ndarray
     bias: float
+    _lookup: np.ndarray | None = None
 
     def lookup(self) -> np.ndarray:
-        known = np.full(1 << BITS, -1, "int32")
-        known[self.buckets] = np.arange(len(self.buckets))
-        return known
+        """The feature of each bucket, built once in a worker."""
+        if self._lookup is None:
+            self._lookup = np.full(1 << BITS, -1, "int32")
+            self._lookup[self.buckets] = np.arange(len(self.buckets))
+        return self._lookup
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_lookup": None}
 
     def score(self, texts: list[str], known: np.ndarray) -> np.ndarray:
         doc, feature = present(texts, known)
@@ -158,42 +164,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
         yield pd.DataFrame({"model": [pickle.dumps(fit(pdf["text"].fillna("").tolist(), pdf["label"].to_numpy()))]})
 
     sample = labelled_sample(docs, labels, label, rows).select("text", "label")
-    return pickle.loads(bytes(sample.repartition(1).mapInPandas(one, "model binary").first()[0]))
+    made = sample.repartition(1).mapInPandas(one, "model binary").first()
+    return pickle.loads(bytes(made[0])) if made else fit([], np.zeros(0))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score (0 to 1)."""
-    docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+    def make(texts: list) -> list:
+        m, texts = shared.value, [t or "" for t in texts]
         known = m.lookup()
-        for pdf in batch:
-            texts = pdf[text].fillna("").tolist()
-            s = [m.score(texts[a:b], known) for a, b in batches(texts, 1 << 20)]
-            yield pdf.assign(score=np.concatenate(s) if s else np.zeros(0))
+        return [np.concatenate([m.score(texts[a:b], known) for a, b in batches(texts, 1 << 20)])]
 
-    return docs.mapInPandas(run, widened(docs, ("score", "double")))
+    return with_made(docs, text, [("score", "double")], make)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(fold_of("doc_id", 4) != 2)
-    out = scored(docs, train(docs, labels))
+    out = score(docs.select("doc_id", "text"), train(docs, labels))
     return out.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
-
-
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score): the texts stay in the workers."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        known = m.lookup()
-        for pdf in batch:
-            texts = pdf["text"].fillna("").tolist()
-            s = [m.score(texts[a:b], known) for a, b in batches(texts, 1 << 20)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": np.concatenate(s) if s else np.zeros(0)})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")

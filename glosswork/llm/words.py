@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes that are worked on at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -92,7 +92,7 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
     return np.concatenate(hashes), counts
 
 
-def batches(texts: list, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def batches(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` characters each."""
     a, n = 0, 0
     for k, t in enumerate(texts):
