@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glosswork.plans import learner, relational, words
+from glosswork.plans import learner, relational, texts, words
 
-PARTS = (learner, words, relational)
+PARTS = (learner, words, relational, texts)
 
 
 def queries() -> dict:
