@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glosswork.plans import learner, relational, texts, words
+from glosswork.plans import learner, more, relational, texts, words
 
-PARTS = (learner, words, relational, texts)
+PARTS = (learner, words, relational, texts, more)
 
 
 def queries() -> dict:
