@@ -66,6 +66,14 @@ def test_groups_around_a_base_match_brute_force(spark):
     assert found(spark, rows) == brute(rows)
 
 
+def test_components_in_one_task_and_in_turns(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 430)] + [(500, 500)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = [{(r["node"], r["root"]) for r in near_dups.components(df, local).collect()} for local in (1 << 20, 0)]
+    assert got[0] == got[1] and (430, 400) in got[0]
+
+
 def test_edge_cases(spark):
     rows = [(0, None), (1, ""), (2, " \n "), (3, "one two"), (4, "one two"), (5, "one two three"), (6, "x " * 30000), (7, "x " * 30000 + "y"), (8, " \n ")]
     df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("doc_id", "doc_id")
