@@ -82,6 +82,7 @@ def carry_ids(texts: DataFrame, issued: DataFrame) -> DataFrame:
     ord, so no task sorts all rows.
     """
     k = lambda df, order: df.withColumn("k", F.row_number().over(W.partitionBy("text").orderBy(order)))
+    texts, issued = texts.select("ord", "text"), issued.select("id", "text")
     x = k(texts, "ord").join(k(issued, "id"), ["text", "k"], "left")
     block = F.floor(F.col("ord") / 4096)
     new = x.filter("id IS NULL").withColumn("b", block)
