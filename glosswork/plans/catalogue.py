@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glosswork.plans import learner, more, relational, texts, words
+from glosswork.plans import learner, linked, more, relational, texts, words
 
-PARTS = (learner, words, relational, texts, more)
+PARTS = (learner, words, relational, texts, more, linked)
 
 
 def queries() -> dict:
