@@ -161,12 +161,16 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
     base_failed: fewer words than least_words, or over most_repeated percent of
     them in repeated windows. kept: not base_failed and no rule broken.
     """
-    made = docs.withColumn("_m", metrics(F.col(text)))
-    m = F.col("_m")
-    base = (m["n_words"] < least_words) | (100 * m["n_repeat_words"] > most_repeated * m["n_words"])
-    cols = {k: m[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-    made = made.withColumns(cols | {"base_failed": base, "broken_rules": compiled(m, rules)})
-    return made.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0)).drop("_m")
+    # One expression gives all results: a filter on any of them, pushed below the projection, then computes the metrics once.
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+    def verdict(m: Column) -> Column:
+        base = (m["n_words"] < least_words) | (100 * m["n_repeat_words"] > most_repeated * m["n_words"])
+        kept = lambda x: F.struct(*[m[k].alias(k) for k in names], x["b"].alias("base_failed"), x["r"].alias("broken_rules"), (~x["b"] & (F.size(x["r"]) == 0)).alias("kept"))
+        return let(F.struct(base.alias("b"), compiled(m, rules).alias("r")), kept)
+
+    made = docs.withColumn("_v", let(metrics(F.col(text)), verdict))
+    return made.withColumns({k: F.col(f"_v.{k}") for k in (*names, "base_failed", "broken_rules", "kept")}).drop("_v")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
