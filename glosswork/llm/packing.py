@@ -117,11 +117,31 @@ def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], capaci
     return _packed(lengths, capacity, injected + stay, [i for x in a for i in x if i not in held])
 
 
+def fullest(items: list[int], lengths: list[int], capacity: int) -> list[int]:
+    """The items of a subset whose sum comes nearest to the capacity from below; sums are the bits of a number."""
+    mask, reach = (1 << (capacity + 1)) - 1, [1]
+    for i in items:
+        reach.append(reach[-1] | reach[-1] << lengths[i] & mask)
+    at, out = reach[-1].bit_length() - 1, []
+    for k in range(len(items) - 1, -1, -1):
+        if not reach[k] >> at & 1:
+            out.append(items[k])
+            at -= lengths[items[k]]
+    return out
+
+
 def mutate(a: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    """The emptiest bins and a few others are dissolved and their items placed anew."""
+    """The emptiest bins and a few others are dissolved, and bins as full as can be are built from their items, one after another."""
     order = sorted(range(len(a)), key=lambda k: sum(lengths[i] for i in a[k]))
-    gone = set(order[: max(1, len(a) // 50)]) | {rng.randrange(len(a)) for _ in range(max(1, len(a) // 50))}
-    return _packed(lengths, capacity, [x for k, x in enumerate(a) if k not in gone], [i for k in gone for i in a[k]])
+    gone = set(order[:8]) | {rng.randrange(len(a)) for _ in range(8)}
+    left, bins = [i for k in gone for i in a[k]], [x for k, x in enumerate(a) if k not in gone]
+    rng.shuffle(left)
+    while left:
+        x = fullest(left, lengths, capacity)
+        taken = set(x)
+        bins.append(x)
+        left = [i for i in left if i not in taken]
+    return bins
 
 
 def immigrant(patterns: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
@@ -163,7 +183,7 @@ def evolve(lengths: list[int], capacity: int = CAPACITY, seed: int = 0, start: l
             b.best_fit([i])
         b.best_fit(list(set(range(len(lengths))) - set(first)))
         people.append(b.bins)
-    for _ in range(generations):
+    for _ in range(max(generations, 12_000 // len(lengths))):
         people.sort(key=score, reverse=True)
         if len(people[0]) <= least:
             break
@@ -171,6 +191,8 @@ def evolve(lengths: list[int], capacity: int = CAPACITY, seed: int = 0, start: l
         if rng.random() < 0.5:
             a, b = b, a
         child = mutate(crossover(a, b, lengths, capacity, rng), lengths, capacity, rng)
+        other = mutate(people[0], lengths, capacity, rng)
+        child = max(child, other, key=score)
         if score(child) > score(people[-1]):
             people[-1] = child
     return max(people, key=score)
