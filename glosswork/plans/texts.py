@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glosswork.functions import folding as D
+from glosswork.functions import spans
 from glosswork.functions import text as X
-from glosswork.operators import alignment, corpus, planners, state
+from glosswork.operators import alignment, corpus, planners, sessions, state
 from glosswork.operators import relations as R
 from glosswork.sources import tables as T
 from glosswork.sources.html import html_text
@@ -100,6 +102,41 @@ def q64(spark, d):
     return T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), R.fnv1a(F.col("p_name")).alias("h"))
 
 
+@query("q107_day_log")
+def q107(spark, d):
+    return sessions.day_log(T.answers(spark, d))
+
+
+@query("q108_learner_simulation")
+def q108(spark, d):
+    runs = spark.range(20).select(F.col("id").alias("seed"))
+    return sessions.simulate(runs)
+
+
+@query("q109_feminine_fold")
+def q109(spark, d):
+    w = T.words(spark, d).filter("lang = 'fr'").select(F.col("token").alias("lemma"), "rank")
+    return planners.feminine_fold(w.withColumn("masculine", F.when(F.col("lemma").endswith("e"), F.substring("lemma", F.lit(1), F.length("lemma") - 1))), 1000)
+
+
+@query("q110_second_readings")
+def q110(spark, d):
+    p = T.read(spark, d, "part")
+    e = p.groupBy(F.col("p_name").alias("lemma"), F.col("p_type").alias("pos")).agg(F.count("*").alias("n"), F.collect_set("p_brand").alias("gloss"))
+    return planners.second_readings(e)
+
+
+@query("q111_token_spans")
+def q111(spark, d):
+    s = T.sentences(spark, d).filter("lang = 'es'").select("doc_id", "sent", "text", T.words_of(F.col("text")).alias("toks"))
+
+    @F.pandas_udf("array<struct<a: int, b: int>>")
+    def places(text: pd.Series, toks: pd.Series) -> pd.Series:
+        return pd.Series([[{"a": x[0], "b": x[1]} if x else None for x in spans.token_offsets(t, list(k))] for t, k in zip(text, toks, strict=True)])
+
+    return s.select("doc_id", "sent", places("text", "toks").alias("spans"))
+
+
 @query("s01_stream_answer_fold", None)
 def s01(spark, d):
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from glosswork.functions import folding
-from glosswork.operators import alignment, corpus, planners, progress, relations, state
+from glosswork.functions import folding, spans
+from glosswork.operators import alignment, corpus, planners, progress, relations, sessions, state
 from glosswork.sources import tables
 from glosswork.sources.html import page_text
 from glosswork.streaming import answers as stream
@@ -129,6 +129,42 @@ def test_gloss_collision(spark):
     assert got == {1: "cup", 2: "mug", 3: "cup"}
 
 
+def test_day_log():
+    book: dict = {}
+    assert sessions.answer(book, 1, "recall", False, 1, 1) == 0
+    assert sessions.answer(book, 1, "recall", True, 1, 1) == 0  # the retry in the same drill
+    book, expired = sessions.midnight(book, 2)
+    assert book[1]["missed"] == ["recall"] and expired == 0
+    assert sessions.answer(book, 1, "hear", True, 2, 2) == 0 and sessions.answer(book, 1, "type", True, 2, 2) == 1
+    sessions.answer(book, 2, "hear", False, 2, 2)
+    sessions.answer(book, 2, "hear", False, 3, 3)
+    assert sessions.midnight(book, 7)[1] == 0 and sessions.midnight(book, 8) == ({}, 1)
+
+
+def test_mixes_and_picks():
+    assert sorted(sessions.kind_mix(10, 0.4)).count("type") == 2 and len(sessions.kind_mix(7, 0.0)) == 7
+    assert sessions.missed_kinds([(1, "hear"), (2, "hear"), (3, "hear"), (4, "type")], {1: ["recall"], 2: ["type"], 3: ["read"], 4: ["hear"]}) == [(1, "recall"), (2, "type"), (3, "hear"), (4, "type")]
+    assert sessions.weighted_pick({"a": 1, "b": 3}, 0.2) == "a" and sessions.weighted_pick({"a": 1, "b": 3}, 0.25) == "b"
+    assert [sessions.combination(4, 2, k) for k in (0, 5, 6)] == [(0, 1), (2, 3), (0, 1)]
+
+
+def test_spans():
+    assert spans.find("L'eau et l'eau, beau", "eau") == [] and spans.find("eau, Eau beau", "eau") == [(0, 3), (5, 8)]
+    assert spans.find("beau", "eau", spaced=False) == [(1, 4)] and spans.locate("a cat sat", ["cat", "cat sat"]) == (2, 9)
+    assert spans.locate("cat cat", ["cat"]) is None and spans.blank("a cat", (2, 5)) == "a ____"
+    assert spans.segments("abcdef", [(0, 2, 1), (1, 4, 2), (4, 5, 3)]) == [("a", None), ("bcd", 2), ("e", 3), ("f", None)]
+    assert spans.token_offsets("e\u0301t x", ["e", "zz", "t"]) == [(0, 2), None, (2, 3)]
+    assert spans.move("a  cat (x)", "a cat", [(3, 6), (7, 10)]) == [(2, 5), None]
+    assert spans.cut_article("l'eau", ["l'", "la"]) == ("l'", "eau") and spans.cut_article("la", ["la"]) == ("", "la")
+
+
+def test_feminine_fold(spark):
+    rows = [("chat", 1, None), ("chatte", 2, "chat"), ("eau", 3, None), ("grande", 4, "grand"), ("grand", 5, None)]
+    df = spark.createDataFrame(rows, "lemma string, rank long, masculine string")
+    assert [r["lemma"] for r in planners.feminine_fold(df, 3).orderBy("rank").collect()] == ["chat", "eau", "grande"]
+    assert [r["lemma"] for r in planners.feminine_fold(df, 4).orderBy("rank").collect()] == ["chat", "eau", "grand"]
+
+
 def test_folds():
     assert folding.fold_accents("йЁé") == "йЕe"
     assert folding.normalize_typed(" L’Été ", accents=True) == "l'ete"
