@@ -8,7 +8,7 @@ from glosswork.operators import state as S
 from glosswork.operators import units as N
 from glosswork.plans.learner import _PAIRS, _STATE
 from glosswork.sources import tables as T
-from glosswork.sources.tables import ANSWERS
+from glosswork.sources.html import twin_candidates
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -148,3 +148,12 @@ SELECT learner, item, tier, row_number() OVER (PARTITION BY learner ORDER BY sli
 def q126(spark, d):
     a = T.answers(spark, d)
     return N.day_slices(S.day_tiers(S.answer_fold(a), a), 5)
+
+
+@query("q127_story_twins", """
+WITH k AS (SELECT p_partkey AS id, regexp_replace(regexp_replace(lower('The ' || p_name || ' ' || p_type || ' ' || p_brand), '^(the|a|an)\\s+', ''), '[^\\p{L}\\p{N}]', '', 'g') AS k, p_size FROM part)
+SELECT a.id, b.id AS twin FROM k a JOIN k b USING (k) WHERE a.p_size % 2 = 0 AND b.p_size % 2 = 1""")
+def q127(spark, d):
+    p = T.read(spark, d, "part").withColumn("title", F.concat_ws(" ", F.lit("The"), "p_name", "p_type", "p_brand"))
+    rows = p.select(F.col("p_partkey").alias("id"), "title", F.upper("title").alias("original"), "p_size")
+    return twin_candidates(rows.filter("p_size % 2 = 0"), rows.filter("p_size % 2 = 1"))

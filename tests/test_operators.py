@@ -1,12 +1,15 @@
 """Operators on small cases worked by hand."""
 
+import io
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
 from glosswork.functions import folding, spans
 from glosswork.operators import alignment, corpus, planners, progress, relations, sessions, state
 from glosswork.sources import tables
-from glosswork.sources.html import page_text
+from glosswork.sources.html import epub_pages, page_text
 from glosswork.streaming import answers as stream
 
 DATA = "/root/testdata/sf0.001"
@@ -184,6 +187,16 @@ def test_page_text():
     assert page_text("") == ("", "", "")
 
 
+def test_epub():
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("META-INF/container.xml", '<container xmlns="urn:c"><rootfiles><rootfile full-path="o/p.opf"/></rootfiles></container>')
+        z.writestr("o/p.opf", '<package xmlns="urn:p"><manifest><item id="b" href="2.xhtml"/><item id="a" href="1.xhtml"/></manifest><spine><itemref idref="a"/><itemref idref="b"/></spine></package>')
+        z.writestr("o/1.xhtml", "<html><body><p>One</p></body></html>")
+        z.writestr("o/2.xhtml", "<html><body><p>Two</p></body></html>")
+    assert epub_pages(data.getvalue()) == ["One", "Two"]
+
+
 def test_fnv(spark):
     got = spark.createDataFrame([("",), ("a",), ("foobar",)], "s string").select(relations.fnv1a(F.col("s"))).collect()
     assert [r[0] for r in got] == [0x811C9DC5, 0xE40C292C, 0xBF9CF968]
