@@ -48,7 +48,7 @@ RULES = (
     Rule("bangs", "bangs_per_word", most=0.3),
     Rule("stop_words", "stop_word_ratio", least=0.02),
     Rule("letters", "letter_word_ratio", least=0.6),
-    Rule("duplicate_lines", "dup_line_ratio", most=0.3),
+    Rule("duplicate_lines", "dup_line_ratio", most=0.5),
     Rule("bullet_lines", "bullet_line_ratio", most=0.9),
     Rule("ellipsis_lines", "ellipsis_line_ratio", most=0.3),
 )
@@ -200,5 +200,5 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, greatest(n_words, 1) AS nw, greatest(n_lines, 1) AS nl FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars / nw BETWEEN 2.0 AND 20.0 AND n_symbols / nw <= 0.1 AND n_bangs / nw <= 0.3 AND n_stop / nw >= 0.02
-  AND n_letter_words / nw >= 0.6 AND n_dup_lines / nl <= 0.3 AND n_bullet_lines / nl <= 0.9 AND n_ellipsis_lines / nl <= 0.3 AS kept
+  AND n_letter_words / nw >= 0.6 AND n_dup_lines / nl <= 0.5 AND n_bullet_lines / nl <= 0.9 AND n_ellipsis_lines / nl <= 0.3 AS kept
 FROM f""".replace("{stop}", ", ".join(f"'{x}'" for x in _STOP))
