@@ -8,7 +8,6 @@ go to a table of their own instead of ending the job.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Licences under which recordings may be used.
