@@ -72,16 +72,17 @@ def level_bands(words: DataFrame, bands: tuple[tuple[str, int], ...] = BANDS) ->
 def freq_tiers(words: DataFrame, shares: dict[str, float] = SHARES, bankers: bool = False) -> DataFrame:
     """Adds ft: 0 for ambient ranks; 2 for the share of each level that ranks last among the others, of the whole level's size; else 1.
 
-    bankers rounds halves to even instead of up. Only sizes of levels and rows
-    near the end of a level matter, so the row number runs over (lang, lv).
+    bankers rounds halves to even instead of up. Ranks are row numbers, so a
+    level is a run of them and a word's place from its end is a difference: no
+    level is sorted, and what is joined has one row for each language and level.
     """
     share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lv")]
-    size = F.count("*").over(W.partitionBy("lang", "lv"))
-    quota = F.bround(share * size) if bankers else F.floor(share * size + 0.5)
-    ambient = F.col("rank") <= AMBIENT
-    last = F.row_number().over(W.partitionBy("lang", "lv", ambient).orderBy(F.col("rank").desc(), "token"))
-    x = words.withColumn("_q", quota).withColumn("_i", last)
-    return x.withColumn("ft", F.when(ambient, 0).when(F.col("_i") <= F.col("_q"), 2).otherwise(1)).drop("_q", "_i")
+    ends = words.groupBy("lang", "lv").agg(F.count("*").alias("_size"), F.max("rank").alias("_end"))
+    quota = F.bround(share * F.col("_size")) if bankers else F.floor(share * F.col("_size") + 0.5)
+    x = words.join(F.broadcast(ends), ["lang", "lv"])
+    late = F.col("_end") - F.col("rank") < quota
+    x = x.withColumn("ft", F.when(F.col("rank") <= AMBIENT, 0).when(late, 2).otherwise(1))
+    return x.select(*words.columns, "ft")
 
 
 def tier_counts(words: DataFrame) -> DataFrame:

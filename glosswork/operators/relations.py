@@ -74,6 +74,19 @@ def typed_match(typed: DataFrame, words: DataFrame) -> DataFrame:
     return x.select("id", "answer", verdict.alias("verdict"))
 
 
+def occurrences(df: DataFrame, key: str, order: str, block: int = 4096) -> DataFrame:
+    """Adds k: which occurrence of its key a row is, in the order of a whole-number column.
+
+    Numbered within blocks of the order and set off by the blocks' sizes, so that
+    a frequent key is not sorted by one task.
+    """
+    x = df.withColumn("_b", F.floor(F.col(order) / block))
+    sizes = x.groupBy(key, "_b").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    i = F.row_number().over(W.partitionBy(key, "_b").orderBy(order))
+    return x.withColumn("_i", i).join(sizes.select(key, "_b", before.alias("_o")), [key, "_b"]).withColumn("k", F.col("_o") + F.col("_i")).drop("_b", "_i", "_o")
+
+
 def carry_ids(texts: DataFrame, issued: DataFrame) -> DataFrame:
     """(ord, text, id, fresh): the k-th occurrence of a text takes the k-th id issued for it; the rest get new ids after the greatest.
 
@@ -81,9 +94,8 @@ def carry_ids(texts: DataFrame, issued: DataFrame) -> DataFrame:
     ones are not issued again. New ids are numbered by offsets of blocks of
     ord, so no task sorts all rows.
     """
-    k = lambda df, order: df.withColumn("k", F.row_number().over(W.partitionBy("text").orderBy(order)))
     texts, issued = texts.select("ord", "text"), issued.select("id", "text")
-    x = k(texts, "ord").join(k(issued, "id"), ["text", "k"], "left")
+    x = occurrences(texts, "text", "ord").join(occurrences(issued, "text", "id"), ["text", "k"], "left")
     block = F.floor(F.col("ord") / 4096)
     new = x.filter("id IS NULL").withColumn("b", block)
     sizes = new.groupBy("b").agg(F.count("*").alias("c"))
