@@ -107,3 +107,33 @@ def day_slices(tiered: DataFrame, n: int, miss: float = 0.6, refresh: float = 0.
     x = tiered.withColumn("i", own).withColumn("slice", first)
     place = F.row_number().over(W.partitionBy("learner").orderBy("slice", "tier", "item"))
     return x.withColumn("place", place).filter(F.col("place") <= n).select("learner", "item", "tier", "place")
+
+
+def script_examples(uses: DataFrame, taught: DataFrame, most_unknown: int = 2, n: int = 3) -> DataFrame:
+    """(unit, place, word, unknown): for each unit of a script words that use it and few units taught later; only the fewest unknowns of a unit, n words, by rank.
+
+    uses: (word, rank, unit) with one row for each distinct unit of a word;
+    taught: (unit, ord), the order of teaching.
+    """
+    u = uses.join(taught, "unit")
+    word = u.groupBy("word", "rank").agg(F.sort_array(F.collect_list("ord")).alias("ords"))
+    later = F.size(F.filter("ords", lambda o: o > F.col("ord")))
+    x = u.select("word", "unit", "ord").join(word, "word").select("unit", "word", "rank", later.alias("unknown")).filter(F.col("unknown") <= most_unknown)
+    best = x.groupBy("unit").agg(F.min("unknown").alias("unknown"))
+    x = x.join(best, ["unit", "unknown"]).withColumn("place", F.row_number().over(W.partitionBy("unit").orderBy("rank", "word")))
+    return x.filter(F.col("place") <= n).select("unit", "place", "word", "unknown")
+
+
+def restored_links(kept: DataFrame, dropped: DataFrame, floor: int) -> DataFrame:
+    """(word, sentence) of dropped links that come back, the first sentences first, until a word has `floor` candidates."""
+    have = kept.groupBy("word").agg(F.count("*").alias("have"))
+    i = F.row_number().over(W.partitionBy("word").orderBy("sentence"))
+    x = dropped.withColumn("i", i).join(have, "word", "left")
+    return x.filter(F.col("i") <= floor - F.coalesce("have", F.lit(0))).select("word", "sentence")
+
+
+def refill(words: DataFrame, candidates: DataFrame, chosen: DataFrame, top: int) -> DataFrame:
+    """(token, place, sentence): a second pass for words without an example: their candidates (token, sentence, cost) that the first pass left out."""
+    bare = words.select("token").join(chosen.select("token"), "token", "left_anti")
+    x = candidates.join(bare, "token").withColumn("place", F.row_number().over(W.partitionBy("token").orderBy("cost", "sentence")))
+    return x.filter(F.col("place") <= top).select("token", "place", "sentence")

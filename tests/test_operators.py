@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glosswork.functions import folding, spans
-from glosswork.operators import alignment, corpus, planners, progress, relations, sessions, state
+from glosswork.operators import alignment, corpus, planners, progress, relations, sessions, state, units
 from glosswork.sources import tables
 from glosswork.sources.html import epub_pages, page_text
 from glosswork.streaming import answers as stream
@@ -197,6 +197,26 @@ def test_epub():
     assert epub_pages(data.getvalue()) == ["One", "Two"]
 
 
+def test_levels_are_bound():
+    keys = [f"k{i}" for i in range(9)]
+    assert planners.moved(keys, {"k0": 1}, {}, [3, 3, 3])[:5] == ["k1", "k2", "k3", "k0", "k4"]
+    assert planners.moved(keys, {}, {"k7": 0}, [3, 3, 3]) == ["k0", "k1", "k7", "k2", "k3", "k4", "k5", "k6", "k8"]
+    assert planners.moved(keys, {}, {}, [3, 3, 3]) == keys
+
+
+def test_gloss_sides():
+    assert folding.quality_of("to be careful") == "careful" and folding.quality_of("to be about") == "" == folding.quality_of("be careful")
+    assert folding.before_or("no matter what or how") == "no matter what" and folding.before_or("hot or boiling water") == "" == folding.before_or("(a or b)")
+    assert folding.english_sentences("Mr. Fox ran. \u201cStop!\u201d He did\u2026 not") == ["Mr. Fox ran.", '"Stop!"', "He did... not"]
+
+
+def test_refill(spark):
+    words = spark.createDataFrame([("a",), ("b",)], "token string")
+    cand = spark.createDataFrame([("b", 1, 2.0), ("b", 2, 1.0), ("a", 3, 0.0)], "token string, sentence long, cost double")
+    got = units.refill(words, cand, spark.createDataFrame([("a",)], "token string"), 1).collect()
+    assert [(r["token"], r["sentence"]) for r in got] == [("b", 2)]
+
+
 def test_fnv(spark):
     got = spark.createDataFrame([("",), ("a",), ("foobar",)], "s string").select(relations.fnv1a(F.col("s"))).collect()
     assert [r[0] for r in got] == [0x811C9DC5, 0xE40C292C, 0xBF9CF968]
