@@ -55,8 +55,9 @@ def distribute_surface(readings: DataFrame) -> DataFrame:
     x = readings.withColumn("total", F.sum("n").over(w)).withColumn("share", F.col("n") / F.col("total"))
     few = x.filter(F.col("total") < READING_TOKENS).select("surface", F.lit("?").alias("reading"), F.lit(1.0).alias("share"), F.col("total").cast("double").alias("n")).distinct()
     kept = x.filter((F.col("total") >= READING_TOKENS) & (F.col("share") >= READING_SHARE))
-    kept = kept.withColumn("share", F.col("share") / F.sum("share").over(w))
-    kept = kept.select("surface", "reading", F.round("share", 9).alias("share"), F.round(F.col("share") * F.col("total"), 6).alias("n"))
+    # Shares of what is kept, from whole numbers, so that the order of adding is of no account.
+    kept = kept.withColumn("left", F.sum("n").over(w))
+    kept = kept.select("surface", "reading", F.round(F.col("n") / F.col("left"), 9).alias("share"), F.round(F.col("n") * F.col("total") / F.col("left"), 6).alias("n"))
     return kept.unionByName(few)
 
 

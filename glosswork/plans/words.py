@@ -58,8 +58,8 @@ def q20(spark, d):
 @query("q21_distribute_surface", "WITH " + TOKENS + """,
 r AS (SELECT token AS surface, source AS reading, count(*) AS n FROM tokens GROUP BY ALL),
 s AS (SELECT *, sum(n) OVER (PARTITION BY surface) AS total, n / sum(n) OVER (PARTITION BY surface) AS share FROM r),
-k AS (SELECT *, share / sum(share) OVER (PARTITION BY surface) AS sh FROM s WHERE total >= 2 AND share >= 0.025)
-SELECT surface, reading, round(sh, 9) AS share, round(sh * total, 6) AS n FROM k
+k AS (SELECT *, sum(n) OVER (PARTITION BY surface) AS kept FROM s WHERE total >= 2 AND share >= 0.025)
+SELECT surface, reading, round(n / kept, 9) AS share, round(n * total / kept, 6) AS n FROM k
 UNION ALL SELECT DISTINCT surface, '?', 1.0, CAST(total AS DOUBLE) FROM s WHERE total < 2""")
 def q21(spark, d):
     return C.distribute_surface(T.tokens(spark, d).groupBy(F.col("token").alias("surface"), F.col("source").alias("reading")).agg(F.count("*").alias("n")))
