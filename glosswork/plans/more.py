@@ -123,7 +123,7 @@ def q73(spark, d):
 
 _TRACES = _POSITIONS + ", go AS (SELECT learner AS run, min(session) AS goal FROM pos WHERE x >= 0.9 GROUP BY learner)"
 _CURVE = """,
-g AS (SELECT run, goal, round(k * 0.05, 9) AS g FROM go, (SELECT unnest(range(21)) AS k)),
+g AS (SELECT run, goal, round(k * 0.05::DOUBLE, 9) AS g FROM go, (SELECT unnest(range(21)) AS k)),
 f AS (SELECT run, g, goal, min(session) AS first FROM g JOIN pos ON learner = run WHERE x >= g - 1e-9 GROUP BY ALL),
 curve AS (SELECT g AS x, count(*) AS runs, round(avg(goal - first), 9) AS "left" FROM f WHERE first <= goal GROUP BY g HAVING count(*) >= 2)"""
 
