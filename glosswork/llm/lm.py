@@ -48,7 +48,7 @@ BLOCK, CLASSES, STATE = 32, 32, 16
 TABLE = 1 << 18
 #: One training document in SHARE trains the network in each round.
 SHARE, ROUNDS = 8, 2
-#: Documents side by side and steps of a window in training; states of a window in scoring.
+#: Runs side by side and steps of a window in training; states of a window in scoring.
 LANES, WINDOW, SCORE_ROWS = 64, 16, 1 << 15
 
 OTHER, END = 0, 1
@@ -192,53 +192,55 @@ class Network:
         return out
 
     def train(self, ids: np.ndarray, counts: np.ndarray, rate: float = 4e-3) -> int:
-        """One pass of truncated back-propagation; returns the tokens seen. Sequences are dealt to LANES lanes, which run on from one to the next."""
-        lanes: list[list[np.ndarray]] = [[] for _ in range(min(LANES, max(1, len(counts))))]
-        length = [0] * len(lanes)
-        for k, s in enumerate(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []):
-            i = length.index(min(length))
-            lanes[i].append(s)
-            length[i] += len(s)
-        steps = min(length) if length else 0
-        if not steps:
+        """One pass of truncated back-propagation over every token; returns their number. The sequences, one after another, are cut into LANES runs whose lengths differ by one at most."""
+        if not len(ids):
             return 0
-        grid = np.stack([np.concatenate(x)[:steps] for x in lanes], 1)  # what runs over the shortest lane is left to other rounds
+        wide = min(LANES, -(-len(ids) // WINDOW))
+        steps, more = divmod(len(ids), wide)
+        begin = np.arange(wide) * steps + np.minimum(np.arange(wide), more)
         p = self.p
         m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-        h, last = np.zeros((grid.shape[1], STATE), "float32"), np.full(grid.shape[1], END)
-        for turn, a in enumerate(range(0, steps, WINDOW), 1):
-            rows = grid[a : a + WINDOW]
-            inputs = np.concatenate([last[None], rows[:-1]])
+        h, last = np.zeros((wide, STATE), "float32"), np.where(begin > 0, ids[begin - 1], END)
+        for turn, a in enumerate(range(0, steps + (more > 0), WINDOW), 1):
+            # The first `more` runs, a prefix, have one step more than the others.
+            rows = [ids[(begin if t < steps else begin[:more]) + t] for t in range(a, min(a + WINDOW, steps + (more > 0)))]
+            inputs = [x[: len(y)] for x, y in zip([last, *rows[:-1]], rows, strict=True)]
             kept = []
             for x in inputs:
                 # A new text starts from an empty state.
-                h = np.where((x == END)[:, None], 0, h).astype("float32")
+                h = np.where((x == END)[:, None], 0, h[: len(x)]).astype("float32")
                 g = self.step(p["in"][x], h)
                 kept.append((h, g))
                 h = g[-1]
             grads = {k: np.zeros_like(x) for k, x in p.items()}
-            _, dh = self.outputs(np.concatenate([g[-1] for _, g in kept]), rows.ravel(), grads)
-            dh = dh.reshape(len(rows), -1, STATE)
-            carry = np.zeros_like(h)
+            seen = np.concatenate(rows)
+            _, dh = self.outputs(np.concatenate([g[-1] for _, g in kept]), seen, grads)
+            dh = np.split(dh, np.cumsum([len(x) for x in rows])[:-1])
+            carry, back = np.zeros((0, STATE), "float32"), []
             for x, (before, (z, r, q, n, _)), d in zip(inputs[::-1], kept[::-1], dh[::-1], strict=True):
-                d = d + carry
+                d[: len(carry)] += carry
                 dn = d * (1 - z) * (1 - n * n)
                 da = np.concatenate([d * (before - n) * z * (1 - z), dn * q * r * (1 - r), dn * r], 1)
                 dx = da.copy()
                 dx[:, 2 * STATE :] = dn
-                np.add.at(grads["in"], x, dx)
-                grads["u"] += before.T @ da
-                grads["bu"] += da.sum(0)
+                back.append((before, da, dx))
                 carry = d * z + da @ p["u"].T
                 carry[x == END] = 0
+            before, da, dx = (np.concatenate(c) for c in zip(*back[::-1], strict=True))
+            fed = np.concatenate(inputs)
+            order = np.argsort(fed, kind="stable")
+            first = np.flatnonzero(np.diff(fed[order], prepend=-1))
+            grads["in"][fed[order[first]]] = np.add.reduceat(dx[order], first)
+            grads["u"] += before.T @ da
+            grads["bu"] += da.sum(0)
             last = rows[-1]
             for k, g in grads.items():
-                g /= rows.size
+                g /= len(seen)
                 np.clip(g, -1, 1, out=g)
                 m[k] += 0.1 * (g - m[k])
                 v[k] += 0.01 * (g * g - v[k])
                 p[k] -= (rate * m[k] / (1 - 0.9**turn)) / (np.sqrt(v[k] / (1 - 0.99**turn)) + 1e-6)
-        return int(grid.size)
+        return len(ids)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

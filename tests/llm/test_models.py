@@ -128,6 +128,16 @@ def test_scores_do_not_depend_on_the_window_and_training_helps():
     assert net.score(ids, counts).sum() > before.sum() + 0.3 * len(ids)
 
 
+@pytest.mark.parametrize("counts", [[1, 5000], [1] * 3 + [700], [9], [40] * 200 + [9000]])
+def test_every_token_is_trained_on(counts, monkeypatch):
+    net = lm.Network.start(np.ones(1024), 5, 20)
+    ids = np.concatenate([np.append(np.arange(n - 1) % 1024 + 2, lm.END) for n in counts])
+    seen, outputs = [], lm.Network.outputs
+    monkeypatch.setattr(lm.Network, "outputs", lambda self, h, target, grads=None: seen.append(target) or outputs(self, h, target, grads))
+    assert net.train(ids, np.array(counts)) == len(ids)
+    assert (np.bincount(np.concatenate(seen), minlength=1026) == np.bincount(ids, minlength=1026)).all()
+
+
 def test_the_network_is_a_distribution():
     net = lm.Network.start(np.arange(1, 1025), 7, 9)
     h = np.random.default_rng(2).normal(size=(1, lm.STATE)).astype("float32")
