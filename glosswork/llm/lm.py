@@ -9,10 +9,10 @@ ones included.
 
 The network is a gated recurrent unit in numpy. Its softmax is factored: first
 a class, then a word of the class. It is trained by back-propagation through
-time, cut at windows over which the state is carried, on a fixed share of the
-training documents that grows with the input: in each of ROUNDS rounds every
-task trains its own copy on its documents, and the copies are averaged, by
-tokens, in two levels. It starts at the unigram probabilities.
+time, cut at windows over which the state is carried, on all training
+documents: in each of ROUNDS rounds every task trains its own copy on its
+documents of that round, and the copies are averaged, by tokens, in two levels.
+A document belongs to one round by its hash, so that each trains once. It starts at the unigram probabilities.
 
 Scoring runs whole documents in lockstep, sorted by length, window by window,
 the state carried from one to the next. Words outside a broadcast table of the
@@ -46,8 +46,8 @@ END_HASH = np.uint64(0x6A09E667F3BCC909)
 BLOCK, CLASSES, STATE = 32, 32, 16
 #: Words whose counts are broadcast, at most.
 TABLE = 1 << 18
-#: One training document in SHARE trains the network in each round.
-SHARE, ROUNDS = 8, 2
+#: Rounds of training; each takes one training document in ROUNDS.
+ROUNDS = 2
 #: Runs side by side and steps of a window in training; states of a window in scoring.
 LANES, WINDOW, SCORE_ROWS = 64, 16, 1 << 15
 
@@ -291,8 +291,8 @@ def _ids(words: Words, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray,
     return h, n, at, ids
 
 
-def trained(docs: DataFrame, words: Words, rounds: int = ROUNDS, share: int = SHARE) -> Network:
-    """The network after `rounds` of local training and averaging over docs (doc_id, text)."""
+def trained(docs: DataFrame, words: Words, share: int = ROUNDS) -> Network:
+    """The network after `share` rounds of local training and averaging, each over one in `share` of docs (doc_id, text)."""
     spark, inside = docs.sparkSession, words.ids >= 2
     by = np.argsort(words.ids[inside])
     end = words.counts[words.ids == END].sum()
@@ -307,7 +307,7 @@ def trained(docs: DataFrame, words: Words, rounds: int = ROUNDS, share: int = SH
             total = part if total is None else {k: total[k] + part[k] for k in part}
         return pd.DataFrame({"salt": [0], "seen": [seen], "net": [pickle.dumps(total)]})
 
-    for turn in range(rounds):
+    for turn in range(share):
         now = spark.sparkContext.broadcast(net.p)
 
         def run(batch: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:

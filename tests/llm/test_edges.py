@@ -136,6 +136,15 @@ def test_lm(docs, nothing):
     assert lm.scored(nothing, words, lm.trained(nothing, words), counts).count() == 0
 
 
+def test_lm_learns_from_documents_of_every_residue(spark):
+    every = spark.range(400).selectExpr("id AS doc_id", "concat('a b ', id) AS text")
+    words = lm.frequent(lm.word_counts(every))
+    untrained = lm.trained(every.limit(0), words).p["u"]
+    for k in range(8):
+        learn = every.filter(f"pmod(xxhash64(doc_id, 41), 8) = {k}")
+        assert (lm.trained(learn, words).p["u"] != untrained).any()
+
+
 def test_chat(spark):
     rows = [(1, 2, "assistant", "b <x> # \\ \\h"), (1, 1, "us:er", None), (1, 1, None, "tie"), (1, 2, "assistant", "b <x> # \\ \\h"), (None, None, "assistant", "</turn>\n### assistant: "), (2, 1, "user", LONG)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
