@@ -68,13 +68,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and cuts its lineage there.
-
-    The folder is the session's spark.checkpoint.dir; one of our own is set only where there is none (tests on one machine).
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; one of our own is set only where there is none (tests on one machine)."""
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and cuts its lineage there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -4,8 +4,8 @@ Pass one scatters records uniformly into memory-sized buckets by a seeded hash
 of the record and its place in the input; pass two shuffles each bucket in
 memory (Fisher-Yates, Spark's seeded shuffle of an array) and deals the
 concatenation of the buckets round robin, so that shard sizes in rows differ
-by one at most. All of it is DataFrame code. A bucket's size follows the byte
-budget, whatever keys are frequent: the hash covers the place of the record,
+by one at most. Whole records go through both passes. All of it is DataFrame
+code. The number of buckets comes from the records' summed bytes, whatever keys are frequent: the hash covers the place of the record,
 so equal keys and equal texts spread like any others.
 
 Defined results: a null text has size 1 (none plus 1) and the CRC of the empty
@@ -18,57 +18,66 @@ lost executor gives the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import checkpoint, table
+from .base import checkpoint_folder, table, widened
 
 SHARDS = 16
 #: Bytes of records that one bucket holds in the second pass.
 BUCKET_BYTES = 64 << 20
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, row_bytes: int = 512) -> DataFrame:
-    """docs with shard and slot, law `rows`.
+#: Bytes of a record beside its values: its place, hash and offsets.
+RECORD_BYTES = 64
+
+
+def record_bytes(docs: DataFrame) -> Column:
+    """Bytes of a record's values, the length of their texts."""
+    return sum((F.coalesce(F.octet_length(F.col(c) if t in ("string", "binary") else F.col(c).cast("string")), F.lit(0)).cast("long") for c, t in docs.dtypes), F.lit(RECORD_BYTES))
+
 
-    row_bytes is what a record of docs takes in memory; with bucket_bytes it
-    gives the number of buckets, which grows with the rows.
-    """
+def bucket_count(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets of bucket_bytes that the records of docs fill; small inputs get as many as there are tasks."""
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(record_bytes(docs)), F.lit(0))).first()
+    return max(1, -(-size // bucket_bytes), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // 64)))
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """docs with shard and slot, law `rows`. A task of the result holds one bucket, a run of slots of each shard."""
     cols = [c for c in docs.columns if c not in ("shard", "slot")]
+    n = bucket_count(docs.select(*cols), bucket_bytes)
     spread = docs.select(F.struct(*cols).alias("_r"), F.monotonically_increasing_id().alias("_at"))
-    rows = docs.count()
-    n = max(1, -(-rows * row_bytes // bucket_bytes))
-    # The number of tasks and of buckets agree up to the session's parallelism; small inputs get as many buckets as there are tasks.
-    n = max(n, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // 64) or 1))
     spread = spread.withColumn("_h", F.xxhash64(F.lit(seed), "_at")).withColumn("_b", F.pmod("_h", F.lit(n)).cast("int"))
-    # Pass one: to the buckets. Sorted by hash and place first, so that the shuffle's input does not depend on the order of arrival.
-    buckets = spread.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("_h", "_at", "_r"))).alias("_a"))
-    # Where each bucket starts; one row a bucket, so the window sees rows / bucket_rows of them.
+    # Pass one: to the buckets, not gathered before the shuffle. Sorted by hash and place first, so that the order of arrival does not matter.
+    buckets = spread.repartitionById(n, F.col("_b")).groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("_h", "_at", "_r"))).alias("_a"))
+    # Where each bucket starts; one row a bucket, so the window and the broadcast see bytes / bucket_bytes of them.
     starts = spread.groupBy("_b").agg(F.count("*").alias("_n"))
     starts = starts.withColumn("_start", F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)))
     starts = starts.select("_b", F.coalesce("_start", F.lit(0)).alias("_start"))
     # Pass two: Fisher-Yates within the bucket, then round robin over the concatenation.
-    dealt = buckets.withColumn("_a", F.shuffle("_a", F.lit(seed))).join(starts, "_b").select("_start", F.posexplode("_a").alias("_i", "_x"))
+    dealt = buckets.withColumn("_a", F.shuffle("_a", F.lit(seed))).join(F.broadcast(starts), "_b").select("_start", F.posexplode("_a").alias("_i", "_x"))
     at = F.col("_start") + F.col("_i")
     return dealt.select("_x._r.*", F.pmod(at, F.lit(shards)).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 17, row_bytes: int = 8192) -> None:
-    """Writes one folder of Parquet files for each shard, rows in the order of their slots.
-
-    The dealt rows are checkpointed first, so that a lost executor cannot mix
-    two permutations in what is written.
-    """
-    dealt = checkpoint(shard(docs, shards, seed, row_bytes=row_bytes))
-    dealt.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> None:
+    """Writes one folder of Parquet files for each shard, rows in the order of their slots within a file and from file to file."""
+    dealt = shard(docs, shards, seed, bucket_bytes)
+    dealt.sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the documents as they are read from the written shards."""
+    path = f"{checkpoint_folder(spark)}/shards-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    write_shards(docs, path)
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
-    out = shard(docs, row_bytes=128)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    out = spark.read.schema(widened(docs, ("slot", "long"), ("shard", "int"))).parquet(path)
+    return out.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 ORACLE = None

@@ -1,6 +1,10 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import zlib
+
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from glosswork.llm import bpe, chat, lm, media, packing, quality_pu, quality_rules, sharding, toxicity
 
@@ -86,6 +90,26 @@ def test_written_shards(spark, docs, tmp_path):
     assert spark.read.parquet(path).count() == len(ROWS)
 
 
+def test_sharding_counts_buckets_by_bytes_and_digests_what_was_written(spark, tmp_path):
+    df = spark.range(100).selectExpr("id AS doc_id", "CASE id WHEN 7 THEN NULL ELSE repeat(concat('é', id), 20000) END AS text")
+    path = f"{tmp_path}/documents.parquet"
+    df.write.parquet(path)
+    # About 6 MB of text: rows alone would make one bucket of a megabyte.
+    assert sharding.shard(spark.read.parquet(path), bucket_bytes=1 << 20).select(F.spark_partition_id().alias("p")).distinct().count() >= 5
+    out = sharding.query(spark, str(tmp_path))
+    got = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in out.collect()}
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in df.collect()}
+    assert got == {k: (len(x) + 1, zlib.crc32(x)) for k, x in texts.items()}
+    assert all("/shards-" in f for f in out.inputFiles())
+    # Whole texts lie in the folders, in the order of the slots within each file.
+    sharding.write_shards(spark.read.parquet(path), f"{tmp_path}/out", shards=2, bucket_bytes=1 << 20)
+    assert {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{tmp_path}/out").collect()} == texts
+    for k in range(2):
+        files = sorted((tmp_path / "out" / f"shard={k}").glob("*.parquet"))
+        slots = [s for f in files for s in pq.read_table(f, partitioning=None)["slot"].to_pylist()]
+        assert slots == list(range(50))
+
+
 def test_bpe(docs, nothing):
     got = bpe.decode_column(bpe.encode_column(docs)).collect()
     c = bpe.Coder().tokenizer
