@@ -232,10 +232,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, island_pieces: int = ISLAN
         patterns = [list(x) for x in sorted(map(tuple, came["pattern"]))]
         return _placed(pdf, lengths, evolve(lengths, capacity, int(pdf["island"][0]) + 1, start, patterns), capacity)[names]
 
-    while True:
-        n = left.count()
-        if not n:
-            break
+    n = left.count()
+    while n:
         islands = -(-n // island_pieces)
         dealt = left.withColumn("island", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(islands)))
         state = checkpoint(dealt.groupBy("island").applyInPandas(first, schema))
@@ -245,12 +243,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, island_pieces: int = ISLAN
             elite = full.groupBy("island").agg(F.slice(F.sort_array(F.collect_list("pattern")), 1, ELITES).alias("e"))
             sent = elite.select(F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.explode("e").alias("pattern"))
             state = checkpoint(state.groupBy("island").cogroup(sent.groupBy("island")).applyInPandas(again, schema))
-        tight = F.lit(True) if islands == 1 else 100 * F.col("fill") >= 99 * capacity
+        tight = 100 * F.col("fill") >= 99 * capacity
+        loose = state.filter(~tight).count() if islands > 1 else 0
+        # Pieces that no longer fit together stay as they are: each further level places a quarter of its pieces at least.
+        last = islands == 1 or 4 * loose > 3 * n
+        tight = F.lit(True) if last else tight
         number = F.lit(level << 56) + (F.col("island") * (1 << 20)) + F.col("bin")
         done.append(state.filter(tight).select(*cols, number.alias("sequence_id"), "offset"))
-        if islands == 1:
+        if last:
             break
-        left, level = state.filter(~tight).select(*cols, "uid"), level + 1
+        left, level, n = state.filter(~tight).select(*cols, "uid"), level + 1, loose
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)

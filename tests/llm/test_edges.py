@@ -64,6 +64,21 @@ def test_packing(docs, nothing):
     assert packing.pack(packing.pieces_of(nothing)).count() == 0
 
 
+@pytest.mark.parametrize("lengths", [[1100] * 200, [1100] * 150 + [948] * 60 + [7] * 30])
+def test_packing_ends_where_pieces_do_not_fit_together(spark, lengths):
+    rows = [(str(k), 0, 0, n, 0, k) for k, n in enumerate(lengths)]
+    out = packing.pack(spark.createDataFrame(rows, packing.PIECES), island_pieces=64).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in out) == sorted((k, n) for k, n in enumerate(lengths))
+    bins = {}
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        at = bins.get(r["sequence_id"], 0)
+        assert r["offset"] == at
+        bins[r["sequence_id"]] = at + r["length"]
+    assert max(bins.values()) <= packing.CAPACITY
+    # No more than one bin for each piece that fits beside no other of its kind, and a few for the rest.
+    assert len(bins) <= lengths.count(1100) + 10
+
+
 def test_sharding(docs, nothing):
     got = sharding.shard(docs.withColumnRenamed("score", "slot"), shards=3).collect()
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in ROWS)
