@@ -162,13 +162,18 @@ def quota_pick(rows: DataFrame, group: str, kind: str, order: list, quotas: dict
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= quota)
 
 
-def synonym_pairs(meanings: DataFrame, groups: int = 64) -> DataFrame:
-    """(a, b): pairs a < b of ids that share a meaning (id, meaning); meanings of more than `groups` ids are no synonyms' meaning and are left out by rule."""
+def synonym_pairs(meanings: DataFrame, block: int = 64) -> DataFrame:
+    """(a, b): pairs a < b of ids that share a meaning (id, meaning).
+
+    A meaning's ids are met block by block, so that a frequent meaning is not
+    joined by one task.
+    """
     m = meanings.distinct()
-    size = m.groupBy("meaning").agg(F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") <= groups)).select("meaning")
-    m = m.join(size, "meaning")
-    x, y = m.select("meaning", F.col("id").alias("a")), m.select("meaning", F.col("id").alias("b"))
-    return x.join(y, "meaning").filter("a < b").select("a", "b").distinct()
+    size = m.groupBy("meaning").agg(F.count("*").alias("n")).filter("n > 1")
+    m = m.join(size.select("meaning", F.ceil(F.col("n") / block).cast("long").alias("blocks")), "meaning")
+    x = m.select("meaning", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"), F.col("id").alias("a"))
+    y = m.select("meaning", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("part"), F.col("id").alias("b"))
+    return x.join(y, ["meaning", "part"]).filter("a < b").select("a", "b").distinct()
 
 
 def covers(have: DataFrame, need: DataFrame) -> DataFrame:

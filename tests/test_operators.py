@@ -227,3 +227,9 @@ def test_version_diff_treats_nulls_as_equal(spark):
     b = spark.createDataFrame([(1, None), (2, None), (4, "z")], "id long, v string")
     got = {(r["id"], r["change"], r["fields"]) for r in relations.version_diff(a, b, "id", ["v"]).collect()}
     assert got == {(2, "changed", "v"), (3, "removed", ""), (4, "added", "")}
+
+
+def test_synonyms_of_a_frequent_meaning(spark):
+    rows = [(k, "hot") for k in range(150)] + [(k, f"m{k // 2}") for k in range(100, 200)] + [(999, "alone")]
+    got = {(r["a"], r["b"]) for r in relations.synonym_pairs(spark.createDataFrame(rows, "id long, meaning string")).collect()}
+    assert got == {(a, b) for a in range(200) for b in range(a + 1, 200) if b < 150 or (a >= 100 and a // 2 == b // 2)}
