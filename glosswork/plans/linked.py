@@ -108,12 +108,25 @@ def q92(spark, d):
 SELECT o_orderkey AS id, grp, "at", coalesce((SELECT curve FROM (SELECT c_nationkey % 5 AS g, CAST(floor(c_acctbal) AS BIGINT) * 40 AS since, max(c_name) AS curve FROM customer WHERE c_custkey % 10 = 0 GROUP BY ALL) WHERE g = grp AND since <= "at" ORDER BY since DESC LIMIT 1), '') AS curve
 FROM (SELECT o_orderkey, o_custkey % 5 AS grp, CAST(floor(o_totalprice) AS BIGINT) AS "at" FROM orders)""")
 def q93(spark, d):
-    c = T.read(spark, d, "customer").filter("c_custkey % 10 = 0")
+    return _placed_curves(spark, d, "c_custkey % 10 = 0")
+
+
+def _placed_curves(spark, d, customers):
+    c = T.read(spark, d, "customer").filter(customers)
     curves = c.groupBy((F.col("c_nationkey") % 5).cast("long").alias("grp"), (F.floor("c_acctbal") * 40).alias("since")).agg(F.max("c_name").alias("curve"))
     o = T.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 5).alias("grp"), F.floor("o_totalprice").alias("at"))
     return L.as_of(o, curves)
 
 
+@query("q132_nearest_curve_whole", """
+WITH c AS (SELECT c_nationkey % 5 AS g, CAST(floor(c_acctbal) AS BIGINT) * 40 AS since, max(c_name) AS curve FROM customer GROUP BY ALL),
+o AS (SELECT o_orderkey AS id, o_custkey % 5 AS grp, CAST(floor(o_totalprice) AS BIGINT) AS "at" FROM orders)
+SELECT id, grp, "at", coalesce(curve, '') AS curve FROM o ASOF LEFT JOIN c ON g = grp AND "at" >= since""")
+def q132(spark, d):
+    """q93 over all customers."""
+    return _placed_curves(spark, d, "true")
+
+
 _SENSES = """se AS (SELECT l_orderkey AS id, p_type || ' ' || p_name AS sense, max(l_quantity) AS score, list_sort(list_distinct([p_type, p_name])) AS stems FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey, p_type, p_name)"""
 
 

@@ -229,13 +229,27 @@ WITH h AS (SELECT DISTINCT l_suppkey AS owner, p_brand AS value FROM lineitem JO
 n AS (SELECT DISTINCT o_custkey AS target, p_brand AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_custkey < 100 AND l_linenumber <= 2)
 SELECT owner, target FROM h JOIN n USING (value) GROUP BY owner, target HAVING count(*) = (SELECT count(*) FROM n z WHERE z.target = n.target)""")
 def q55(spark, d):
+    return _division(spark, d, "l_linenumber <= 2", "o_custkey < 100")
+
+
+def _division(spark, d, lines, orders):
     read = lambda n: T.read(spark, d, n)
     lp = read("lineitem").join(read("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("value")), "l_partkey")
     have = lp.select(F.col("l_suppkey").alias("owner"), "value")
-    need = lp.filter("l_linenumber <= 2").join(read("orders").filter("o_custkey < 100"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("target"), "value")
+    need = lp.filter(lines).join(read("orders").filter(orders), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("target"), "value")
     return R.covers(have, need)
 
 
+@query("q131_division_gate_whole", """
+WITH h AS (SELECT DISTINCT l_suppkey AS owner, p_brand AS value FROM lineitem JOIN part ON p_partkey = l_partkey),
+n AS (SELECT DISTINCT o_custkey AS target, p_brand AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
+z AS (SELECT target, count(*) AS size FROM n GROUP BY target)
+SELECT owner, target FROM h JOIN n USING (value) JOIN z USING (target) GROUP BY owner, target, size HAVING count(*) = size""")
+def q131(spark, d):
+    """q55 over all orders and lines."""
+    return _division(spark, d, "true", "true")
+
+
 @query("q59_key_functions", """
 SELECT p_partkey AS id, lower(trim(p_name)) AS norm, array_to_string(regexp_split_to_array(regexp_replace(lower(p_name), '[^a-z\\s]', '', 'g'), '\\s+')[1:2], ' ') AS two,
   levenshtein(p_name, p_type) AS distance, CAST(date_diff('day', DATE '1970-01-01', DATE '1995-01-01' + CAST(p_partkey % 1000 AS INT)) AS BIGINT) AS day FROM part""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from glosswork.functions import folding, spans
 from glosswork.operators import alignment, corpus, planners, progress, relations, sessions, state, units
+from glosswork.plans.catalogue import queries
 from glosswork.sources import tables
 from glosswork.sources.html import epub_pages, page_text
 from glosswork.streaming import answers as stream
@@ -233,3 +234,16 @@ def test_synonyms_of_a_frequent_meaning(spark):
     rows = [(k, "hot") for k in range(150)] + [(k, f"m{k // 2}") for k in range(100, 200)] + [(999, "alone")]
     got = {(r["a"], r["b"]) for r in relations.synonym_pairs(spark.createDataFrame(rows, "id long, meaning string")).collect()}
     assert got == {(a, b) for a in range(200) for b in range(a + 1, 200) if b < 150 or (a >= 100 and a // 2 == b // 2)}
+
+
+def test_division_and_curves_over_whole_tables(spark, tmp_path):
+    put = lambda name, columns, rows: spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("part", "p_partkey long, p_brand string", [(1, "a"), (2, "b"), (3, "c")])
+    put("lineitem", "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int", [(10, 1, 1, 1), (10, 2, 1, 2), (10, 3, 2, 3), (20, 1, 2, 1), (20, 2, 2, 5)])
+    put("orders", "o_orderkey long, o_custkey long, o_totalprice double", [(10, 7, 90.5), (20, 205, 500.0)])
+    put("customer", "c_custkey long, c_nationkey long, c_acctbal double, c_name string", [(10, 2, 1.5, "ten"), (11, 2, 2.0, "eleven"), (13, 0, 2.0, "thirteen")])
+    got = queries()["q131_division_gate_whole"](spark, str(tmp_path)).collect()
+    # Supplier 1 has a and b, supplier 2 all three; order 10 asks for a, b and c, order 20 for a and b.
+    assert sorted(tuple(r) for r in got) == [(1, 205), (2, 7), (2, 205)]
+    got = {r["id"]: r["curve"] for r in queries()["q132_nearest_curve_whole"](spark, str(tmp_path)).collect()}
+    assert got == {10: "eleven", 20: "thirteen"}
