@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,22 +43,47 @@ def form_chase(edges: DataFrame, usable: DataFrame, depth: int = 3) -> DataFrame
 
 
 def distractors(items: DataFrame, group: str, guards: list[str], n: int = 3, block: int = 16) -> DataFrame:
-    """(id, place, other): n others of the same group that share none of the guards with the item.
+    """(id, place, other): the next n others in the group's hash order that share none of the guards with the item; fewer only where the group has fewer.
 
-    Others are looked for among the next `block` items of the group's hash
-    order, a bounded range join; items whose block has too few take fewer.
+    Others are looked for among the next `block` items, a bounded range join;
+    items left with too few look on in ranges that double. How many others an
+    item can have is counted beforehand from the sizes of its guards' values,
+    so that none looks on in vain.
     """
     w = W.partitionBy(group).orderBy("order_key", "id")
     x = items.withColumn("i", F.row_number().over(w))
     size = x.groupBy(group).agg(F.max("i").alias("size"))
-    a = x.join(size, group).withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(block))))
-    a = a.filter(F.col("j") < F.col("size")).withColumn("at", (F.col("i") + F.col("j") - 1) % F.col("size") + 1)
     b = x.select(F.col(group), F.col("i").alias("at"), F.col("id").alias("other"), *[F.col(g).alias(f"_{g}") for g in guards])
     ok = F.lit(True)
     for g in guards:
         ok = ok & (F.col(g) != F.col(f"_{g}"))
-    c = a.join(b, [group, "at"]).filter(ok)
-    c = c.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("j"))).filter(F.col("place") <= n)
+
+    def found(short: DataFrame, low: int, high: int) -> DataFrame:
+        a = short.withColumn("j", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.greatest(F.col("size") - 1, F.lit(low))))))
+        a = a.filter(F.col("j") < F.col("size")).withColumn("at", (F.col("i") + F.col("j") - 1) % F.col("size") + 1)
+        return a.join(b, [group, "at"]).filter(ok).select("id", "j", "other")
+
+    a = x.join(size, group)
+    out = found(a, 1, block)
+    # Others that share no guard, by inclusion and exclusion over the guards.
+    able = F.col("size").cast("long")
+    left = a
+    for k in range(1, len(guards) + 1):
+        for some in combinations(guards, k):
+            name = "_n_" + "_".join(some)
+            left = left.join(x.groupBy(group, *some).agg(F.count("*").alias(name)), [group, *some])
+            able = able + (-1) ** k * F.col(name)
+    left = left.withColumn("want", F.least(able, F.lit(n))).select(*a.columns, "want")
+    high = block
+    widest = size.agg(F.max("size")).first()[0] or 0
+    while high < widest - 1:
+        have = out.groupBy("id").agg(F.count("*").alias("have"))
+        left = left.join(have, "id", "left").filter(F.coalesce("have", F.lit(0)) < F.col("want")).drop("have").persist()
+        if left.isEmpty():
+            break
+        out = out.unionByName(found(left, high + 1, 2 * high).persist())
+        high *= 2
+    c = out.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("j"))).filter(F.col("place") <= n)
     return c.select("id", "place", "other")
 
 

@@ -247,3 +247,15 @@ def test_division_and_curves_over_whole_tables(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == [(1, 205), (2, 7), (2, 205)]
     got = {r["id"]: r["curve"] for r in queries()["q132_nearest_curve_whole"](spark, str(tmp_path)).collect()}
     assert got == {10: "eleven", 20: "thirteen"}
+
+
+def test_distractors_beyond_a_hot_guard(spark):
+    # Two brands beside a hot one, far apart in the order; in the second group all share the brand.
+    rows = [(k, "t", "hot" if k % 40 else f"b{k % 80}", f"n{k}", f"{k:04d}") for k in range(160)] + [(1000 + k, "u", "hot", f"n{k}", f"{k:04d}") for k in range(50)]
+    got = relations.distractors(spark.createDataFrame(rows, "id long, kind string, brand string, name string, order_key string"), "kind", ["brand", "name"]).collect()
+    mine = {}
+    for r in got:
+        mine.setdefault(r["id"], []).append((r["place"], r["other"]))
+    for k, kind, brand, name, _ in rows:
+        turn = [rows[(k + j) % 160] for j in range(1, 160)] if kind == "t" else []
+        assert sorted(mine.get(k, [])) == list(enumerate([r[0] for r in turn if r[2] != brand and r[3] != name][:3], 1))
