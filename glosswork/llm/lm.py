@@ -11,8 +11,9 @@ The network is a gated recurrent unit in numpy. Its softmax is factored: first
 a class, then a word of the class. It is trained by back-propagation through
 time, cut at windows over which the state is carried, on all training
 documents: in each of ROUNDS rounds every task trains its own copy on its
-documents of that round, and the copies are averaged, by tokens, in two levels.
-A document belongs to one round by its hash, so that each trains once. It starts at the unigram probabilities.
+documents of that round, and the copies are averaged, by tokens, in a tree of
+FAN_IN networks a task. A document belongs to one round by its hash, so that
+each trains once. The network starts at the unigram probabilities.
 
 Scoring runs whole documents in lockstep, sorted by length, window by window,
 the state carried from one to the next. Words outside a broadcast table of the
@@ -44,12 +45,12 @@ from .words import batches, word_hashes
 END_HASH = np.uint64(0x6A09E667F3BCC909)
 #: Words of a class, word classes, size of the state.
 BLOCK, CLASSES, STATE = 32, 32, 16
-#: Words whose counts are broadcast, at most.
-TABLE = 1 << 18
-#: Rounds of training; each takes one training document in ROUNDS.
-ROUNDS = 2
+#: Words whose counts are broadcast, at most; bits of the index of their hashes.
+TABLE, INDEX_BITS = 1 << 18, 20
+#: Rounds of training; each takes one training document in ROUNDS. Networks that one task averages.
+ROUNDS, FAN_IN = 2, 32
 #: Runs side by side and steps of a window in training; states of a window in scoring.
-LANES, WINDOW, SCORE_ROWS = 64, 16, 1 << 15
+LANES, WINDOW, SCORE_ROWS = 256, 16, 1 << 15
 
 OTHER, END = 0, 1
 
@@ -64,13 +65,28 @@ class Words:
     tokens: int
     types: int
 
+    def _index(self) -> np.ndarray:
+        """Where the hashes of each value of the leading INDEX_BITS start; built once in each worker."""
+        if "_starts" not in self.__dict__:
+            lead = (self.hashes >> np.uint64(64 - INDEX_BITS)).astype("int64")
+            self.__dict__["_starts"] = np.append(0, np.cumsum(np.bincount(lead, minlength=1 << INDEX_BITS))).astype("int32")
+        return self.__dict__["_starts"]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_starts"}
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places of h in the table, -1 where absent."""
-        if not len(self.hashes):
-            return np.full(len(h), -1)
-        at = np.searchsorted(self.hashes, h)
-        at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == h, at, -1)
+        out = np.full(len(h), -1, "int32")
+        starts, lead = self._index(), (h >> np.uint64(64 - INDEX_BITS)).astype("int32")
+        at, left = starts[lead], np.flatnonzero(starts[lead + 1] > starts[lead])
+        stop, at = starts[lead[left] + 1], at[left]
+        while len(left):
+            hit = self.hashes[at] == h[left]
+            out[left[hit]] = at[hit]
+            more = ~hit & (at + 1 < stop)
+            left, at, stop = left[more], at[more] + 1, stop[more]
+        return out
 
     def log_share(self, counts: np.ndarray) -> np.ndarray:
         """log10 of the add-one unigram probability."""
@@ -126,40 +142,49 @@ class Network:
         """Natural log probability of each target from its state; with grads, adds the gradients of minus their sum and returns that of h."""
         p, n = self.p, len(target)
         kind = np.where(target < 2, target, 2 + (target - 2) // BLOCK)
-        logits = h @ p["c"]
-        logits += p["bc"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        s = e.sum(1)
+        # Classes along the first axis: sums over them are then sums of whole rows.
+        e = p["c"].T @ h.T
+        e += p["bc"][:, None]
+        e -= e.max(0)
         row = np.arange(n)
-        out = logits[row, kind] - np.log(s)
+        out = e[kind, row]
+        np.exp(e, out=e)
+        s = e.sum(0)
+        out -= np.log(s)
         dh = None
         if grads is not None:
-            d = e / s[:, None]
-            d[row, kind] -= 1
-            grads["c"] += h.T @ d
-            grads["bc"] += d.sum(0)
-            dh = d @ p["c"].T
+            e /= s
+            e[kind, row] -= 1
+            grads["c"] += h.T @ e.T
+            grads["bc"] += e.sum(1)
+            dh = e.T @ p["c"].T
         words = np.flatnonzero(target >= 2)
         order = words[np.argsort(kind[words], kind="stable")]
-        edges = np.searchsorted(kind[order], np.arange(2, CLASSES + 3))
+        edges = np.searchsorted(kind[order], np.arange(2, CLASSES + 3)).tolist()
+        states, places, got = h[order], (target[order] - 2) % BLOCK, np.empty(len(order), out.dtype)
+        back = None if grads is None else np.empty_like(states)
         for c in range(CLASSES):
-            rows = order[edges[c] : edges[c + 1]]
-            if not len(rows):
+            i, j = edges[c], edges[c + 1]
+            if i == j:
                 continue
-            x, t = h[rows], (target[rows] - 2) % BLOCK
-            v = x @ p["w"][c] + p["bw"][c]
-            v -= v.max(1, keepdims=True)
-            e = np.exp(v)
-            s = e.sum(1)
-            i = np.arange(len(rows))
-            out[rows] += v[i, t] - np.log(s)
+            x, t = states[i:j], places[i:j]
+            e = p["w"][c].T @ x.T
+            e += p["bw"][c][:, None]
+            e -= e.max(0)
+            row = np.arange(j - i)
+            mine = e[t, row]
+            np.exp(e, out=e)
+            s = e.sum(0)
+            got[i:j] = mine - np.log(s)
             if grads is not None:
-                d = e / s[:, None]
-                d[i, t] -= 1
-                grads["w"][c] += x.T @ d
-                grads["bw"][c] += d.sum(0)
-                dh[rows] += d @ p["w"][c].T
+                e /= s
+                e[t, row] -= 1
+                grads["w"][c] += x.T @ e.T
+                grads["bw"][c] += e.sum(1)
+                back[i:j] = e.T @ p["w"][c].T
+        out[order] += got
+        if grads is not None:
+            dh[order] += back
         return out, dh
 
     def score(self, ids: np.ndarray, counts: np.ndarray, rows: int = SCORE_ROWS) -> np.ndarray:
@@ -191,57 +216,70 @@ class Network:
                 place, held = [], 0
         return out
 
-    def train(self, ids: np.ndarray, counts: np.ndarray, rate: float = 4e-3) -> int:
+    def train(self, ids: np.ndarray, counts: np.ndarray, rate: float = 1.2e-2) -> int:
         """One pass of truncated back-propagation over every token; returns their number. The sequences, one after another, are cut into LANES runs whose lengths differ by one at most."""
         if not len(ids):
             return 0
         wide = min(LANES, -(-len(ids) // WINDOW))
         steps, more = divmod(len(ids), wide)
         begin = np.arange(wide) * steps + np.minimum(np.arange(wide), more)
-        p = self.p
-        m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-        h, last = np.zeros((wide, STATE), "float32"), np.where(begin > 0, ids[begin - 1], END)
-        for turn, a in enumerate(range(0, steps + (more > 0), WINDOW), 1):
-            # The first `more` runs, a prefix, have one step more than the others.
-            rows = [ids[(begin if t < steps else begin[:more]) + t] for t in range(a, min(a + WINDOW, steps + (more > 0)))]
-            inputs = [x[: len(y)] for x, y in zip([last, *rows[:-1]], rows, strict=True)]
-            kept = []
-            for x in inputs:
-                # A new text starts from an empty state.
-                h = np.where((x == END)[:, None], 0, h[: len(x)]).astype("float32")
-                g = self.step(p["in"][x], h)
-                kept.append((h, g))
-                h = g[-1]
-            grads = {k: np.zeros_like(x) for k, x in p.items()}
-            seen = np.concatenate(rows)
-            _, dh = self.outputs(np.concatenate([g[-1] for _, g in kept]), seen, grads)
-            dh = np.split(dh, np.cumsum([len(x) for x in rows])[:-1])
-            carry, back = np.zeros((0, STATE), "float32"), []
-            for x, (before, (z, r, q, n, _)), d in zip(inputs[::-1], kept[::-1], dh[::-1], strict=True):
-                d[: len(carry)] += carry
-                dn = d * (1 - z) * (1 - n * n)
-                da = np.concatenate([d * (before - n) * z * (1 - z), dn * q * r * (1 - r), dn * r], 1)
-                dx = da.copy()
-                dx[:, 2 * STATE :] = dn
-                back.append((before, da, dx))
-                carry = d * z + da @ p["u"].T
-                carry[x == END] = 0
-            before, da, dx = (np.concatenate(c) for c in zip(*back[::-1], strict=True))
-            fed = np.concatenate(inputs)
-            order = np.argsort(fed, kind="stable")
-            first = np.flatnonzero(np.diff(fed[order], prepend=-1))
-            grads["in"][fed[order[first]]] = np.add.reduceat(dx[order], first)
-            grads["u"] += before.T @ da
-            grads["bu"] += da.sum(0)
-            last = rows[-1]
-            for k, g in grads.items():
-                g /= len(seen)
-                np.clip(g, -1, 1, out=g)
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.01 * (g * g - v[k])
-                p[k] -= (rate * m[k] / (1 - 0.9**turn)) / (np.sqrt(v[k] / (1 - 0.99**turn)) + 1e-6)
+        moments = tuple({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
+        h, last, turn = np.zeros((wide, STATE), "float32"), np.where(begin > 0, ids[begin - 1], END), 0
+        # The first `more` runs have one step more than the others: a window of their own.
+        windows = [(begin, a, min(a + WINDOW, steps)) for a in range(0, steps, WINDOW)] + ([(begin[:more], steps, steps + 1)] if more else [])
+        for first, a, b in windows:
+            turn += 1
+            targets = ids[first + np.arange(a, b)[:, None]]
+            inputs = np.concatenate([last[None, : len(first)], targets[:-1]])
+            h = self._window(inputs, targets, h[: len(first)], moments, turn, rate)
+            last = targets[-1]
         return len(ids)
 
+    def _window(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, moments: tuple, turn: int, rate: float) -> np.ndarray:
+        """One step of the parameters from a window (steps x lanes), back-propagated within it; returns the last states."""
+        p, (steps, wide) = self.p, inputs.shape
+        x = p["in"][inputs]
+        ends = inputs == END
+        before, z, r, q, n, after = (np.empty((steps, wide, STATE), x.dtype) for _ in range(6))
+        for t in range(steps):
+            # A new text starts from an empty state.
+            if ends[t].any():
+                h = h.copy()
+                h[ends[t]] = 0
+            before[t] = h
+            z[t], r[t], q[t], n[t], h = self.step(x[t], h)
+            after[t] = h
+        grads = {k: np.zeros_like(v) for k, v in p.items()}
+        flat = lambda v: v.reshape(steps * wide, -1)
+        _, dh = self.outputs(flat(after), targets.ravel(), grads)
+        dh = dh.reshape(steps, wide, STATE)
+        # What each gate's input gets for one unit of the state's gradient, for the whole window.
+        dn = (1 - z) * (1 - n * n)
+        gate = np.stack([(before - n) * z * (1 - z), dn * q * r * (1 - r), dn * r], 2)
+        da, carry = np.empty_like(gate), np.zeros((wide, STATE), x.dtype)
+        for t in range(steps - 1, -1, -1):
+            d = dh[t]
+            d += carry
+            np.multiply(gate[t], d[:, None], out=da[t])
+            carry = d * z[t] + da[t].reshape(wide, -1) @ p["u"].T
+            carry[ends[t]] = 0
+        dx = da.copy()
+        np.multiply(dn, dh, out=dx[:, :, 2])
+        da, dx, fed = flat(da), flat(dx), inputs.ravel()
+        order = np.argsort(fed, kind="stable")
+        first = np.flatnonzero(np.diff(fed[order], prepend=-1))
+        grads["in"][fed[order[first]]] = np.add.reduceat(dx[order], first)
+        grads["u"] += flat(before).T @ da
+        grads["bu"] += da.sum(0)
+        for k, g in grads.items():
+            m, v = moments[0][k], moments[1][k]
+            g /= targets.size
+            np.clip(g, -1, 1, out=g)
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p[k] -= (rate / (1 - 0.9**turn)) * m / (np.sqrt(v / (1 - 0.99**turn)) + 1e-6)
+        return h
+
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(h, c) of all tokens of docs (text)."""
@@ -305,7 +343,7 @@ def trained(docs: DataFrame, words: Words, share: int = ROUNDS) -> Network:
         for n, raw in zip(pdf["seen"], pdf["net"], strict=True):
             part = {k: x * np.float32(n / seen) for k, x in pickle.loads(raw).items()}
             total = part if total is None else {k: total[k] + part[k] for k in part}
-        return pd.DataFrame({"salt": [0], "seen": [seen], "net": [pickle.dumps(total)]})
+        return pd.DataFrame({"salt": pdf["salt"][:1] // FAN_IN, "seen": seen, "net": [pickle.dumps(total)]})
 
     for turn in range(share):
         now = spark.sparkContext.broadcast(net.p)
@@ -322,11 +360,14 @@ def trained(docs: DataFrame, words: Words, share: int = ROUNDS) -> Network:
                 own = Network({k: x.copy() for k, x in now.value.items()})
                 seen = own.train(np.concatenate(ids), np.concatenate(counts))
                 if seen:
-                    yield pd.DataFrame({"salt": [TaskContext.get().partitionId() % 1000], "seen": [seen], "net": [pickle.dumps(own.p)]})
+                    yield pd.DataFrame({"salt": [TaskContext.get().partitionId()], "seen": [seen], "net": [pickle.dumps(own.p)]})
 
         chosen = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(share)) == turn)
-        first = chosen.select("text").mapInPandas(run, kind).groupBy("salt").applyInPandas(average, kind)
-        got = first.groupBy((F.col("salt") * 0).alias("one")).applyInPandas(average, kind).collect()
+        nets, width = chosen.select("text").mapInPandas(run, kind), chosen.rdd.getNumPartitions()
+        while width > 1:
+            nets = nets.groupBy(F.floor(F.col("salt") / FAN_IN).alias("to")).applyInPandas(average, kind)
+            width = -(-width // FAN_IN)
+        got = nets.collect()
         if got:
             net = Network(pickle.loads(bytes(got[0]["net"])))
     return net
