@@ -1,29 +1,33 @@
-"""BPE encoding and decoding by tree concatenation.
-
-A long text is cut in halves, the halves in halves again, down to leaves.
-encode_column and digests encode all leaves of a batch together; each task of
-Spark works on its own batches, and within a task the library's threads may
-share the leaves (TOKENIZERS_PARALLELISM, off unless set, as Spark's tasks
-fill the cores already). Going up the tree, each join re-encodes a window around the cut, which
-grows until it holds, on both sides, a break between tokens at which the left
-half, the right half and the window's own encoding agree token by token. A
-break counts only where white space stands in the text: no merge or pattern
-of the tokenizer reaches over white space, so the agreement there is exact and
-the ids equal those of encoding the whole text at once.
-
-Leaves keep their ids by word, cut at blanks and line feeds. Words seen before
-by this worker come from a cache of bounded size, which changes speed only.
-
-Defined results: null and empty texts have no ids and an empty decoded text;
-texts of any length are taken whole; special tokens written in a text become
-their ids, as in the library. Repeated rows give repeated rows; an empty table
-gives an empty result; other columns are kept by encode_column (a column named
-like a result is replaced).
+"""BPE encoding by tree concatenation, and decoding.
+
+A text (what stands between special tokens of a long one) is cut in equal
+halves until each is a leaf; the library encodes all
+leaves of a batch in parallel, then neighbours are joined pair by pair. At a
+join a window of text round the cut, from the start of a token on the left to
+the end of one on the right, is encoded anew, and grows until it agrees with
+both sides: until AGREE tokens in a row are the same, with the same places in
+the text, in the window and in the left list, and likewise on the right. The
+lists are spliced at the first token of each run.
+
+Why a splice is exact: a list of tokens is the encoding of its text if and only
+if each two neighbours are that of theirs, and where a word ends shows in its
+last token. Up to and with the shared token all neighbours are neighbours in
+the left list, from it on in the window. Where a token may start is decided by
+what follows it, as the tokenizer's pattern looks at nothing before. The normal
+form could reach over a splice; it is checked there that it does not.
+
+What a join costs is its window, whatever stands in the text: words without end
+are joined as any others, and only a side that the join really changes (as in a
+run of one letter) is encoded again as far as it changes.
+
+Defined results: a null or empty text has no ids. Texts of any length are taken
+whole. Repeated rows give repeated rows; an empty table gives an empty result.
+Columns named like a result (ids, decoded) are replaced; others stay, or don't
+reach a table of digests.
 """
 
 from __future__ import annotations
 
-import contextlib
 import hashlib
 import os
 import re
@@ -38,171 +42,169 @@ from pyspark.sql import DataFrame, SparkSession
 from .base import keyed, table, unkeyed, with_made
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-#: Code points of a leaf, and of the first window on each side of a cut.
-LEAF_CHARS, WINDOW_CHARS = 8192, 32
-#: Words that one worker's cache holds at most.
-CACHE_WORDS = 1_000_000
+#: Code points of a leaf, and of the first window on each side of a cut; tokens that must agree.
+LEAF_CHARS, WINDOW_CHARS, AGREE = 16384, 32, 2
+#: Leaves that the library encodes at once, and its threads.
+LEAVES, THREADS = 256, 2
+#: Longest word that a word cache holds, and the bytes of an entry beside the word and its ids.
+CACHED_CHARS, ENTRY_BYTES = 48, 200
 
-#: Marks that are neither letters, digits nor white space, nor begin a contraction.
-_MARKS = ".,;:!?$%&*#|()[]-"
+_coders: dict[tuple[str, int], "Coder"] = {}
 
-_coders: dict[str, "Coder"] = {}
 
-
-def coder(path: str = VOCABULARY) -> "Coder":
+def coder(path: str = VOCABULARY, cache_bytes: int = 0) -> "Coder":
     """This worker's coder for a vocabulary file; a worker that runs several tasks builds it once."""
-    if path not in _coders:
-        _coders[path] = Coder(path)
-    return _coders[path]
+    if (path, cache_bytes) not in _coders:
+        _coders[path, cache_bytes] = Coder(path, cache_bytes)
+    return _coders[path, cache_bytes]
+
+
+def _closed(text: str, at: int) -> bool:
+    """Whether the normal form of the text does not reach over a place."""
+    a, b = text[max(0, at - 8) : at], text[at : at + 8]
+    if a.isascii() and b.isascii():
+        return True
+    nfc = lambda t: unicodedata.normalize("NFC", t)
+    return not unicodedata.combining(b[:1] or " ") and nfc(a + b) == nfc(a) + nfc(b)
+
+
+class Tokens:
+    """Ids with the code points of the text that each stands for, as [start, end)."""
+
+    def __init__(self, ids: np.ndarray, start: np.ndarray, end: np.ndarray):
+        self.ids, self.start, self.end = ids, start, end
 
+    @classmethod
+    def of(cls, encoding, at: int) -> "Tokens":
+        place = np.array(encoding.offsets, "int64").reshape(-1, 2) + at
+        return cls(np.array(encoding.ids, "<u4"), place[:, 0], place[:, 1])
 
-#: A full stop or comma after a letter, at the end of a word.
-_STOP = re.compile(r"[.,](?<=[a-z\xdf-\xf6\xf8-\xff][.,])(?=[ \n]|\Z)")
+    def part(self, a: int, b: int | None = None) -> "Tokens":
+        return Tokens(self.ids[a:b], self.start[a:b], self.end[a:b])
 
+    def alone(self, k: int) -> bool:
+        """Whether a token starts where the one before has ended."""
+        return not k or bool(self.start[k] >= self.end[k - 1])
 
-def _spread(text: str) -> str:
-    """A text with the same ids and fewer different words.
+    def same(self, i: int, other: "Tokens", j: int, n: int) -> bool:
+        """Whether n tokens from i are those of the other from j."""
+        if i + n > len(self.ids) or j + n > len(other.ids):
+            return False
+        a, b = self.part(i, i + n), other.part(j, j + n)
+        return bool((a.ids == b.ids).all() and (a.start == b.start).all() and (a.end == b.end).all())
 
-    The tokenizer lower-cases, and parts a stop from the letters before it, with
-    or without a blank between. In Latin-1 lower case is the same everywhere; a
-    special token is looked for before it is lowered, so `<|` keeps its text.
-    """
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text if "<|" in text else _STOP.sub(r" \g<0>", text.lower())
 
+def _joined(parts: list[Tokens]) -> Tokens:
+    return Tokens(*(np.concatenate([getattr(x, k) for x in parts]) for k in ("ids", "start", "end")))
 
-def _letters(word: str) -> bool:
-    """Whether the tokenizer's normal form of a word of letters is letters only; in Latin-1 it always is."""
-    try:
-        return bool(word.encode("latin-1"))
-    except UnicodeEncodeError:
-        return unicodedata.normalize("NFC", word).lower().isalpha()
+
+def _agreement(window: Tokens, side: Tokens, text: str, low: int, high: int) -> tuple[int, int] | None:
+    """The first place in the window and in a side from which AGREE tokens in [low, high) are the same."""
+    for m in np.flatnonzero((window.start >= low) & (window.start < high)).tolist():
+        k = int(np.searchsorted(side.start, window.start[m]))
+        if window.same(m, side, k, AGREE) and window.end[m + AGREE - 1] <= high and window.alone(m) and side.alone(k) and _closed(text, int(window.start[m])):
+            return m, k
+    return None
 
 
 class Coder:
-    def __init__(self, path: str = VOCABULARY, cache_words: int = CACHE_WORDS):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    """cache_bytes: what a cache of the ids of short words may take, for callers that encode much text of few words; 0 for none."""
+
+    def __init__(self, path: str = VOCABULARY, cache_bytes: int = 0):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cache: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        self.cache_bytes, self.held = cache_bytes, 0
+        self.encoded_chars = 0  # code points that the library has encoded
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in added.values()):
+            raise ValueError("added tokens that depend on what stands beside them")
+        self.added = {x.content: i for i, x in added.items()}
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")" if added else "(?!)")
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.strings = [self.tokenizer.id_to_token(i) for i in range(size)]
-        self.ends = np.array([bool(x and x.endswith("</w>")) for x in self.strings])
-
-    def learn(self, words: set[str]) -> None:
-        """Encodes the words that the cache lacks.
-
-        The tokenizer's pattern parts letters from everything else, so a word of
-        letters and the marks after it are encoded apart; many words of letters
-        go to the library as one text, where each ends with one token that is
-        marked as an end. A text in which the ends don't number the words
-        (letters that the library's tables know otherwise) goes word by word.
-        """
-        put = self.cache
-        if len(put) > self.cache_words:
-            put.clear()
-        new = words.difference(put)
-        plain, marked, odd = set(), [], []
-        for w in new:
-            core = w.rstrip(_MARKS)
-            if core.isalpha() and (core.isascii() or _letters(core)):
-                if core not in put:
-                    plain.add(core)
-                if len(core) < len(w):
-                    marked.append((w, core, w[len(core) :]))
-            else:
-                odd.append(w)
-        self._plain(list(plain))
-        self._each([x for x in {m for _, _, m in marked}.union(odd) if x not in put])
-        for w, core, marks in marked:
-            put[w] = put[core] + put[marks]
-
-    def _plain(self, words: list[str]) -> None:
-        ends, put = self.ends, self.cache
-        for k in range(0, len(words), 512):
-            part = words[k : k + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            stops = ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
-            if len(stops) != len(part):
-                self._each(part)
-                continue
-            raw, at = ids.tobytes(), 0
-            for w, stop in zip(part, stops, strict=True):
-                put[w] = raw[at:stop]
-                at = stop
-
-    def _each(self, words: list[str]) -> None:
-        for k in range(0, len(words), 1024):
-            part = words[k : k + 1024]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-
-    def leaves(self, pieces: list[str]) -> list[list[bytes]]:
-        """The ids of each word of each piece, as little-endian bytes; words are cut at blanks and line feeds."""
-        cut = [p.replace("\n", " ").split(" ") for p in pieces]
-        out = []
-        for k in range(0, len(cut), 256):
-            known, gaps = self.cache.get, []
-            for words in cut[k : k + 256]:
-                got = list(map(known, words))
-                out.append(got)
-                i = -1
-                with contextlib.suppress(ValueError):
-                    while True:
-                        i = got.index(None, i + 1)
-                        gaps.append((got, i, words[i]))
-            self.learn({w for _, _, w in gaps})
-            for got, i, w in gaps:
-                got[i] = self.cache[w]
-        return out
+
+    def _library(self, texts: list[str]) -> list:
+        self.encoded_chars += sum(map(len, texts))
+        return self.tokenizer.encode_batch(texts, add_special_tokens=False)
 
     def encode(self, texts: list[str], leaf: int = LEAF_CHARS, window: int = WINDOW_CHARS) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit bytes."""
-        texts, plans, pieces = [_spread(t) for t in texts], [], []
-        for t in texts:
-            parts = _halves(0, len(t), leaf)
-            plans.append((len(pieces), parts))
-            pieces += [t[a:b] for a, b in parts]
-        done = self.leaves(pieces)
-        return [b"".join(self._tree(t, parts, done[k : k + len(parts)], window)) for t, (k, parts) in zip(texts, plans, strict=True)]
-
-    def _tree(self, text: str, parts: list[tuple[int, int]], leaves: list[list[bytes]], window: int) -> list[bytes]:
-        """Joins neighbours pair by pair until one list of words' ids is left."""
-        nodes = [(a, b, words) for (a, b), words in zip(parts, leaves, strict=True)]
+        out: list = [None] * len(texts)
+        short = [k for k, t in enumerate(texts) if len(t) <= leaf]
+        for a in range(0, len(short), LEAVES):
+            some = short[a : a + LEAVES]
+            for k, ids in zip(some, self._words([texts[k] for k in some]) if self.cache_bytes else self._whole([texts[k] for k in some]), strict=True):
+                out[k] = ids
+        for k, t in enumerate(texts):
+            if out[k] is None:
+                # The library takes special tokens out first; what stands between them is encoded by itself.
+                parts = [(x, self.added.get(x)) for x in self.special.split(t) if x]
+                out[k] = b"".join(self._tree(x, leaf, window).ids.tobytes() if i is None else np.uint32(i).tobytes() for x, i in parts)
+        return out
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        """Texts of one leaf."""
+        self.encoded_chars += sum(map(len, texts))
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, texts: list[str]) -> list[bytes]:
+        """Texts of one leaf by their words; a blank or line feed is in no token, and no token or normal form reaches over one."""
+        if self.held > self.cache_bytes:
+            self.cache.clear()
+            self.held = 0
+        known, cut = self.cache, [t.replace("\n", " ").split(" ") for t in texts]
+        new, long = list({w for words in cut for w in words}.difference(known)), {}
+        for k in range(0, len(new), LEAVES):
+            for w, ids in zip(new[k : k + LEAVES], self._apart(new[k : k + LEAVES]), strict=True):
+                if len(w) <= CACHED_CHARS:
+                    known[w] = ids
+                    self.held += ENTRY_BYTES + len(w) + len(ids)
+                else:
+                    long[w] = ids
+        find = (lambda w: known[w] if w in known else long[w]) if long else known.__getitem__
+        return [b"".join(map(find, words)) for words in cut]
+
+    def _apart(self, words: list[str]) -> list[bytes]:
+        """The ids of words without blanks, encoded as one text and told apart by where they stand."""
+        got = Tokens.of(self._library([" ".join(words)])[0], 0)
+        if (np.diff(got.start) < 0).any():
+            return self._whole(words)
+        ends = np.cumsum([len(w) + 1 for w in words])
+        edges = np.searchsorted(got.start, np.append(0, ends)).tolist()
+        return [got.ids[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)]
+
+    def _tree(self, text: str, leaf: int, window: int) -> Tokens:
+        """Joins neighbours pair by pair until one list is left."""
+        parts, nodes = _halves(0, len(text), leaf), []
+        for k in range(0, len(parts), LEAVES):
+            some = parts[k : k + LEAVES]
+            nodes += [(a, b, Tokens.of(e, a)) for (a, b), e in zip(some, self._library([text[a:b] for a, b in some]), strict=True)]
         while len(nodes) > 1:
-            up = []
-            for k in range(0, len(nodes) - 1, 2):
-                (a, cut, left), (_, b, right) = nodes[k], nodes[k + 1]
-                up.append((a, b, self._join(text, a, cut, b, left, right, window)))
-            nodes = up + nodes[len(nodes) - len(nodes) % 2 :]
+            nodes = [(x[0], y[1], self._join(text, x, y, window)) for x, y in zip(nodes[::2], nodes[1::2], strict=True)]
         return nodes[0][2]
 
-    def _join(self, text: str, a: int, cut: int, b: int, left: list[bytes], right: list[bytes], window: int) -> list[bytes]:
-        """left and right, with the words that touch the cut encoded anew from a window that grows until both sides agree."""
-        w = window
+    def _join(self, text: str, x: tuple, y: tuple, window: int) -> Tokens:
+        """The tokens of two neighbouring nodes (start, end, tokens) as one list."""
+        (a, cut, left), (_, b, right) = x, y
+        reach = [window, window]
         while True:
-            lo, hi = max(a, cut - w), min(b, cut + w)
-            middle = text[lo:hi].replace("\n", " ").split(" ")
-            # Words of the window that end before the cut, and that begin after it; the one across belongs to neither.
-            near = text[lo:cut].replace("\n", " ").count(" ")
-            far = text[cut:hi].replace("\n", " ").count(" ")
-            if (near or lo == a) and (far or hi == b):
-                self.learn(set(middle))
-                got = [self.cache[x] for x in middle]
-                # The first word of the window may be cut by lo and the last by hi; all others must agree on both sides.
-                skip, stop = int(lo > a), len(got) - int(hi < b)
-                i, j = near - skip, stop - near - 1
-                if lo == a and hi == b or got[skip:near] == left[len(left) - 1 - i : len(left) - 1] and got[near + 1 : stop] == right[1 : 1 + j]:
-                    left[-1:] = [got[near]]
-                    return left + right[1:]
-            w *= 2
+            # From the start of a token on the left to the end of one on the right: so windows keep step with both lists.
+            i = int(np.searchsorted(left.start, cut - reach[0], "right")) - 1
+            j = int(np.searchsorted(right.end, cut + reach[1]))
+            lo = int(left.start[i]) if i > 0 and cut - reach[0] > a else a
+            hi = int(right.end[j]) if j < len(right.end) and cut + reach[1] < b else b
+            middle = Tokens.of(self._library([text[lo:hi]])[0], lo)
+            first = (0, 0) if lo == a else _agreement(middle, left, text, lo, cut)
+            last = (len(middle.ids), len(right.ids)) if hi == b else _agreement(middle, right, text, cut, hi)
+            if first and last:
+                return _joined([left.part(0, first[1]), middle.part(first[0], last[0]), right.part(last[1])])
+            reach = [reach[0] * (1 if first else 2), reach[1] * (1 if last else 2)]
 
     def decode(self, ids: bytes) -> str:
         """As the library decodes with a vocabulary that names no decoder: the tokens' strings with blanks between."""

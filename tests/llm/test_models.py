@@ -35,14 +35,34 @@ def test_near_places_are_those_of_the_format():
     assert len(webp.NEAR) == 120 and webp.NEAR[:8] == [(0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2)] and webp.NEAR[-1] == (8, 7)
 
 
+PARTS = ["a", "B", " ", "\n", ".", ",", "\u0301", "é", "'s", "'", "<|endoftext|>", "\xa0", "\t", "1", "$$", "ß", "İ", "漢", "\x00", "e", "\r\n", "Σ", "the", "\x0b", "'re", "\u0323", "\u1100", "\u1161", "\u11a8", "!!", "<|", "|>", "😀", "aaaa", "ing", "ﬁ"]
+
+
 @pytest.mark.parametrize("leaf, window", [(2, 1), (5, 3), (17, 1), (8192, 32)])
 def test_bpe_tree_equals_the_library(leaf, window):
-    c, rng = bpe.Coder(cache_words=50), random.Random(leaf)
-    parts = ["a", "B", " ", "\n", ".", ",", "́", "é", "'s", "'", "<|endoftext|>", " ", "\t", "1", "$$", "ß", "İ", "漢", "\x00", "e", "\r\n", "Σ", "the", "\x0b"]
-    for _ in range(400):
-        s = "".join(rng.choice(parts) for _ in range(rng.randrange(60)))
-        ids = np.frombuffer(c.encode([s], leaf, window)[0], "<u4").tolist()
-        assert ids == c.tokenizer.encode(s, add_special_tokens=False).ids
+    c, cached, rng = bpe.Coder(), bpe.Coder(cache_bytes=20_000), random.Random(leaf)
+    for k in range(600):
+        some = PARTS if k % 2 else rng.sample(PARTS, rng.randrange(1, 8))
+        s = "".join(rng.choice(some) for _ in range(rng.randrange(70)))
+        ids = c.tokenizer.encode(s, add_special_tokens=False).ids
+        assert np.frombuffer(c.encode([s], leaf, window)[0], "<u4").tolist() == ids
+        assert np.frombuffer(cached.encode([s], leaf, window)[0], "<u4").tolist() == ids
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "漢字仮名", "#$%!"])
+def test_bpe_without_white_space_is_linear_work(letters):
+    c, rng = bpe.Coder(), random.Random(4)
+    s = "".join(rng.choice(letters) for _ in range(1_000_000))
+    got = c.encode([s])[0]
+    assert c.encoded_chars < 1.05 * len(s)
+    assert np.frombuffer(got, "<u4").tolist() == c.tokenizer.encode(s, add_special_tokens=False).ids
+
+
+def test_bpe_cache_is_bounded_by_bytes():
+    c = bpe.Coder(cache_bytes=50_000)
+    for k in range(40):
+        c.encode([" ".join(f"w{k}x{j}" for j in range(100)) + " " + "z" * 5000])
+        assert c.held <= 50_000 + 100 * (bpe.ENTRY_BYTES + 60) and all(len(w) <= bpe.CACHED_CHARS for w in c.cache)
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -52,11 +72,11 @@ def test_evolved_packings_are_packings_no_worse_than_best_fit(seed):
     bins = packing.evolve(lengths, seed=seed)
     assert sorted(i for b in bins for i in b) == list(range(300))
     assert all(sum(lengths[i] for i in b) <= packing.CAPACITY for b in bins)
-    assert len(bins) <= len(packing._packed(lengths, packing.CAPACITY, [], list(range(300))))
+    assert len(bins) <= len(packing._packed(np.array(lengths), packing.CAPACITY, [], list(range(300))))
 
 
 def test_immigrants_hold_the_patterns_that_can_be_had():
-    bins = packing.immigrant([[5, 3, 2], [9, 9]], [5, 2, 3, 9, 1], 10)
+    bins = packing.immigrant([[5, 3, 2], [9, 9]], np.array([5, 2, 3, 9, 1]), 10)
     assert sorted(bins[0]) == [0, 1, 2] and sorted(i for b in bins for i in b) == list(range(5))
 
 
