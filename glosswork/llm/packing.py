@@ -9,9 +9,11 @@ injected, and best-fits the displaced pieces, longest first; mutation
 dissolves the emptiest bins. Then elites migrate: every island sends the
 length patterns of its best full bins to the next island of the ring, which
 builds an immigrant packing out of its own pieces of those lengths and evolves
-again. Well-filled bins are final; the pieces of the loose ones go on to the
-next level's fewer islands, until one island is left. Each level moves a small
-part of the one before, so the depth grows with the logarithm of the input.
+again. Full bins are final, and the fullest others where those hold less than
+half of an island's pieces; the other pieces go on to the next level's fewer
+islands, until one island is left. Each level has half of the one before at
+most, so there are as many as the logarithm of the input, and all together move
+the input's pieces twice.
 
 Defined results: null and empty texts are one piece of length 1 (the id 0);
 repeated rows are packed as rows of their own; an empty table gives an empty
@@ -24,6 +26,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,7 +39,10 @@ from .bpe import VOCABULARY, coder
 
 CAPACITY = 2048
 #: Pieces of an island, packings of a population, generations of an epoch, patterns that migrate.
-ISLAND_PIECES, POPULATION, GENERATIONS, ELITES = 4096, 4, 8, 64
+ISLAND_PIECES, POPULATION, GENERATIONS, ELITES = 4096, 4, 32, 64
+
+#: What a worker's cache of ids of words may take; code points of a text that is encoded by its words, not as a tree.
+CACHE_BYTES, LEAF_CHARS = 64 << 20, 1 << 20
 
 #: Keys pass through pandas as text, see keyed.
 PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long, uid long"
@@ -46,12 +52,12 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, path: str = VOCABULARY)
     """Tokenizes docs (doc_id, text) and cuts what is longer than capacity."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, uid = coder(path), TaskContext.get().partitionId() << 33
+        c, uid = coder(path, CACHE_BYTES), TaskContext.get().partitionId() << 33
         for pdf in batches:
             for k in range(0, len(pdf), 512):
                 rows = []
                 part = pdf[k : k + 512]
-                for doc, ids in zip(part["doc_id"], c.encode(["" if t is None else t for t in part["text"]]), strict=True):
+                for doc, ids in zip(part["doc_id"], c.encode(["" if t is None else t for t in part["text"]], LEAF_CHARS), strict=True):
                     ids += b"\0\0\0\0"
                     for i, a in enumerate(range(0, len(ids), 4 * capacity)):
                         raw = ids[a : a + 4 * capacity]
@@ -94,26 +100,36 @@ class Bins:
             self.rooms |= 1 << (room - n)
 
 
-def _packed(lengths: list[int], capacity: int, whole: list[list[int]], rest: list[int]) -> list[list[int]]:
-    b = Bins(lengths, capacity)
-    for x in whole:
-        b.add(list(x), capacity - sum(lengths[i] for i in x))
+def _packed(lengths: np.ndarray, capacity: int, whole: list[list[int]], rest: list[int]) -> list[list[int]]:
+    b = Bins(lengths.tolist(), capacity)
+    for x, room in zip(whole, (capacity - fills(whole, lengths)).tolist(), strict=True):
+        b.add(list(x), room)
     b.best_fit(rest)
     return b.bins
 
 
-def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[int, float]:
-    """Fewer bins first; among as many, the sum of squared fills, which favours full ones."""
-    return -len(bins), sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins)
+def fills(bins: list[list[int]], lengths: np.ndarray) -> np.ndarray:
+    """The sum of the lengths in each bin."""
+    if not bins:
+        return np.zeros(0, "int64")
+    sizes = np.fromiter(map(len, bins), "int64", len(bins))
+    flat = np.fromiter(chain.from_iterable(bins), "int64", int(sizes.sum()))
+    return np.add.reduceat(lengths[flat], np.cumsum(sizes) - sizes)
+
 
+def fitness(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> tuple[int, int]:
+    """Fewer bins first; among as many, the sum of squared fills, which favours full ones beside one that holds the rest."""
+    f = fills(bins, lengths)
+    return -len(bins), int(f @ f)
 
-def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+
+def crossover(a: list[list[int]], b: list[list[int]], lengths: np.ndarray, capacity: int, rng: random.Random) -> list[list[int]]:
     """Whole well-filled bins of b go into a; what they displace is best-fitted."""
-    full = [x for x in b if 50 * sum(lengths[i] for i in x) >= 49 * capacity]
-    injected = [x for x in full if rng.random() < 0.5]
-    taken = {i for x in injected for i in x}
+    full = np.flatnonzero(50 * fills(b, lengths) >= 49 * capacity).tolist()
+    injected = [b[k] for k in full if rng.random() < 0.5]
+    taken = set(chain.from_iterable(injected))
     stay = [x for x in a if taken.isdisjoint(x)]
-    held = {i for x in stay for i in x} | taken
+    held = taken.union(*stay)
     return _packed(lengths, capacity, injected + stay, [i for x in a for i in x if i not in held])
 
 
@@ -130,10 +146,10 @@ def fullest(items: list[int], lengths: list[int], capacity: int) -> list[int]:
     return out
 
 
-def mutate(a: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+def mutate(a: list[list[int]], lengths: list[int], capacity: int, rng: random.Random, known: np.ndarray) -> list[list[int]]:
     """The emptiest bins and a few others are dissolved, and bins as full as can be are built from their items, one after another."""
-    order = sorted(range(len(a)), key=lambda k: sum(lengths[i] for i in a[k]))
-    gone = set(order[:8]) | {rng.randrange(len(a)) for _ in range(8)}
+    order = np.argsort(fills(a, known), kind="stable")[:8].tolist()
+    gone = set(order) | {rng.randrange(len(a)) for _ in range(8)}
     left, bins = [i for k in gone for i in a[k]], [x for k, x in enumerate(a) if k not in gone]
     rng.shuffle(left)
     while left:
@@ -144,10 +160,10 @@ def mutate(a: list[list[int]], lengths: list[int], capacity: int, rng: random.Ra
     return bins
 
 
-def immigrant(patterns: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+def immigrant(patterns: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """A packing that holds the patterns as far as this island has pieces of their lengths."""
     by: dict[int, list[int]] = {}
-    for i, n in enumerate(lengths):
+    for i, n in enumerate(lengths.tolist()):
         by.setdefault(n, []).append(i)
     whole = []
     for p in patterns:
@@ -160,21 +176,27 @@ def immigrant(patterns: list[list[int]], lengths: list[int], capacity: int) -> l
             whole.append(got)
             continue
         for i in got:
-            by[lengths[i]].append(i)
+            by[int(lengths[i])].append(i)
     return _packed(lengths, capacity, whole, [i for x in by.values() for i in x])
 
 
 def evolve(lengths: list[int], capacity: int = CAPACITY, seed: int = 0, start: list[list[int]] | None = None, patterns: list[list[int]] | None = None, population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
-    """The best packing found, as lists of places in lengths. Stops early at the lower bound, which no packing beats."""
+    """The best packing found, as lists of places in lengths.
+
+    Few bins are not enough: what is left empty is to lie in one bin, whose
+    pieces go on to the next level. So evolution ends before its generations
+    only where all bins but one are full, which no packing beats.
+    """
     if not lengths:
         return []
-    rng, least = random.Random(seed), -(-sum(lengths) // capacity)
-    score = lambda x: fitness(x, lengths, capacity)
-    people = [start] if start else [_packed(lengths, capacity, [], list(range(len(lengths))))]
-    if len(people[0]) <= least:
+    rng, known = random.Random(seed), np.array(lengths, "int64")
+    score = lambda x: fitness(x, known, capacity)
+    perfect = lambda x: (fills(x, known) < capacity).sum() <= 1
+    people = [start] if start else [_packed(known, capacity, [], list(range(len(lengths))))]
+    if perfect(people[0]):
         return people[0]
     if patterns:
-        people.append(immigrant(patterns, lengths, capacity))
+        people.append(immigrant(patterns, known, capacity))
     while len(people) < population:
         # Part of the items first in pairs at random, so that the parents differ.
         first = rng.sample(range(len(lengths)), len(lengths) // 3)
@@ -183,19 +205,18 @@ def evolve(lengths: list[int], capacity: int = CAPACITY, seed: int = 0, start: l
             b.best_fit([i])
         b.best_fit(list(set(range(len(lengths))) - set(first)))
         people.append(b.bins)
-    for _ in range(max(generations, 12_000 // len(lengths))):
-        people.sort(key=score, reverse=True)
-        if len(people[0]) <= least:
+    rated = sorted(((score(x), k, x) for k, x in enumerate(people)), reverse=True)
+    for turn in range(max(generations, 12_000 // len(lengths))):
+        if perfect(rated[0][2]):
             break
-        a, b = people[0], people[rng.randrange(1, len(people))]
+        a, b = rated[0][2], rated[rng.randrange(1, len(rated))][2]
         if rng.random() < 0.5:
             a, b = b, a
-        child = mutate(crossover(a, b, lengths, capacity, rng), lengths, capacity, rng)
-        other = mutate(people[0], lengths, capacity, rng)
-        child = max(child, other, key=score)
-        if score(child) > score(people[-1]):
-            people[-1] = child
-    return max(people, key=score)
+        children = [mutate(crossover(a, b, known, capacity, rng), lengths, capacity, rng, known), mutate(rated[0][2], lengths, capacity, rng, known)]
+        best = max((score(x), population + turn, x) for x in children)
+        if best[0] > rated[-1][0]:
+            rated = sorted([*rated[:-1], best], reverse=True)
+    return rated[0][2]
 
 
 def _placed(pdf: pd.DataFrame, lengths: list[int], bins: list[list[int]], capacity: int) -> pd.DataFrame:
@@ -206,7 +227,19 @@ def _placed(pdf: pd.DataFrame, lengths: list[int], bins: list[list[int]], capaci
             bin_[i], offset[i] = k, at
             at += lengths[i]
         fill[x] = at
-    return pdf.assign(bin=bin_, offset=offset, fill=fill)
+    # Full bins are final, and the fullest of the others until half of the pieces are placed: so each level halves the rest at least.
+    order = np.lexsort((bin_, -fill))
+    rank = np.empty(len(fill), "int64")
+    rank[order] = np.arange(len(fill))
+    last = np.zeros(len(bins), "int64")
+    np.maximum.at(last, bin_, rank)
+    return pdf.assign(bin=bin_, offset=offset, fill=fill, final=(fill == capacity) | (last[bin_] < _half(len(fill), last)))
+
+
+def _half(n: int, last: np.ndarray) -> int:
+    """One past the last rank of the bin that holds the piece in the middle of n; last: the last rank in each bin."""
+    ends = np.sort(last)
+    return int(ends[np.searchsorted(ends, (n - 1) // 2)]) + 1 if n else 0
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, island_pieces: int = ISLAND_PIECES) -> DataFrame:
@@ -215,7 +248,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, island_pieces: int = ISLAN
     cols = [c for c in pieces.columns if c != "uid"]
     done = [pieces.filter(F.col("length") == capacity).select(*cols, (F.col("uid") + (1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     left, level = pieces.filter(F.col("length") < capacity), 0
-    schema = PIECES + ", island long, bin long, offset long, fill long"
+    schema = PIECES + ", island long, bin long, offset long, fill long, final boolean"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -243,16 +276,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, island_pieces: int = ISLAN
             elite = full.groupBy("island").agg(F.slice(F.sort_array(F.collect_list("pattern")), 1, ELITES).alias("e"))
             sent = elite.select(F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.explode("e").alias("pattern"))
             state = checkpoint(state.groupBy("island").cogroup(sent.groupBy("island")).applyInPandas(again, schema))
-        tight = 100 * F.col("fill") >= 99 * capacity
-        loose = state.filter(~tight).count() if islands > 1 else 0
-        # Pieces that no longer fit together stay as they are: each further level places a quarter of its pieces at least.
-        last = islands == 1 or 4 * loose > 3 * n
-        tight = F.lit(True) if last else tight
+        loose = state.filter("not final").count() if islands > 1 else 0
         number = F.lit(level << 56) + (F.col("island") * (1 << 20)) + F.col("bin")
-        done.append(state.filter(tight).select(*cols, number.alias("sequence_id"), "offset"))
-        if last:
-            break
-        left, level, n = state.filter(~tight).select(*cols, "uid"), level + 1, loose
+        done.append((state.filter("final") if loose else state).select(*cols, number.alias("sequence_id"), "offset"))
+        left, level, n = state.filter("not final").select(*cols, "uid"), level + 1, loose
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
