@@ -1,10 +1,10 @@
 """Media columns: bytes stored as lossless WebP images and read back.
 
-A payload is cut in segments of at most 64 x 128 pixels of three bytes, each
-a file of its own; the stored form is their concatenation (each names its
-size). Plain segments are written with one prefix code and decoded in
-lockstep; segments that repeat themselves are written with back-references,
-the colour cache and, for few colours, a palette.
+A payload is cut in segments of at most 64 x 32 pixels of three bytes, each a
+file of its own; the stored form is their concatenation (each names its size).
+Every segment has prefix codes, back-references and the colour cache. Segments
+of few colours have a palette, all others a predictor, subtract-green and
+cross-colour; reading inverts what a segment has.
 
 Defined results: null and empty texts are the payload of 192 blanks. Texts of
 any length are taken whole. Repeated rows give repeated rows; an empty table
@@ -24,9 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from .base import keyed, table, unkeyed, with_made
-from .webp import decode_many, encode, encode_literals
+from .webp import encode
+from .webp_many import decode_many, encode_many
+from .words import batches
 
-WIDTH, HEIGHT, UNIT = 64, 128, 192
+WIDTH, HEIGHT, UNIT = 64, 32, 192
+#: Colours of a palette, at most; segments written and files read together.
+COLOURS, SEGMENTS = 16, 1024
 
 
 def payload(text: str) -> bytes:
@@ -48,22 +52,22 @@ def _samples(p: np.ndarray) -> bytes:
     return np.stack([p >> 16 & 255, p >> 8 & 255, p & 255], -1).astype("uint8").tobytes()
 
 
+def _few(raw: bytes) -> bool:
+    """Whether a segment has few colours; most don't within their first row."""
+    return len({raw[k : k + 3] for k in range(0, UNIT, 3)}) <= COLOURS and len({raw[k : k + 3] for k in range(0, len(raw), 3)}) <= COLOURS
+
+
 def store(payloads: list[bytes]) -> list[bytes]:
     """The stored form of each payload."""
     parts = [_segments(p) for p in payloads]
-    plain, files = [], {}
-    for i, segments in enumerate(parts):
-        for j, s in enumerate(segments):
-            if 5 * len(zlib.compress(s, 1)) < len(s):
-                p = _argb(s)
-                files[i, j] = encode(p, palette=len(np.unique(p)) <= 256, cache=6)
-            else:
-                plain.append((i, j, s))
-    for a in range(0, len(plain), 256):
-        some = plain[a : a + 256]
-        for (i, j, _), f in zip(some, encode_literals([s for _, _, s in some], WIDTH), strict=True):
-            files[i, j] = f
-    return [b"".join(files[i, j] for j in range(len(segments))) for i, segments in enumerate(parts)]
+    files: dict[bytes, bytes] = {}
+    for a in range(0, len(flat := [s for segments in parts for s in segments]), SEGMENTS):
+        some = {s for s in flat[a : a + SEGMENTS] if s not in files}
+        few = {s for s in some if _few(s)}
+        files |= {s: encode(_argb(s), palette=True, cache=2) for s in few}
+        rest = sorted(some - few)
+        files |= zip(rest, encode_many(rest, WIDTH) if rest else [], strict=True)
+    return [b"".join(files[s] for s in segments) for segments in parts]
 
 
 def _files(media: bytes) -> list[bytes]:
@@ -117,9 +121,9 @@ def digests(docs: DataFrame) -> DataFrame:
 
     def run(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batch:
-            for a in range(0, len(pdf), 512):
-                part = pdf[a : a + 512]
-                texts = [t or "" for t in part["text"]]
+            every = pdf["text"].fillna("").tolist()
+            for a, b in batches(every, 2 << 20):
+                part, texts = pdf[a:b], every[a:b]
                 media = store([payload(t) for t in texts])
                 rows = []
                 for doc, t, m, p in zip(part["doc_id"], texts, media, load(media), strict=True):

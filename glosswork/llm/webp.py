@@ -3,8 +3,8 @@
 The decoder reads prefix codes (simple and normal, with groups chosen by a meta
 image), back-references and the colour cache, and inverts the predictor,
 cross-colour, subtract-green and palette transforms. Images are arrays of
-32-bit ARGB pixels, height by width. decode_many decodes images without
-back-references and cache in lockstep: one symbol of every image at a time.
+32-bit ARGB pixels, height by width. webp_many does the same for many small
+images at once.
 """
 
 from __future__ import annotations
@@ -173,8 +173,8 @@ def _codes(b: Bits, groups: int, cache: int) -> list[list[tuple[int, ...]]]:
     return out
 
 
-def _pixels(b: Bits, w: int, h: int, main: bool) -> np.ndarray:
-    """An entropy-coded image; only the main one can have groups of codes."""
+def _pixels(b: Bits, w: int, h: int, main: bool, told: list | None = None) -> np.ndarray:
+    """An entropy-coded image; only the main one can have groups of codes. told gets the numbers of literals, references and places of the cache."""
     cache = b.read(4) if b.read(1) else 0
     meta, shift, groups = None, 0, 1
     if main and b.read(1):
@@ -183,21 +183,22 @@ def _pixels(b: Bits, w: int, h: int, main: bool) -> np.ndarray:
         meta = (_pixels(b, side, _blocks(h, shift), False) >> 8 & 0xFFFF).tolist()
         groups = max(map(max, meta)) + 1
     codes = [[(t[0], t[1].tolist()) for t in map(_table, g)] for g in _codes(b, groups, cache)]
-    return _symbols(b, w, h, cache, meta, shift, codes)
+    return _symbols(b, w, h, cache, meta, shift, codes, told)
 
 
 def _blocks(n: int, shift: int) -> int:
     return (n + (1 << shift) - 1) >> shift
 
 
-def _symbols(b: Bits, w: int, h: int, cache: int, meta: list | None, shift: int, codes: list) -> np.ndarray:
-    out, total = [], w * h
+def _symbols(b: Bits, w: int, h: int, cache: int, meta: list | None, shift: int, codes: list, told: list | None = None) -> np.ndarray:
+    out, total, kinds = [], w * h, [0, 0, 0]
     kept = [0] * (1 << cache)
     fed = 0  # pixels that the cache has taken
     while len(out) < total:
         n = len(out)
         green, red, blue, alpha, far = codes[meta[n // w >> shift][n % w >> shift] if meta else 0]
         s = _symbol(b, green)
+        kinds[(s >= 256) + (s >= 256 + LENGTH_SYMBOLS)] += 1
         if s < 256:
             r, u = _symbol(b, red), _symbol(b, blue)
             out.append(_symbol(b, alpha) << 24 | r << 16 | s << 8 | u)
@@ -216,6 +217,8 @@ def _symbols(b: Bits, w: int, h: int, cache: int, meta: list | None, shift: int,
             out.append(kept[s - 256 - LENGTH_SYMBOLS])
     if b.at > 8 * (len(b.data) - 8):
         raise ValueError("the stream ends early")
+    if told is not None:
+        told += kinds
     return np.array(out, "uint32").reshape(h, w)
 
 
@@ -372,6 +375,14 @@ def _undo(p: np.ndarray, found: list) -> np.ndarray:
     return p
 
 
+def told(data: bytes) -> tuple[list[int], list[int]]:
+    """(kinds of the transforms, numbers of literals, references and places of the cache) of a file."""
+    b, kinds = Bits(_open(data)), []
+    found, inner = _transforms(b, *(size := _head(b)))
+    _pixels(b, inner, size[1], True, kinds)
+    return [f[0] for f in found], kinds
+
+
 def decode(data: bytes) -> np.ndarray:
     """The ARGB pixels of a lossless file."""
     b = Bits(_open(data))
@@ -380,72 +391,6 @@ def decode(data: bytes) -> np.ndarray:
     return _undo(_pixels(b, inner, h, True), found)
 
 
-def decode_many(files: list[bytes], widest: int = LONGEST) -> list[np.ndarray]:
-    """decode of each file, in lockstep for those whose pixels are literals of one group of codes."""
-    out: list = [None] * len(files)
-    lanes = []
-    for k, data in enumerate(files):
-        b = Bits(_open(data))
-        w, h = _head(b)
-        found, inner = _transforms(b, w, h)
-        start = b.at
-        if b.read(1) or b.read(1):
-            b.at = start
-            out[k] = _undo(_pixels(b, inner, h, True), found)
-            continue
-        lengths = _codes(b, 1, 0)[0]
-        tables = [_table(x) for x in lengths]
-        if any(lengths[0][256:]) or max(t[0] for t in tables[:4]) > widest:
-            out[k] = _undo(_symbols(b, inner, h, 0, None, 0, [[(t[0], t[1].tolist()) for t in tables]]), found)
-        else:
-            lanes.append((inner * h, k, inner, h, b, tables, found))
-    lanes.sort(key=lambda x: (-x[0], x[1]))
-    for a in range(0, len(lanes), 1024):
-        _lockstep(lanes[a : a + 1024], out)
-    return out
-
-
-def _lockstep(lanes: list, out: list) -> None:
-    """One symbol of every lane at a time; lanes come longest first, so those still running are a prefix."""
-    streams = [x[4].data for x in lanes]
-    base = np.cumsum([0] + [len(s) for s in streams])[:-1]
-    raw = np.frombuffer(b"".join(streams) + bytes(8), "uint8").astype("uint32")
-    words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
-    at = np.array([x[4].at for x in lanes], "int64") + 8 * base
-    sizes = np.array([x[0] for x in lanes])
-    # The tables of all lanes behind each other; equal ones once.
-    where, parts, n = {}, [], 0
-    for x in lanes:
-        for _, t in x[5][:4]:
-            if id(t) not in where:
-                where[id(t)] = n
-                parts.append(t)
-                n += len(t)
-    tables = np.concatenate(parts).astype("int64")
-    first = [np.array([where[id(x[5][c][1])] for x in lanes]) for c in range(4)]
-    mask = [np.array([(1 << x[5][c][0]) - 1 for x in lanes], "uint32") for c in range(4)]
-    pixels = np.zeros((int(sizes[0]), len(lanes)), "uint32")
-    constant = [bool((m == 0).all()) for m in mask]
-    shift = (8, 16, 0, 24)
-    fixed = np.zeros(len(lanes), "uint32")
-    for c in range(4):
-        if constant[c]:
-            fixed |= (tables[first[c]] >> 4).astype("uint32") << np.uint32(shift[c])
-    moving = [c for c in range(4) if not constant[c]]
-    running = np.searchsorted(-sizes, -np.arange(int(sizes[0])), "left")
-    for step, m in enumerate(running.tolist()):
-        row, p = fixed[:m].copy(), at[:m]
-        for c in moving:
-            e = tables[first[c][:m] + (words[p >> 3] >> (p & 7).astype("uint32") & mask[c][:m])]
-            p += e & 15
-            row |= (e >> 4).astype("uint32") << np.uint32(shift[c])
-        pixels[step, :m] = row
-    for j, (size, k, w, h, b, _, found) in enumerate(lanes):
-        if at[j] - 8 * base[j] > 8 * (len(b.data) - 8):
-            raise ValueError("the stream ends early")
-        out[k] = _undo(pixels[:size, j].reshape(h, w), found)
-
-
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> list[int]:
     """Lengths of a complete prefix code: those of the shares, rounded up, then shortened until no code is left over."""
     used = np.flatnonzero(counts)
@@ -677,54 +622,3 @@ def encode(p: np.ndarray, palette: bool = False, predictor: int = 0, cross: int
     _put_pixels(w, p, True, lz, cache, groups)
     return _file(w.bytes())
 
-
-def encode_literals(payloads: list[bytes], width: int) -> list[bytes]:
-    """A file of each payload (RGB samples, rows of `width` pixels) without transforms, one code for all three channels.
-
-    The samples of all payloads become bits at once: every symbol's code is
-    added, shifted, into the 32-bit words where it stands.
-    """
-    heads, codes, sizes = [], [], []
-    for raw in payloads:
-        lengths = code_lengths(np.bincount(np.frombuffer(raw, "uint8"), minlength=256))
-        w = _start(width, len(raw) // (3 * width))
-        w.put(0, 3)  # no transform, no cache, one group
-        for _ in range(3):
-            w.put(*_code_bits(_used(tuple(lengths))))
-        w.put(*_code_bits((0,) * 255 + (1,)))
-        w.put(*_code_bits(()))
-        table = np.zeros(256, "uint64")
-        if sum(map(bool, lengths)) > 1:
-            for s, n, c in _canonical(tuple(lengths)):
-                table[s] = c << 4 | n
-        heads.append(w)
-        codes.append(table)
-        sizes.append(len(raw))
-    sizes = np.array(sizes)
-    lane = np.repeat(np.arange(len(payloads)), sizes)
-    sample = np.frombuffer(b"".join(payloads), "uint8").reshape(-1, 3)[:, [1, 0, 2]].ravel()  # green, red, blue
-    e = np.concatenate(codes)[lane * 256 + sample]
-    n, value = (e & np.uint64(15)).astype("int64"), e >> np.uint64(4)
-    ends = np.cumsum(n)
-    first = np.append(0, np.cumsum(sizes))
-    bits = np.append(0, ends)[first]  # bits of all samples before each payload
-    need = np.array([w.size for w in heads]) + np.diff(bits)
-    word = np.append(0, np.cumsum((need + 31) // 32 + 1))
-    at = np.repeat(32 * word[:-1] + np.array([w.size for w in heads]) - bits[:-1], sizes) + ends - n
-    out = np.zeros(int(word[-1]) + 2, "uint64")
-    live = n > 0
-    at, value = at[live], value[live]
-    if len(at):
-        k = at >> 5
-        new = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        total = np.add.reduceat(value << (at & 31).astype("uint64"), new)
-        out[k[new]] += total & np.uint64(0xFFFFFFFF)
-        out[k[new] + 1] += total >> np.uint64(32)
-    raw = out.astype("<u4").tobytes()
-    files = []
-    for w, a, m in zip(heads, word[:-1].tolist(), need.tolist(), strict=True):
-        head = (w.size + 7) // 8
-        part = raw[4 * a : 4 * a + (m + 7) // 8]
-        mixed = int.from_bytes(part[:head], "little") | w.value
-        files.append(_file(mixed.to_bytes(head, "little") + part[head:]))
-    return files

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from glosswork.llm import bpe, lm, packing, quality_pu, toxicity, webp
+from glosswork.llm import bpe, lm, packing, quality_pu, toxicity, webp, webp_many
 
 
 @pytest.mark.parametrize("seed", range(40))
@@ -19,7 +19,7 @@ def test_webp_round_trip(seed):
         "lz": bool(rng.random() < 0.7), "cache": int(rng.choice([0, 1, 8])), "groups": int(rng.choice([0, 2])), "seed": seed,
     }
     data = webp.encode(p, **how)
-    assert (webp.decode(data) == p).all() and (webp.decode_many([data])[0] == p).all()
+    assert (webp.decode(data) == p).all() and (webp_many.decode_many([data])[0] == p).all()
 
 
 def test_webp_refuses_what_is_damaged():
