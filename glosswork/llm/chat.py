@@ -101,13 +101,27 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 
 def events_of(rows: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as a log: each turn opens, streams its text in two deltas, and ends."""
+    """Rows (conv_id, turn, role, text) as a log that folds back into them.
+
+    A hash of the turn says how it came about: streamed in two deltas;
+    streamed wrongly, regenerated and streamed again; or written as a draft
+    that an edit replaces by the first half, to which a delta adds the rest.
+    """
     r = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     r = r.withColumn("msg", F.row_number().over(W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")).cast("long"))
     half = F.ceil(F.length("text") / 2).cast("int")
-    log = [("message", F.col("role"), F.lit("")), ("delta", F.lit(None).cast("string"), F.col("text").substr(F.lit(1), half)), ("delta", F.lit(None).cast("string"), F.col("text").substr(half + 1, F.length("text")))]
-    steps = F.array(*[F.struct((F.col("msg") * 3 + i).alias("seq"), F.lit(k).alias("kind"), ro.alias("role"), t.alias("text")) for i, (k, ro, t) in enumerate(log)])
-    return r.select("conv_id", "msg", F.explode(steps).alias("e")).select("conv_id", "msg", "e.*")
+    one, two, wrong = F.col("text").substr(F.lit(1), half), F.col("text").substr(half + 1, F.length("text")), F.reverse("text")
+    none = F.lit(None).cast("string")
+
+    def log(*events: tuple) -> Column:
+        return F.array(*[F.struct(F.lit(k).alias("kind"), ro.alias("role"), t.alias("text")) for k, ro, t in events])
+
+    opened, streamed = ("message", F.col("role"), F.lit("")), (("delta", none, one), ("delta", none, two))
+    again = log(opened, ("delta", none, wrong), ("delta", none, F.lit(" ...")), ("regenerate", none, none), *streamed)
+    edited = log(("message", F.lit("draft"), wrong), ("edit", F.col("role"), one), streamed[1])
+    how = F.pmod(F.xxhash64("conv_id", "msg", "role"), F.lit(3))
+    steps = F.when(how == 0, log(opened, *streamed)).when(how == 1, again).otherwise(edited)
+    return r.select("conv_id", "msg", F.posexplode(steps).alias("i", "e")).select("conv_id", "msg", (F.col("msg") * 8 + F.col("i")).alias("seq"), "e.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

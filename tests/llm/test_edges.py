@@ -197,6 +197,15 @@ def test_chat(spark):
     assert chat.render(chat.fold(chat.events_of(df.limit(0)))).count() == 0
 
 
+def test_the_log_has_every_kind_of_event_and_folds_back(spark):
+    df = spark.range(300).selectExpr("id div 7 AS conv_id", "id % 7 AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "if(id % 11 = 0, NULL, concat('text <', id, '> \\\\h')) AS text", "'x' AS kind", "id AS seq", "'y' AS formatted")
+    log = chat.events_of(df)
+    n = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(n) == {"message", "delta", "regenerate", "edit"} and min(n["regenerate"], n["edit"]) > 60
+    got = {(r["conv_id"], r["msg"]): (r["role"], r["text"]) for r in chat.fold(log.orderBy(F.rand(3))).collect()}
+    assert got == {(r["conv_id"], r["turn"] + 1): (r["role"], r["text"] or "") for r in df.collect()}
+
+
 def test_chat_events(spark):
     log = [("message", "user", "hi"), ("edit", None, "hello"), ("delta", None, " you")]
     said = [("message", "assistant", ""), ("delta", None, "wro"), ("delta", None, "ng"), ("regenerate", None, None), ("delta", None, "right"), (None, None, None)]
