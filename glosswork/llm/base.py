@@ -69,10 +69,12 @@ def let(value: Column, body) -> Column:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; one of our own is set only where there is none (tests on one machine)."""
+    """The session's spark.checkpoint.dir; one of our own is set only where there is none and all runs in one process (tests)."""
     if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return spark.sparkContext.getCheckpointDir()
 
 

@@ -1,19 +1,24 @@
 """Sharding by a two-pass external shuffle.
 
 Pass one scatters records uniformly into memory-sized buckets by a seeded hash
-of the record and its place in the input; pass two shuffles each bucket in
-memory (Fisher-Yates, Spark's seeded shuffle of an array) and deals the
-concatenation of the buckets round robin, so that shard sizes in rows differ
-by one at most. Whole records go through both passes. All of it is DataFrame
-code. The number of buckets comes from the records' summed bytes, whatever keys are frequent: the hash covers the place of the record,
-so equal keys and equal texts spread like any others.
+of the record; pass two shuffles each bucket in memory (Fisher-Yates, Spark's
+seeded shuffle of an array) and deals the concatenation of the buckets round
+robin, so that shard sizes in rows differ by one at most. Whole records go
+through both passes. All of it is DataFrame code. The number of buckets comes
+from the records' summed bytes.
+
+The permutation is a function of the records and the seed alone: neither files,
+partitions, settings nor the order of arrival count. A bucket is one task, is
+sorted by its records' hashes before it is shuffled, and takes its random
+numbers from the seed, so a task that runs again after a lost executor gives
+the same rows. Equal keys or texts spread like any others, as the whole record
+is hashed. Records that are equal in all columns, and so many that they would
+overfill a bucket, are counted, and then hashed with the number of the copy.
 
 Defined results: a null text has size 1 (none plus 1) and the CRC of the empty
 text; repeated rows are separate records; an empty table gives an empty
-result. Input columns named like a result are replaced. The permutation is a
-function of the seed and of how the input is split into files; within one run
-each bucket is sorted before it is shuffled, so a task that runs again after a
-lost executor gives the same rows.
+result. Input columns named like a result are replaced. Columns must be
+orderable (no maps).
 """
 
 from __future__ import annotations
@@ -24,14 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import checkpoint_folder, table, widened
+from .base import checkpoint, checkpoint_folder, table, widened
 
 SHARDS = 16
-#: Bytes of records that one bucket holds in the second pass.
-BUCKET_BYTES = 64 << 20
+#: Bytes of records that one bucket is to hold in the second pass, and times as many at which copies are counted.
+BUCKET_BYTES, OVERFULL = 32 << 20, 4
 
 
-#: Bytes of a record beside its values: its place, hash and offsets.
+#: Bytes of a record beside its values: its hashes and offsets.
 RECORD_BYTES = 64
 
 
@@ -41,23 +46,34 @@ def record_bytes(docs: DataFrame) -> Column:
 
 
 def bucket_count(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
-    """Buckets of bucket_bytes that the records of docs fill; small inputs get as many as there are tasks."""
-    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(record_bytes(docs)), F.lit(0))).first()
-    return max(1, -(-size // bucket_bytes), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // 64)))
+    """Buckets of bucket_bytes that the records of docs fill."""
+    size = docs.agg(F.coalesce(F.sum(record_bytes(docs)), F.lit(0))).first()[0]
+    return max(1, -(-size // bucket_bytes))
+
+
+def scattered(docs: DataFrame, n: int, seed: int, copies: bool = False) -> DataFrame:
+    """(_r, _h, _g, _b): each record of docs, two hashes of it and its bucket. copies: equal records are told apart by a number."""
+    cols = docs.columns
+    if copies:
+        docs = docs.groupBy(*cols).agg(F.count("*").alias("_copy")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copy")))
+    told = [*cols, "_copy"] if copies else cols
+    h = [F.xxhash64(F.lit(seed + k), *told).alias(x) for k, x in enumerate(("_h", "_g"))]
+    return docs.select(F.struct(*cols).alias("_r"), *h, record_bytes(docs.select(*cols)).alias("_n")).withColumn("_b", F.pmod("_h", F.lit(n)).cast("int"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """docs with shard and slot, law `rows`. A task of the result holds one bucket, a run of slots of each shard."""
-    cols = [c for c in docs.columns if c not in ("shard", "slot")]
-    n = bucket_count(docs.select(*cols), bucket_bytes)
-    spread = docs.select(F.struct(*cols).alias("_r"), F.monotonically_increasing_id().alias("_at"))
-    spread = spread.withColumn("_h", F.xxhash64(F.lit(seed), "_at")).withColumn("_b", F.pmod("_h", F.lit(n)).cast("int"))
-    # Pass one: to the buckets, not gathered before the shuffle. Sorted by hash and place first, so that the order of arrival does not matter.
-    buckets = spread.repartitionById(n, F.col("_b")).groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("_h", "_at", "_r"))).alias("_a"))
-    # Where each bucket starts; one row a bucket, so the window and the broadcast see bytes / bucket_bytes of them.
-    starts = spread.groupBy("_b").agg(F.count("*").alias("_n"))
-    starts = starts.withColumn("_start", F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)))
-    starts = starts.select("_b", F.coalesce("_start", F.lit(0)).alias("_start"))
+    docs = docs.select(*[c for c in docs.columns if c not in ("shard", "slot")])
+    n = bucket_count(docs, bucket_bytes)
+    for copies in (False, True):
+        spread = scattered(docs, n, seed, copies)
+        # One row a bucket, so the window and the broadcast below see bytes / bucket_bytes of them.
+        totals = checkpoint(spread.groupBy("_b").agg(F.count("*").alias("_k"), F.sum("_n").alias("_n")))
+        if (totals.agg(F.max("_n")).first()[0] or 0) <= OVERFULL * bucket_bytes:
+            break
+    starts = totals.select("_b", F.coalesce(F.sum("_k").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    # Pass one: bucket k to task k. Sorted there, so that the order of arrival does not matter.
+    buckets = spread.select("_b", "_h", "_g", "_r").repartitionById(n, F.col("_b")).groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("_h", "_g", "_r"))).alias("_a"))
     # Pass two: Fisher-Yates within the bucket, then round robin over the concatenation.
     dealt = buckets.withColumn("_a", F.shuffle("_a", F.lit(seed))).join(F.broadcast(starts), "_b").select("_start", F.posexplode("_a").alias("_i", "_x"))
     at = F.col("_start") + F.col("_i")

@@ -99,6 +99,31 @@ def test_sharding_repeats_itself_and_follows_the_seed(spark):
     assert 0.4 < ups < 0.6
 
 
+def test_places_depend_on_records_and_seed_only(spark):
+    rows = [(k % 900, "same text" if k % 3 else f"text {k % 900}", None if k % 7 else k % 900) for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra long")
+    places = []
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions, given in ((4, df), (8, df.repartition(3)), (211, df.orderBy(F.rand(5)).coalesce(2)), (8, df.repartition(17, "text"))):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            out = sharding.shard(given, shards=3, bucket_bytes=8 << 10)
+            assert out.select("doc_id").distinct().count() == 900
+            places.append(sorted((r["shard"], r["slot"], r["doc_id"], r["text"]) for r in out.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert all(p == places[0] for p in places)
+
+
+def test_buckets_are_tasks_and_stay_in_bounds_with_copies(spark):
+    df = spark.range(3000).selectExpr("if(id < 2000, 7, id) AS doc_id", "repeat('x', 100) AS text")
+    out = sharding.shard(df, shards=4, bucket_bytes=16 << 10).withColumn("task", F.spark_partition_id())
+    tasks = [r["count"] for r in out.groupBy("task").count().collect()]
+    # 3000 records of about 172 bytes in buckets of 16 KB; 2000 of them are the same row.
+    assert len(tasks) >= 25 and max(tasks) < 3 * 3000 / len(tasks)
+    assert sorted(r["count"] for r in out.groupBy("shard").count().collect()) == [750] * 4
+
+
 def test_written_shards(spark, docs, tmp_path):
     path = f"file://{tmp_path}/shards"
     sharding.write_shards(docs, path, shards=2)
