@@ -1,7 +1,7 @@
 """Quality classifier by positive-unlabelled learning.
 
 A small network is fitted by the non-negative unbiased risk: with P the trusted
-positives (documents labelled good), U documents without any label, and c the
+positives (documents labelled good), U documents without any label that may be learnt from, and c the
 share of good ones in U,
 
     risk = c * mean_P loss(+) + max(0, mean_U loss(-) - c * mean_P loss(-)),
@@ -172,25 +172,34 @@ def fit(p: np.ndarray, u: np.ndarray, epochs: int = 60, seed: int = 5) -> Model:
     return Model(mean, scale, _network(p, u, prior, epochs, rng), prior)
 
 
-def train(docs: DataFrame, labels: DataFrame, all_labels: DataFrame, rows: int = SAMPLE) -> Model:
-    """labels: rows that may be learnt from. all_labels: those that make a document labelled at all."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
+    """labels: rows that may be learnt from; documents of docs without one of them are unlabelled.
+
+    Texts become features where they are read; one task gets at most 2 * rows rows of numbers.
+    """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"))
     least = lambda x, n: x.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     good = least(known.filter("q = 1").select("doc_id"), rows).withColumn("p", F.lit(1))
     ids = docs.select("doc_id").filter("doc_id is not null").distinct()
-    web = least(ids.join(all_labels.select("doc_id"), "doc_id", "left_anti"), rows).withColumn("p", F.lit(0))
+    web = least(ids.join(labels.select("doc_id"), "doc_id", "left_anti"), rows).withColumn("p", F.lit(0))
     sample = docs.select("doc_id", "text").join(F.broadcast(good.unionByName(web)), "doc_id").groupBy("doc_id").agg(F.max("p").alias("p"), F.min("text").alias("text"))
 
+    def told(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batch:
+            texts = pdf["text"].fillna("").tolist()
+            for a, b in batches(texts):
+                yield pd.DataFrame({"p": pdf["p"][a:b], "x": list(features(texts[a:b]))})
+
     def one(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x, y = [np.zeros((0, _WIDTH))], [np.zeros(0)]
         for pdf in batch:
-            texts = pdf["text"].fillna("").tolist()
-            x += [features(texts[a:b]) for a, b in batches(texts)]
-            y.append(pdf["p"].to_numpy())
+            if len(pdf):
+                x.append(np.stack(pdf["x"].tolist()))
+                y.append(pdf["p"].to_numpy())
         x, y = np.concatenate(x), np.concatenate(y)
         yield pd.DataFrame({"model": [pickle.dumps(fit(x[y == 1], x[y == 0]))]})
 
-    made = sample.select("p", "text").repartition(1).mapInPandas(one, "model binary").first()
+    made = sample.select("p", "text").mapInPandas(told, "p int, x array<double>").repartition(1).mapInPandas(one, "model binary").first()
     return pickle.loads(bytes(made[0])) if made else fit(np.zeros((0, _WIDTH)), np.zeros((0, _WIDTH)))
 
 
@@ -210,5 +219,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    out = score(docs, train(docs, labels.filter(fold_of("doc_id", 5) != 0), labels))
+    learn = fold_of("doc_id", 5) != 0  # what is held out is neither positive nor unlabelled
+    out = score(docs, train(docs.filter(learn), labels.filter(learn)))
     return out.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

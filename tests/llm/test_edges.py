@@ -183,9 +183,9 @@ def test_toxicity(spark, docs, nothing, labels):
 @pytest.mark.parametrize("labels", [[], [(4, 1), (6, 1), (6, None), (99, 0)]])
 def test_quality_pu(spark, docs, nothing, labels):
     table = spark.createDataFrame(labels, "doc_id long, quality int")
-    got = quality_pu.score(docs, quality_pu.train(docs, table, table)).collect()
+    got = quality_pu.score(docs, quality_pu.train(docs, table)).collect()
     assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 for r in got)
-    model = quality_pu.train(nothing, table, table)
+    model = quality_pu.train(nothing, table)
     assert quality_pu.score(nothing, model).count() == 0
 
 
