@@ -122,7 +122,7 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batch:
             every = pdf["text"].fillna("").tolist()
-            for a, b in batches(every, 2 << 20):
+            for a, b in batches(every, 3 << 20):
                 part, texts = pdf[a:b], every[a:b]
                 media = store([payload(t) for t in texts])
                 rows = []

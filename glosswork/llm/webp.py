@@ -34,6 +34,7 @@ class Bits:
         self.counted = False  # whether the code read last says its own end
 
     def peek(self, n: int) -> int:
+        """At most 32 bits."""
         a = self.at >> 3
         return int.from_bytes(self.data[a : a + 5], "little") >> (self.at & 7) & ((1 << n) - 1)
 
@@ -96,23 +97,35 @@ def _table(lengths: tuple[int, ...]) -> tuple[int, np.ndarray]:
     return _entries(_used(lengths))
 
 
+@lru_cache(4096)
+def _simple(a: int, b: int) -> tuple[int, ...]:
+    """The lengths of a code of one or two symbols."""
+    return tuple(int(s in (a, b)) for s in range(b + 1))
+
+
+@lru_cache(4096)
+def _of_lengths(n: int, low: int, high: int) -> tuple[int, list[int]]:
+    """The table of a code of lengths from its n lengths of three bits, the first ten in low."""
+    of, bits = [0] * 19, low | high << 30
+    for i, k in enumerate(CODE_LENGTH_ORDER[:n]):
+        of[k] = bits >> 3 * i & 7
+    width, table = _table(tuple(of))
+    return width, table.tolist()
+
+
 def _read_code(b: Bits, size: int) -> tuple[int, ...]:
     """The code lengths of one prefix code."""
-    lengths = [0] * size
     b.counted = False
     if b.read(1):
         n = b.read(1) + 1
-        first = b.read(8 if b.read(1) else 1)
-        for s in [first] + [b.read(8) for _ in range(n - 1)]:
-            if s >= size:
-                raise ValueError("a symbol is out of range")
-            lengths[s] = 1
-        return tuple(lengths)
-    of = [0] * 19
-    for k in CODE_LENGTH_ORDER[: b.read(4) + 4]:
-        of[k] = b.read(3)
-    width, table = _table(tuple(of))
-    table = table.tolist()
+        used = [b.read(8 if b.read(1) else 1)]
+        if n > 1:
+            used.append(b.read(8))
+        if max(used) >= size:
+            raise ValueError("a symbol is out of range")
+        return _simple(min(used), max(used))
+    lengths, n = [0] * size, b.read(4) + 4
+    width, table = _of_lengths(n, b.read(3 * min(n, 10)), b.read(3 * max(n - 10, 0)))
     b.counted = bool(b.read(1))
     left = 2 + b.read(2 + 2 * b.read(3)) if b.counted else size
     # The lengths of the text of one code are at most a few hundred bytes: as one number they are cheap to shift.
@@ -173,8 +186,17 @@ def _codes(b: Bits, groups: int, cache: int) -> list[list[tuple[int, ...]]]:
     return out
 
 
+#: An image of one pixel as five codes of one symbol of eight bits: the bits that are the same in all of them, and their values.
+_PIXEL = (1 | sum(0b111 << 1 + 11 * k for k in range(5)), sum(0b101 << 1 + 11 * k for k in range(5)))
+
+
 def _pixels(b: Bits, w: int, h: int, main: bool, told: list | None = None) -> np.ndarray:
     """An entropy-coded image; only the main one can have groups of codes. told gets the numbers of literals, references and places of the cache."""
+    if w == h == 1 and not main and b.span(b.at, 56) & _PIXEL[0] == _PIXEL[1]:  # no cache, five codes of one symbol
+        v = b.span(b.at, 56)
+        b.at += 56
+        green, red, blue, alpha = (v >> 4 + 11 * k & 255 for k in range(4))
+        return np.array([[alpha << 24 | red << 16 | green << 8 | blue]], "uint32")
     cache = b.read(4) if b.read(1) else 0
     meta, shift, groups = None, 0, 1
     if main and b.read(1):

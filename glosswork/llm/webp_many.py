@@ -99,86 +99,95 @@ def code_bits(lengths: np.ndarray) -> tuple[int, int]:
     used = np.flatnonzero(lengths).tolist()
     if len(used) <= 1 and (not used or used[0] < 256):
         return 0b101 | (used[0] if used else 0) << 3, 11
-    words, value, size = _length_words()
-    runs, at = [], 0
+    _, value, size = _length_words()
     ls = lengths.tolist()
     if len(used) == 1:  # a code that can't be announced as a simple one gets a second symbol
         ls[0], used = 1, [0, *used]
+    body, bits, count, at = 0, 0, 0, 0
     for s in used:
-        gap = s - at
-        while gap >= 3:
-            t = min(gap, 138)
-            runs.append((18, t - 11, 7) if t >= 11 else (17, t - 3, 3))
-            gap -= t
-        runs += [(0, 0, 0)] * gap
-        runs.append((ls[s], 0, 0))
+        v, n, k = _length_item(s - at, ls[s])
+        body |= v << bits
+        bits += n
+        count += k
         at = s + 1
-    if len(runs) < 2:
-        runs.append((0, 0, 0))
-    more = len(runs) - 2
+    if count < 2:
+        v, n, k = _length_item(1, 0)
+        body, bits, count = body | v << bits, bits + n, count + k
+    more = count - 2
     wide = max(0, (more.bit_length() - 1) // 2)
     value |= (1 | wide << 1 | more << 4) << size
     size += 4 + 2 + 2 * wide
+    return value | body << size, size + bits
+
+
+@lru_cache(1 << 13)
+def _length_item(gap: int, length: int) -> tuple[int, int, int]:
+    """A gap of zeros and then a length (or only the gap, if 0) in the code of lengths: (value, bits, symbols)."""
+    runs = []
+    while gap >= 3:
+        t = min(gap, 138)
+        runs.append((18, t - 11, 7) if t >= 11 else (17, t - 3, 3))
+        gap -= t
+    runs += [(0, 0, 0)] * gap + ([(length, 0, 0)] if length else [])
+    words, _, _ = _length_words()
+    value = size = 0
     for s, extra, n in runs:
         c, m = words[s]
         value |= (c | extra << m) << size
         size += m + n
-    return value, size
+    return value, size, len(runs)
 
 
 def _signed(v: np.ndarray) -> np.ndarray:
     """Whole numbers modulo 256, as -128 to 127."""
-    return (v & 255).astype("uint8").view("int8").astype("int32")
-
-
-def _around(c: np.ndarray, width: int) -> tuple:
-    """Left, top, corner and right of each pixel, by its place; what lies over an edge is meaningless."""
-    n = len(c)
-    wide = np.concatenate([np.zeros((width + 1, c.shape[1]), c.dtype), c])
-    return wide[width : width + n], wide[1 : 1 + n], wide[:n], wide[2 : 2 + n]
+    return v.astype("uint8").view("int8").astype("int16")
 
 
 def _edges(size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First pixels of images; those of their first rows; those of their first columns."""
+    """Places of the first pixels of images; of the others of their first rows; of the others of their first columns."""
     start = np.cumsum(size) - size
-    place = np.arange(int(size.sum())) - np.repeat(start, size)
-    return start, place < width, (place % width == 0) & (place >= width)
+    row = (start[:, None] + np.arange(1, width)).ravel()
+    rows = size // width - 1
+    column = np.repeat(start, rows) + width * (np.arange(int(rows.sum())) - np.repeat(np.cumsum(rows) - rows, rows) + 1)
+    return start, row, column
 
 
-def _predict(mode: int, around: tuple, edges: tuple) -> np.ndarray:
-    out = np.array(webp.predicted(mode, *around), "int16")
+def _guesses(c: np.ndarray, mode: int, width: int) -> np.ndarray:
+    """The predictions of a mode for all pixels of one channel (or more, last), but for those at the edges."""
+    n = len(c)
+    wide = np.concatenate([np.zeros((width + 1, *c.shape[1:]), c.dtype), c])
+    around = [wide[k : k + n] for k in (width, 1, 0, 2)]
+    return webp.predicted(mode, *(x if c.ndim > 1 else x[:, None] for x in around)).reshape(c.shape)
+
+
+def _predict(mode: int, c: np.ndarray, edges: tuple, width: int) -> np.ndarray:
+    """The prediction of each pixel (channels last) from its neighbours, at the edges from the one that is there."""
     start, row, column = edges
-    out[row] = around[0][row]
-    out[column] = around[1][column]
-    out[start] = 0
+    out = np.array(_guesses(c, mode, width), "int16")
+    out[row], out[column], out[start] = c[row - 1], c[column - width], 0
     return out
 
 
 def residuals(c: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(mode of each image, what its predictions leave, modulo 256): of modes 1 to 13 the one of least sum of magnitudes."""
-    around, edges = _around(c, width), _edges(size, width)
+    """(mode of each image, what its predictions leave, modulo 256): of modes 1 to 13 the one that leaves green least, by the sum of magnitudes."""
+    edges, green = _edges(size, width), np.ascontiguousarray(c[:, 1])
     first = edges[0]
-    best, modes = None, np.ones(len(size), "int64")
-    for mode in range(1, 14):
-        d = c - _predict(mode, around, edges)
-        cost = np.add.reduceat(np.abs(d.astype("int8")).view("uint8").ravel(), c.shape[1] * first, dtype="int64")
-        if best is None:
-            best = cost
-            continue
-        modes[cost < best] = mode
-        best = np.minimum(best, cost)
-    out = np.empty_like(c)
-    each = np.repeat(modes, size)
+    cost = [np.add.reduceat(np.abs((green - _guesses(green, mode, width)).astype("int8")).view("uint8"), first, dtype="int64") for mode in range(1, 14)]
+    modes = 1 + np.argmin(np.stack(cost), 0)
+    out, each = np.empty(c.shape, "uint8"), np.repeat(modes.astype("int8"), size)
+    wide = np.concatenate([np.zeros((width + 1, c.shape[1]), c.dtype), c])
     for mode in np.unique(modes).tolist():
-        mine = each == mode
-        out[mine] = (c[mine] - _predict(mode, around, edges)[mine]) & 255
+        mine = np.flatnonzero(each == mode)
+        out[mine] = c[mine] - webp.predicted(mode, *(wide[mine + k] for k in (width, 1, 0, 2)))
+    start, row, column = edges
+    out[row], out[column], out[start] = c[row] - c[row - 1], c[column] - c[column - width], c[start]
     return modes, out
 
 
 def _slope(x: np.ndarray, y: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The multiplier, in 32nds, by which x tells most of y in each image."""
-    xy, xx = np.add.reduceat(x * y, first), np.add.reduceat(x * x, first)
-    return np.clip(np.round(32 * xy / np.maximum(xx, 1)), -128, 127).astype("int32")
+    xy, xx = (np.add.reduceat(np.multiply(x, v, dtype="int16"), first, dtype="int64") for v in (y, x))
+    return np.clip(np.round(32 * xy / np.maximum(xx, 1)), -128, 127).astype("int16")
 
 
 def matches(p: np.ndarray, image: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,10 +196,9 @@ def matches(p: np.ndarray, image: np.ndarray, left: np.ndarray) -> tuple[np.ndar
     key = image.astype("uint64") << np.uint64(40)
     for k in range(LEAST):
         key = key * np.uint64(0x9E3779B97F4A7C15) + np.append(p[k:], np.zeros(min(k, n), p.dtype)).astype("uint64")
-    order = np.argsort(key, kind="stable")
-    again = np.append(False, key[order][1:] == key[order][:-1])
+    order, again = _runs(key ^ key >> np.uint64(32), n)
     back = np.full(n, -1)
-    back[order[again]] = order[np.flatnonzero(again) - 1]
+    back[order[1:][again]] = order[:-1][again]
     # Equal keys are equal pixels but for clashes, so pixels are compared; all of them lie in the same image.
     ok = (back >= 0) & (left >= LEAST)
     at = np.flatnonzero(ok)
@@ -209,12 +217,23 @@ def matches(p: np.ndarray, image: np.ndarray, left: np.ndarray) -> tuple[np.ndar
 def cached(p: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in the colour cache, whether the pixel stands there before it comes)."""
     place = (p.astype("uint64") * np.uint64(CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE)
-    place = place.astype("int64")
-    order = np.argsort(image << CACHE | place, kind="stable")
-    slot = (image << CACHE | place)[order]
+    key = image.astype("uint64") << np.uint64(CACHE) | place
+    order, again = _runs(key << np.uint64(_places(len(p))), len(p))
     hit = np.zeros(len(p), bool)
-    hit[order[1:]] = (slot[1:] == slot[:-1]) & (p[order][1:] == p[order][:-1])
-    return place, hit
+    hit[order[1:][again]] = p[order[1:][again]] == p[order[:-1][again]]
+    return place.astype("int64"), hit
+
+
+def _places(n: int) -> int:
+    return max(n - 1, 1).bit_length()
+
+
+def _runs(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the order of their keys' leading bits, then of place; whether each has the key of the one before). A key's last bits, as many as a place has, don't count."""
+    low = np.uint64((1 << _places(n)) - 1)
+    both = np.sort(key & ~low | np.arange(n, dtype="uint64"))
+    lead = both & ~low
+    return (both & low).astype("int64"), lead[1:] == lead[:-1]
 
 
 @lru_cache(8)
@@ -235,6 +254,14 @@ def _prefixed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(big, 2 * top + (v >> extra & 1), v), np.where(big, v & ((1 << extra) - 1), 0), extra
 
 
+def _pixel(green: int, red: int, blue: int) -> tuple[int, int]:
+    """An image of one opaque pixel in the stream (value, bits)."""
+    value = 0
+    for k, s in enumerate((green, red, blue, 255, 0)):
+        value |= (0b101 | s << 3) << 11 * k
+    return value << 1, 56
+
+
 def encode_many(payloads: list[bytes], width: int) -> list[bytes]:
     """A file of each payload (RGB samples, rows of `width` pixels)."""
     size = np.array([len(x) // 3 for x in payloads])
@@ -242,26 +269,33 @@ def encode_many(payloads: list[bytes], width: int) -> list[bytes]:
     image = np.repeat(np.arange(len(size)), size)
     first = np.cumsum(size) - size
     modes, d = residuals(c, size, width)
-    g = _signed(d[:, 1])
-    r, b = _signed(d[:, 0] - d[:, 1]), _signed(d[:, 2] - d[:, 1])  # subtract-green
+    g, r, b = _signed(d[:, 1]), _signed(d[:, 0] - d[:, 1]), _signed(d[:, 2] - d[:, 1])  # subtract-green
     # Cross-colour: red and blue without what green tells, blue without what red tells.
     to_red, to_blue = _slope(g, r, first), _slope(g, b, first)
-    red = _signed(r - (to_red[image] * g >> 5))
+    red = r - (to_red[image] * g >> 5)
     blue = b - (to_blue[image] * g >> 5)
     from_red = _slope(r, _signed(blue), first)
-    blue = _signed(blue - (from_red[image] * r >> 5))
-    p = ((red & 255) << 16 | (g & 255) << 8 | blue & 255).astype("uint32")
+    blue -= from_red[image] * r >> 5
+    p = (red & 255).astype("uint32") << 16 | (g & 255).astype("uint32") << 8 | (blue & 255).astype("uint32")
 
     left = np.repeat(first + size, size) - np.arange(len(p))
     length, distance = matches(p, image, left)
     place, hit = cached(p, image)
     # The greedy way through: a reference leads past its pixels, anything else to the next.
-    step = np.where(length > 0, length, 1).tolist()
-    path, k, n = [], 0, len(p)
-    while k < n:
-        path.append(k)
-        k += step[k]
-    at = np.array(path)
+    starts, free = [], 0
+    may = np.flatnonzero(length)
+    for k, m in zip(may.tolist(), length[may].tolist(), strict=True):
+        if k >= free:
+            starts.append(k)
+            free = k + m
+    taken = np.array(starts, "int64")
+    inside = np.zeros(len(p) + 1, "int32")
+    inside[taken + 1] += 1
+    np.subtract.at(inside, taken + length[taken], 1)
+    at = np.flatnonzero(np.cumsum(inside)[:-1] <= 0)
+    whole = length[taken]
+    length = np.zeros_like(length)
+    length[taken] = whole
     lane, length, distance, hit = image[at], length[at], distance[at], hit[at]
     ref = length > 0
     hit &= ~ref
@@ -290,27 +324,21 @@ def encode_many(payloads: list[bytes], width: int) -> list[bytes]:
     for symbols in (rr, bb):
         value = value | np.where(plain, words[1][0][lane, symbols] << bits, 0)
         bits = bits + np.where(plain, words[1][1][lane, symbols], 0)
-    far = words[2][0][lane, ds] | dx << words[2][1][lane, ds]
-    far_bits = np.where(ref, words[2][1][lane, ds] + dn, 0)
-    value = np.stack([value, np.where(ref, far, 0)], 1).ravel().astype("uint64")
-    bits = np.stack([bits, far_bits], 1).ravel()
-    lane = np.repeat(lane, 2)
+    # A distance is an item of its own, behind that of its length.
+    of = np.flatnonzero(ref)
+    far = words[2][0][lane[of], ds[of]] | dx[of] << words[2][1][lane[of], ds[of]]
+    value = np.insert(value, of + 1, far).astype("uint64")
+    bits = np.insert(bits, of + 1, words[2][1][lane[of], ds[of]] + dn[of])
+    lane = np.insert(lane, of + 1, lane[of])
 
     heads = []
-    for k in range(many):
+    for k, (mode, blue_red, blue_green, red_green) in enumerate(zip(modes.tolist(), (from_red & 255).tolist(), (to_blue & 255).tolist(), (to_red & 255).tolist(), strict=True)):
         w = webp._start(width, int(size[k]) // width)
-        for kind, data in ((PREDICTOR, int(modes[k]) << 8), (GREEN, None), (CROSS, (int(from_red[k]) & 255) << 16 | (int(to_blue[k]) & 255) << 8 | int(to_red[k]) & 255)):
-            w.put(1 | kind << 1, 3)
-            if data is not None:  # an image of one pixel: no cache, five codes of one symbol
-                w.put(SIDE - 2, 3)
-                w.put(0, 1)
-                for s in (data >> 8 & 255, data >> 16 & 255, data & 255, 255, 0):
-                    w.put(0b101 | s << 3, 11)
-        w.put(0, 1)
-        w.put(1 | CACHE << 1, 5)
-        w.put(0, 1)
         shared = code_bits(lengths[1][k])
-        for announced in (code_bits(lengths[0][k]), shared, shared, (0b101, 11), code_bits(lengths[2][k])):
+        # Each transform's image is one pixel: no cache, five codes of one symbol.
+        predictor = _pixel(mode, 0, 0)
+        cross = _pixel(blue_green, blue_red, red_green)
+        for announced in ((1 | PREDICTOR << 1 | SIDE - 2 << 3, 6), predictor, (1 | GREEN << 1 | (1 | CROSS << 1 | SIDE - 2 << 3) << 3, 9), cross, ((1 | CACHE << 1) << 1, 7), code_bits(lengths[0][k]), shared, shared, (0b101, 11), code_bits(lengths[2][k])):
             w.put(*announced)
         heads.append(w)
     return _streams(heads, lane, value, bits)
@@ -346,12 +374,17 @@ def _streams(heads: list[Writer], lane: np.ndarray, value: np.ndarray, bits: np.
 # ---------------------------------------------------------------- reading
 
 
+@lru_cache(512)
+def _constant(symbol: int) -> tuple[int, np.ndarray]:
+    return 0, np.array([symbol << 4], "int64")
+
+
 def _table(lengths: tuple[int, ...]) -> tuple[int, np.ndarray]:
     """(bits, array from the next bits to symbol << 4 | length). A code of one symbol takes no bits."""
     ls = np.array(lengths, "int64")
     used = np.flatnonzero(ls)
     if len(used) <= 1:
-        return 0, np.array([(used[0] if len(used) else 0) << 4], "int64")
+        return _constant(int(used[0]) if len(used) else 0)
     order = used[np.argsort(ls[used], kind="stable")]
     n = ls[order]
     width = int(n[-1])
@@ -511,14 +544,17 @@ def undone(lanes: list[Lane], coded: list[np.ndarray]) -> list[np.ndarray]:
         p = np.concatenate([coded[k] for k in ks])
         image = np.repeat(np.arange(len(ks)), size)
         data = np.array([int(lanes[k].found[2][1][0, 0]) for k in ks])
-        from_red, to_blue, to_red = (_signed(data >> n)[image] for n in (16, 8, 0))
-        g = _signed(p >> 8)
-        r = _signed(_signed(p >> 16) + (to_red * g >> 5))
-        b = _signed(p) + (to_blue * g >> 5) + (from_red * r >> 5)
-        d = np.stack([r + g & 255, g & 255, b + g & 255], 1).astype("int16")
+        from_red, to_blue, to_red = (_signed(data >> n & 255)[image] for n in (16, 8, 0))
+        samples = p.astype("<u4").view("uint8").reshape(-1, 4)
+        g, b = _signed(samples[:, 1]), _signed(samples[:, 0])
+        r = _signed(_signed(samples[:, 2]) + (to_red * g >> 5))
+        b = b + (to_blue * g >> 5) + (from_red * r >> 5)
+        d = np.stack([r + g & 255, g & 255, b + g & 255], 1)
         modes = np.array([int(lanes[k].found[0][1][0, 0]) >> 8 & 15 for k in ks])
-        c = unpredicted(d, size, modes, width).astype("uint32")
-        whole = np.uint32(255 << 24) | c[:, 0] << 16 | c[:, 1] << 8 | c[:, 2]
+        c = unpredicted(d, size, modes, width)
+        whole = np.full((len(c), 4), 255, "uint8")
+        whole[:, :3] = c[:, ::-1]
+        whole = whole.view("<u4").ravel()
         for k, a, n in zip(ks, (np.cumsum(size) - size).tolist(), size.tolist(), strict=True):
             out[k] = whole[a : a + n].reshape(-1, width)
     return out
