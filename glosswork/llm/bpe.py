@@ -68,6 +68,23 @@ def _closed(text: str, at: int) -> bool:
     return not unicodedata.combining(b[:1] or " ") and nfc(a + b) == nfc(a) + nfc(b)
 
 
+#: A full stop or comma after a letter, at the end of a word.
+_STOP = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])[.,](?=[ \n]|\Z)")
+
+
+def _apart(text: str) -> str:
+    """A text with the same ids, lower-cased and parted as the tokenizer does itself, so that the cache holds fewer words.
+
+    In Latin-1 lower case is the same everywhere and nothing composes; a special
+    token is looked for before it is lowered, so a text with `<|` stays as it is.
+    """
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else _STOP.sub(r" \g<0>", text.lower())
+
+
 class Tokens:
     """Ids with the code points of the text that each stands for, as [start, end)."""
 
@@ -158,10 +175,10 @@ class Coder:
         if self.held > self.cache_bytes:
             self.cache.clear()
             self.held = 0
-        known, cut = self.cache, [t.replace("\n", " ").split(" ") for t in texts]
+        known, cut = self.cache, [_apart(t).replace("\n", " ").split(" ") for t in texts]
         new, long = list({w for words in cut for w in words}.difference(known)), {}
         for k in range(0, len(new), LEAVES):
-            for w, ids in zip(new[k : k + LEAVES], self._apart(new[k : k + LEAVES]), strict=True):
+            for w, ids in zip(new[k : k + LEAVES], self._each(new[k : k + LEAVES]), strict=True):
                 if len(w) <= CACHED_CHARS:
                     known[w] = ids
                     self.held += ENTRY_BYTES + len(w) + len(ids)
@@ -170,14 +187,14 @@ class Coder:
         find = (lambda w: known[w] if w in known else long[w]) if long else known.__getitem__
         return [b"".join(map(find, words)) for words in cut]
 
-    def _apart(self, words: list[str]) -> list[bytes]:
+    def _each(self, words: list[str]) -> list[bytes]:
         """The ids of words without blanks, encoded as one text and told apart by where they stand."""
         got = Tokens.of(self._library([" ".join(words)])[0], 0)
         if (np.diff(got.start) < 0).any():
             return self._whole(words)
         ends = np.cumsum([len(w) + 1 for w in words])
-        edges = np.searchsorted(got.start, np.append(0, ends)).tolist()
-        return [got.ids[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)]
+        edges, raw = (4 * np.searchsorted(got.start, np.append(0, ends))).tolist(), got.ids.tobytes()
+        return [raw[i:j] for i, j in zip(edges, edges[1:], strict=False)]
 
     def _tree(self, text: str, leaf: int, window: int) -> Tokens:
         """Joins neighbours pair by pair until one list is left."""

@@ -39,10 +39,10 @@ from .bpe import VOCABULARY, coder
 
 CAPACITY = 2048
 #: Pieces of an island, packings of a population, generations of an epoch, patterns that migrate.
-ISLAND_PIECES, POPULATION, GENERATIONS, ELITES = 4096, 4, 32, 64
+ISLAND_PIECES, POPULATION, GENERATIONS, ELITES = 4096, 4, 12, 64
 
 #: What a worker's cache of ids of words may take; code points of a text that is encoded by its words, not as a tree.
-CACHE_BYTES, LEAF_CHARS = 64 << 20, 1 << 20
+CACHE_BYTES, LEAF_CHARS = 160 << 20, 1 << 20
 
 #: Keys pass through pandas as text, see keyed.
 PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long, uid long"
