@@ -93,9 +93,9 @@ def tier_counts(words: DataFrame) -> DataFrame:
 
 def strata(words: DataFrame, buckets: int, set_size: int) -> DataFrame:
     """(lang, lv, bucket, n, first, last): contiguous buckets of each level cut on set boundaries; they may overlap when there are more buckets than sets."""
-    w = W.partitionBy("lang", "lv").orderBy("rank")
-    x = words.withColumn("i", F.row_number().over(w) - 1)
-    sizes = x.groupBy("lang", "lv").agg(F.count("*").alias("size"))
+    # Ranks are row numbers, so a level is a run of them and a word's place in it a difference.
+    sizes = words.groupBy("lang", "lv").agg(F.count("*").alias("size"), F.min("rank").alias("_first"))
+    x = words.join(sizes.select("lang", "lv", "_first"), ["lang", "lv"]).withColumn("i", F.col("rank") - F.col("_first"))
     b = sizes.select("lang", "lv", F.ceil(F.col("size") / set_size).alias("sets"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
     per = F.col("sets") / buckets
     start = F.floor(F.col("bucket") * per + 1e-9)
@@ -119,36 +119,46 @@ def admission(sentences: DataFrame, most: int = LENGTHS[1]) -> DataFrame:
     return sentences.withColumn("n_words", n).withColumn("reason", reason)
 
 
-def sense_association(bags: DataFrame, background: DataFrame) -> DataFrame:
-    """(key, token, score) from distinct (key, sentence, token) of the bags and (token, bg) with the total N of background sentences as `all`.
+def sense_association(bags: DataFrame, background: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, key, token, score) from distinct (*by, key, sentence, token) of the bags and (*by, token, bg) with the total N of background sentences as `all`.
 
     Only the first BAG_CAP sentences of a key count. p is the share of the
     key's sentences that hold the token, q its add-one share of all; the score
     is p log2(p / q) where p > q, else 0.
     """
-    w = W.partitionBy("key").orderBy("sentence")
-    first = bags.select("key", "sentence").distinct().withColumn("i", F.row_number().over(w)).filter(F.col("i") <= BAG_CAP)
-    b = bags.join(first.select("key", "sentence"), ["key", "sentence"])
-    size = first.groupBy("key").agg(F.count("*").alias("nsent"))
-    df = b.groupBy("key", "token").agg(F.count_distinct("sentence").alias("df"))
-    x = df.join(size, "key").join(background, "token")
+    w = W.partitionBy(*by, "key").orderBy("sentence")
+    first = bags.select(*by, "key", "sentence").distinct().withColumn("i", F.row_number().over(w)).filter(F.col("i") <= BAG_CAP)
+    b = bags.join(first.select(*by, "key", "sentence"), [*by, "key", "sentence"])
+    size = first.groupBy(*by, "key").agg(F.count("*").alias("nsent"))
+    df = b.groupBy(*by, "key", "token").agg(F.count_distinct("sentence").alias("df"))
+    x = df.join(size, [*by, "key"]).join(background, [*by, "token"])
     p, q = F.col("df") / F.col("nsent"), (F.col("bg") + 1) / F.col("all")
-    return x.select("key", "token", F.round(F.when(p > q, p * F.log2(p / q)).otherwise(0.0), 6).alias("score"))
+    return x.select(*by, "key", "token", F.round(F.when(p > q, p * F.log2(p / q)).otherwise(0.0), 6).alias("score"))
 
 
-def example_selection(words: DataFrame, tokens: DataFrame, sentences: DataFrame, top: int = 2) -> DataFrame:
+def candidates(words: DataFrame, tokens: DataFrame, listed: int | None = None) -> DataFrame:
+    """(lang, token, doc_id, sent, n, rarest): the sentences of fitting length of each word, with their length and the rank of their rarest word.
+
+    words: (lang, token, rank); listed: only words up to that rank get
+    sentences. One pass over the tokens: length and rarest word are windows over
+    a sentence.
+    """
+    w = W.partitionBy("doc_id", "sent")
+    t = tokens.select("lang", "doc_id", "sent", "token").withColumn("n", F.count("*").over(w)).filter((F.col("n") >= LENGTHS[0]) & (F.col("n") <= LENGTHS[1]))
+    t = t.distinct().join(words.select("lang", "token", "rank"), ["lang", "token"]).withColumn("rarest", F.max("rank").over(w))
+    t = t if listed is None else t.filter(F.col("rank") <= listed)
+    return t.select("lang", "token", "doc_id", "sent", "n", "rarest")
+
+
+def example_selection(words: DataFrame, tokens: DataFrame, top: int = 2, listed: int | None = None) -> DataFrame:
     """The best sentences of each word by distance from the target length, rarest word, then place in the corpus.
 
     The window form of the selection: how often a sentence is used already does
     not count (examples_exact does that one in sequence).
     """
-    size = tokens.groupBy("doc_id", "sent").agg(F.count("*").alias("n"))
-    fit = size.filter((F.col("n") >= LENGTHS[0]) & (F.col("n") <= LENGTHS[1]))
-    t = tokens.select("lang", "doc_id", "sent", "token").distinct().join(fit, ["doc_id", "sent"])
-    rare = t.join(words.select("lang", "token", "rank"), ["lang", "token"]).groupBy("doc_id", "sent").agg(F.max("rank").alias("rarest"))
-    x = t.join(rare, ["doc_id", "sent"]).join(words.filter(F.col("rank") <= 200).select("lang", "token", "rank"), ["lang", "token"])
     w = W.partitionBy("lang", "token").orderBy(F.abs(F.col("n") - TARGET), "rarest", "doc_id", "sent")
-    return x.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top).select("lang", "token", "place", "doc_id", "sent", "n", "rarest")
+    x = candidates(words, tokens, listed).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
+    return x.select("lang", "token", "place", "doc_id", "sent", "n", "rarest")
 
 
 def coverage_histogram(words: DataFrame, examples: DataFrame) -> DataFrame:

@@ -30,13 +30,13 @@ def resolve(surfaces: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFr
     return best.select("surface", "b.lemma", F.when(F.col("b.p") == 0, "entry").otherwise("form").alias("how"))
 
 
-def sentence_links(tokens: DataFrame, keys: DataFrame, allowed: DataFrame, content: Column) -> DataFrame:
+def sentence_links(tokens: DataFrame, keys: DataFrame, allowed: DataFrame, content: Column, on: tuple[str, ...] = ("token",)) -> DataFrame:
     """(sentence, links, outside): the linked keys of each sentence; it cannot ship if a content token is neither a key nor allowed.
 
-    tokens: (sentence, pos, token); keys and allowed: (token).
+    tokens: (sentence, pos, token); keys and allowed: (token); `on` names what a token is known by, such as its language too.
     """
-    k, a = keys.select("token", F.lit(True).alias("key")).distinct(), allowed.select("token", F.lit(True).alias("ok")).distinct()
-    x = tokens.join(k, "token", "left").join(a, "token", "left")
+    k, a = keys.select(*on, F.lit(True).alias("key")).distinct(), allowed.select(*on, F.lit(True).alias("ok")).distinct()
+    x = tokens.join(k, list(on), "left").join(a, list(on), "left")
     out = content & F.col("key").isNull() & F.col("ok").isNull()
     return x.groupBy("sentence").agg(F.count_distinct(F.when(F.col("key"), F.col("token"))).alias("links"), F.coalesce(F.bool_or(out), F.lit(False)).alias("outside"))
 
@@ -48,12 +48,12 @@ def homographs(words: DataFrame) -> DataFrame:
     return x.join(y, "form").filter("a < b").select("form", "a", "b", F.arrays_overlap("ca", "cb").alias("shared"))
 
 
-def level_budget(passages: DataFrame, words: DataFrame, cap: int) -> DataFrame:
+def level_budget(passages: DataFrame, words: DataFrame, cap: int, on: tuple[str, ...] = ("word",)) -> DataFrame:
     """(passage, above, over): distinct words of a passage that are above its level, and whether they exceed the cap.
 
-    passages: (passage, lv, word); words: (word, lv) with ordinal levels.
+    passages: (passage, lv, word); words: (word, lv) with ordinal levels; `on` names what a word is known by.
     """
-    x = passages.join(words.select("word", F.col("lv").alias("wl")), "word")
+    x = passages.join(words.select(*on, F.col("lv").alias("wl")), list(on))
     g = x.groupBy("passage", "lv").agg(F.count_distinct(F.when(F.col("wl") > F.col("lv"), F.col("word"))).alias("above"))
     return g.select("passage", "above", (F.col("above") > cap).alias("over"))
 
@@ -70,22 +70,34 @@ def migrate(records: DataFrame, keymap: DataFrame) -> DataFrame:
     return kept.unionByName(lost)
 
 
-def page_shift(pages: DataFrame, twins: DataFrame, most: int = 3, least_pages: int = 3) -> DataFrame:
-    """(story, shift, pages, misfit): the constant shift of page numbers under which the lengths of a story and its twin agree best.
+def page_shift(pages: DataFrame, twins: DataFrame, most: int = 3, least_pages: int = 3, better: float = 0.6, bad: float = 0.2) -> DataFrame:
+    """(story, shift, usual, pages, misfit): the constant shift of page numbers by which a story's pages answer its twin's.
 
-    pages, twins: (story, n, len). Misfit is the deviation of the log length
-    ratio over at least `least_pages` pages. Shift 0 stays unless another's
-    misfit is under 0.6 of its own and its own is above 0.2.
+    pages, twins: (story, n, len), each n once in a story. The usual shift is
+    that of two numberings which differ by a constant, whatever its size, else
+    0. Misfit is the deviation of the log length ratio over the pages that a
+    shift pairs, if at least `least_pages`. Another shift up to `most` wins only
+    if its misfit is under `better` of the usual one's, and that above `bad`.
+    pages and misfit (-1 where too few pages meet) are those of the shift.
     """
-    shifts = F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("shift")
-    a = pages.select("story", "n", F.col("len").alias("la"), shifts)
+    ends = lambda t, k: t.groupBy("story").agg(F.count("*").alias(f"c{k}"), F.min("n").alias(f"m{k}"))
+    both = ends(pages, "a").join(ends(twins, "b"), "story", "left")
+    moved = pages.join(both, "story").select("story", (F.col("n") + F.col("mb") - F.col("ma")).alias("n"))
+    met = moved.join(twins.select("story", "n"), ["story", "n"]).groupBy("story").agg(F.count("*").alias("met"))
+    alike = (F.col("ca") == F.col("cb")) & (F.col("met") == F.col("ca"))
+    story = both.join(met, "story", "left").select("story", F.when(alike, F.col("mb") - F.col("ma")).otherwise(0).cast("long").alias("usual"))
+    near = F.array_distinct(F.concat(F.array("usual"), F.array(*[F.lit(k).cast("long") for k in range(-most, most + 1)])))
+    a = pages.join(story, "story").select("story", "n", F.col("len").alias("la"), F.explode(near).alias("shift"))
     x = a.withColumn("m", F.col("n") + F.col("shift")).join(twins.select("story", F.col("n").alias("m"), F.col("len").alias("lb")), ["story", "m"])
-    g = x.groupBy("story", "shift").agg(F.count("*").alias("pages"), F.round(F.stddev_pop(F.ln((F.col("la") + 12) / (F.col("lb") + 12))), 9).alias("misfit")).filter(F.col("pages") >= least_pages)
-    zero = g.filter("shift = 0").select("story", F.col("misfit").alias("own"))
-    x = g.join(zero, "story", "left")
-    fits = (F.col("shift") == 0) | F.col("own").isNull() | ((F.col("own") > 0.2) & (F.col("misfit") < 0.6 * F.col("own")))
-    best = F.row_number().over(W.partitionBy("story").orderBy("misfit", F.abs("shift"), "shift"))
-    return x.filter(fits).withColumn("i", best).filter("i = 1").select("story", "shift", "pages", "misfit")
+    g = x.groupBy("story", "shift").agg(F.count("*").alias("pages"), F.round(F.stddev_pop(F.ln((F.col("la") + 12) / (F.col("lb") + 12))), 9).alias("misfit"))
+    g = g.filter(F.col("pages") >= least_pages).join(story, "story")
+    rated = F.struct("misfit", (F.col("shift") != F.col("usual")).alias("other"), F.abs("shift").alias("size"), "shift", "pages")
+    own = F.max(F.when(F.col("shift") == F.col("usual"), F.struct("misfit", "pages")))
+    g = g.groupBy("story").agg(F.min(rated).alias("best"), own.alias("own"))
+    wins = (F.col("best.misfit") < better * F.col("own.misfit")) & (F.col("own.misfit") > bad)
+    x = story.join(g, "story", "left").withColumn("wins", F.coalesce(wins, F.lit(False)))
+    pick = lambda other, own, none: F.when(F.col("wins"), F.col(other)).otherwise(F.coalesce(F.col(own), F.lit(none)))
+    return x.select("story", F.when(F.col("wins"), F.col("best.shift")).otherwise(F.col("usual")).alias("shift"), "usual", pick("best.pages", "own.pages", 0).cast("long").alias("pages"), pick("best.misfit", "own.misfit", -1.0).alias("misfit"))
 
 
 def as_of(rows: DataFrame, curves: DataFrame) -> DataFrame:
@@ -110,14 +122,14 @@ def compose_gloss(senses: DataFrame, fits: int = 45) -> DataFrame:
     return g.select("id", F.when(ok, both).otherwise(F.col("top.sense")).alias("gloss"))
 
 
-def phrase_share(sentences: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(phrase, n, bound, share): sentences that hold a phrase's head word, and the share of them that hold the phrase.
+def phrase_share(sentences: DataFrame, phrases: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, phrase, n, bound, share): sentences that hold a phrase's head word, and the share of them that hold the phrase.
 
-    sentences: (sentence, text, token) with one row for each distinct token.
+    sentences: (*by, sentence, text, token) with one row for each distinct token; phrases: (*by, phrase, head).
     """
-    x = sentences.join(phrases.select("phrase", F.col("head").alias("token")), "token")
+    x = sentences.join(phrases.select(*by, "phrase", F.col("head").alias("token")), [*by, "token"])
     hit = F.contains(F.concat(F.lit(" "), "text", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" ")))
-    g = x.groupBy("phrase").agg(F.count("*").alias("n"), F.count_if(hit).alias("bound"))
+    g = x.groupBy(*by, "phrase").agg(F.count("*").alias("n"), F.count_if(hit).alias("bound"))
     return g.withColumn("share", F.round(F.col("bound") / F.col("n"), 6))
 
 
@@ -143,11 +155,14 @@ def story_drops(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("reason", reason)
 
 
-def cloze(tokens: DataFrame, function_words: DataFrame) -> DataFrame:
-    """(sentence, token, pos): tokens that can be left out: no function word, once in the sentence, and something left outside."""
-    g = tokens.groupBy("sentence", "token").agg(F.count("*").alias("k"), F.min("pos").alias("pos"))
+def cloze(tokens: DataFrame, function_words: DataFrame, on: tuple[str, ...] = ("token",)) -> DataFrame:
+    """(sentence, token, pos): tokens that can be left out: no function word, once in the sentence, and something left outside.
+
+    tokens: (sentence, pos, *on); function_words: (*on), where `on` names what a token is known by.
+    """
+    g = tokens.groupBy("sentence", *on).agg(F.count("*").alias("k"), F.min("pos").alias("pos"))
     size = tokens.groupBy("sentence").agg(F.count("*").alias("n"))
-    return g.join(function_words.select("token"), "token", "left_anti").join(size, "sentence").filter("k = 1 AND n > 1").select("sentence", "token", "pos")
+    return g.join(function_words.select(*on), list(on), "left_anti").join(size, "sentence").filter("k = 1 AND n > 1").select("sentence", "token", "pos")
 
 
 def occurrences(texts: DataFrame, surfaces: DataFrame) -> DataFrame:
@@ -170,9 +185,15 @@ def keep_live(primary: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def interleaved(stages: DataFrame, done: DataFrame) -> DataFrame:
-    """(learner, track, step): the next unfinished stage of each learner in the order of steps, tracks in turn."""
-    x = done.select("learner").distinct().join(F.broadcast(stages)).join(done, ["learner", "track", "step"], "left_anti")  # a path has tens of stages
-    return x.groupBy("learner").agg(F.min(F.struct("step", "ord", "track")).alias("s")).select("learner", "s.track", "s.step")
+    """(learner, track, step): the next unfinished stage of each learner in the order of steps, tracks in turn; no row where all are done.
+
+    stages: (step, track, ord), the path: an array of its places, tens of them, beside each learner's own.
+    """
+    path = stages.agg(F.sort_array(F.collect_list(F.struct("step", "ord", "track"))).alias("path"))  # one row
+    mine = done.groupBy("learner").agg(F.collect_set(F.struct("track", "step")).alias("mine")).crossJoin(F.broadcast(path))
+    open_ = F.filter("path", lambda s: ~F.array_contains("mine", F.struct(s["track"].alias("track"), s["step"].alias("step"))))
+    x = mine.select("learner", F.get(open_, F.lit(0)).alias("s")).filter("s IS NOT NULL")
+    return x.select("learner", "s.track", "s.step")
 
 
 def exam_misses(sentences: DataFrame, state: DataFrame, per_sentence: int = 2, cap: int = 6) -> DataFrame:

@@ -176,9 +176,9 @@ def attribution(rows: DataFrame, licence: str, user: str) -> DataFrame:
     return g.withColumn("place", F.row_number().over(W.partitionBy("licence").orderBy(F.col("n").desc(), "user")))
 
 
-def confusion(rows: DataFrame, mine: str, theirs: str) -> DataFrame:
-    """(mine, theirs, n, exact, near): counts of each pair of levels (ordinals) and whether they are equal or next to each other."""
-    g = rows.groupBy(F.col(mine).alias("mine"), F.col(theirs).alias("theirs")).agg(F.count("*").alias("n"))
+def confusion(rows: DataFrame, mine: str, theirs: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, mine, theirs, n, exact, near): counts of each pair of levels (ordinals) and whether they are equal or next to each other."""
+    g = rows.groupBy(*by, F.col(mine).alias("mine"), F.col(theirs).alias("theirs")).agg(F.count("*").alias("n"))
     return g.withColumn("exact", F.col("mine") == F.col("theirs")).withColumn("near", F.abs(F.col("mine") - F.col("theirs")) <= 1)
 
 
@@ -189,30 +189,46 @@ def quota_pick(rows: DataFrame, group: str, kind: str, order: list, quotas: dict
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= quota)
 
 
-def synonym_pairs(meanings: DataFrame, block: int = 64) -> DataFrame:
-    """(a, b): pairs a < b of ids that share a meaning (id, meaning).
+def synonym_links(meanings: DataFrame) -> DataFrame:
+    """(meaning, first, id): the ids that share a meaning (id, meaning), each linked with the least of them; meanings of one id have no row.
 
-    A meaning's ids are met block by block, so that a frequent meaning is not
-    joined by one task.
+    Two ids are synonyms if they stand under one meaning. A frequent meaning is
+    as many rows as it has ids, not as many as it has pairs.
     """
     m = meanings.distinct()
-    size = m.groupBy("meaning").agg(F.count("*").alias("n")).filter("n > 1")
-    m = m.join(size.select("meaning", F.ceil(F.col("n") / block).cast("long").alias("blocks")), "meaning")
-    x = m.select("meaning", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"), F.col("id").alias("a"))
-    y = m.select("meaning", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("part"), F.col("id").alias("b"))
-    return x.join(y, ["meaning", "part"]).filter("a < b").select("a", "b").distinct()
+    size = m.groupBy("meaning").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1").drop("n")
+    return m.join(size, "meaning").select("meaning", "first", "id")
 
 
 def covers(have: DataFrame, need: DataFrame) -> DataFrame:
-    """(owner, target): owners (owner, value) that have every value of a target (target, value): relational division by counting."""
-    need, have = need.distinct(), have.distinct()
-    size = need.groupBy("target").agg(F.count("*").alias("size"))
-    got = have.join(need, "value").groupBy("owner", "target").agg(F.count("*").alias("n"))
-    return got.join(size, "target").filter("n = size").select("owner", "target")
+    """(kind, a, b): which owners (owner, value) have every value of which targets (target, value): relational division by counting.
+
+    Owners with the same values are one class, named by the least of them, and
+    so are targets. Rows of kind `owner` and `target` give an id and its class,
+    those of kind `pair` an owner class and a target class that it covers, so
+    that copies are not multiplied with each other. Sets of values are compared
+    by their size and two sums of hashes.
+    """
+
+    def classes(rows: DataFrame, key: str) -> DataFrame:
+        sums = [F.sum(F.xxhash64(F.lit(k), "value").cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
+        one = rows.groupBy(key).agg(F.count("*").alias("size"), *sums)
+        first = one.groupBy("size", "h1", "h2").agg(F.min(key).alias("class"))
+        return one.join(first, ["size", "h1", "h2"]).select(key, "class", "size")
+
+    have, need = have.select("owner", "value").distinct(), need.select("target", "value").distinct()
+    owners, targets = classes(have, "owner"), classes(need, "target")
+    x = have.join(owners.filter("owner = class").select("owner"), "owner")
+    y = need.join(targets.filter("target = class").select("target", "size"), "target")
+    pairs = x.join(y, "value").groupBy("owner", "target", "size").agg(F.count("*").alias("n")).filter("n = size")
+    out = pairs.select(F.lit("pair").alias("kind"), F.col("owner").alias("a"), F.col("target").alias("b"))
+    for rows, key in ((owners, "owner"), (targets, "target")):
+        out = out.unionByName(rows.select(F.lit(key).alias("kind"), F.col(key).alias("a"), F.col("class").alias("b")))
+    return out
 
 
 def fnv1a(text: Column) -> Column:
-    """The 32-bit FNV-1a hash of a text's UTF-16 code units, as a long."""
-    units = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.ascii(text.substr(i, F.lit(1))).cast("long"))
+    """The 32-bit FNV-1a hash of a text's UTF-16 code units, as a long; a letter beyond them counts as its two surrogates."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"), 1), lambda u: F.conv(u, 16, 10).cast("long"))
     start, prime = F.lit(0x811C9DC5).cast("long"), F.lit(0x01000193).cast("long")
-    return F.when(F.length(text) == 0, start).otherwise(F.aggregate(units, start, lambda h, u: ((h.bitwiseXOR(u)) * prime) % F.lit(1 << 32)))
+    return F.aggregate(units, start, lambda h, u: (h.bitwiseXOR(u) * prime) % F.lit(1 << 32))

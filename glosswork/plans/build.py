@@ -36,7 +36,7 @@ def build(spark: SparkSession, corpus_dir: str, lang: str, spec: LanguageSpec |
     admitted = corpus.admission(tables.sentences(spark, corpus_dir).filter(F.col("lang") == lang), spec.lengths[1])
     kept = corpus.first_seen(admitted.filter("reason IS NULL").drop("reason"), F.lower("text"), "doc_id", "sent")
     inside = tokens.join(kept.select("doc_id", "sent"), ["doc_id", "sent"], "left_semi")
-    examples = corpus.example_selection(words, inside, kept)
+    examples = corpus.example_selection(words, inside)
     used = kept.join(examples.select("doc_id", "sent").distinct(), ["doc_id", "sent"], "left_semi")
     reasons = admitted.groupBy(F.coalesce("reason", F.lit("admitted")).alias("reason")).agg(F.count("*").alias("n"))
     return Pack(words, used, examples, relations.attribution(used, "lang", "source"), reasons)

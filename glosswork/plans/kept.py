@@ -162,26 +162,26 @@ def q127(spark, d):
 
 
 @query("q128_script_examples", "WITH " + WORDS + """,
-w AS (SELECT token AS word, rank FROM words WHERE lang = 'fr' AND rank <= 400 AND length(token) > 2),
+w AS (SELECT token AS word, min(rank) AS rank FROM words WHERE length(token) > 2 GROUP BY token),
 l AS (SELECT DISTINCT word, rank, unnest(string_split(word, '')) AS unit FROM w),
 t AS (SELECT unit, row_number() OVER (ORDER BY count(*) DESC, unit) AS ord FROM l GROUP BY unit),
 x AS (SELECT a.unit, a.word, a.rank, count(*) FILTER (tb.ord > ta.ord) AS unknown FROM l a JOIN t ta ON ta.unit = a.unit JOIN l b ON b.word = a.word JOIN t tb ON tb.unit = b.unit GROUP BY ALL),
 y AS (SELECT *, min(unknown) OVER (PARTITION BY unit) AS best FROM x WHERE unknown <= 2)
 SELECT unit, row_number() OVER (PARTITION BY unit ORDER BY rank, word) AS place, word, CAST(unknown AS INT) AS unknown FROM y WHERE unknown = best QUALIFY place <= 3""")
 def q128(spark, d):
-    w = T.words(spark, d).filter("lang = 'fr' AND rank <= 400 AND length(token) > 2")
+    w = T.words(spark, d).filter("length(token) > 2").groupBy("token").agg(F.min("rank").alias("rank"))
     uses = w.select(F.col("token").alias("word"), "rank", F.explode(F.array_distinct(F.split("token", ""))).alias("unit")).filter("unit <> ''")
     order = T.ranked(uses.groupBy("unit").agg(F.count("*").alias("n")).withColumn("_", F.lit(0)), ["_"], key="unit", name="ord")
     return N.script_examples(uses, order.select("unit", "ord"))
 
 
 @query("q129_restored_links", "WITH " + TOKENS + """,
-l AS (SELECT DISTINCT token AS word, doc_id * 100000 + sent AS sentence FROM tokens WHERE lang = 'es' AND length(token) > 5),
+l AS (SELECT DISTINCT lang || ':' || token AS word, doc_id * 100000 + sent AS sentence FROM tokens WHERE length(token) > 5),
 k AS (SELECT * FROM l WHERE sentence % 3 <> 0), h AS (SELECT word, count(*) AS have FROM k GROUP BY word)
 SELECT d.word, d.sentence FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY sentence) AS i FROM l WHERE sentence % 3 = 0) d LEFT JOIN h USING (word) WHERE i <= 4 - coalesce(have, 0)""")
 def q129(spark, d):
-    t = T.tokens(spark, d).filter("lang = 'es' AND length(token) > 5")
-    links = t.select(F.col("token").alias("word"), (F.col("doc_id") * 100000 + F.col("sent")).alias("sentence")).distinct()
+    t = T.tokens(spark, d).filter("length(token) > 5")
+    links = t.select(F.concat_ws(":", "lang", "token").alias("word"), (F.col("doc_id") * 100000 + F.col("sent")).alias("sentence")).distinct()
     return N.restored_links(links.filter("sentence % 3 <> 0"), links.filter("sentence % 3 = 0"), 4)
 
 

@@ -35,11 +35,11 @@ def _sid():
 
 @query("q86_truecase_apply", "WITH " + TOKENS + """,
 tc AS (SELECT lang, token, count(*) FILTER (substr(surface, 1, 1) = substr(token, 1, 1)) AS low, count(*) FILTER (substr(surface, 1, 1) <> substr(token, 1, 1)) AS cap FROM tokens WHERE pos > 0 GROUP BY ALL),
-s AS (SELECT *, lower(regexp_extract(text, '^(\\p{L}+)', 1)) AS token FROM sentences WHERE lang = 'fr')
+s AS (SELECT *, lower(regexp_extract(text, '^(\\p{L}+)', 1)) AS token FROM sentences)
 SELECT s.doc_id, s.sent, CASE WHEN coalesce(low, 0) > coalesce(cap, 0) AND s.token <> '' THEN s.token || substr(text, length(s.token) + 1) ELSE text END AS cased FROM s LEFT JOIN tc ON tc.lang = s.lang AND tc.token = s.token""")
 def q86(spark, d):
     counts = C.truecase_counts(T.tokens(spark, d))
-    return L.truecase(T.sentences(spark, d).filter("lang = 'fr'"), counts).select("doc_id", "sent", "cased")
+    return L.truecase(T.sentences(spark, d), counts).select("doc_id", "sent", "cased")
 
 
 @query("q87_token_resolution", "WITH " + WORDS + """,
@@ -55,13 +55,13 @@ def q87(spark, d):
 
 
 @query("q88_sentence_links", "WITH " + WORDS + f""",
-k AS (SELECT lang, token, rank FROM words WHERE lang = 'es')
+k AS (SELECT lang, token, rank FROM words)
 SELECT {_SID} AS sentence, count(DISTINCT t.token) FILTER (k.rank <= 300) AS links, coalesce(bool_or(length(t.token) > 3 AND (k.rank IS NULL OR k.rank > 2000)), false) AS outside
-FROM tokens t LEFT JOIN k ON k.token = t.token WHERE t.lang = 'es' GROUP BY 1""")
+FROM tokens t LEFT JOIN k ON k.lang = t.lang AND k.token = t.token GROUP BY 1""")
 def q88(spark, d):
-    w = T.words(spark, d).filter("lang = 'es'")
-    t = T.tokens(spark, d).filter("lang = 'es'").select(_sid(), "pos", "token")
-    return L.sentence_links(t, w.filter("rank <= 300"), w.filter("rank > 300 AND rank <= 2000"), F.length("token") > 3)
+    w = T.words(spark, d)
+    t = T.tokens(spark, d).select("lang", _sid(), "pos", "token")
+    return L.sentence_links(t, w.filter("rank <= 300"), w.filter("rank > 300 AND rank <= 2000"), F.length("token") > 3, ("lang", "token"))
 
 
 @query("q89_homograph_cues", """
@@ -75,12 +75,12 @@ def q89(spark, d):
 
 @query("q90_level_budget", "WITH " + WORDS + """,
 l AS (SELECT lang, token, CASE WHEN rank <= 600 THEN 0 WHEN rank <= 1300 THEN 1 ELSE 2 END AS wl FROM words)
-SELECT t.doc_id AS passage, count(DISTINCT t.token) FILTER (wl > t.doc_id % 3) AS above, count(DISTINCT t.token) FILTER (wl > t.doc_id % 3) > 40 AS over FROM tokens t JOIN l ON l.lang = t.lang AND l.token = t.token WHERE t.lang = 'de' GROUP BY 1""")
+SELECT t.doc_id AS passage, count(DISTINCT t.token) FILTER (wl > t.doc_id % 3) AS above, count(DISTINCT t.token) FILTER (wl > t.doc_id % 3) > 40 AS over FROM tokens t JOIN l ON l.lang = t.lang AND l.token = t.token GROUP BY 1""")
 def q90(spark, d):
     r = F.col("rank")
-    w = T.words(spark, d).filter("lang = 'de'").select(F.col("token").alias("word"), F.when(r <= 600, 0).when(r <= 1300, 1).otherwise(2).alias("lv"))
-    t = T.tokens(spark, d).filter("lang = 'de'").select(F.col("doc_id").alias("passage"), (F.col("doc_id") % 3).alias("lv"), F.col("token").alias("word"))
-    return L.level_budget(t, w, 40)
+    w = T.words(spark, d).select("lang", F.col("token").alias("word"), F.when(r <= 600, 0).when(r <= 1300, 1).otherwise(2).alias("lv"))
+    t = T.tokens(spark, d).select("lang", F.col("doc_id").alias("passage"), (F.col("doc_id") % 3).alias("lv"), F.col("token").alias("word"))
+    return L.level_budget(t, w, 40, ("lang", "word"))
 
 
 @query("q91_legacy_migration", """
@@ -94,39 +94,35 @@ def q91(spark, d):
 
 
 @query("q92_page_shift", """
-WITH a AS (SELECT doc_id % 50 AS story, doc_id // 50 AS n, n_chars AS la FROM documents), b AS (SELECT story, n + CASE WHEN story % 4 = 0 THEN 2 ELSE 0 END AS m, la + story AS lb FROM a),
-g AS (SELECT story, shift, count(*) AS pages, round(stddev_pop(ln((la + 12) / (lb + 12))), 9) AS misfit FROM (SELECT *, unnest(range(-3, 4)) AS shift FROM a) JOIN b USING (story) WHERE m = n + shift GROUP BY ALL HAVING count(*) >= 3),
-z AS (SELECT g.*, o.misfit AS own FROM g LEFT JOIN g o ON o.story = g.story AND o.shift = 0)
-SELECT story, CAST(shift AS INT) AS shift, pages, misfit FROM z WHERE shift = 0 OR own IS NULL OR (own > 0.2 AND misfit < 0.6 * own) QUALIFY row_number() OVER (PARTITION BY story ORDER BY misfit, abs(shift), shift) = 1""")
+WITH a AS (SELECT doc_id % 50 AS story, doc_id // 50 AS n, n_chars AS la FROM documents),
+b AS (SELECT story, n + CASE story % 4 WHEN 0 THEN 2 WHEN 1 THEN 7 WHEN 2 THEN 1 ELSE 0 END AS m, la + story AS lb FROM a WHERE story % 4 <> 2 OR n > 0),
+ca AS (SELECT story, count(*) AS na, min(n) AS ma FROM a GROUP BY story), cb AS (SELECT story, count(*) AS nb, min(m) AS mb FROM b GROUP BY story),
+me AS (SELECT a.story, count(*) AS met FROM a JOIN ca USING (story) JOIN cb USING (story) JOIN b ON b.story = a.story AND m = n + mb - ma GROUP BY 1),
+na AS (SELECT story, CASE WHEN na = nb AND met = na THEN mb - ma ELSE 0 END AS usual FROM ca LEFT JOIN cb USING (story) LEFT JOIN me USING (story)),
+sh AS (SELECT story, usual, usual AS shift FROM na UNION SELECT story, usual, unnest(range(-3, 4)) FROM na),
+g AS (SELECT a.story, usual, shift, count(*) AS pages, round(stddev_pop(ln((la + 12) / (lb + 12))), 9) AS misfit FROM sh JOIN a USING (story) JOIN b ON b.story = a.story AND m = n + shift GROUP BY ALL HAVING count(*) >= 3),
+be AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY story ORDER BY misfit, shift <> usual, abs(shift), shift) = 1),
+x AS (SELECT na.story, na.usual, be.shift AS bs, be.pages AS bp, be.misfit AS bm, o.pages AS op, o.misfit AS om, coalesce(be.misfit < 0.6::DOUBLE * o.misfit AND o.misfit > 0.2::DOUBLE, false) AS wins
+  FROM na LEFT JOIN be USING (story) LEFT JOIN g o ON o.story = na.story AND o.shift = na.usual)
+SELECT story, CASE WHEN wins THEN bs ELSE usual END AS shift, usual, coalesce(CASE WHEN wins THEN bp ELSE op END, 0) AS pages, coalesce(CASE WHEN wins THEN bm ELSE om END, -1.0::DOUBLE) AS misfit FROM x""")
 def q92(spark, d):
     a = T.read(spark, d, "documents").select((F.col("doc_id") % 50).alias("story"), F.floor(F.col("doc_id") / 50).alias("n"), F.col("n_chars").alias("len"))
-    b = a.select("story", (F.col("n") + F.when(F.col("story") % 4 == 0, 2).otherwise(0)).alias("n"), (F.col("len") + F.col("story")).alias("len"))
+    k = F.col("story") % 4
+    b = a.filter((k != 2) | (F.col("n") > 0)).select("story", (F.col("n") + F.when(k == 0, 2).when(k == 1, 7).when(k == 2, 1).otherwise(0)).alias("n"), (F.col("len") + F.col("story")).alias("len"))
     return L.page_shift(a, b)
 
 
 @query("q93_nearest_placed_curve", """
-SELECT o_orderkey AS id, grp, "at", coalesce((SELECT curve FROM (SELECT c_nationkey % 5 AS g, CAST(floor(c_acctbal) AS BIGINT) * 40 AS since, max(c_name) AS curve FROM customer WHERE c_custkey % 10 = 0 GROUP BY ALL) WHERE g = grp AND since <= "at" ORDER BY since DESC LIMIT 1), '') AS curve
-FROM (SELECT o_orderkey, o_custkey % 5 AS grp, CAST(floor(o_totalprice) AS BIGINT) AS "at" FROM orders)""")
+WITH c AS (SELECT c_nationkey % 5 AS g, CAST(floor(c_acctbal) AS BIGINT) * 40 AS since, max(c_name) AS curve FROM customer GROUP BY ALL),
+o AS (SELECT o_orderkey AS id, o_custkey % 5 AS grp, CAST(floor(o_totalprice) AS BIGINT) AS "at" FROM orders)
+SELECT id, grp, "at", coalesce(curve, '') AS curve FROM o ASOF LEFT JOIN c ON g = grp AND "at" >= since""")
 def q93(spark, d):
-    return _placed_curves(spark, d, "c_custkey % 10 = 0")
-
-
-def _placed_curves(spark, d, customers):
-    c = T.read(spark, d, "customer").filter(customers)
+    c = T.read(spark, d, "customer")
     curves = c.groupBy((F.col("c_nationkey") % 5).cast("long").alias("grp"), (F.floor("c_acctbal") * 40).alias("since")).agg(F.max("c_name").alias("curve"))
     o = T.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 5).alias("grp"), F.floor("o_totalprice").alias("at"))
     return L.as_of(o, curves)
 
 
-@query("q132_nearest_curve_whole", """
-WITH c AS (SELECT c_nationkey % 5 AS g, CAST(floor(c_acctbal) AS BIGINT) * 40 AS since, max(c_name) AS curve FROM customer GROUP BY ALL),
-o AS (SELECT o_orderkey AS id, o_custkey % 5 AS grp, CAST(floor(o_totalprice) AS BIGINT) AS "at" FROM orders)
-SELECT id, grp, "at", coalesce(curve, '') AS curve FROM o ASOF LEFT JOIN c ON g = grp AND "at" >= since""")
-def q132(spark, d):
-    """q93 over all customers."""
-    return _placed_curves(spark, d, "true")
-
-
 _SENSES = """se AS (SELECT l_orderkey AS id, p_type || ' ' || p_name AS sense, max(l_quantity) AS score, list_sort(list_distinct([p_type, p_name])) AS stems FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey, p_type, p_name)"""
 
 
@@ -141,16 +137,16 @@ def q94(spark, d):
 
 
 @query("q95_phrase_share", "WITH " + TOKENS + f""",
-bi AS (SELECT a.token AS head, a.token || ' ' || b.token AS phrase FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND a.sent = b.sent AND b.pos = a.pos + 1 WHERE a.lang = 'en' GROUP BY 1, 2 HAVING count(*) >= 40),
-s AS (SELECT {_SID} AS sentence, lower(text) AS text FROM sentences WHERE lang = 'en'), k AS (SELECT DISTINCT {_SID} AS sentence, token FROM tokens WHERE lang = 'en')
-SELECT phrase, count(*) AS n, count(*) FILTER (contains(' ' || text || ' ', ' ' || phrase || ' ')) AS bound, round(count(*) FILTER (contains(' ' || text || ' ', ' ' || phrase || ' ')) / count(*), 6) AS share
-FROM bi JOIN k ON k.token = head JOIN s USING (sentence) GROUP BY phrase""")
+bi AS (SELECT a.lang, a.token AS head, a.token || ' ' || b.token AS phrase FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND a.sent = b.sent AND b.pos = a.pos + 1 GROUP BY 1, 2, 3 HAVING count(*) >= 40),
+s AS (SELECT {_SID} AS sentence, lower(text) AS text FROM sentences), k AS (SELECT DISTINCT lang, {_SID} AS sentence, token FROM tokens)
+SELECT lang, phrase, count(*) AS n, count(*) FILTER (contains(' ' || text || ' ', ' ' || phrase || ' ')) AS bound, round(count(*) FILTER (contains(' ' || text || ' ', ' ' || phrase || ' ')) / count(*), 6) AS share
+FROM bi JOIN k USING (lang) JOIN s USING (sentence) WHERE k.token = head GROUP BY lang, phrase""")
 def q95(spark, d):
-    t = T.tokens(spark, d).filter("lang = 'en'")
+    t = T.tokens(spark, d)
     w = W.partitionBy("doc_id", "sent").orderBy("pos")
-    bi = t.withColumn("next", F.lead("token").over(w)).filter("next IS NOT NULL").groupBy(F.col("token").alias("head"), F.concat_ws(" ", "token", "next").alias("phrase")).agg(F.count("*").alias("n")).filter("n >= 40")
-    s = T.sentences(spark, d).filter("lang = 'en'").select(_sid(), F.lower("text").alias("text"))
-    return L.phrase_share(t.select(_sid(), "token").distinct().join(s, "sentence"), bi)
+    bi = t.withColumn("next", F.lead("token").over(w)).filter("next IS NOT NULL").groupBy("lang", F.col("token").alias("head"), F.concat_ws(" ", "token", "next").alias("phrase")).agg(F.count("*").alias("n")).filter("n >= 40")
+    s = T.sentences(spark, d).select(_sid(), F.lower("text").alias("text"))
+    return L.phrase_share(t.select("lang", _sid(), "token").distinct().join(s, "sentence"), bi, ("lang",))
 
 
 @query("q96_flat_placement", "WITH " + ANSWERS + """,
@@ -162,29 +158,29 @@ def q96(spark, d):
 
 
 @query("q97_story_drop_reasons", "WITH " + TOKENS + """,
-n AS (SELECT doc_id, sent, text || '.' AS target, lead(text || '.') OVER (PARTITION BY doc_id ORDER BY sent) AS english FROM sentences WHERE lang = 'fr'),
+n AS (SELECT doc_id, sent, text || '.' AS target, lead(text || '.') OVER (PARTITION BY doc_id ORDER BY sent) AS english FROM sentences),
 r AS (SELECT CASE WHEN (length(target) + 6) / (length(english) + 6) NOT BETWEEN 0.7 AND 1.4 THEN 'pair_alignment' WHEN NOT regexp_matches(target, '[.!?]$') THEN 'not_terminated' WHEN regexp_matches(target, '[|#$%&*<>]') THEN 'foreign_chars'
   WHEN len(regexp_extract_all(target, '\\p{L}+')) NOT BETWEEN 3 AND 14 THEN 'token_count' WHEN regexp_full_match(english, '[A-Z][a-z]+[.!?]') THEN 'names_only' ELSE '' END AS reason FROM n WHERE english IS NOT NULL)
 SELECT reason, count(*) AS n FROM r GROUP BY reason""")
 def q97(spark, d):
-    s = T.sentences(spark, d).filter("lang = 'fr'")
+    s = T.sentences(spark, d)
     x = s.select(F.concat("text", F.lit(".")).alias("target"), F.lead(F.concat("text", F.lit("."))).over(W.partitionBy("doc_id").orderBy("sent")).alias("english"))
     return L.story_drops(x.filter("english IS NOT NULL")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("q98_cloze_candidates", "WITH " + WORDS + f""",
-t AS (SELECT {_SID} AS sentence, token, pos FROM tokens WHERE lang = 'es'), c AS (SELECT sentence, count(*) AS n FROM t GROUP BY sentence)
-SELECT sentence, token, min(pos) AS pos FROM t JOIN c USING (sentence) WHERE n > 1 AND token NOT IN (SELECT token FROM words WHERE lang = 'es' AND rank <= 50) GROUP BY sentence, token HAVING count(*) = 1""")
+t AS (SELECT lang, {_SID} AS sentence, token, pos FROM tokens), c AS (SELECT sentence, count(*) AS n FROM t GROUP BY sentence)
+SELECT sentence, token, min(pos) AS pos FROM t JOIN c USING (sentence) ANTI JOIN (SELECT lang, token FROM words WHERE rank <= 50) f ON f.lang = t.lang AND f.token = t.token WHERE n > 1 GROUP BY sentence, token HAVING count(*) = 1""")
 def q98(spark, d):
-    t = T.tokens(spark, d).filter("lang = 'es'").select(_sid(), "token", F.col("pos").cast("long").alias("pos"))
-    return L.cloze(t, T.words(spark, d).filter("lang = 'es' AND rank <= 50"))
+    t = T.tokens(spark, d).select("lang", _sid(), "token", F.col("pos").cast("long").alias("pos"))
+    return L.cloze(t, T.words(spark, d).filter("rank <= 50"), ("lang", "token"))
 
 
 @query("q99_surface_occurrences", "WITH " + TOKENS + f"""
-SELECT {_SID} AS id, token AS surface, count(*) AS n FROM tokens WHERE lang = 'en' GROUP BY 1, 2""")
+SELECT {_SID} AS id, token AS surface, count(*) AS n FROM tokens GROUP BY 1, 2""")
 def q99(spark, d):
-    t = T.tokens(spark, d).filter("lang = 'en'").select(_sid(), "token").distinct()
-    s = T.sentences(spark, d).filter("lang = 'en'").select(_sid(), F.lower("text").alias("text"))
+    t = T.tokens(spark, d).select(_sid(), "token").distinct()
+    s = T.sentences(spark, d).select(_sid(), F.lower("text").alias("text"))
     x = t.join(s, "sentence").select(F.col("sentence").alias("id"), "text", "token")
     return L.occurrences(x, t.select(F.col("token").alias("surface")).distinct()).select("id", "surface", F.col("n").cast("long").alias("n"))
 

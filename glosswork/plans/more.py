@@ -102,13 +102,13 @@ def q71(spark, d):
 
 
 @query("q72_accent_excess", "WITH " + TOKENS + """,
-c AS (SELECT token, count(*) AS n FROM tokens WHERE lang = 'fr' GROUP BY token),
+c AS (SELECT lang || ':' || token AS token, count(*) AS n FROM tokens GROUP BY 1),
 p AS (SELECT b.token AS bare, a.token AS accented, b.n AS nb, a.n AS na FROM c a JOIN c b ON b.token = replace(a.token, 'é', 'e') WHERE a.token <> b.token),
 m AS (SELECT *, CAST(floor(greatest(0.0::DOUBLE, nb - 0.25::DOUBLE * (nb + na))) AS BIGINT) AS moved FROM p),
 d AS (SELECT token, sum(d) AS d FROM (SELECT bare AS token, -moved AS d FROM m UNION ALL SELECT accented, moved FROM m) GROUP BY token)
 SELECT token, CAST(n + coalesce(d, 0) AS BIGINT) AS n FROM c LEFT JOIN d USING (token)""")
 def q72(spark, d):
-    c = T.tokens(spark, d).filter("lang = 'fr'").groupBy("token").agg(F.count("*").alias("n"))
+    c = T.tokens(spark, d).groupBy(F.concat_ws(":", "lang", "token").alias("token")).agg(F.count("*").alias("n"))
     bare = c.select(F.replace("token", F.lit("é"), F.lit("e")).alias("bare"), F.col("token").alias("accented")).filter("bare <> accented")
     return U.accent_excess(c, bare.join(c.select(F.col("token").alias("bare")), "bare").withColumn("share", F.lit(0.25)))
 

@@ -57,8 +57,8 @@ def q34(spark, d):
 @query("q35_distractors_antijoin", """
 WITH x AS (SELECT p_partkey AS id, p_type, p_brand, p_name, md5(CAST(p_partkey AS VARCHAR)) AS ok FROM part),
 i AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY ok, id) AS i, count(*) OVER (PARTITION BY p_type) AS size FROM x),
-a AS (SELECT *, unnest(range(1, 17)) AS j FROM i),
-c AS (SELECT a.id, a.j, b.id AS other FROM a JOIN i b ON b.p_type = a.p_type AND b.i = (a.i + a.j - 1) % a.size + 1 WHERE a.j < a.size AND a.p_brand <> b.p_brand AND a.p_name <> b.p_name)
+a AS (SELECT *, unnest(range(1, size)) AS j FROM i),
+c AS (SELECT a.id, a.j, b.id AS other FROM a JOIN i b ON b.p_type = a.p_type AND b.i = (a.i + a.j - 1) % a.size + 1 WHERE a.p_brand <> b.p_brand AND a.p_name <> b.p_name)
 SELECT id, row_number() OVER (PARTITION BY id ORDER BY j) AS place, other FROM c QUALIFY place <= 3""")
 def q35(spark, d):
     p = T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_type", "p_brand", "p_name", F.md5(F.col("p_partkey").cast("string")).alias("order_key"))
@@ -186,16 +186,16 @@ def q44(spark, d):
 
 
 @query("q46_confusion_matrix", "WITH " + WORDS + """,
-a AS (SELECT token, least(CAST(floor((rank - 1) / 500) AS INT), 3) AS mine FROM words WHERE lang = 'en'),
+a AS (SELECT lang, token, least(CAST(floor((rank - 1) / 500) AS INT), 3) AS mine FROM words),
 s AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS r FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS token FROM conversations) GROUP BY token),
 b AS (SELECT token, least(CAST(floor((r - 1) / 500) AS INT), 3) AS theirs FROM s)
-SELECT mine, theirs, count(*) AS n, mine = theirs AS exact, abs(mine - theirs) <= 1 AS near FROM a JOIN b USING (token) GROUP BY mine, theirs""")
+SELECT lang, mine, theirs, count(*) AS n, mine = theirs AS exact, abs(mine - theirs) <= 1 AS near FROM a JOIN b USING (token) GROUP BY lang, mine, theirs""")
 def q46(spark, d):
     level = lambda c: F.least(F.floor((F.col(c) - 1) / 500).cast("int"), F.lit(3))
-    a = T.words(spark, d).filter("lang = 'en'").select("token", level("rank").alias("mine"))
+    a = T.words(spark, d).select("lang", "token", level("rank").alias("mine"))
     said = T.read(spark, d, "conversations").select(F.explode(T.words_of(F.lower("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     b = T.ranked(said.withColumn("_", F.lit(0)), ["_"]).select("token", level("rank").alias("theirs"))
-    return R.confusion(a.join(b, "token"), "mine", "theirs")
+    return R.confusion(a.join(b, "token"), "mine", "theirs", ("lang",))
 
 
 @query("q47_exam_quota", "WITH " + ANSWERS + """,
@@ -217,37 +217,26 @@ def _meanings(spark, d):
     return a.unionByName(p.select("id", F.concat_ws(":", "p_type", F.floor(F.col("id") / 20).cast("string")).alias("meaning"))).distinct()
 
 
-@query("q54_synonym_pairs", "WITH " + _MEANINGS + """,
-s AS (SELECT meaning FROM m GROUP BY meaning HAVING count(*) BETWEEN 2 AND 64)
-SELECT DISTINCT x.id AS a, y.id AS b FROM m x JOIN m y ON x.meaning = y.meaning AND x.id < y.id SEMI JOIN s ON s.meaning = x.meaning""")
+@query("q54_synonym_pairs", "WITH " + _MEANINGS + """
+SELECT meaning, min(id) OVER (PARTITION BY meaning) AS first, id FROM m QUALIFY count(*) OVER (PARTITION BY meaning) > 1""")
 def q54(spark, d):
-    return R.synonym_pairs(_meanings(spark, d))
+    return R.synonym_links(_meanings(spark, d))
 
 
 @query("q55_division_gate", """
-WITH h AS (SELECT DISTINCT l_suppkey AS owner, p_brand AS value FROM lineitem JOIN part ON p_partkey = l_partkey),
-n AS (SELECT DISTINCT o_custkey AS target, p_brand AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_custkey < 100 AND l_linenumber <= 2)
-SELECT owner, target FROM h JOIN n USING (value) GROUP BY owner, target HAVING count(*) = (SELECT count(*) FROM n z WHERE z.target = n.target)""")
+WITH h AS (SELECT DISTINCT l_suppkey AS id, p_brand || ':' || CAST(p_size // 5 AS VARCHAR) AS value FROM lineitem JOIN part ON p_partkey = l_partkey),
+n AS (SELECT DISTINCT o_custkey AS id, p_brand || ':' || CAST(p_size // 5 AS VARCHAR) AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
+ho AS (SELECT id, min(id) OVER (PARTITION BY v) AS class FROM (SELECT id, string_agg(value, ',' ORDER BY value) AS v FROM h GROUP BY id)),
+nt AS (SELECT id, size, min(id) OVER (PARTITION BY v) AS class FROM (SELECT id, string_agg(value, ',' ORDER BY value) AS v, count(*) AS size FROM n GROUP BY id)),
+x AS (SELECT h.* FROM h SEMI JOIN (SELECT id FROM ho WHERE id = class) k ON k.id = h.id), y AS (SELECT n.*, size FROM n JOIN nt ON nt.id = n.id WHERE n.id = class)
+SELECT 'pair' AS kind, x.id AS a, y.id AS b FROM x JOIN y USING (value) GROUP BY x.id, y.id, size HAVING count(*) = size
+UNION ALL SELECT 'owner', id, class FROM ho UNION ALL SELECT 'target', id, class FROM nt""")
 def q55(spark, d):
-    return _division(spark, d, "l_linenumber <= 2", "o_custkey < 100")
-
-
-def _division(spark, d, lines, orders):
     read = lambda n: T.read(spark, d, n)
-    lp = read("lineitem").join(read("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("value")), "l_partkey")
-    have = lp.select(F.col("l_suppkey").alias("owner"), "value")
-    need = lp.filter(lines).join(read("orders").filter(orders), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("target"), "value")
-    return R.covers(have, need)
-
-
-@query("q131_division_gate_whole", """
-WITH h AS (SELECT DISTINCT l_suppkey AS owner, p_brand AS value FROM lineitem JOIN part ON p_partkey = l_partkey),
-n AS (SELECT DISTINCT o_custkey AS target, p_brand AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
-z AS (SELECT target, count(*) AS size FROM n GROUP BY target)
-SELECT owner, target FROM h JOIN n USING (value) JOIN z USING (target) GROUP BY owner, target, size HAVING count(*) = size""")
-def q131(spark, d):
-    """q55 over all orders and lines."""
-    return _division(spark, d, "true", "true")
+    value = F.concat_ws(":", "p_brand", F.floor(F.col("p_size") / 5).cast("string")).alias("value")
+    lp = read("lineitem").join(read("part").select(F.col("p_partkey").alias("l_partkey"), value), "l_partkey")
+    need = lp.join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("target"), "value")
+    return R.covers(lp.select(F.col("l_suppkey").alias("owner"), "value"), need)
 
 
 @query("q59_key_functions", """
@@ -260,8 +249,8 @@ def q59(spark, d):
 
 
 @query("q60_token_context", "WITH " + TOKENS + """
-SELECT doc_id, sent, pos, token, coalesce(lag(token) OVER w, '') AS before, coalesce(lead(token) OVER w, '') AS after FROM tokens WHERE lang = 'es' WINDOW w AS (PARTITION BY doc_id, sent ORDER BY pos)""")
+SELECT doc_id, sent, pos, token, coalesce(lag(token) OVER w, '') AS before, coalesce(lead(token) OVER w, '') AS after FROM tokens WINDOW w AS (PARTITION BY doc_id, sent ORDER BY pos)""")
 def q60(spark, d):
     w = W.partitionBy("doc_id", "sent").orderBy("pos")
-    t = T.tokens(spark, d).filter("lang = 'es'")
+    t = T.tokens(spark, d)
     return t.select("doc_id", "sent", "pos", "token", F.coalesce(F.lag("token").over(w), F.lit("")).alias("before"), F.coalesce(F.lead("token").over(w), F.lit("")).alias("after"))

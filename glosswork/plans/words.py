@@ -117,20 +117,20 @@ def q26(spark, d):
 
 
 @query("q27_sense_association", "WITH " + TOKENS + """,
-b AS (SELECT DISTINCT source AS key, doc_id * 100000 + sent AS sentence, token FROM tokens WHERE lang = 'en'),
-f AS (SELECT key, sentence FROM (SELECT DISTINCT key, sentence FROM b) QUALIFY row_number() OVER (PARTITION BY key ORDER BY sentence) <= 400),
-sz AS (SELECT key, count(*) AS nsent FROM f GROUP BY key),
-df AS (SELECT key, token, count(*) AS df FROM b JOIN f USING (key, sentence) GROUP BY ALL),
-bg AS (SELECT token, count(*) AS bg FROM (SELECT DISTINCT sentence, token FROM b) GROUP BY token),
-al AS (SELECT count(DISTINCT sentence) AS all_ FROM b),
-x AS (SELECT key, token, df / nsent AS p, (bg + 1) / all_ AS q FROM df JOIN sz USING (key) JOIN bg USING (token) CROSS JOIN al)
-SELECT key, token, round(CASE WHEN p > q THEN p * log2(p / q) ELSE 0.0 END, 6) AS score FROM x""")
+b AS (SELECT DISTINCT lang, source AS key, doc_id * 100000 + sent AS sentence, token FROM tokens),
+f AS (SELECT lang, key, sentence FROM (SELECT DISTINCT lang, key, sentence FROM b) QUALIFY row_number() OVER (PARTITION BY lang, key ORDER BY sentence) <= 400),
+sz AS (SELECT lang, key, count(*) AS nsent FROM f GROUP BY ALL),
+df AS (SELECT lang, key, token, count(*) AS df FROM b JOIN f USING (lang, key, sentence) GROUP BY ALL),
+bg AS (SELECT lang, token, count(*) AS bg FROM (SELECT DISTINCT lang, sentence, token FROM b) GROUP BY ALL),
+al AS (SELECT lang, count(DISTINCT sentence) AS all_ FROM b GROUP BY lang),
+x AS (SELECT lang, key, token, df / nsent AS p, (bg + 1) / all_ AS q FROM df JOIN sz USING (lang, key) JOIN bg USING (lang, token) JOIN al USING (lang))
+SELECT lang, key, token, round(CASE WHEN p > q THEN p * log2(p / q) ELSE 0.0 END, 6) AS score FROM x""")
 def q27(spark, d):
-    t = T.tokens(spark, d).filter("lang = 'en'")
-    bags = t.select(F.col("source").alias("key"), (F.col("doc_id") * 100000 + F.col("sent")).alias("sentence"), "token").distinct()
-    whole = bags.agg(F.count_distinct("sentence").alias("all"))
-    background = bags.groupBy("token").agg(F.count_distinct("sentence").alias("bg")).crossJoin(F.broadcast(whole))  # one row
-    return C.sense_association(bags, background)
+    t = T.tokens(spark, d)
+    bags = t.select("lang", F.col("source").alias("key"), (F.col("doc_id") * 100000 + F.col("sent")).alias("sentence"), "token").distinct()
+    whole = bags.groupBy("lang").agg(F.count_distinct("sentence").alias("all"))
+    background = bags.groupBy("lang", "token").agg(F.count_distinct("sentence").alias("bg")).join(whole, "lang")
+    return C.sense_association(bags, background, ("lang",))
 
 
 _EXAMPLES = WORDS + """,
@@ -138,21 +138,21 @@ sz AS (SELECT doc_id, sent, count(*) AS n FROM tokens GROUP BY ALL HAVING count(
 t AS (SELECT DISTINCT lang, doc_id, sent, token, n FROM tokens JOIN sz USING (doc_id, sent)),
 ra AS (SELECT doc_id, sent, max(rank) AS rarest FROM t JOIN words USING (lang, token) GROUP BY ALL),
 ex AS (SELECT t.lang, t.token, row_number() OVER (PARTITION BY t.lang, t.token ORDER BY abs(t.n - 7), rarest, doc_id, sent) AS place, doc_id, sent, t.n, rarest
-  FROM t JOIN ra USING (doc_id, sent) JOIN words w ON w.lang = t.lang AND w.token = t.token AND w.rank <= 200 QUALIFY place <= 2)"""
+  FROM t JOIN ra USING (doc_id, sent) JOIN words w ON w.lang = t.lang AND w.token = t.token QUALIFY place <= 2)"""
 
 
 @query("q28_example_selection_window", "WITH " + _EXAMPLES + " SELECT * FROM ex")
 def q28(spark, d):
-    return C.example_selection(T.words(spark, d), T.tokens(spark, d), T.sentences(spark, d))
+    return C.example_selection(T.words(spark, d), T.tokens(spark, d))
 
 
 @query("q29_coverage_histogram", "WITH " + _EXAMPLES + """,
 k AS (SELECT lang, token, count(*) AS k FROM ex GROUP BY ALL),
-g AS (SELECT lang, count(*) AS words, count(*) FILTER (k >= 1) AS one, count(*) FILTER (k >= 2) AS two FROM (SELECT lang, token FROM words WHERE rank <= 200) LEFT JOIN k USING (lang, token) GROUP BY lang)
+g AS (SELECT lang, count(*) AS words, count(*) FILTER (k >= 1) AS one, count(*) FILTER (k >= 2) AS two FROM words LEFT JOIN k USING (lang, token) GROUP BY lang)
 SELECT *, one >= 0.9 * words AND two >= 0.7 * words AS gate FROM g""")
 def q29(spark, d):
     words = T.words(spark, d)
-    return C.coverage_histogram(words.filter("rank <= 200"), C.example_selection(words, T.tokens(spark, d), T.sentences(spark, d)))
+    return C.coverage_histogram(words, C.example_selection(words, T.tokens(spark, d)))
 
 
 @query("q30_token_coverage", "WITH " + WORDS + """

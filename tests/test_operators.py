@@ -1,13 +1,15 @@
 """Operators on small cases worked by hand."""
 
 import io
+import math
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from glosswork.functions import folding, spans
-from glosswork.operators import alignment, corpus, planners, progress, relations, sessions, state, units
+from glosswork.functions import folding, glosses, spans
+from glosswork.operators import alignment, corpus, linking, planners, progress, relations, sessions, state, units
 from glosswork.plans.catalogue import queries
 from glosswork.sources import tables
 from glosswork.sources.html import epub_pages, page_text
@@ -178,8 +180,7 @@ def test_folds():
     assert folding.pointing_key("замо́к") == "замок"
     assert folding.kana_fold("カナ") == "かな"
     assert folding.mark_syllable("xue", 2) == "xué" and folding.mark_syllable("lü", 4) == "lǜ" and folding.tone_of("hǎo") == 3
-    assert folding.pron_key("jǚ v") == "jǔü" and folding.affix_alternatives("~a") == []
-    assert folding.english_stem("making", frozenset({"make"})) == "make" and folding.english_stem("plane", frozenset({"plan"})) == "plane"
+    assert folding.pron_key("jǚ v") == "jǔü"
     assert folding.graphemes("éa") == ["é", "a"]
 
 
@@ -205,10 +206,76 @@ def test_levels_are_bound():
     assert planners.moved(keys, {}, {}, [3, 3, 3]) == keys
 
 
-def test_gloss_sides():
-    assert folding.quality_of("to be careful") == "careful" and folding.quality_of("to be about") == "" == folding.quality_of("be careful")
-    assert folding.before_or("no matter what or how") == "no matter what" and folding.before_or("hot or boiling water") == "" == folding.before_or("(a or b)")
-    assert folding.english_sentences("Mr. Fox ran. \u201cStop!\u201d He did\u2026 not") == ["Mr. Fox ran.", '"Stop!"', "He did... not"]
+def test_gloss_sides(spark):
+    rows = ["to be careful", "to be about", "be careful", "to feel here", "no matter what or how", "hot or boiling water", "(a or b)", "(a or b) or c (d e)", "-a/b(c)", "plain", None]
+    x = spark.createDataFrame([(r,) for r in rows], "g string").select("g", glosses.quality_of(F.col("g")).alias("q"), glosses.before_or(F.col("g")).alias("o"), glosses.affix_alternatives(F.col("g")).alias("a")).collect()
+    by = {r["g"]: r for r in x}
+    assert {g for g, r in by.items() if r["q"]} == {"to be careful"} and by["to be careful"]["q"] == "careful"
+    assert {g: r["o"] for g, r in by.items() if r["o"]} == {"no matter what or how": "no matter what", "(a or b) or c (d e)": "(a or b)"}
+    assert by["-a/b(c)"]["a"] == ["a/b(c)", "a", "b(c)", "a/bc", "a/b", "bc", "b"] and by["plain"]["a"] == []
+
+
+def test_english_sentences(spark):
+    page = "Mr. Fox ran. \u201cStop!\u201d He did\u2026 not"
+    got = spark.createDataFrame([(page,), ("",), ("No end. Here? <b>Yes</b>!",)], "p string").select(glosses.sentences_of(F.col("p"))).collect()
+    assert [r[0] for r in got] == [["Mr. Fox ran.", '"Stop!"', "He did... not"], [], ["No end.", "Here?", "Yes !"]]
+
+
+def test_stems_are_attested(spark):
+    words = ["making", "plane", "stopped", "stories", "boxes", "houses", "cats", "glass", "tried", "running", "went", "unknowned"]
+    known = ["make", "plan", "stop", "story", "box", "house", "cat", "try", "run"]
+    frame = lambda x, c: spark.createDataFrame([(v,) for v in x], f"{c} string")
+    got = glosses.stems(frame(words, "word"), frame(known, "word"), spark.createDataFrame([("went", "go")], "word string, base string")).collect()
+    assert {r["word"]: r["stem"] for r in got} == {"making": "make", "plane": "plane", "stopped": "stop", "stories": "story", "boxes": "box", "houses": "house", "cats": "cat", "glass": "glass", "tried": "try", "running": "run", "went": "go", "unknowned": "unknowned"}
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_alignment_against_all_ways(seed):
+    rng = random.Random(seed)
+    text = lambda k: "x" * rng.randrange(4, 40)
+    us, es = [text(k) for k in range(rng.randrange(1, 6))], [text(k) for k in range(rng.randrange(1, 6))]
+
+    def ways(i, j):
+        if (i, j) == (len(us), len(es)):
+            yield 0.0, []
+        for a, b in alignment.BEADS:
+            if i + a <= len(us) and j + b <= len(es):
+                r = (len(" ".join(us[i : i + a])) + 6) / (len(" ".join(es[j : j + b])) + 6)
+                if 0.7 <= r <= 1.4:
+                    yield from ((c + abs(math.log(r)), [(a, b), *p]) for c, p in ways(i + a, j + b))
+
+    best = min(ways(0, 0), default=(math.inf, []))
+    got = alignment.path(us, es)
+    assert bool(got) == bool(best[1]) and (not got or abs(sum(abs(math.log((len(" ".join(us[i : i + a])) + 6) / (len(" ".join(es[j : j + b])) + 6))) for (i, j), (a, b) in zip([(sum(x for x, _ in got[:k]), sum(y for _, y in got[:k])) for k in range(len(got))], got, strict=True)) - best[0]) < 1e-9)
+
+
+def test_page_shift_keeps_a_constant_difference(spark):
+    rng = random.Random(2)
+    story = {k: [rng.randrange(100, 900) for _ in range(8)] for k in range(4)}
+    pages = [(k, n, x) for k, v in story.items() for n, x in enumerate(v)]
+    # Numbers 9 apart; the same numbers; the first page missing; every page one further, under an extra first one.
+    twins = [(0, n + 9, x) for n, x in enumerate(story[0])] + [(1, n, 2 * x) for n, x in enumerate(story[1])] + [(2, n, x) for n, x in enumerate(story[2]) if n]
+    twins += [(3, n + 1, x) for n, x in enumerate(story[3])] + [(3, 0, 5)]
+    frame = lambda rows: spark.createDataFrame(rows, "story long, n long, len long")
+    got = {r["story"]: (r["shift"], r["usual"], r["pages"]) for r in linking.page_shift(frame(pages), frame(twins)).collect()}
+    assert got == {0: (9, 9, 8), 1: (0, 0, 8), 2: (0, 0, 7), 3: (1, 0, 8)}
+
+
+def test_examples_choose_as_one_after_another_over_all_candidates(spark):
+    rng = random.Random(4)
+    rows = sorted({("x", f"w{rng.randrange(12)}", d, s) for d in range(30) for s in range(4) for _ in range(3)})
+    size = {(d, s): (rng.randrange(3, 14), rng.randrange(50)) for _, _, d, s in rows}
+    rows = [(*r, *size[r[2:]]) for r in rows]
+    got = planners.examples_exact(spark.createDataFrame(rows, "lang string, token string, doc_id long, sent int, n long, rarest long")).collect()
+    by, used, want = {}, set(), []
+    for r in rows:
+        by.setdefault(r[1], []).append(r)
+    for token in sorted(by, key=lambda t: (len(by[t]), t)):
+        order = sorted(((d, s) not in used, abs(n - 7), z, d, s) for _, _, d, s, n, z in by[token])[:2]
+        for place, (*_, d, s) in enumerate(order, 1):
+            used.add((d, s))
+            want.append((token, place, d, s))
+    assert sorted((r["token"], r["place"], r["doc_id"], r["sent"]) for r in got) == sorted(want)
 
 
 def test_refill(spark):
@@ -219,8 +286,8 @@ def test_refill(spark):
 
 
 def test_fnv(spark):
-    got = spark.createDataFrame([("",), ("a",), ("foobar",)], "s string").select(relations.fnv1a(F.col("s"))).collect()
-    assert [r[0] for r in got] == [0x811C9DC5, 0xE40C292C, 0xBF9CF968]
+    got = spark.createDataFrame([("",), ("a",), ("foobar",), ("\U0001f600",)], "s string").select(relations.fnv1a(F.col("s"))).collect()
+    assert [r[0] for r in got] == [0x811C9DC5, 0xE40C292C, 0xBF9CF968, 3409036472]
 
 
 def test_version_diff_treats_nulls_as_equal(spark):
@@ -232,20 +299,27 @@ def test_version_diff_treats_nulls_as_equal(spark):
 
 def test_synonyms_of_a_frequent_meaning(spark):
     rows = [(k, "hot") for k in range(150)] + [(k, f"m{k // 2}") for k in range(100, 200)] + [(999, "alone")]
-    got = {(r["a"], r["b"]) for r in relations.synonym_pairs(spark.createDataFrame(rows, "id long, meaning string")).collect()}
-    assert got == {(a, b) for a in range(200) for b in range(a + 1, 200) if b < 150 or (a >= 100 and a // 2 == b // 2)}
+    got = {tuple(r) for r in relations.synonym_links(spark.createDataFrame(rows, "id long, meaning string")).collect()}
+    assert got == {("hot", 0, k) for k in range(150)} | {(f"m{k // 2}", k - k % 2, k) for k in range(100, 200)}
 
 
-def test_division_and_curves_over_whole_tables(spark, tmp_path):
+def test_division_by_classes(spark):
+    rng = random.Random(6)
+    have = [(o, rng.randrange(5)) for o in range(40) for _ in range(6)]
+    need = [(t, rng.randrange(5)) for t in range(60) for _ in range(3)]
+    got = [tuple(r) for r in relations.covers(spark.createDataFrame(have, "owner long, value int"), spark.createDataFrame(need, "target long, value int")).collect()]
+    h, n = ({k: {v for x, v in rows if x == k} for k, _ in rows} for rows in (have, need))
+    of = {kind: {a: b for k, a, b in got if k == kind} for kind in ("owner", "target")}
+    pairs = {(a, b) for k, a, b in got if k == "pair"}
+    assert {(o, t) for o in h for t in n if (of["owner"][o], of["target"][t]) in pairs} == {(o, t) for o in h for t in n if n[t] <= h[o]}
+    assert len(of["owner"].values()) == 40 and len(set(of["owner"].values())) == len({frozenset(v) for v in h.values()})
+
+
+def test_curves_over_whole_tables(spark, tmp_path):
     put = lambda name, columns, rows: spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}.parquet")
-    put("part", "p_partkey long, p_brand string", [(1, "a"), (2, "b"), (3, "c")])
-    put("lineitem", "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int", [(10, 1, 1, 1), (10, 2, 1, 2), (10, 3, 2, 3), (20, 1, 2, 1), (20, 2, 2, 5)])
     put("orders", "o_orderkey long, o_custkey long, o_totalprice double", [(10, 7, 90.5), (20, 205, 500.0)])
     put("customer", "c_custkey long, c_nationkey long, c_acctbal double, c_name string", [(10, 2, 1.5, "ten"), (11, 2, 2.0, "eleven"), (13, 0, 2.0, "thirteen")])
-    got = queries()["q131_division_gate_whole"](spark, str(tmp_path)).collect()
-    # Supplier 1 has a and b, supplier 2 all three; order 10 asks for a, b and c, order 20 for a and b.
-    assert sorted(tuple(r) for r in got) == [(1, 205), (2, 7), (2, 205)]
-    got = {r["id"]: r["curve"] for r in queries()["q132_nearest_curve_whole"](spark, str(tmp_path)).collect()}
+    got = {r["id"]: r["curve"] for r in queries()["q93_nearest_placed_curve"](spark, str(tmp_path)).collect()}
     assert got == {10: "eleven", 20: "thirteen"}
 
 
