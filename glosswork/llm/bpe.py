@@ -2,7 +2,7 @@
 
 A text (what stands between special tokens of a long one) is cut in equal
 halves until each is a leaf; the library encodes all
-leaves of a batch in parallel, then neighbours are joined pair by pair. At a
+leaves of a text in parallel, then neighbours are joined pair by pair. At a
 join a window of text round the cut, from the start of a token on the left to
 the end of one on the right, is encoded anew, and grows until it agrees with
 both sides: until AGREE tokens in a row are the same, with the same places in
@@ -43,20 +43,24 @@ from .base import keyed, table, unkeyed, with_made
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Code points of a leaf, and of the first window on each side of a cut; tokens that must agree.
-LEAF_CHARS, WINDOW_CHARS, AGREE = 16384, 32, 2
+LEAF_CHARS, WINDOW_CHARS, AGREE = 32768, 32, 2
 #: Leaves that the library encodes at once, and its threads.
 LEAVES, THREADS = 256, 2
 #: Longest word that a word cache holds, and the bytes of an entry beside the word and its ids.
 CACHED_CHARS, ENTRY_BYTES = 48, 200
 
-_coders: dict[tuple[str, int], "Coder"] = {}
+#: What a worker's cache of the ids of words may take.
+CACHE_BYTES = 192 << 20
 
+_coders: dict[tuple, "Coder"] = {}
 
-def coder(path: str = VOCABULARY, cache_bytes: int = 0) -> "Coder":
+
+def coder(path: str = VOCABULARY, cache_bytes: int = CACHE_BYTES, parted: bool = False) -> "Coder":
     """This worker's coder for a vocabulary file; a worker that runs several tasks builds it once."""
-    if (path, cache_bytes) not in _coders:
-        _coders[path, cache_bytes] = Coder(path, cache_bytes)
-    return _coders[path, cache_bytes]
+    key = (path, cache_bytes, parted)
+    if key not in _coders:
+        _coders[key] = Coder(*key)
+    return _coders[key]
 
 
 def _closed(text: str, at: int) -> bool:
@@ -125,9 +129,9 @@ def _agreement(window: Tokens, side: Tokens, text: str, low: int, high: int) ->
 
 
 class Coder:
-    """cache_bytes: what a cache of the ids of short words may take, for callers that encode much text of few words; 0 for none."""
+    """cache_bytes: what a cache of the ids of short words may take, by which texts of one leaf are encoded; 0 for none. parted: words are parted for it as _apart does."""
 
-    def __init__(self, path: str = VOCABULARY, cache_bytes: int = 0):
+    def __init__(self, path: str = VOCABULARY, cache_bytes: int = 0, parted: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         from tokenizers import Tokenizer
@@ -136,7 +140,7 @@ class Coder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cache: dict[str, bytes] = {}
-        self.cache_bytes, self.held = cache_bytes, 0
+        self.cache_bytes, self.parted, self.held = cache_bytes, parted, 0
         self.encoded_chars = 0  # code points that the library has encoded
         added = self.tokenizer.get_added_tokens_decoder()
         if any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in added.values()):
@@ -175,7 +179,7 @@ class Coder:
         if self.held > self.cache_bytes:
             self.cache.clear()
             self.held = 0
-        known, cut = self.cache, [_apart(t).replace("\n", " ").split(" ") for t in texts]
+        known, cut = self.cache, [(_apart(t) if self.parted else t).replace("\n", " ").split(" ") for t in texts]
         new, long = list({w for words in cut for w in words}.difference(known)), {}
         for k in range(0, len(new), LEAVES):
             for w, ids in zip(new[k : k + LEAVES], self._each(new[k : k + LEAVES]), strict=True):

@@ -39,10 +39,10 @@ from .bpe import VOCABULARY, coder
 
 CAPACITY = 2048
 #: Pieces of an island, packings of a population, generations of an epoch, patterns that migrate.
-ISLAND_PIECES, POPULATION, GENERATIONS, ELITES = 4096, 4, 12, 64
+ISLAND_PIECES, POPULATION, GENERATIONS, ELITES = 4096, 4, 6, 64
 
-#: What a worker's cache of ids of words may take; code points of a text that is encoded by its words, not as a tree.
-CACHE_BYTES, LEAF_CHARS = 160 << 20, 1 << 20
+#: Code points of a text that is encoded by its words, not as a tree.
+LEAF_CHARS = 1 << 20
 
 #: Keys pass through pandas as text, see keyed.
 PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long, uid long"
@@ -52,7 +52,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, path: str = VOCABULARY)
     """Tokenizes docs (doc_id, text) and cuts what is longer than capacity."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, uid = coder(path, CACHE_BYTES), TaskContext.get().partitionId() << 33
+        c, uid = coder(path, parted=True), TaskContext.get().partitionId() << 33
         for pdf in batches:
             for k in range(0, len(pdf), 512):
                 rows = []

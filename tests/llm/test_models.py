@@ -40,13 +40,13 @@ PARTS = ["a", "B", " ", "\n", ".", ",", "\u0301", "é", "'s", "'", "<|endoftext|
 
 @pytest.mark.parametrize("leaf, window", [(2, 1), (5, 3), (17, 1), (8192, 32)])
 def test_bpe_tree_equals_the_library(leaf, window):
-    c, cached, rng = bpe.Coder(), bpe.Coder(cache_bytes=20_000), random.Random(leaf)
+    c, cached, rng = bpe.Coder(), [bpe.Coder(cache_bytes=20_000, parted=x) for x in (False, True)], random.Random(leaf)
     for k in range(600):
         some = PARTS if k % 2 else rng.sample(PARTS, rng.randrange(1, 8))
         s = "".join(rng.choice(some) for _ in range(rng.randrange(70)))
         ids = c.tokenizer.encode(s, add_special_tokens=False).ids
         assert np.frombuffer(c.encode([s], leaf, window)[0], "<u4").tolist() == ids
-        assert np.frombuffer(cached.encode([s], leaf, window)[0], "<u4").tolist() == ids
+        assert all(np.frombuffer(x.encode([s], size, window)[0], "<u4").tolist() == ids for x in cached for size in (leaf, 8192))
 
 
 @pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "漢字仮名", "#$%!"])
