@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def learned(words: DataFrame, state: DataFrame, set_size: int, sets_done: DataFrame) -> DataFrame:
@@ -148,3 +149,34 @@ def overrides(rows: DataFrame, table: DataFrame, column: str) -> tuple[DataFrame
     """(rows with the override where there is one, overrides that fit no row). table: (id, value)."""
     x = rows.join(table.select("id", F.col("value").alias("_v")), "id", "left").withColumn(column, F.coalesce("_v", column)).drop("_v")
     return x, table.join(rows.select("id"), "id", "left_anti")
+
+
+def exclusions(words: DataFrame, rules: list[tuple[str, Column]], key: str, order: list, samples: int = 25) -> tuple[DataFrame, DataFrame]:
+    """(words that no rule excludes; (reason, n, samples) of the others): the first rule that holds is the reason; samples are its first words in the order, a list of bounded length."""
+    reason = F.coalesce(*[F.when(c, name) for name, c in rules], F.lit(""))
+    x = words.withColumn("reason", reason)
+    out = x.filter("reason <> ''")
+    i = F.row_number().over(W.partitionBy("reason").orderBy(*order))
+    some = out.withColumn("_i", i).filter(F.col("_i") <= samples).groupBy("reason").agg(F.sort_array(F.collect_list(F.struct("_i", key))).alias("s"))
+    told = out.groupBy("reason").agg(F.count("*").alias("n")).join(some, "reason").select("reason", "n", F.array_join(F.transform("s", lambda r: r[key]), " ").alias("samples"))
+    return x.filter("reason = ''").drop("reason"), told
+
+
+def without(df: DataFrame, name: str) -> DataFrame:
+    """df without the fields of a name, however deep in structs and arrays they stand."""
+
+    def pruned(kind: T.DataType) -> T.DataType:
+        if isinstance(kind, T.ArrayType):
+            return T.ArrayType(pruned(kind.elementType), kind.containsNull)
+        if isinstance(kind, T.StructType):
+            return T.StructType([T.StructField(f.name, pruned(f.dataType), f.nullable) for f in kind.fields if f.name != name])
+        return kind
+
+    def kept(c: Column, kind: T.DataType) -> Column:
+        if kind == pruned(kind):
+            return c
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: kept(x, kind.elementType))
+        return F.when(c.isNotNull(), F.struct(*[kept(c[f.name], f.dataType).alias(f.name) for f in kind.fields if f.name != name]))
+
+    return df.select(*[kept(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields if f.name != name])

@@ -7,7 +7,8 @@ from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from glosswork.operators.state import MISS_SESSIONS, RECENT
 from glosswork.sources.tables import PRODUCTION
@@ -105,6 +106,22 @@ def weighted_pick(weights: dict[str, float], u: float) -> str:
     return names[int(np.searchsorted(cuts / cuts[-1], u, "right"))]
 
 
+def hearable(kind: Column, playable: Column) -> tuple[Column, Column]:
+    """(kind, asked): a listening item that the device cannot play is read instead and still counts as heard; null playable is not playable."""
+    mute = (kind == "hear") & ~F.coalesce(playable, F.lit(False))
+    return F.when(mute, "read").otherwise(kind), kind
+
+
+def weighted_kind(u: Column, weights: dict[str, float]) -> Column:
+    """weighted_pick of each row, as a column: the kind in whose part of the summed weights u, in [0, 1), falls."""
+    total, at, out = sum(weights.values()), 0.0, None
+    for kind, w in weights.items():
+        at += w
+        low = u < F.lit(at / total)
+        out = F.when(low, kind) if out is None else out.when(low, kind)
+    return out.otherwise(list(weights)[-1])
+
+
 def combination(m: int, k: int, number: int) -> tuple[int, ...]:
     """The number-th k-subset of range(m) in order, going round."""
     return next(islice(combinations(range(m), k), number % math.comb(m, k), None))

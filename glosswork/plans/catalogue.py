@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glosswork.plans import kept, learner, linked, more, relational, texts, words
+from glosswork.plans import extra, kept, learner, linked, more, relational, texts, words
 
-PARTS = (learner, words, relational, texts, more, linked, kept)
+PARTS = (learner, words, relational, texts, more, linked, kept, extra)
 
 
 def queries() -> dict:

@@ -14,48 +14,57 @@ from pyspark.sql import functions as F
 PERMISSIVE_AUDIO = ("CC BY 4.0", "CC BY-SA 4.0", "CC BY 2.0 FR", "CC0 1.0", "Public domain")
 
 
-def _tsv(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    schema = ", ".join(f"{c} string" for c in columns)
-    return spark.read.option("mode", "PERMISSIVE").csv(path, sep="\t", quote="", escape="", schema=schema)
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value) of each line of text files; compressed ones by their names."""
+    return spark.read.text(path)
 
 
-def sentences(spark: SparkSession, path: str, lang: str) -> DataFrame:
-    """(id, text, user) of one language from lines id, language, text, user."""
-    t = _tsv(spark, path, "id", "lang", "text", "user")
-    return t.filter((F.col("lang") == lang) & F.col("text").isNotNull()).select(F.expr("try_cast(id AS bigint)").alias("id"), "text", "user").filter("id IS NOT NULL")
+def _tsv(lines: DataFrame, *columns: str) -> DataFrame:
+    """Fields between tabs, as they stand (no quoting); missing ones are null."""
+    parts = F.split("value", "\t")
+    return lines.select(*[F.get(parts, F.lit(k)).alias(c) for k, c in enumerate(columns)])
 
 
-def links(spark: SparkSession, path: str) -> DataFrame:
+def sentences(lines: DataFrame, lang: str) -> DataFrame:
+    """(id, text, user) of one language from lines id, language, text, user; those without a number, a text or the language go."""
+    t = _tsv(lines, "id", "lang", "text", "user")
+    t = t.filter((F.col("lang") == lang) & (F.col("text") != ""))
+    return t.select(F.expr("try_cast(id AS bigint)").alias("id"), "text", "user").filter("id IS NOT NULL")
+
+
+def links(lines: DataFrame) -> DataFrame:
     """(left_id, right_id) from lines of two ids; other lines are left out."""
-    t = _tsv(spark, path, "a", "b")
+    t = _tsv(lines, "a", "b")
     return t.select(F.expr("try_cast(a AS bigint)").alias("left_id"), F.expr("try_cast(b AS bigint)").alias("right_id")).dropna()
 
 
-def audio(spark: SparkSession, path: str, licences: tuple[str, ...] = PERMISSIVE_AUDIO) -> DataFrame:
+def audio(lines: DataFrame, licences: tuple[str, ...] = PERMISSIVE_AUDIO) -> DataFrame:
     """(id, clip, user, licence): recordings with number ids and a permissive licence."""
-    t = _tsv(spark, path, "id", "clip", "user", "licence")
+    t = _tsv(lines, "id", "clip", "user", "licence")
     return t.filter(F.col("id").rlike("^[0-9]+$") & F.col("clip").rlike("^[0-9]+$") & F.col("licence").isin(*licences)).withColumns({c: F.col(c).cast("long") for c in ("id", "clip")})
 
 
 LEXICON = "word string, lang_code string, pos string, senses array<struct<glosses: array<string>, tags: array<string>, form_of: array<struct<word: string>>>>"
 
 
-def lexicon(spark: SparkSession, path: str, lang: str) -> DataFrame:
+def lexicon(lines: DataFrame, lang: str) -> DataFrame:
     """Entries of one language from JSON lines. Lines without the language's code are dropped before any is parsed."""
-    lines = spark.read.text(path).filter(F.col("value").contains(f'"{lang}"'))
-    return lines.select(F.from_json("value", LEXICON).alias("e")).select("e.*").filter(F.col("lang_code") == lang)
+    some = lines.filter(F.col("value").contains(f'"{lang}"'))
+    return some.select(F.from_json("value", LEXICON).alias("e")).select("e.*").filter(F.col("lang_code") == lang)
 
 
-def subtitle_list(spark: SparkSession, path: str, fold=F.lower, pattern: str = r"^\p{L}+$", most: int = 100_000) -> DataFrame:
-    """(token, n) from lines `surface count`: the first `most` distinct surfaces in the order of the file, counts of equal folds added up.
+def subtitle_list(lines: DataFrame, fold=F.lower, pattern: str = r"^\p{L}+$", most: int | None = 100_000) -> DataFrame:
+    """(token, n) from lines `surface count`: the first `most` distinct surfaces in the order of the file (None: all), counts of equal folds added up.
 
     Only what stands up to the line of the last new surface counts. The order is
     that of the file's bytes; line numbers are taken by blocks, so no task sorts
     the whole list.
     """
-    t = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    t = lines.withColumn("at", F.monotonically_increasing_id())
     parts = F.split("value", " ")
     t = t.select("at", fold(parts[0]).alias("token"), F.expr("try_cast(split(value, ' ')[1] AS bigint)").alias("n"), parts[0].rlike(pattern).alias("ok")).filter("ok AND n IS NOT NULL")
+    if most is None:
+        return t.groupBy("token").agg(F.sum("n").alias("n"))
     first = t.groupBy("token").agg(F.min("at").alias("at"))
     last = first.orderBy("at").limit(most).agg(F.max("at").alias("last"))
     return t.crossJoin(F.broadcast(last)).filter(F.col("at") <= F.col("last")).groupBy("token").agg(F.sum("n").alias("n"))  # one row

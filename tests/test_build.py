@@ -36,14 +36,14 @@ def test_corpus_readers(spark, tmp_path):
     (tmp_path / "s.tsv").write_text('1\tfra\tUn "mot.\tu\n2\teng\tA word.\tv\nx\tfra\tbad\tw\n3\tfra\n')
     (tmp_path / "l.tsv").write_text("1\t2\n1\tz\n")
     (tmp_path / "a.tsv").write_text("1\t7\tu\tCC BY 4.0\n1\t8\tu\tNone\nq\t9\tu\tCC0 1.0\n")
-    assert [tuple(r) for r in readers.sentences(spark, str(tmp_path / "s.tsv"), "fra").collect()] == [(1, 'Un "mot.', "u")]
-    assert [tuple(r) for r in readers.links(spark, str(tmp_path / "l.tsv")).collect()] == [(1, 2)]
-    assert [r["clip"] for r in readers.audio(spark, str(tmp_path / "a.tsv")).collect()] == [7]
+    assert [tuple(r) for r in readers.sentences(readers.lines(spark, str(tmp_path / "s.tsv")), "fra").collect()] == [(1, 'Un "mot.', "u")]
+    assert [tuple(r) for r in readers.links(readers.lines(spark, str(tmp_path / "l.tsv"))).collect()] == [(1, 2)]
+    assert [r["clip"] for r in readers.audio(readers.lines(spark, str(tmp_path / "a.tsv"))).collect()] == [7]
 
 
 def test_lists(spark, tmp_path):
     (tmp_path / "f.txt").write_text("The 9\nof 5\nthe 3\n12 4\ncat 2\nof 1\n")
-    got = readers.subtitle_list(spark, str(tmp_path / "f.txt"), most=2).collect()
+    got = readers.subtitle_list(readers.lines(spark, str(tmp_path / "f.txt")), most=2).collect()
     assert {r["token"]: r["n"] for r in got} == {"the": 9, "of": 5}
     z = readers.zipf_list(spark.createDataFrame([("A", 1.0), ("a", 1.0)], "word string, zipf double")).collect()
     assert [(r["token"], r["n"]) for r in z] == [("a", 20.0)]
@@ -51,7 +51,7 @@ def test_lists(spark, tmp_path):
 
 def test_lexicon_json_and_script(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"word": "mot", "lang_code": "fr", "pos": "noun", "senses": [{"glosses": ["word"]}]}\n{"word": "fr", "lang_code": "en"}\nnot json "fr"\n')
-    assert [r["word"] for r in readers.lexicon(spark, str(tmp_path / "x.jsonl"), "fr").collect()] == ["mot"]
+    assert [r["word"] for r in readers.lexicon(readers.lines(spark, str(tmp_path / "x.jsonl")), "fr").collect()] == ["mot"]
     (tmp_path / "w.js").write_text('const OTHER = [];\nconst WORDS = [{"id": 1, "w": "a"},\n {"id": 2, "w": "b"}];\n')
     assert [r["w"] for r in readers.js_constant(spark, str(tmp_path / "w.js"), "WORDS", "id int, w string").collect()] == ["a", "b"]
     (tmp_path / "t.json").write_text(json.dumps([{"id": 1}, {"id": 2}]))
