@@ -140,19 +140,39 @@ def flat_profile(buckets: DataFrame, spread: float = 15.0) -> DataFrame:
     return g.select("learner", flat.alias("flat"), F.when(flat, F.round(100.0 * F.col("r") / F.col("n"), 6)).otherwise(-1.0).alias("pct"))
 
 
-def story_drops(pairs: DataFrame) -> DataFrame:
-    """Adds reason: the first filter that a pair (target, english) of a story fails, '' where it passes all."""
-    n = F.size(F.regexp_extract_all("target", F.lit(r"(\p{L}+)"), 1))
-    ratio = (F.length("target") + 6) / (F.length("english") + 6)
+def story_drops(pairs: DataFrame, order: list[str], tokens: tuple[int, int] = (3, 14), glued: int = 20, openers: tuple[str, ...] = (), relative: tuple[str, ...] = (), meta: str = "$^") -> DataFrame:
+    """Adds reason: the first filter that a pair (target, english, names) of a story fails, '' where it passes all.
+
+    names: the story's names, an array (an empty or null one drops nothing). Of
+    kept pairs with the same target, but for case and blanks, the first in the
+    order stays and the others are duplicates; they meet in an aggregate.
+    """
+    t, e = F.regexp_extract_all(F.lower("target"), F.lit(r"(\p{L}+)"), 1), F.regexp_extract_all("english", F.lit("([A-Za-z']+)"), 1)
+    low = F.transform(e, lambda w: F.lower(w))
+    n, ratio = F.size(t), (F.length("target") + 6) / (F.length("english") + 6)
+    one_sound = ((n >= 2) & (F.size(F.array_distinct(t)) <= F.greatest(F.lit(1), F.floor(n / 3)))) | ((F.size(e) >= 3) & (F.size(F.array_distinct(low)) == 1))
+    uneven = lambda c: (F.regexp_count(c, F.lit('"')) % 2 == 1) | (F.regexp_count(c, F.lit(r"\(")) != F.regexp_count(c, F.lit(r"\)")))
+    words = lambda x: F.array(*[F.lit(w) for w in x]).cast("array<string>")
     reason = (
         F.when((ratio < 0.7) | (ratio > 1.4), "pair_alignment")
         .when(~F.col("target").rlike(r"[.!?]$"), "not_terminated")
         .when(F.col("target").rlike(r"[|#$%&*<>]"), "foreign_chars")
-        .when((n < 3) | (n > 14), "token_count")
+        .when(F.exists(t, lambda w: F.length(w) > glued), "glued_words")
+        .when((n < tokens[0]) | (n > tokens[1]) | (F.size(F.split("english", " ")) > 3 * tokens[1]), "token_count")
+        .when(one_sound, "onomatopoeia")
+        .when(F.get(t, F.lit(0)).isin(*openers), "opener")
+        .when((n > 10) & F.arrays_overlap(t, words(relative)), "complex_clause")
+        .when(uneven("target") | uneven("english"), "quotation_fragment")
         .when(F.col("english").rlike(r"^[A-Z][a-z]+[.!?]$"), "names_only")
+        .when(F.coalesce(F.arrays_overlap(e, "names"), F.lit(False)), "story_name")
+        .when(F.col("english").rlike(meta), "meta_line")
         .otherwise("")
     )
-    return pairs.withColumn("reason", reason)
+    x = pairs.withColumn("reason", reason).withColumn("_k", F.regexp_replace(F.lower("target"), r"\s+", " "))
+    first = x.filter("reason = ''").groupBy("_k").agg(F.min(F.struct(*order)).alias("_first"))
+    same = F.struct(*order) == F.col("_first")
+    x = x.join(first, "_k", "left").withColumn("reason", F.when((F.col("reason") == "") & ~same, "duplicate").otherwise(F.col("reason")))
+    return x.drop("_k", "_first")
 
 
 def cloze(tokens: DataFrame, function_words: DataFrame, on: tuple[str, ...] = ("token",)) -> DataFrame:

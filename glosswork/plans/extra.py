@@ -11,6 +11,7 @@ from glosswork.operators import corpus as C
 from glosswork.operators import planners as P
 from glosswork.operators import rules as U
 from glosswork.operators import sessions as S
+from glosswork.plans.build import word_rules
 from glosswork.sources import readers
 from glosswork.sources import tables as T
 from glosswork.sources.tables import ANSWERS, SENTENCES, TOKENS, WORDS
@@ -259,3 +260,22 @@ def q151(spark, d):
 def q152(spark, d):
     p = T.read(spark, d, "part").select(F.col("p_brand").alias("word"), ((F.col("p_size") % 7) / F.lit(2.0)).alias("zipf"))
     return readers.zipf_list(p).select("token", F.round("n", 4).alias("n"))
+
+
+@query("q153_word_rules", "WITH " + WORDS + """,
+w AS (SELECT lang, CASE WHEN rank % 97 = 5 THEN '' ELSE token END AS token, CASE WHEN lang = 'fr' AND rank > 40 THEN rank + 1 ELSE rank END AS rank, rank AS r,
+  CASE WHEN lang = 'es' AND rank = 700 THEN 'A1' WHEN rank = 13 THEN 'Z' WHEN rank <= 600 THEN 'A1' WHEN rank <= 1300 THEN 'A2' ELSE 'B1' END AS lv, CAST(rank % 4 AS INT) AS ft FROM words),
+v AS (SELECT lang, list_position(['A1', 'A2', 'B1'], lv) AS k, count(*) AS n, min(rank) AS a, max(rank) AS z FROM w GROUP BY lang, lv),
+m AS (SELECT *, lag(z) OVER (PARTITION BY lang ORDER BY coalesce(k, 0)) AS before FROM v),
+f AS (SELECT 'keys_filled' AS rule, count(*) FILTER (token = '') AS n FROM w
+  UNION ALL SELECT 'keys_unique', count(*) FROM (SELECT lang, token FROM w GROUP BY ALL HAVING count(*) > 1)
+  UNION ALL SELECT 'ranks_without_gap', count(*) FROM (SELECT lang FROM w GROUP BY lang HAVING min(rank) <> 1 OR max(rank) <> count(*) OR count(DISTINCT rank) <> count(*))
+  UNION ALL SELECT 'levels_known', count(*) FROM w WHERE lv NOT IN ('A1', 'A2', 'B1') UNION ALL SELECT 'tiers_known', count(*) FROM w WHERE ft NOT IN (0, 1, 2)
+  UNION ALL SELECT 'levels_in_order', count(*) FROM m WHERE before >= a UNION ALL SELECT 'levels_filled', count(*) FROM v WHERE n < 5)
+SELECT rule, n = 0 AS ok, n FROM f""")
+def q153(spark, d):
+    """Word lists with planted faults."""
+    r = F.col("rank")
+    lv = F.when((F.col("lang") == "es") & (r == 700), "A1").when(r == 13, "Z").when(r <= 600, "A1").when(r <= 1300, "A2").otherwise("B1")
+    w = T.words(spark, d).select("lang", F.when(r % 97 == 5, "").otherwise(F.col("token")).alias("token"), F.when((F.col("lang") == "fr") & (r > 40), r + 1).otherwise(r).alias("rank"), lv.alias("lv"), (r % 4).cast("int").alias("ft"))
+    return word_rules(w, ("A1", "A2", "B1"), least=5)

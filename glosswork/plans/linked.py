@@ -158,14 +158,24 @@ def q96(spark, d):
 
 
 @query("q97_story_drop_reasons", "WITH " + TOKENS + """,
+nm AS (SELECT doc_id, list(DISTINCT surface) AS names FROM tokens WHERE pos > 0 AND regexp_full_match(surface, '[A-Z][a-z]+') GROUP BY doc_id),
 n AS (SELECT doc_id, sent, text || '.' AS target, lead(text || '.') OVER (PARTITION BY doc_id ORDER BY sent) AS english FROM sentences),
-r AS (SELECT CASE WHEN (length(target) + 6) / (length(english) + 6) NOT BETWEEN 0.7 AND 1.4 THEN 'pair_alignment' WHEN NOT regexp_matches(target, '[.!?]$') THEN 'not_terminated' WHEN regexp_matches(target, '[|#$%&*<>]') THEN 'foreign_chars'
-  WHEN len(regexp_extract_all(target, '\\p{L}+')) NOT BETWEEN 3 AND 14 THEN 'token_count' WHEN regexp_full_match(english, '[A-Z][a-z]+[.!?]') THEN 'names_only' ELSE '' END AS reason FROM n WHERE english IS NOT NULL)
-SELECT reason, count(*) AS n FROM r GROUP BY reason""")
+w AS (SELECT n.*, names, regexp_extract_all(lower(target), '\\p{L}+') AS t, regexp_extract_all(english, '[A-Za-z'']+') AS e, regexp_extract_all(lower(english), '[a-z'']+') AS el FROM n LEFT JOIN nm USING (doc_id) WHERE english IS NOT NULL),
+r AS (SELECT doc_id, sent, target, CASE WHEN (length(target) + 6) / (length(english) + 6) NOT BETWEEN 0.7 AND 1.4 THEN 'pair_alignment' WHEN NOT regexp_matches(target, '[.!?]$') THEN 'not_terminated' WHEN regexp_matches(target, '[|#$%&*<>]') THEN 'foreign_chars'
+  WHEN len(list_filter(t, lambda x: length(x) > 20)) > 0 THEN 'glued_words' WHEN len(t) NOT BETWEEN 3 AND 14 OR len(string_split(english, ' ')) > 42 THEN 'token_count'
+  WHEN (len(t) >= 2 AND len(list_distinct(t)) <= greatest(1, len(t) // 3)) OR (len(e) >= 3 AND len(list_distinct(el)) = 1) THEN 'onomatopoeia' WHEN t[1] IN ('and', 'und', 'et', 'y') THEN 'opener'
+  WHEN len(t) > 10 AND list_has_any(t, ['that', 'die', 'que', 'qui']) THEN 'complex_clause'
+  WHEN len(regexp_extract_all(target, '"')) % 2 = 1 OR len(regexp_extract_all(english, '"')) % 2 = 1 OR len(regexp_extract_all(target, '\\(')) <> len(regexp_extract_all(target, '\\)')) OR len(regexp_extract_all(english, '\\(')) <> len(regexp_extract_all(english, '\\)')) THEN 'quotation_fragment'
+  WHEN regexp_full_match(english, '[A-Z][a-z]+[.!?]') THEN 'names_only' WHEN coalesce(list_has_any(e, names), false) THEN 'story_name' WHEN regexp_matches(english, '(?i)the end|once upon') THEN 'meta_line' ELSE '' END AS reason FROM w),
+d AS (SELECT CASE WHEN reason = '' AND row_number() OVER (PARTITION BY reason, regexp_replace(lower(target), '\\s+', ' ', 'g') ORDER BY doc_id, sent) > 1 THEN 'duplicate' ELSE reason END AS reason FROM r)
+SELECT reason, count(*) AS n FROM d GROUP BY reason""")
 def q97(spark, d):
     s = T.sentences(spark, d)
-    x = s.select(F.concat("text", F.lit(".")).alias("target"), F.lead(F.concat("text", F.lit("."))).over(W.partitionBy("doc_id").orderBy("sent")).alias("english"))
-    return L.story_drops(x.filter("english IS NOT NULL")).groupBy("reason").agg(F.count("*").alias("n"))
+    names = T.tokens(spark, d).filter((F.col("pos") > 0) & F.col("surface").rlike("^[A-Z][a-z]+$")).groupBy("doc_id").agg(F.collect_set("surface").alias("names"))
+    x = s.select("doc_id", "sent", F.concat("text", F.lit(".")).alias("target"), F.lead(F.concat("text", F.lit("."))).over(W.partitionBy("doc_id").orderBy("sent")).alias("english"))
+    x = x.filter("english IS NOT NULL").join(names, "doc_id", "left")
+    got = L.story_drops(x, ["doc_id", "sent"], openers=("and", "und", "et", "y"), relative=("that", "die", "que", "qui"), meta="(?i)the end|once upon")
+    return got.groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("q98_cloze_candidates", "WITH " + WORDS + f""",

@@ -67,7 +67,11 @@ def q52(spark, d):
     return planners.pair_plan(state.pair_state(T.answers(spark, d)))
 
 
-@query("q53_gloss_collision")
+@query("q53_gloss_collision", """
+WITH RECURSIVE o AS (SELECT p_type AS pos, p_partkey AS id, p_name || ' ' || split_part(p_type, ' ', 1) AS a, p_name || ' ' || p_brand AS b, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS i FROM part),
+f AS (SELECT pos, i, id, a AS gloss, false AS promoted, [a] AS taken FROM o WHERE i = 1
+  UNION ALL SELECT pos, i, id, g, g <> a, list_append(taken, g) FROM (SELECT o.*, taken, CASE WHEN NOT list_contains(taken, a) THEN a WHEN NOT list_contains(taken, b) THEN b ELSE a END AS g FROM f JOIN o ON o.pos = f.pos AND o.i = f.i + 1))
+SELECT pos, id, gloss, promoted FROM f""")
 def q53(spark, d):
     p = T.read(spark, d, "part")
     gloss = [F.struct(F.concat_ws(" ", "p_name", F.element_at(F.split("p_type", " "), 1)).alias("gloss"), F.lit(1.0).alias("support")), F.struct(F.concat_ws(" ", "p_name", "p_brand").alias("gloss"), F.lit(0.8).alias("support"))]
@@ -123,7 +127,12 @@ def q109(spark, d):
     return planners.feminine_fold(w.withColumn("masculine", F.when(F.col("lemma").endswith("e"), F.substring("lemma", F.lit(1), F.length("lemma") - 1))), 1000)
 
 
-@query("q110_second_readings")
+@query("q110_second_readings", """
+WITH RECURSIVE e AS (SELECT p_name AS lemma, p_type AS pos, count(*) AS n, list(DISTINCT p_brand) AS w FROM part GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY n DESC, pos) AS i, max(n) OVER (PARTITION BY lemma) AS top FROM e),
+f AS (SELECT lemma, i, pos, true AS kept, [w] AS seen FROM o WHERE i = 1
+  UNION ALL SELECT lemma, i, pos, ok, CASE WHEN ok THEN list_append(seen, w) ELSE seen END FROM (SELECT o.*, seen, n >= 0.2 * top AND len(list_filter(seen, lambda g: len(list_intersect(w, g)) > 0.25 * greatest(1, least(len(w), len(g))))) = 0 AS ok FROM f JOIN o ON o.lemma = f.lemma AND o.i = f.i + 1))
+SELECT lemma, pos, i = 1 AS main FROM f WHERE kept""")
 def q110(spark, d):
     p = T.read(spark, d, "part")
     e = p.groupBy(F.col("p_name").alias("lemma"), F.col("p_type").alias("pos")).agg(F.count("*").alias("n"), F.collect_set("p_brand").alias("gloss"))

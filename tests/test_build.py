@@ -13,7 +13,8 @@ DATA = "/root/testdata/sf0.001"
 
 def test_build_and_gate(spark, tmp_path):
     pack = build.build(spark, DATA, "en")
-    assert {r["rule"]: r["ok"] for r in build.check(pack).collect()}.keys() == {"words_unique", "examples_cover", "examples_have_sentences"}
+    got = {r["rule"]: r["ok"] for r in build.check(pack).collect()}
+    assert len(got) == 11 and all(ok for rule, ok in got.items() if rule != "examples_cover")
     pack.write(str(tmp_path))
     assert spark.read.json(f"{tmp_path}/words").count() == pack.words.count() <= 2000
     assert pack.examples.groupBy("token").count().agg(F.max("count")).first()[0] <= 2

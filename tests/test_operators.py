@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glosswork.functions import folding, glosses, spans
-from glosswork.operators import alignment, corpus, linking, planners, progress, relations, sessions, state, units
+from glosswork.operators import alignment, corpus, linking, planners, progress, relations, rules, sessions, state, units
 from glosswork.plans.catalogue import queries
 from glosswork.sources import tables
 from glosswork.sources.html import epub_pages, page_text
@@ -333,3 +333,39 @@ def test_distractors_beyond_a_hot_guard(spark):
     for k, kind, brand, name, _ in rows:
         turn = [rows[(k + j) % 160] for j in range(1, 160)] if kind == "t" else []
         assert sorted(mine.get(k, [])) == list(enumerate([r[0] for r in turn if r[2] != brand and r[3] != name][:3], 1))
+
+
+def test_fields_are_removed_at_every_depth(spark):
+    df = spark.createDataFrame([((1, [(2, "a"), (3, "b")], (4, "c")), "x"), (None, "y")], "e struct<n: int, l: array<struct<m: int, audio: string>>, s: struct<k: int, audio: string>>, audio string")
+    got = rules.without(df, "audio")
+    assert got.schema.simpleString() == "struct<e:struct<n:int,l:array<struct<m:int>>,s:struct<k:int>>>"
+    assert [r["e"] and (r["e"]["n"], [x["m"] for x in r["e"]["l"]], r["e"]["s"]["k"]) for r in got.collect()] == [(1, [2, 3], 4), None]
+
+
+def test_weighted_kinds_and_placements_agree_with_the_plain_functions(spark):
+    weights = {"a": 3.0, "b": 1.0, "c": 0.5}
+    df = spark.range(200).select((F.col("id") / 200).alias("u"))
+    got = df.select("u", sessions.weighted_kind(F.col("u"), weights).alias("k")).collect()
+    assert all(r["k"] == sessions.weighted_pick(weights, r["u"]) for r in got)
+    rng = random.Random(3)
+    rows = [(l, b, rng.random() < 0.5) for l in range(60) for b in rng.sample(range(6), rng.randrange(1, 6))]
+    got = {r["learner"]: (r["floor"], r["probe"]) for r in planners.placements(spark.createDataFrame(rows, "learner long, bucket int, passed boolean"), 6).collect()}
+    assert got == {l: planners.placement({b: ok for x, b, ok in rows if x == l}, 6) for l in range(60)}
+
+
+def test_phrases_agree_with_the_plain_function(spark):
+    rng = random.Random(9)
+    phrases = {tuple(rng.choice("abc") for _ in range(n)): k for k, n in enumerate([2, 2, 2, 3, 3, 3, 3])}
+    sents = {k: [rng.choice("abc") for _ in range(rng.randrange(0, 12))] for k in range(60)}
+    toks = spark.createDataFrame([(k, i, t) for k, s in sents.items() for i, t in enumerate(s)], "sentence long, pos int, token string")
+    frame = spark.createDataFrame([(" ".join(p), i) for p, i in phrases.items()], "phrase string, id int")
+    got = {}
+    for r in planners.phrases_in(toks, frame).collect():
+        got.setdefault(r["sentence"], []).append((r["start"], r["stop"], r["id"]))
+    assert all(sorted(got.get(k, [])) == planners.phrase_spans(s, phrases) for k, s in sents.items())
+
+
+def test_gloss_cleaning(spark):
+    rows = {"(of people) the way (path (long)), a road": "way, road", "a lot, many": "a lot, many", "to do [w] this (open": "to do this", "": "", None: None, "x" * 30 + " " + "y" * 30: "x" * 30}
+    got = spark.createDataFrame([(k,) for k in rows], "g string").select("g", glosses.clean(F.col("g")).alias("c")).collect()
+    assert {r["g"]: r["c"] for r in got} == rows
