@@ -48,7 +48,7 @@ BLOCK, CLASSES, STATE = 32, 32, 16
 #: Words whose counts are broadcast, at most; bits of the index of their hashes.
 TABLE, INDEX_BITS = 1 << 18, 20
 #: Rounds of training; each takes one training document in ROUNDS. Networks that one task averages.
-ROUNDS, FAN_IN = 2, 32
+ROUNDS, FAN_IN = 2, 8
 #: Runs side by side and steps of a window in training; states of a window in scoring.
 LANES, WINDOW, SCORE_ROWS = 256, 16, 1 << 15
 

@@ -103,14 +103,21 @@ def _simple(a: int, b: int) -> tuple[int, ...]:
     return tuple(int(s in (a, b)) for s in range(b + 1))
 
 
-@lru_cache(4096)
-def _of_lengths(n: int, low: int, high: int) -> tuple[int, list[int]]:
-    """The table of a code of lengths from its n lengths of three bits, the first ten in low."""
+@lru_cache(512)
+def _of_lengths(n: int, low: int, high: int) -> tuple[int, list[int], list[tuple[int, int, int] | None]]:
+    """The table of a code of lengths from its n lengths of three bits, the first ten in low; and what the next twelve bits say if they hold two plain lengths: both, and their bits."""
     of, bits = [0] * 19, low | high << 30
     for i, k in enumerate(CODE_LENGTH_ORDER[:n]):
         of[k] = bits >> 3 * i & 7
     width, table = _table(tuple(of))
-    return width, table.tolist()
+    mask, table = (1 << width) - 1, table.tolist()
+    pairs: list[tuple[int, int, int] | None] = []
+    for v in range(4096):
+        a = table[v & mask]
+        c = table[v >> (a & 15) & mask]
+        used = (a & 15) + (c & 15)
+        pairs.append((a >> 4, c >> 4, used) if a >> 4 < 16 and c >> 4 < 16 and used <= 12 else None)
+    return width, table, pairs
 
 
 def _read_code(b: Bits, size: int) -> tuple[int, ...]:
@@ -125,13 +132,21 @@ def _read_code(b: Bits, size: int) -> tuple[int, ...]:
             raise ValueError("a symbol is out of range")
         return _simple(min(used), max(used))
     lengths, n = [0] * size, b.read(4) + 4
-    width, table = _of_lengths(n, b.read(3 * min(n, 10)), b.read(3 * max(n - 10, 0)))
+    width, table, pairs = _of_lengths(n, b.read(3 * min(n, 10)), b.read(3 * max(n - 10, 0)))
     b.counted = bool(b.read(1))
     left = 2 + b.read(2 + 2 * b.read(3)) if b.counted else size
     # The lengths of the text of one code are at most a few hundred bytes: as one number they are cheap to shift.
-    start, k, last, mask = b.at, 0, 8, (1 << width) - 1
+    start, k, mask = b.at, 0, (1 << width) - 1
     v, used = int.from_bytes(b.data[start >> 3 : (start >> 3) + 8 + size * 3], "little") >> (start & 7), 0
     while k < size and left:
+        two = pairs[v & 4095]
+        if two and k + 1 < size and left > 1:
+            lengths[k], lengths[k + 1], n = two
+            v >>= n
+            used += n
+            k += 2
+            left -= 2
+            continue
         left -= 1
         e = table[v & mask]
         s, n = e >> 4, e & 15
@@ -140,8 +155,8 @@ def _read_code(b: Bits, size: int) -> tuple[int, ...]:
         if s < 16:
             lengths[k] = s
             k += 1
-            last = s or last
             continue
+        last = next((x for x in lengths[k - 1 :: -1] if x), 8) if s == 16 and k else 8
         extra, base, value = ((2, 3, last), (3, 3, 0), (7, 11, 0))[s - 16]
         times = base + (v & ((1 << extra) - 1))
         v >>= extra
