@@ -30,7 +30,7 @@ from .words import batches
 
 WIDTH, HEIGHT, UNIT = 64, 32, 192
 #: Colours of a palette, at most; segments written and files read together.
-COLOURS, SEGMENTS = 16, 1024
+COLOURS, SEGMENTS = 16, 2048
 
 
 def payload(text: str) -> bytes:
@@ -122,7 +122,7 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batch:
             every = pdf["text"].fillna("").tolist()
-            for a, b in batches(every, 3 << 20):
+            for a, b in batches(every, 6 << 20):
                 part, texts = pdf[a:b], every[a:b]
                 media = store([payload(t) for t in texts])
                 rows = []

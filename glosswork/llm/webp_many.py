@@ -23,7 +23,7 @@ GREENS = 256 + LENGTH_SYMBOLS + (1 << CACHE)
 #: A fixed complete code for the lengths of codes: symbols 0 to 11, 17 and 18.
 LENGTH_CODE = (4, 6, 6, 5, 4, 3, 3, 3, 3, 4, 4, 4, 0, 0, 0, 0, 0, 4, 4)
 #: Lanes that are decoded together.
-LANES = 1024
+LANES = 2048
 
 
 @lru_cache(16)
