@@ -193,14 +193,6 @@ def _profiles(groups: DataFrame, texts: DataFrame, levels, least: float) -> Data
     return _against(groups, sample, texts, levels, "a long, b long, total double, on double, prefix array<long>", compare, 16 * SAMPLE)
 
 
-def _blocked(x: DataFrame, y: DataFrame, keys: list[str], members: int = SALT) -> DataFrame:
-    """x joined with y on keys, where the y of a frequent key (y has a column y) are split into blocks of about `members`, a task's work each."""
-    blocks = y.groupBy(*keys).agg(F.ceil(F.count("*") / members).cast("int").alias("_n"))
-    one = x.join(blocks, keys).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
-    other = y.join(blocks, keys).withColumn("_k", F.pmod(F.xxhash64("y"), F.col("_n")).cast("int")).drop("_n")
-    return one.join(other, [*keys, "_k"])
-
-
 def _residual(held: DataFrame, pivots: DataFrame, texts: DataFrame, levels, least: float) -> DataFrame:
     """Pairs (a, b) of nodes of one bucket and of different components whose similarity can be `least`; exact.
 
@@ -215,7 +207,7 @@ def _residual(held: DataFrame, pivots: DataFrame, texts: DataFrame, levels, leas
     mixed = parts.groupBy("b", "s").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("n")).filter("n > 1").select("b", "s", "main")
     own = own.join(mixed, ["b", "s"])
     side = lambda rows, n: rows.select("b", "s", F.col("a").alias(n), F.col("root").alias(f"r{n}"), F.col("total").alias(f"t{n}"))
-    shared = _blocked(side(own.filter("root <> main"), "x"), side(own, "y"), ["b", "s"])
+    shared = side(own.filter("root <> main"), "x").join(side(own, "y"), ["b", "s"])
     # No similarity is above the lesser total by the greater.
     shared = shared.filter((F.col("rx") != F.col("ry")) & (F.least("tx", "ty") * (1 + 1e-9) >= least * F.greatest("tx", "ty")))
     shared = shared.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
@@ -227,7 +219,7 @@ def _residual(held: DataFrame, pivots: DataFrame, texts: DataFrame, levels, leas
     opened = opened.join(groups.filter("a = b").select("b", F.col("root").alias("rb")), "b").filter("root <> rb")
     x = opened.select("b", F.col("a").alias("x"), F.col("root").alias("rx"), F.col("total").alias("tx"), F.col("on").alias("ox"))
     y = t.select("b", F.col("a").alias("y"), F.col("root").alias("ry"), F.col("total").alias("ty"), F.col("on").alias("oy"))
-    near = _blocked(x, y, ["b"]).filter((F.col("rx") != F.col("ry")) & (F.col("tx") + F.col("ty") <= need * F.least("ox", "oy")))
+    near = x.join(y, "b").filter((F.col("rx") != F.col("ry")) & (F.col("tx") + F.col("ty") <= need * F.least("ox", "oy")))
     near = near.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
     return shared.unionByName(near).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
