@@ -2,6 +2,12 @@
 
 Each stage takes what its predecessor kept, whole. Repeated rows go through as
 rows of their own until near duplicates, which keep one document of each class.
+
+Defined results: a null text counts as empty, has no words and so is rejected
+by the quality rules; a null doc_id goes through all stages, and its class of
+near duplicates keeps a row; an empty table gives an empty result; columns of
+documents beside COLUMNS don't matter, whatever their names. Labels of one kind
+only, or none, tell nothing of toxicity, and all documents stay.
 """
 
 from __future__ import annotations
@@ -25,6 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under the threshold by a classifier of the labels of what is here."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not len(model.weights):
+        return docs.select(*COLUMNS)
     return toxicity.score(docs.select(*COLUMNS), model).filter(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
