@@ -76,7 +76,7 @@ def test_components_in_one_task_and_in_turns(spark):
 
 def test_edge_cases(spark):
     rows = [(0, None), (1, ""), (2, " \n "), (3, "one two"), (4, "one two"), (5, "one two three"), (6, "x " * 30000), (7, "x " * 30000 + "y"), (8, " \n ")]
-    df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("doc_id", "doc_id")
+    df = spark.createDataFrame([(*r, "x", b"y", 3) for r in rows], SCHEMA + ", class_id string, digest binary, node int")
     got = {r["doc_id"]: r["class_id"] for r in near_dups.classes(df).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 8: 2, 3: 3, 4: 3, 5: 5, 6: 6, 7: 6}
     assert near_dups.classes(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -77,3 +77,17 @@ def test_run_gives_the_same_rows(spark, planted):
     a = sorted(map(tuple, corpus_pipeline.run(spark, d).select(*cols).collect()))
     b = sorted(map(tuple, spark.read.parquet(f"{d}/packing").select(*cols).collect()))
     assert a == b
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1, 0)]])
+def test_empty_tables_nulls_and_clashes(spark, tmp_path, labels):
+    rng = random.Random(2)
+    text = lambda: " ".join(rng.choice(FUNCTION) if k % 3 == 0 else f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice('aeiou')}" for k in range(120))
+    rows = [(k, text(), "en", None, 1, "x", 7) for k in range(6)] + [(None, text(), None, "s", None, "x", 7), (6, None, "en", "s", 0, "x", 7), (0, "", "en", "s", 0, "x", 7)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, kept string, length int"
+    for name, some in (("whole", rows), ("empty", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/whole").collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in got) == [(False, k) for k in range(6)] + [(True, None)]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
