@@ -171,8 +171,10 @@ def _predict(mode: int, c: np.ndarray, edges: tuple, width: int) -> np.ndarray:
 def residuals(c: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(mode of each image, what its predictions leave, modulo 256): of modes 1 to 13 the one that leaves green least, by the sum of magnitudes."""
     edges, green = _edges(size, width), np.ascontiguousarray(c[:, 1])
-    first = edges[0]
-    cost = [np.add.reduceat(np.abs((green - _guesses(green, mode, width)).astype("int8")).view("uint8"), first, dtype="int64") for mode in range(1, 14)]
+    inner = np.ones(len(green), "uint8")
+    for at in edges:  # predicted alike in all modes; their neighbours in the batch are other images' pixels
+        inner[at] = 0
+    cost = [np.add.reduceat(np.abs((green - _guesses(green, mode, width)).astype("int8")).view("uint8") * inner, edges[0], dtype="int64") for mode in range(1, 14)]
     modes = 1 + np.argmin(np.stack(cost), 0)
     out, each = np.empty(c.shape, "uint8"), np.repeat(modes.astype("int8"), size)
     wide = np.concatenate([np.zeros((width + 1, c.shape[1]), c.dtype), c])
@@ -190,13 +192,28 @@ def _slope(x: np.ndarray, y: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.clip(np.round(32 * xy / np.maximum(xx, 1)), -128, 127).astype("int16")
 
 
-def matches(p: np.ndarray, image: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _runs(key: np.ndarray, image: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the order of image, key and place; whether each but the first has the image and key of the one before). Keys have 42 bits.
+
+    What comes out for an image does not depend on the others of the batch.
+    """
+    place = np.arange(len(key)) - first[image]
+    if len(first) > 1 << 11 or (len(place) and place.max() >> 11):
+        raise ValueError("at most 2048 images of 2048 pixels at once")
+    both = np.sort(image.astype("uint64") << np.uint64(53) | key << np.uint64(11) | place.astype("uint64"))
+    lead = both >> np.uint64(11)
+    return first[(both >> np.uint64(53)).astype("int64")] + (both & np.uint64(2047)).astype("int64"), lead[1:] == lead[:-1]
+
+
+def matches(p: np.ndarray, image: np.ndarray, first: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(length, distance) of the reference that could stand at each pixel, to where its next LEAST pixels stood last in the image; 0 for none."""
     n = len(p)
-    key = image.astype("uint64") << np.uint64(40)
+    key = np.zeros(n, "uint64")
     for k in range(LEAST):
         key = key * np.uint64(0x9E3779B97F4A7C15) + np.append(p[k:], np.zeros(min(k, n), p.dtype)).astype("uint64")
-    order, again = _runs(key ^ key >> np.uint64(32), n)
+    key[left < LEAST] = 0  # what follows is another image's
+    key = (key ^ key >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+    order, again = _runs(key >> np.uint64(22), image, first)
     back = np.full(n, -1)
     back[order[1:][again]] = order[:-1][again]
     # Equal keys are equal pixels but for clashes, so pixels are compared; all of them lie in the same image.
@@ -214,28 +231,15 @@ def matches(p: np.ndarray, image: np.ndarray, left: np.ndarray) -> tuple[np.ndar
     return np.where(distance > 0, np.minimum(reach + LEAST - 1, MOST), 0), distance
 
 
-def cached(p: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cached(p: np.ndarray, image: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in the colour cache, whether the pixel stands there before it comes)."""
     place = (p.astype("uint64") * np.uint64(CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE)
-    key = image.astype("uint64") << np.uint64(CACHE) | place
-    order, again = _runs(key << np.uint64(_places(len(p))), len(p))
+    order, again = _runs(place, image, first)
     hit = np.zeros(len(p), bool)
     hit[order[1:][again]] = p[order[1:][again]] == p[order[:-1][again]]
     return place.astype("int64"), hit
 
 
-def _places(n: int) -> int:
-    return max(n - 1, 1).bit_length()
-
-
-def _runs(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places in the order of their keys' leading bits, then of place; whether each has the key of the one before). A key's last bits, as many as a place has, don't count."""
-    low = np.uint64((1 << _places(n)) - 1)
-    both = np.sort(key & ~low | np.arange(n, dtype="uint64"))
-    lead = both & ~low
-    return (both & low).astype("int64"), lead[1:] == lead[:-1]
-
-
 @lru_cache(8)
 def _near(width: int) -> np.ndarray:
     """The code of each distance up to 8 * width + 8 that a near place has, else 0."""
@@ -279,8 +283,8 @@ def encode_many(payloads: list[bytes], width: int) -> list[bytes]:
     p = (red & 255).astype("uint32") << 16 | (g & 255).astype("uint32") << 8 | (blue & 255).astype("uint32")
 
     left = np.repeat(first + size, size) - np.arange(len(p))
-    length, distance = matches(p, image, left)
-    place, hit = cached(p, image)
+    length, distance = matches(p, image, first, left)
+    place, hit = cached(p, image, first)
     # The greedy way through: a reference leads past its pixels, anything else to the next.
     starts, free = [], 0
     may = np.flatnonzero(length)

@@ -38,6 +38,16 @@ def test_many_at_once_equal_one_by_one(seed):
         assert media._samples(p) == r and (webp.decode(f) == p).all()
 
 
+def test_a_stored_form_depends_on_its_text_alone():
+    rng = np.random.default_rng(4)
+    raw = [bytes(rng.choice(list(b"abcde fgh\n.AB0"), 192 * int(rng.integers(1, 33))).astype("uint8")) for _ in range(300)]
+    raw += [(b"some words that come again and again, " * 200)[: 192 * k] for k in (1, 5, 32)]
+    together = webp_many.encode_many(raw, media.WIDTH)
+    for k in [0, 1, 57, 200, 299, 300, 301, 302]:
+        assert webp_many.encode_many([raw[k]], media.WIDTH) == [together[k]]
+        assert webp_many.encode_many([*raw[10:20], raw[k], raw[3]], media.WIDTH)[10] == together[k]
+
+
 def test_predictors_are_inverted_in_every_mode():
     rng = np.random.default_rng(1)
     size = np.array([64 * h for h in (1, 2, 9, 32)])
