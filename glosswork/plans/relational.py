@@ -224,8 +224,8 @@ def q54(spark, d):
 
 
 @query("q55_division_gate", """
-WITH h AS (SELECT DISTINCT l_suppkey AS id, p_brand || ':' || CAST(p_size // 5 AS VARCHAR) AS value FROM lineitem JOIN part ON p_partkey = l_partkey),
-n AS (SELECT DISTINCT o_custkey AS id, p_brand || ':' || CAST(p_size // 5 AS VARCHAR) AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
+WITH h AS (SELECT DISTINCT l_suppkey AS id, p_brand AS value FROM lineitem JOIN part ON p_partkey = l_partkey),
+n AS (SELECT DISTINCT o_custkey AS id, p_brand AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
 ho AS (SELECT id, min(id) OVER (PARTITION BY v) AS class FROM (SELECT id, string_agg(value, ',' ORDER BY value) AS v FROM h GROUP BY id)),
 nt AS (SELECT id, size, min(id) OVER (PARTITION BY v) AS class FROM (SELECT id, string_agg(value, ',' ORDER BY value) AS v, count(*) AS size FROM n GROUP BY id)),
 x AS (SELECT h.* FROM h SEMI JOIN (SELECT id FROM ho WHERE id = class) k ON k.id = h.id), y AS (SELECT n.*, size FROM n JOIN nt ON nt.id = n.id WHERE n.id = class)
@@ -233,8 +233,7 @@ SELECT 'pair' AS kind, x.id AS a, y.id AS b FROM x JOIN y USING (value) GROUP BY
 UNION ALL SELECT 'owner', id, class FROM ho UNION ALL SELECT 'target', id, class FROM nt""")
 def q55(spark, d):
     read = lambda n: T.read(spark, d, n)
-    value = F.concat_ws(":", "p_brand", F.floor(F.col("p_size") / 5).cast("string")).alias("value")
-    lp = read("lineitem").join(read("part").select(F.col("p_partkey").alias("l_partkey"), value), "l_partkey")
+    lp = read("lineitem").join(read("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("value")), "l_partkey")
     need = lp.join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("target"), "value")
     return R.covers(lp.select(F.col("l_suppkey").alias("owner"), "value"), need)
 
