@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, lm, media, near_dups, packing, quality_pu, quality_rules, sharding, toxicity
+from . import bpe, chat, differencing, lm, manifest, media, near_dups, packing, quality_pu, quality_rules, search, sharding, toxicity
 
 MODULES = {
     "op1_grouping_packing": packing,
@@ -15,6 +15,9 @@ MODULES = {
     "op8_chat_events": chat,
     "op9_pu_quality": quality_pu,
     "op10_icws_near_dups": near_dups,
+    "op11_merkle_superblocks": manifest,
+    "op12_threshold_search": search,
+    "op13_differencing_packing": differencing,
 }
 
 
