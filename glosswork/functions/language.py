@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glosswork.functions import paradigms
+from glosswork.functions.glosses import ENGLISH_ENDINGS, Ending
+
 
 def _same(x: Column) -> Column:
     return x
@@ -31,6 +34,10 @@ class LanguageSpec:
     #: Hooks: the key of a typed or counted form, and the cleaning of a sentence.
     fold: Callable[[Column], Column] = F.lower
     clean: Callable[[Column], Column] = _same
+    #: Rows of the paradigms by which citation forms are inflected.
+    paradigm: tuple[paradigms.Row, ...] = ()
+    #: Endings that a form may have, with what the base has in their place.
+    endings: tuple[Ending, ...] = ()
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.word), 1)
@@ -45,6 +52,10 @@ class LanguageSpec:
             return form
         return F.regexp_replace(form, rf"^(?:(?:{'|'.join(self.articles)})\s+)", "")
 
+    def forms(self, words: DataFrame, irregular: DataFrame | None = None) -> DataFrame:
+        """(lang, lemma, pos, slot, form) of this language's words (lang, lemma, pos)."""
+        return paradigms.forms(words, {self.code: self.paradigm}, irregular)
+
     def level(self, rank: Column) -> Column:
         out, reach = F.lit(self.bands[-1][0]), sum(n for _, n in self.bands[:-1])
         for name, n in reversed(self.bands[:-1]):
@@ -55,9 +66,9 @@ class LanguageSpec:
 LANGUAGES = {
     s.code: s
     for s in (
-        LanguageSpec("en", articles=("the", "a", "an")),
-        LanguageSpec("fr", articles=("le", "la", "les", "un", "une", "des")),
-        LanguageSpec("de", articles=("der", "die", "das", "ein", "eine")),
-        LanguageSpec("es", articles=("el", "la", "los", "las", "un", "una")),
+        LanguageSpec("en", articles=("the", "a", "an"), paradigm=paradigms.ENGLISH, endings=ENGLISH_ENDINGS),
+        LanguageSpec("fr", articles=("le", "la", "les", "un", "une", "des"), paradigm=paradigms.FRENCH),
+        LanguageSpec("de", articles=("der", "die", "das", "ein", "eine"), paradigm=paradigms.GERMAN),
+        LanguageSpec("es", articles=("el", "la", "los", "las", "un", "una"), paradigm=paradigms.SPANISH),
     )
 }

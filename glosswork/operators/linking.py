@@ -18,16 +18,17 @@ def truecase(sentences: DataFrame, counts: DataFrame) -> DataFrame:
     return x.withColumn("cased", F.when(lower, F.concat("token", F.substring("text", F.length("token") + 1, F.length("text")))).otherwise(F.col("text"))).drop("token", "low", "cap")
 
 
-def resolve(surfaces: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFrame:
+def resolve(surfaces: DataFrame, entries: DataFrame, edges: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
     """(surface, lemma, how): each surface's lemma: its own entry first, else the most frequent entry that a form edge leads to.
 
     entries: (lemma, n); edges: (surface, lemma). Surfaces are distinct, so each
-    is resolved once however often it occurs.
+    is resolved once however often it occurs. `on` names columns of all three,
+    such as a language, within which they meet; they come first in the result.
     """
-    own = surfaces.join(entries.select(F.col("lemma").alias("surface"), "n"), "surface").select("surface", F.col("surface").alias("lemma"), "n", F.lit(0).alias("p"))
-    form = edges.join(surfaces, "surface").join(entries, "lemma").select("surface", "lemma", "n", F.lit(1).alias("p"))
-    best = own.unionByName(form).groupBy("surface").agg(F.min(F.struct("p", (-F.col("n")).alias("m"), "lemma")).alias("b"))
-    return best.select("surface", "b.lemma", F.when(F.col("b.p") == 0, "entry").otherwise("form").alias("how"))
+    own = surfaces.join(entries.select(*on, F.col("lemma").alias("surface"), "n"), [*on, "surface"]).select(*on, "surface", F.col("surface").alias("lemma"), "n", F.lit(0).alias("p"))
+    form = edges.join(surfaces, [*on, "surface"]).join(entries, [*on, "lemma"]).select(*on, "surface", "lemma", "n", F.lit(1).alias("p"))
+    best = own.unionByName(form).groupBy(*on, "surface").agg(F.min(F.struct("p", (-F.col("n")).alias("m"), "lemma")).alias("b"))
+    return best.select(*on, "surface", "b.lemma", F.when(F.col("b.p") == 0, "entry").otherwise("form").alias("how"))
 
 
 def sentence_links(tokens: DataFrame, keys: DataFrame, allowed: DataFrame, content: Column, on: tuple[str, ...] = ("token",)) -> DataFrame:

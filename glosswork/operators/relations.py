@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glosswork.operators.settle import settled
+
 
 def argmin_link(left: DataFrame, links: DataFrame, right: DataFrame, outer: bool = False) -> DataFrame:
     """Each row of left (id, …) with the linked row of right (id, text) of the least id.
@@ -42,47 +44,84 @@ def form_chase(edges: DataFrame, usable: DataFrame, depth: int = 3) -> DataFrame
     return out
 
 
-def distractors(items: DataFrame, group: str, guards: list[str], n: int = 3, block: int = 16) -> DataFrame:
+def able(items: DataFrame, group: str, guards: list[str]) -> DataFrame:
+    """items with size, their group's, and able, the others in it that share none of the guards, by inclusion and exclusion over the guards."""
+    out = items.join(items.groupBy(group).agg(F.count("*").alias("size")), group)
+    count = F.col("size")
+    for k in range(1, len(guards) + 1):
+        for some in combinations(guards, k):
+            name = "_n_" + "_".join(some)
+            out = out.join(items.groupBy(group, *some).agg(F.count("*").alias(name)), [group, *some])
+            count = count + (-1) ** k * F.col(name)
+    return out.withColumn("able", count).select(*items.columns, "size", "able")
+
+
+def distractors(items: DataFrame, group: str, guards: list[str], n: int = 3, block: int = 16, loose: list[str] | None = None, hot: float = 0.25) -> DataFrame:
     """(id, place, other): the next n others in the group's hash order that share none of the guards with the item; fewer only where the group has fewer.
 
-    Others are looked for among the next `block` items, a bounded range join;
-    items left with too few look on in ranges that double. How many others an
-    item can have is counted beforehand from the sizes of its guards' values,
-    so that none looks on in vain.
+    loose: guards of a second pass, for the items that have fewer than n others
+    by all guards. items: (id, order_key, group, guards), order_key a text that
+    tells the order within a group, such as a digest; a null guard shares with all.
+
+    An item looks round a ring of its group. A value that a share `hot` of the
+    group has is hot, and the items with hot values look round a ring that
+    leaves these values out; a group has few such rings, as a guard has
+    1 / hot hot values at most. So what an item passes over is bounded by what
+    its other guards rule out, and others are looked for among the next
+    `block` places; the few items left with too few look on in ranges that
+    double, and end when they have as many as there are.
     """
-    w = W.partitionBy(group).orderBy("order_key", "id")
-    x = items.withColumn("i", F.row_number().over(w))
-    size = x.groupBy(group).agg(F.max("i").alias("size"))
-    b = x.select(F.col(group), F.col("i").alias("at"), F.col("id").alias("other"), *[F.col(g).alias(f"_{g}") for g in guards])
+    x = able(items.dropna(subset=guards), group, guards)
+    if loose is not None:
+        enough = x.filter(F.col("able") >= n).select("id")
+        few = items.join(enough, "id", "left_anti").select("id")
+        return _around(x, group, guards, n, block, hot, enough).unionByName(_around(able(items.dropna(subset=loose), group, loose), group, loose, n, block, hot, few))
+    return _around(x, group, guards, n, block, hot)
+
+
+def _around(x: DataFrame, group: str, guards: list[str], n: int, block: int, hot: float, only: DataFrame | None = None) -> DataFrame:
+    """The search of distractors; x: items with size and able; only: the ids that look."""
+    x = x.withColumn("_p", F.substring("order_key", 1, 2))
+    marks = [f"_h_{g}" for g in guards]
+    for g, h in zip(guards, marks, strict=True):
+        often = x.groupBy(group, g).agg(F.count("*").alias("_c"), F.max("size").alias("_s")).filter(F.col("_c") > hot * F.col("_s"))
+        x = x.join(often.select(group, g, F.col(g).alias(h)), [group, g], "left")
+    # The rings of a group: each set of hot values that one item has.
+    rings = x.select(group, *marks).distinct().groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*marks))).alias("_rings"))
+    y = x.join(rings, group).select(group, "id", "order_key", "_p", "able", *guards, *marks, F.posexplode("_rings").alias("_r", "_ring"))
+    member, own = F.lit(True), F.lit(True)
+    for g, h in zip(guards, marks, strict=True):
+        member = member & (F.col(f"_ring.{h}").isNull() | (F.col(g) != F.col(f"_ring.{h}")))
+        own = own & F.col(f"_ring.{h}").eqNullSafe(F.col(h))
+    y = y.withColumn("_in", member).withColumn("_own", own).filter("_in OR _own").select(group, "_r", "_p", "order_key", "id", "able", *guards, "_in", "_own")
+    # Places in a ring: those within a part of the order, after the members of earlier parts.
+    held = y.groupBy(group, "_r", "_p").agg(F.count_if("_in").alias("_c"))
+    up = W.partitionBy(group, "_r").orderBy("_p")
+    held = held.select(group, "_r", "_p", (F.sum("_c").over(up) - F.col("_c")).alias("_o"), F.sum("_c").over(W.partitionBy(group, "_r")).alias("ring"))
+    part = W.partitionBy(group, "_r", "_p").orderBy("order_key", "id").rowsBetween(W.unboundedPreceding, 0)
+    y = settled(y.withColumn("_k", F.sum(F.col("_in").cast("long")).over(part)).join(held, [group, "_r", "_p"]).withColumn("i", F.col("_o") + F.col("_k")))
+    others = y.filter("_in").select(group, "_r", F.col("i").alias("at"), F.col("id").alias("other"), *[F.col(g).alias(f"_{g}") for g in guards])
     ok = F.lit(True)
     for g in guards:
         ok = ok & (F.col(g) != F.col(f"_{g}"))
 
     def found(short: DataFrame, low: int, high: int) -> DataFrame:
-        a = short.withColumn("j", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.greatest(F.col("size") - 1, F.lit(low))))))
-        a = a.filter(F.col("j") < F.col("size")).withColumn("at", (F.col("i") + F.col("j") - 1) % F.col("size") + 1)
-        return a.join(b, [group, "at"]).filter(ok).select("id", "j", "other")
-
-    a = x.join(size, group)
-    out = found(a, 1, block)
-    # Others that share no guard, by inclusion and exclusion over the guards.
-    able = F.col("size").cast("long")
-    left = a
-    for k in range(1, len(guards) + 1):
-        for some in combinations(guards, k):
-            name = "_n_" + "_".join(some)
-            left = left.join(x.groupBy(group, *some).agg(F.count("*").alias(name)), [group, *some])
-            able = able + (-1) ** k * F.col(name)
-    left = left.withColumn("want", F.least(able, F.lit(n))).select(*a.columns, "want")
-    high = block
-    widest = size.agg(F.max("size")).first()[0] or 0
-    while high < widest - 1:
-        have = out.groupBy("id").agg(F.count("*").alias("have"))
-        left = left.join(have, "id", "left").filter(F.coalesce("have", F.lit(0)) < F.col("want")).drop("have").persist()
+        last = F.least(F.lit(high).cast("long"), F.col("ring") - F.col("_in").cast("long"))
+        a = short.filter(last >= low).withColumn("j", F.explode(F.sequence(F.lit(low).cast("long"), last)))
+        return a.withColumn("at", (F.col("i") + F.col("j") - 1) % F.col("ring") + 1).join(others, [group, "_r", "at"]).filter(ok).select("id", "j", "other")
+
+    left = y.filter("_own").withColumn("want", F.least("able", F.lit(n))).filter("want > 0")
+    if only is not None:
+        left = left.join(only, "id", "left_semi")
+    left, out, low, high = left.withColumn("have", F.lit(0).cast("long")), None, 1, block
+    while True:
+        got = settled(found(left, low, high))
+        out = got if out is None else out.unionByName(got)
+        more = left.join(got.groupBy("id").agg(F.count("*").alias("_more")), "id", "left").withColumn("have", F.col("have") + F.coalesce("_more", F.lit(0))).drop("_more")
+        left = settled(more.filter("have < want"))
         if left.isEmpty():
             break
-        out = out.unionByName(found(left, high + 1, 2 * high).persist())
-        high *= 2
+        low, high = high + 1, 2 * high
     c = out.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("j"))).filter(F.col("place") <= n)
     return c.select("id", "place", "other")
 

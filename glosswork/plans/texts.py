@@ -14,6 +14,7 @@ from glosswork.functions import text as X
 from glosswork.operators import alignment, corpus, planners, sessions, state
 from glosswork.operators import relations as R
 from glosswork.sources import tables as T
+from glosswork.sources.tables import WORDS
 from glosswork.sources.html import html_text
 from glosswork.streaming import answers as stream
 
@@ -121,7 +122,13 @@ def q108(spark, d):
     return sessions.simulate(runs)
 
 
-@query("q109_feminine_fold")
+@query("q109_feminine_fold", "WITH RECURSIVE " + WORDS + """,
+w AS (SELECT list(struct_pack(lemma := token, masculine := CASE WHEN token LIKE '%e' THEN left(token, length(token) - 1) END, rank := rank) ORDER BY rank, token) AS w FROM words WHERE lang = 'fr'),
+f AS (SELECT CAST([] AS VARCHAR[]) AS folded, CAST(['-'] AS VARCHAR[]) AS more
+  UNION ALL SELECT list_concat(folded, more), more FROM (SELECT folded, list_transform(list_filter(c, lambda x: list_contains(list_transform(c, lambda y: y.lemma), x.masculine)), lambda x: x.lemma) AS more
+    FROM (SELECT folded, list_filter(w, lambda x: NOT list_contains(folded, x.lemma))[1:1000] AS c FROM f, w WHERE len(more) > 0))),
+g AS (SELECT folded FROM f ORDER BY len(folded) DESC LIMIT 1)
+SELECT x.lemma, x.rank FROM (SELECT unnest(list_filter(w, lambda x: NOT list_contains(folded, x.lemma))[1:1000]) AS x FROM g, w)""")
 def q109(spark, d):
     w = T.words(spark, d).filter("lang = 'fr'").select(F.col("token").alias("lemma"), "rank")  # a rule of French
     return planners.feminine_fold(w.withColumn("masculine", F.when(F.col("lemma").endswith("e"), F.substring("lemma", F.lit(1), F.length("lemma") - 1))), 1000)

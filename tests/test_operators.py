@@ -365,6 +365,39 @@ def test_phrases_agree_with_the_plain_function(spark):
     assert all(sorted(got.get(k, [])) == planners.phrase_spans(s, phrases) for k, s in sents.items())
 
 
+def ring(rows, guards, n, loose=None):
+    """Distractors by trying all others in cyclic order; rows: dicts."""
+    out = {}
+    for kind in {r["kind"] for r in rows}:
+        order = sorted((r for r in rows if r["kind"] == kind), key=lambda r: (r["order_key"], r["id"]))
+        for i, r in enumerate(order):
+            after = order[i + 1 :] + order[:i]
+            ok = lambda o, some: all(o[g] is not None and r[g] is not None and o[g] != r[g] for g in some)  # noqa: B023, E731
+            got = [o["id"] for o in after if ok(o, guards)]
+            if loose is not None and len(got) < n:
+                got = [o["id"] for o in after if ok(o, loose)]
+            out[r["id"]] = got[:n]
+    return {k: v for k, v in out.items() if v}
+
+
+@pytest.mark.parametrize("loose", [None, ["name"]])
+def test_distractors_with_hot_values(spark, loose):
+    rng = random.Random(5)
+    rows = [{"id": k, "kind": rng.choice("aab"), "brand": "hot" if rng.random() < 0.97 else f"b{rng.randrange(6)}", "name": rng.choice(["hot", "hot", "n1", "n2", None]), "order_key": f"{rng.randrange(1 << 30):08x}"} for k in range(500)]
+    got = {}
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "id long, kind string, brand string, name string, order_key string")
+    for r in relations.distractors(df, "kind", ["brand", "name"], block=4, loose=loose).orderBy("place").collect():
+        got.setdefault(r["id"], []).append(r["other"])
+    assert got == ring(rows, ["brand", "name"], 3, loose)
+
+
+def test_distractors_end_where_all_but_ten_share_a_value(spark):
+    n = 4000
+    df = spark.range(n).select("id", F.lit("one").alias("kind"), F.when(F.col("id") % 400 == 7, F.col("id").cast("string")).otherwise("hot").alias("brand"), F.md5(F.col("id").cast("string")).alias("order_key"))
+    got = relations.distractors(df, "kind", ["brand"]).groupBy("id").count().collect()
+    assert len(got) == n and {r["count"] for r in got} == {3}
+
+
 def test_gloss_cleaning(spark):
     rows = {"(of people) the way (path (long)), a road": "way, road", "a lot, many": "a lot, many", "to do [w] this (open": "to do this", "": "", None: None, "x" * 30 + " " + "y" * 30: "x" * 30}
     got = spark.createDataFrame([(k,) for k in rows], "g string").select("g", glosses.clean(F.col("g")).alias("c")).collect()
