@@ -4,7 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
+from itertools import accumulate, groupby
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def find(text: str, surface: str, spaced: bool = True) -> list[tuple[int, int]]:
@@ -43,22 +50,105 @@ def segments(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, in
     return out + ([(text[at:], None)] if at < len(text) else [])
 
 
-def token_offsets(text: str, tokens: list[str]) -> list[tuple[int, int] | None]:
-    """Each token's place, in order; a token that isn't found is None and the search goes on from where it was. Marks that follow a token belong to it."""
-    out, at = [], 0
-    for t in tokens:
-        k = text.find(t, at) if t else -1
-        if k < 0:
-            out.append(None)
-            continue
-        end = k + len(t)
-        while end < len(text) and unicodedata.combining(text[end]):
+class Folded:
+    """A text under a fold of its words, with the way back to the text.
+
+    The fold sees one word (a run of letters and digits) or one other character
+    at a time. A place of the folded text stands for the character whose coming
+    made the fold of the word so far reach it; the end of a folded word stands
+    for the end of the word, whatever the fold took from it.
+    """
+
+    def __init__(self, text: str, fold: Callable[[str], str] | None = None):
+        self.raw = text
+        if fold is None:
+            self.text, self.starts, self.ends = text, range(len(text)), {}
+        else:
+            parts, self.starts, self.ends = [], [], {}
+            for a, b in _runs(text):
+                word = fold(text[a:b])
+                reach = list(accumulate((min(len(fold(text[a:k])), len(word)) for k in range(a + 1, b)), max))
+                self.starts += [a + bisect_right(reach, p) for p in range(len(word))]
+                parts.append(word)
+                if word and b - a > 1:
+                    self.ends[len(self.starts)] = b
+            self.text = "".join(parts)
+        self.letters = [0, *accumulate(map(int, map(str.isalnum, self.text)))]
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        """A span of the folded text in the text; marks after its last character belong to it, marks before its first do not."""
+        start, end = (a, b) if isinstance(self.starts, range) else (self.starts[a], self.ends.get(b, self.starts[b - 1] + 1))
+        while end < len(self.raw) and unicodedata.category(self.raw[end]) in ("Mn", "Mc"):
             end += 1
-        out.append((k, end))
-        at = end
+        while start < end and unicodedata.category(self.raw[start]) in ("Mn", "Mc"):
+            start += 1
+        return start, end
+
+    def next_letter(self, at: int) -> int:
+        while at < len(self.text) and not self.text[at].isalnum():
+            at += 1
+        return at
+
+    def inside(self, at: int) -> bool:
+        """Whether a place parts two letters of a word."""
+        return 0 < at < len(self.text) and self.text[at - 1].isalnum() and self.text[at].isalnum()
+
+
+def _runs(text: str) -> Iterator[tuple[int, int]]:
+    at = 0
+    for word, chars in groupby(text, str.isalnum):
+        n = sum(1 for _ in chars)
+        yield from [(at, at + n)] if word else [(k, k + 1) for k in range(at, at + n)]
+        at += n
+
+
+def token_offsets(text: str, tokens: Sequence[str], fold: Callable[[str], str] | None = None, joiners: str = "") -> list[tuple[int, int] | None]:
+    """Each token's place in the text, in order, without regard to case; None for one that is not found.
+
+    Only what is no letter or digit may stand between a token and the one
+    before. After tokens that were not found, as many letters may be passed over
+    as these have; there a token is found only where it ends a word, and never
+    inside one. fold: a spelling under which text and tokens are compared.
+    joiners: characters of the text that a token may lack, one in a token.
+    """
+    found, at, owed, out = Folded(text, fold), 0, 0, []
+    between = f"[{re.escape(joiners)}]?" if joiners else ""
+    for token in tokens:
+        token = fold(token) if fold and token else token
+        hit = None
+        shape = re.compile(between.join(map(re.escape, token or "")), re.IGNORECASE)
+        if not token:
+            tries = ()
+        elif not owed and token[0].isalnum():
+            # No letter may be passed over, so the next one is the only place.
+            tries = filter(None, (shape.match(found.text, found.next_letter(at)),))
+        else:
+            tries = shape.finditer(found.text, at)
+        for m in tries:
+            a, b = m.span()
+            if found.letters[a] - found.letters[at] > owed:
+                break
+            broken = a > at and token[0].isalnum() and found.text[a - 1].isalnum()
+            cut = owed and token[-1].isalnum() and found.inside(b)
+            if not broken and not cut and sum(c in joiners for c in m[0]) <= 1:
+                hit = a, b
+                break
+        out.append(found.span(*hit) if hit else None)
+        at, owed = (hit[1], 0) if hit else (at, owed + len(token or ""))
     return out
 
 
+def token_places(fold: Callable[[str], str] | None = None, joiners: str = "") -> Callable[[Column, Column], Column]:
+    """token_offsets as a function of columns (text, tokens): array<struct<a, b>>, in Arrow batches; null texts and tokens have no places."""
+
+    @F.pandas_udf("array<struct<a: int, b: int>>")
+    def run(texts: pd.Series, tokens: pd.Series) -> pd.Series:
+        place = lambda t, k: [x and {"a": x[0], "b": x[1]} for x in token_offsets(t or "", [] if k is None else list(k), fold, joiners)]
+        return pd.Series([place(t, k) for t, k in zip(texts, tokens, strict=True)])
+
+    return run
+
+
 def move(raw: str, clean: str, spans: list[tuple[int, int]]) -> list[tuple[int, int] | None]:
     """Spans of raw as spans of clean; None for what is not there any more whole."""
     to: dict[int, int] = {}

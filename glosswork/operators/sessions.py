@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -122,11 +121,6 @@ def weighted_kind(u: Column, weights: dict[str, float]) -> Column:
     return out.otherwise(list(weights)[-1])
 
 
-def combination(m: int, k: int, number: int) -> tuple[int, ...]:
-    """The number-th k-subset of range(m) in order, going round."""
-    return next(islice(combinations(range(m), k), number % math.comb(m, k), None))
-
-
 def simulate(seeds: DataFrame, items: int = 60, sessions: int = 60, size: int = 15, accuracy: float = 0.85) -> DataFrame:
     """(run, session, x): share of items mastered after each session of a learner who answers with a fixed accuracy; one run for each seed.
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glosswork.functions import combinations as K
 from glosswork.functions import glosses as G
 from glosswork.functions import meanings as M
-from glosswork.functions import paradigms
+from glosswork.functions import paradigms, spans
 from glosswork.functions.language import LANGUAGES
 from glosswork.operators import linking as L
 from glosswork.operators import meanings as N
 from glosswork.operators import relations as R
+from glosswork.operators import segments as Y
+from glosswork.sources import archives as A
 from glosswork.sources import tables as T
-from glosswork.sources.tables import WORDS
+from glosswork.sources.tables import SENTENCES, WORDS
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -303,3 +307,84 @@ def q164(spark, d):
     k = F.col("p_partkey")
     p = T.read(spark, d, "part").select(k.alias("id"), F.when(k % 40 == 0, F.col("p_brand")).otherwise("all").alias("brand"), F.concat("p_type", (F.col("p_size") % 10).cast("string")).alias("grp"), "p_name", F.md5(k.cast("string")).alias("order_key"))
     return R.distractors(p, "grp", ["brand", "p_name"], loose=["p_name"])
+
+
+@query("q165_token_places", "WITH " + SENTENCES + """,
+t AS (SELECT doc_id, sent, unnest(range(len(w))) AS pos, unnest(w) AS surface FROM (SELECT *, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS w FROM sentences)),
+x AS (SELECT *, pos % 7 = 3 AND length(surface) > 1 AND coalesce(lower(lead(surface) OVER (PARTITION BY doc_id, sent ORDER BY pos)), '') <> lower(surface) AS other FROM t),
+c AS (SELECT doc_id, sent, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS i FROM sentences),
+l AS (SELECT *, regexp_full_match(c, '[\\p{L}\\p{N}]') AS g FROM c),
+r AS (SELECT *, g AND NOT coalesce(lag(g) OVER (PARTITION BY doc_id, sent ORDER BY i), false) AS starts FROM l),
+p AS (SELECT doc_id, sent, n - 1 AS pos, min(i) AS a, max(i) + 1 AS b FROM (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sent ORDER BY i) AS n FROM r) WHERE g GROUP BY ALL)
+SELECT x.doc_id, x.sent, CAST(x.pos AS INT) AS pos, CAST(CASE WHEN other THEN -1 ELSE a END AS INT) AS a, CAST(CASE WHEN other THEN -1 ELSE b END AS INT) AS b FROM x JOIN p USING (doc_id, sent, pos)""")
+def q165(spark, d):
+    """Places of tokens in lower case, of which some are written otherwise than the text, so that those after them are found again."""
+    s = T.sentences(spark, d).select("doc_id", "sent", "text").withColumn("w", F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), 1))
+    low = lambda x: F.lower(F.coalesce(x, F.lit("")))
+    other = lambda x, i: (i % 7 == 3) & (F.length(x) > 1) & (low(F.get("w", i + 1)) != F.lower(x))
+    said = F.transform("w", lambda x, i: F.when(other(x, i), F.concat(F.lower(x), F.lit("zz"))).otherwise(F.lower(x)))
+    placed = s.select("doc_id", "sent", F.posexplode(spans.token_places()("text", said)).alias("pos", "p"))
+    return placed.select("doc_id", "sent", "pos", *[F.coalesce(F.col(f"p.{c}"), F.lit(-1)).alias(c) for c in "ab"])
+
+
+@query("q166_rotating_subsets", """
+WITH RECURSIVE m AS (SELECT unnest(range(0, 10)) AS n),
+s AS (SELECT n, CAST([] AS INT[]) AS l FROM m UNION ALL SELECT n, list_append(l, CAST(x AS INT)) FROM s, range(0, 10) r(x) WHERE x < n AND x > coalesce(l[-1], -1) AND len(l) < 4),
+c AS (SELECT n, len(l) AS k, l, row_number() OVER (PARTITION BY n, len(l) ORDER BY l) - 1 AS number, count(*) OVER (PARTITION BY n, len(l)) AS total FROM s),
+v AS (SELECT p_partkey AS id, p_size % 10 AS n, p_partkey % 5 AS k FROM part),
+t AS (SELECT DISTINCT n, k, total, CASE WHEN total % 7 <> 0 THEN 7 WHEN total % 11 <> 0 THEN 11 WHEN total % 13 <> 0 THEN 13 WHEN total % 17 <> 0 THEN 17 WHEN total % 5 <> 0 THEN 5 WHEN total % 3 <> 0 THEN 3 ELSE 1 END AS stride FROM c)
+SELECT v.id, v.n, v.k, array_to_string(c.l, ',') AS subset FROM v LEFT JOIN t ON t.n = v.n AND t.k = v.k LEFT JOIN c ON c.n = v.n AND c.k = v.k AND c.number = (v.id * stride) % t.total""")
+def q166(spark, d):
+    """The subset of a visit, for lists and subsets of many sizes; none where the list is too short."""
+    k = F.col("p_partkey")
+    x = T.read(spark, d, "part").select(k.alias("id"), (F.col("p_size") % 10).alias("n"), (k % 5).alias("k"))
+    return x.withColumn("subset", F.array_join(K.rotating(F.col("id"), F.col("n"), F.col("k")).cast("array<string>"), ","))
+
+
+_INVENTORY = """inventory AS (SELECT lang, syllable FROM (SELECT lang, syllable, sum(n) AS n FROM (SELECT lang, unnest([left(token, 1), left(token, 2), left(token, 3)]) AS syllable, n FROM words WHERE length(token) >= 3) GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, syllable) <= 60)"""
+
+
+@query("q167_syllables", "WITH RECURSIVE " + WORDS + ",\n" + _INVENTORY + """,
+w AS (SELECT lang, token AS word FROM words WHERE length(token) <= 9),
+f AS (SELECT lang, word, 1 AS p, 0 AS cost, CAST([] AS VARCHAR[]) AS parts, CAST([] AS INT[]) AS lens FROM w
+  UNION ALL SELECT f.lang, word, p + CAST(length(syllable) AS INT), cost + 1 + CASE WHEN p > 1 AND regexp_matches(syllable, '^[aoe]') THEN 10 ELSE 0 END, list_append(parts, syllable), list_append(lens, -CAST(length(syllable) AS INT))
+    FROM f JOIN inventory i ON i.lang = f.lang AND substr(word, p, length(syllable)) = syllable WHERE p <= length(word)),
+b AS (SELECT lang, word, parts FROM f WHERE p = length(word) + 1 QUALIFY row_number() OVER (PARTITION BY lang, word ORDER BY cost, lens) = 1)
+SELECT w.lang, w.word, coalesce(array_to_string(parts, '-'), '') AS parts FROM w LEFT JOIN b USING (lang, word)""")
+def q167(spark, d):
+    """Words of up to nine letters as syllables of an inventory: the sixty most frequent beginnings of each language."""
+    words = T.words(spark, d)
+    some = words.filter(F.length("token") >= 3).select("lang", F.explode(F.array(*[F.substring("token", 1, k) for k in (1, 2, 3)])).alias("syllable"), "n")
+    first = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "syllable"))
+    inventory = some.groupBy("lang", "syllable").agg(F.sum("n").alias("n")).withColumn("i", first).filter("i <= 60")
+    x = words.filter(F.length("token") <= 9).select("lang", F.col("token").alias("word"))
+    return Y.syllables(x, inventory, ("lang",)).select("lang", "word", F.coalesce(F.array_join("parts", "-"), F.lit("")).alias("parts"))
+
+
+_DESCRIBED = """described AS (SELECT p_partkey AS id, CASE WHEN p_partkey < 8 THEN '？' WHEN p_partkey % 4 = 0 THEN '⿰ ' || p_partkey // 2 || ' ⿱ ' || p_partkey // 3 || ' ' || p_partkey // 5
+  WHEN p_partkey % 4 = 1 THEN '⿲ ' || p_partkey // 3 || ' ' || p_partkey // 4 || ' ' || p_size WHEN p_partkey % 4 = 2 THEN '⿰ ' || p_partkey // 2 ELSE '⿰ ？ ' || p_size END AS d FROM part)"""
+
+
+@query("q168_components", "WITH RECURSIVE " + _DESCRIBED + """,
+parts AS (SELECT DISTINCT CAST(id AS VARCHAR) AS whole, part FROM (SELECT id, unnest(string_split(d, ' ')) AS part FROM described WHERE id % 4 <> 2) WHERE NOT regexp_matches(part, '[⿰⿱⿲？]') AND part <> CAST(id AS VARCHAR)),
+reached AS (SELECT whole, part FROM parts UNION SELECT r.whole, p.part FROM reached r JOIN parts p ON p.whole = r.part)
+SELECT whole, part AS leaf FROM reached ANTI JOIN (SELECT DISTINCT whole AS part FROM parts) USING (part)""")
+def q168(spark, d):
+    """What numbers come to when those that describe them, in prefix notation, are taken apart again; descriptions that lack a part count for nothing."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    over = lambda n: F.floor(k / n).cast("string")
+    join = lambda *x: F.concat_ws(" ", *[v if not isinstance(v, str) else F.lit(v) for v in x])
+    told = F.when(k < 8, "？").when(k % 4 == 0, join("⿰", over(2), "⿱", over(3), over(5))).when(k % 4 == 1, join("⿲", over(3), over(4), size.cast("string"))).when(k % 4 == 2, join("⿰", over(2))).otherwise(join("⿰", "？", size.cast("string")))
+    return Y.leaves(Y.components(T.read(spark, d, "part").select(k.cast("string").alias("whole"), told.alias("description")), " "))
+
+
+@query("q169_archive_lines", """
+WITH x AS (SELECT lang || '-' || CAST(doc_id % 8 AS VARCHAR) AS path, 'd' || CAST(doc_id AS VARCHAR) || '.txt' AS member, string_split(text, chr(10)) AS t FROM documents WHERE text <> ''),
+l AS (SELECT path, member, unnest(t) AS text, unnest(range(len(t))) AS line, len(t) AS n FROM x)
+SELECT path, member, CAST(line AS INT) AS line, regexp_replace(text, '\\r$', '') AS text FROM l WHERE NOT (text = '' AND line = n - 1 AND n > 1)""")
+def q169(spark, d):
+    """The lines of all documents, packed into archives of a file each and read back as members."""
+    docs = T.read(spark, d, "documents").filter("text <> ''")
+    named = docs.select(F.concat("lang", F.lit("-"), (F.col("doc_id") % 8).cast("string")).alias("archive"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("member"), "text")
+    return A.lines(A.unpacked(A.packed_tar(named, "archive", "member", "text"), "d*.txt")).select("path", "member", "line", "text")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -149,12 +148,7 @@ def q110(spark, d):
 @query("q111_token_spans")
 def q111(spark, d):
     s = T.sentences(spark, d).select("doc_id", "sent", "text", T.words_of(F.col("text")).alias("toks"))
-
-    @F.pandas_udf("array<struct<a: int, b: int>>")
-    def places(text: pd.Series, toks: pd.Series) -> pd.Series:
-        return pd.Series([[{"a": x[0], "b": x[1]} if x else None for x in spans.token_offsets(t, list(k))] for t, k in zip(text, toks, strict=True)])
-
-    return s.select("doc_id", "sent", places("text", "toks").alias("spans"))
+    return s.select("doc_id", "sent", spans.token_places()("text", "toks").alias("spans"))
 
 
 @query("s01_stream_answer_fold", None)

@@ -151,7 +151,6 @@ def test_mixes_and_picks():
     assert sorted(sessions.kind_mix(10, 0.4)).count("type") == 2 and len(sessions.kind_mix(7, 0.0)) == 7
     assert sessions.missed_kinds([(1, "hear"), (2, "hear"), (3, "hear"), (4, "type")], {1: ["recall"], 2: ["type"], 3: ["read"], 4: ["hear"]}) == [(1, "recall"), (2, "type"), (3, "hear"), (4, "type")]
     assert sessions.weighted_pick({"a": 1, "b": 3}, 0.2) == "a" and sessions.weighted_pick({"a": 1, "b": 3}, 0.25) == "b"
-    assert [sessions.combination(4, 2, k) for k in (0, 5, 6)] == [(0, 1), (2, 3), (0, 1)]
 
 
 def test_spans():
