@@ -12,9 +12,13 @@ labelled bad are not used. c is estimated first: a plain classifier of P
 against U ranks one half of each that it has not seen, and the least ratio of
 the shares of U and of P above a cut, with allowance for the sizes, bounds c.
 
-Features are shares, lengths and repetitions over the whole text; scoring is one
-pass without a shuffle. The fit takes at most SAMPLE documents of either kind
-(those of lowest hash), which bounds the ids that are broadcast as well.
+Features are shares, lengths and repetitions over the whole text, made once where
+texts are read; labels meet numbers, not texts. P is a sample: at most SAMPLE
+labelled documents, those of lowest hash. U is every unlabelled document: its
+rows are dealt to tasks of about TASK_ROWS, each of which goes on from the
+network so far with its own rows and all of P, and the copies are averaged, by
+rows, in a tree, once a round. Means, spreads and the counts above each cut, by
+which the prior is estimated, are sums over all rows in the same way.
 
 Defined results: null and empty texts are scored by the features of a text
 without characters. A doc_id with several labels counts as good only if all of
@@ -25,20 +29,22 @@ an empty result; extra columns don't matter.
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import fold_of, table, with_made
+from .base import checkpoint, fold_of, keyed, table, unkeyed, with_made
 from .words import batches, mix, word_hashes
 
 SAMPLE = 6000
 THRESHOLD = 0.3
+#: Unlabelled rows of a task; rounds of training, and passes over a task's rows in each, for the plain classifier and for the risk; rows that one task sums.
+TASK_ROWS, ROUNDS, PLAIN_EPOCHS, EPOCHS, FAN_IN = 16384, 4, 5, 15, 64
 
 #: Classes of ASCII characters whose shares are features; others are letters beyond ASCII.
 _CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".", ",", "!", "?", "|", "#$%&*", "<>{}[]()", "/\\@:;=_~^`", "\"'-+", "\t\r\v\f\x00")
@@ -115,10 +121,13 @@ def _grads(layers: tuple, x: np.ndarray, dz: np.ndarray) -> list:
     return [x.T @ back, back.sum(0), hidden.T @ dz, dz.sum()]
 
 
-def _network(p: np.ndarray, u: np.ndarray, prior: float | None, epochs: int, rng: np.random.Generator, hidden: int = 24, rate: float = 3e-3) -> tuple:
-    """prior None: P against U, plainly. Else the non-negative unbiased risk with the logistic loss."""
-    k = p.shape[1]
-    opt = _Adam((rng.normal(0, k**-0.5, (k, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), 0.0), rate)
+def _start(width: int, rng: np.random.Generator, hidden: int = 24) -> tuple:
+    return rng.normal(0, width**-0.5, (width, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), 0.0
+
+
+def _network(layers: tuple, p: np.ndarray, u: np.ndarray, prior: float | None, epochs: int, rng: np.random.Generator, rate: float = 3e-3) -> tuple:
+    """The network after more passes. prior None: P against U, plainly. Else the non-negative unbiased risk with the logistic loss."""
+    opt = _Adam(layers, rate)
     steps = max(1, max(len(p), len(u)) // 256)
     for _ in range(epochs):
         ps, us = np.array_split(rng.permutation(len(p)), steps), np.array_split(rng.permutation(len(u)), steps)
@@ -143,64 +152,127 @@ def _network(p: np.ndarray, u: np.ndarray, prior: float | None, epochs: int, rng
     return tuple(opt.at)
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """The share of positives in U, from scores of P and U by a classifier that has seen neither: the best cut's ratio."""
-    cuts = np.unique(np.quantile(np.concatenate([p, u]), np.linspace(0, 1, 400)))
-    up = 1 - np.searchsorted(np.sort(p), cuts) / len(p)
-    uu = 1 - np.searchsorted(np.sort(u), cuts) / len(u)
-    slack = np.sqrt(np.log(20) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
+def cuts_of(p: np.ndarray) -> np.ndarray:
+    """Cuts of scores at which the prior is looked for: the quantiles of P, and even steps between its ends."""
+    return np.unique(np.concatenate([np.quantile(p, np.linspace(0, 1, 200)), np.linspace(p.min(), p.max(), 200)]))
+
+
+def estimate_prior(p: np.ndarray, cuts: np.ndarray, above: np.ndarray, n: float) -> float:
+    """The share of positives in U: the least ratio of the shares of U and of P above a cut. p: scores of P; above: rows of U, of n, at or above each cut."""
+    up, uu = 1 - np.searchsorted(np.sort(p), cuts) / len(p), above / n
+    slack = np.sqrt(np.log(20) / 2) * (len(p) ** -0.5 + n**-0.5)
     ok = up > 0
     best = np.argmin((uu[ok] + slack) / up[ok])
     return float(np.clip(uu[ok][best] / up[ok][best], 0.01, 0.99))
 
 
-def fit(p: np.ndarray, u: np.ndarray, epochs: int = 60, seed: int = 5) -> Model:
-    """p, u: features of positives and of unlabelled documents."""
-    width = p.shape[1] if p.ndim == 2 else 0
-    if not len(p) or not len(u):
-        return Model(np.zeros(width), np.ones(width), None, 0.5)
+def featured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, x): the features of each text, as the bytes of 64-bit floats."""
+
+    def run(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batch:
+            texts = pdf[text].fillna("").tolist()
+            for a, b in batches(texts):
+                yield pd.DataFrame({key: pdf[key][a:b], "x": [row.tobytes() for row in features(texts[a:b])]})
+
+    return unkeyed(keyed(docs, key, text).mapInPandas(run, f"{key} string, x binary"), key)
+
+
+def _rows(x: pd.Series | list) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, x)), "float64").reshape(-1, _WIDTH)
+
+
+def summed(parts: DataFrame) -> np.ndarray | None:
+    """The sum of vectors (i, v: bytes of 64-bit floats), added in a tree, so that the driver gets no more than FAN_IN of them."""
+    add = lambda vs: np.sum([np.frombuffer(bytes(v), "float64") for v in vs], 0)
+    some = lambda pdf: pd.DataFrame({"i": [int(pdf["i"].iloc[0]) // FAN_IN], "v": [add(pdf["v"]).tobytes()]})
+    while parts.count() > FAN_IN:
+        parts = checkpoint(parts.groupBy(F.floor(F.col("i") / FAN_IN)).applyInPandas(some, "i long, v binary"))
+    got = parts.orderBy("i").collect()
+    return add([r["v"] for r in got]) if got else None
+
+
+class Unlabelled:
+    """All unlabelled rows, dealt to tasks; what each task makes of its own is summed."""
+
+    def __init__(self, rows: DataFrame):
+        n = rows.count()
+        self.rows = checkpoint(rows.select("x").repartition(max(1, -(-n // TASK_ROWS)))) if n else None
+        self.n = n
+
+    def sum(self, make: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
+        """The sum of make(features of a task's rows, its number) over tasks with rows."""
+
+        def run(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            task, got = TaskContext.get().partitionId(), [_rows(pdf["x"]) for pdf in batch]
+            if sum(map(len, got)):
+                x = np.concatenate(got)
+                yield pd.DataFrame({"i": [task], "v": [make(x[np.lexsort(x.T)], task).astype("float64").tobytes()]})  # the order of arrival is of no account
+
+        return summed(checkpoint(self.rows.mapInPandas(run, "i long, v binary")))
+
+
+def _packed(layers: tuple) -> np.ndarray:
+    return np.concatenate([np.ravel(x) for x in layers])
+
+
+def _unpacked(v: np.ndarray, like: tuple) -> tuple:
+    ends = np.cumsum([np.size(x) for x in like])
+    return tuple(part.reshape(np.shape(x)) if np.ndim(x) else float(part[0]) for part, x in zip(np.split(v, ends[:-1]), like, strict=True))
+
+
+def fit(p: np.ndarray, u: Unlabelled, seed: int = 5) -> Model:
+    """p: features of positives, in whatever order."""
+    if not len(p) or not u.n:
+        return Model(np.zeros(_WIDTH), np.ones(_WIDTH), None, 0.5)
+    s = u.sum(lambda x, _: np.concatenate([x.sum(0), (x * x).sum(0)])).reshape(2, -1) + np.stack([p.sum(0), (p * p).sum(0)])
+    mean = s[0] / (u.n + len(p))
+    scale = np.sqrt(np.maximum(s[1] / (u.n + len(p)) - mean**2, 0)) + 1e-3
     rng = np.random.default_rng(seed)
-    both = np.concatenate([p, u])
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = (p - mean) / scale, (u - mean) / scale
-    p, u = p[np.lexsort(p.T)], u[np.lexsort(u.T)]  # the order of arrival is of no account
-    p, u = p[rng.permutation(len(p))], u[rng.permutation(len(u))]
+    p = (p[np.lexsort(p.T)] - mean) / scale
+    p = p[rng.permutation(len(p))]
+
+    def rounds(layers: tuple, p: np.ndarray, prior: float | None, epochs: int, step: int) -> tuple:
+        for turn in range(ROUNDS):
+
+            def train(x: np.ndarray, task: int, layers=layers, turn=turn) -> np.ndarray:
+                own = np.random.default_rng([seed, turn, task])
+                x = ((x - mean) / scale)[::step]
+                return np.append(len(x) * _packed(_network(layers, p, x, prior, epochs, own)), len(x))
+
+            v = u.sum(train)
+            layers = _unpacked(v[:-1] / v[-1], layers)
+        return layers
+
     prior = 0.5
-    if len(p) > 1 and len(u) > 1:
-        plain = _network(p[::2], u[::2], None, 20, rng)
-        prior = estimate_prior(_forward(plain, p[1::2])[1], _forward(plain, u[1::2])[1])
-    return Model(mean, scale, _network(p, u, prior, epochs, rng), prior)
+    if len(p) > 1 and u.n > 1:
+        # Each task learns from every other of its rows; the others are looked at.
+        plain = rounds(_start(_WIDTH, rng), p[::2], None, PLAIN_EPOCHS, 2)
+        scores = _forward(plain, p[1::2])[1]
+        cuts = cuts_of(scores)
 
+        def above(x: np.ndarray, _: int) -> np.ndarray:
+            z = np.sort(_forward(plain, ((x - mean) / scale)[1::2])[1])
+            return np.append(len(z) - np.searchsorted(z, cuts), len(z))
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
-    """labels: rows that may be learnt from; documents of docs without one of them are unlabelled.
+        v = u.sum(above)
+        if v[-1]:
+            prior = estimate_prior(scores, cuts, v[:-1], v[-1])
+    return Model(mean, scale, rounds(_start(_WIDTH, rng), p, prior, EPOCHS, 1), prior)
 
-    Texts become features where they are read; one task gets at most 2 * rows rows of numbers.
-    """
-    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"))
-    least = lambda x, n: x.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    good = least(known.filter("q = 1").select("doc_id"), rows).withColumn("p", F.lit(1))
-    ids = docs.select("doc_id").filter("doc_id is not null").distinct()
-    web = least(ids.join(labels.select("doc_id"), "doc_id", "left_anti"), rows).withColumn("p", F.lit(0))
-    sample = docs.select("doc_id", "text").join(F.broadcast(good.unionByName(web)), "doc_id").groupBy("doc_id").agg(F.max("p").alias("p"), F.min("text").alias("text"))
 
-    def told(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batch:
-            texts = pdf["text"].fillna("").tolist()
-            for a, b in batches(texts):
-                yield pd.DataFrame({"p": pdf["p"][a:b], "x": list(features(texts[a:b]))})
+def train_on(rows: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
+    """rows (doc_id, x): documents as features; labels: rows that may be learnt from. Documents without one of them are unlabelled."""
+    known = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"), F.lit(True).alias("labelled"))
+    told = rows.filter("doc_id IS NOT NULL").join(known, "doc_id", "left")
+    good = told.filter("q = 1").groupBy("doc_id").agg(F.min("x").alias("x"))
+    sample = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()  # `most` rows of features
+    return fit(_rows([r["x"] for r in sample]), Unlabelled(told.filter("labelled IS NULL")))
 
-    def one(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, y = [np.zeros((0, _WIDTH))], [np.zeros(0)]
-        for pdf in batch:
-            if len(pdf):
-                x.append(np.stack(pdf["x"].tolist()))
-                y.append(pdf["p"].to_numpy())
-        x, y = np.concatenate(x), np.concatenate(y)
-        yield pd.DataFrame({"model": [pickle.dumps(fit(x[y == 1], x[y == 0]))]})
 
-    made = sample.select("p", "text").mapInPandas(told, "p int, x array<double>").repartition(1).mapInPandas(one, "model binary").first()
-    return pickle.loads(bytes(made[0])) if made else fit(np.zeros((0, _WIDTH)), np.zeros((0, _WIDTH)))
+def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
+    """train_on of documents (doc_id, text)."""
+    return train_on(checkpoint(featured(docs)), labels, most)
 
 
 _WIDTH = features([""]).shape[1]
@@ -217,8 +289,14 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return with_made(docs, text, [("score", "double")], make)
 
 
+def score_on(rows: DataFrame, model: Model) -> DataFrame:
+    """rows (…, x) with score in the place of x."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    return with_made(rows, "x", [("score", "double")], lambda x: [shared.value.score(_rows(x))]).drop("x")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    rows = checkpoint(featured(table(spark, sf_dir, "documents").select("doc_id", "text")))
     learn = fold_of("doc_id", 5) != 0  # what is held out is neither positive nor unlabelled
-    out = score(docs, train(docs.filter(learn), labels.filter(learn)))
+    out = score_on(rows, train_on(rows.filter(learn), table(spark, sf_dir, "labels").filter(learn)))
     return out.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

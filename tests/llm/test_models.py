@@ -102,16 +102,28 @@ def test_toxicity_held_out():
     assert np.array_equal(again.buckets, m.buckets) and np.allclose(again.weights, m.weights)
 
 
-def test_quality_held_out_and_prior():
+@pytest.mark.parametrize("task_rows", [quality_pu.TASK_ROWS, 120])
+def test_quality_held_out_and_prior(spark, monkeypatch, task_rows):
+    """In one task, and in nine that are averaged and summed in a tree."""
+
     def bad(rng, words):
         return " ".join(w + "###" for w in words).upper()
 
+    monkeypatch.setattr(quality_pu, "TASK_ROWS", task_rows)
+    monkeypatch.setattr(quality_pu, "FAN_IN", 3)
     texts, y = _texts(random.Random(3), 2400, bad)
     x = quality_pu.features(texts)
     good = x[:1000][y[:1000] == 0]
-    m = quality_pu.fit(good, x[1000:2000])
+    m = quality_pu.fit(good, quality_pu.Unlabelled(spark.createDataFrame([(bytearray(r.tobytes()),) for r in x[1000:2000]], "x binary")))
     s = m.score(x[2000:])
-    assert ((s < 0.3) == y[2000:]).mean() > 0.97 and abs(m.prior - 0.75) < 0.08
+    assert ((s < 0.3) == y[2000:]).mean() > 0.97 and abs(m.prior - 0.75) < 0.1
+
+
+def test_every_unlabelled_row_is_seen(spark, monkeypatch):
+    monkeypatch.setattr(quality_pu, "TASK_ROWS", 7)
+    monkeypatch.setattr(quality_pu, "FAN_IN", 2)
+    rows = quality_pu.Unlabelled(spark.createDataFrame([(bytearray(np.full(quality_pu._WIDTH, float(k)).tobytes()),) for k in range(100)], "x binary"))
+    assert rows.sum(lambda x, _: np.array([len(x), x[:, 0].sum(), (x[:, 1] ** 2).sum()])).tolist() == [100, 4950, sum(k * k for k in range(100))]
 
 
 def test_gradients_of_the_network():
