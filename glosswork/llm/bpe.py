@@ -33,6 +33,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,7 @@ from .base import keyed, table, unkeyed, with_made
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Code points of a leaf, and of the first window on each side of a cut; tokens that must agree.
-LEAF_CHARS, WINDOW_CHARS, AGREE = 32768, 32, 2
+LEAF_CHARS, WINDOW_CHARS, AGREE = 2048, 32, 2
 #: Leaves that the library encodes at once, and its threads.
 LEAVES, THREADS = 256, 2
 #: Longest word that a word cache holds, and the bytes of an entry beside the word and its ids.
@@ -97,8 +98,9 @@ class Tokens:
 
     @classmethod
     def of(cls, encoding, at: int) -> "Tokens":
-        place = np.array(encoding.offsets, "int64").reshape(-1, 2) + at
-        return cls(np.array(encoding.ids, "<u4"), place[:, 0], place[:, 1])
+        ids = np.array(encoding.ids, "<u4")
+        place = np.fromiter(chain.from_iterable(encoding.offsets), "int64", 2 * len(ids)).reshape(-1, 2) + at
+        return cls(ids, place[:, 0], place[:, 1])
 
     def part(self, a: int, b: int | None = None) -> "Tokens":
         return Tokens(self.ids[a:b], self.start[a:b], self.end[a:b])
@@ -129,7 +131,7 @@ def _agreement(window: Tokens, side: Tokens, text: str, low: int, high: int) ->
 
 
 class Coder:
-    """cache_bytes: what a cache of the ids of short words may take, by which texts of one leaf are encoded; 0 for none. parted: words are parted for it as _apart does."""
+    """cache_bytes: what a cache of the ids of short words may take, by which leaves are encoded; 0 for none. parted: words are parted for it as _apart does, in texts of one leaf."""
 
     def __init__(self, path: str = VOCABULARY, cache_bytes: int = 0, parted: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
@@ -140,6 +142,7 @@ class Coder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cache: dict[str, bytes] = {}
+        self.spans: dict[str, tuple] = {}
         self.cache_bytes, self.parted, self.held = cache_bytes, parted, 0
         self.encoded_chars = 0  # code points that the library has encoded
         added = self.tokenizer.get_added_tokens_decoder()
@@ -191,6 +194,43 @@ class Coder:
         find = (lambda w: known[w] if w in known else long[w]) if long else known.__getitem__
         return [b"".join(map(find, words)) for words in cut]
 
+    def _spanned(self, texts: list[str]) -> list[Tokens]:
+        """The tokens of parts of a text, by a cache of words as in _words, each word with the places of its tokens."""
+        if self.held > self.cache_bytes:
+            self.cache.clear()
+            self.spans.clear()
+            self.held = 0
+        known, cut, out = self.spans, [t.replace("\n", " ").split(" ") for t in texts], []
+        new, long = list({w for words in cut for w in words}.difference(known)), {}
+        for k in range(0, len(new), LEAVES):
+            some = new[k : k + LEAVES]
+            for w, got in zip(some, self._parts(some), strict=True):
+                if len(w) <= CACHED_CHARS:
+                    known[w] = got
+                    self.held += 2 * ENTRY_BYTES + len(w) + 9 * got[1]
+                else:
+                    long[w] = got
+        find = (lambda w: known[w] if w in known else long[w]) if long else known.__getitem__
+        for words in cut:
+            ids, n, start, end = zip(*map(find, words), strict=True)
+            size = np.fromiter(map(len, words), "int64", len(words)) + 1
+            shift = np.repeat(np.cumsum(size) - size, n)
+            place = lambda x: np.frombuffer(b"".join(x), "<i4") + shift  # noqa: B023, E731
+            out.append(Tokens(np.frombuffer(b"".join(ids), "<u4"), place(start), place(end)))
+        return out
+
+    def _parts(self, words: list[str]) -> list[tuple[bytes, int, bytes, bytes]]:
+        """(ids, their number, starts, ends) of words without blanks, told apart as in _each."""
+        got = Tokens.of(self._library([" ".join(words)])[0], 0)
+        if (np.diff(got.start) < 0).any():
+            return [(t.ids.tobytes(), len(t.ids), t.start.astype("<i4").tobytes(), t.end.astype("<i4").tobytes()) for t in (Tokens.of(e, 0) for e in self._library(words))]
+        ends = np.cumsum([len(w) + 1 for w in words])
+        edges = np.searchsorted(got.start, np.append(0, ends))
+        n = np.diff(edges)
+        shift = np.repeat(np.append(0, ends[:-1]), n)
+        raw = [x.tobytes() for x in (got.ids, (got.start - shift).astype("<i4"), (got.end - shift).astype("<i4"))]
+        return [(raw[0][i:j], k, raw[1][i:j], raw[2][i:j]) for i, j, k in zip((4 * edges[:-1]).tolist(), (4 * edges[1:]).tolist(), n.tolist(), strict=True)]
+
     def _each(self, words: list[str]) -> list[bytes]:
         """The ids of words without blanks, encoded as one text and told apart by where they stand."""
         got = Tokens.of(self._library([" ".join(words)])[0], 0)
@@ -205,7 +245,9 @@ class Coder:
         parts, nodes = _halves(0, len(text), leaf), []
         for k in range(0, len(parts), LEAVES):
             some = parts[k : k + LEAVES]
-            nodes += [(a, b, Tokens.of(e, a)) for (a, b), e in zip(some, self._library([text[a:b] for a, b in some]), strict=True)]
+            leaves = [text[a:b] for a, b in some]
+            got = self._spanned(leaves) if self.cache_bytes else [Tokens.of(e, 0) for e in self._library(leaves)]
+            nodes += [(a, b, Tokens(t.ids, t.start + a, t.end + a)) for (a, b), t in zip(some, got, strict=True)]
         while len(nodes) > 1:
             nodes = [(x[0], y[1], self._join(text, x, y, window)) for x, y in zip(nodes[::2], nodes[1::2], strict=True)]
         return nodes[0][2]

@@ -266,7 +266,10 @@ def train_on(rows: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     known = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"), F.lit(True).alias("labelled"))
     told = rows.filter("doc_id IS NOT NULL").join(known, "doc_id", "left")
     good = told.filter("q = 1").groupBy("doc_id").agg(F.min("x").alias("x"))
-    sample = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()  # `most` rows of features
+    n, order = good.count(), F.xxhash64("doc_id")
+    # The lowest hashes are among those below a share of the range, so that no task sends `most` rows to the driver.
+    low = good.filter(order < F.lit(int(-(1 << 63) + min(1.0, 2 * most / n) * ((1 << 64) - 1)))) if n > 4 * most else good
+    sample = low.orderBy(order, "doc_id").limit(most).collect()  # `most` rows of features
     return fit(_rows([r["x"] for r in sample]), Unlabelled(told.filter("labelled IS NULL")))
 
 
