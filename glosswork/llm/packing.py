@@ -4,9 +4,9 @@ Documents become token pieces, cut only where a document is longer than a
 sequence. Pieces of full length are sequences of their own. The others are
 dealt by a hash of their place to islands of bounded size. On each island a
 small population of packings evolves: crossover injects whole well-filled bins
-of one parent into the other, removes bins that hold duplicates of what was
-injected, and best-fits the displaced pieces, longest first; mutation
-dissolves the emptiest bins. Then elites migrate: every island sends the
+of one parent into the other, those first that cost it no full bin of its own,
+removes bins that hold duplicates of what was injected, and best-fits the
+displaced pieces, longest first; mutation dissolves the emptiest bins. Then elites migrate: every island sends the
 length patterns of its best full bins to the next island of the ring, which
 builds an immigrant packing out of its own pieces of those lengths and evolves
 again. Full bins are final, and the fullest others where those hold less than
@@ -38,8 +38,8 @@ from .base import checkpoint, keyed, table, unkeyed
 from .bpe import VOCABULARY, coder
 
 CAPACITY = 2048
-#: Pieces of an island, packings of a population, generations of an epoch, patterns that migrate.
-ISLAND_PIECES, POPULATION, GENERATIONS, ELITES = 4096, 4, 6, 64
+#: Pieces of an island, packings of a population, generations of an epoch, those without a new packing after which it ends, patterns that migrate.
+ISLAND_PIECES, POPULATION, GENERATIONS, PATIENCE, ELITES = 4096, 4, 32, 8, 64
 
 #: Code points of a text that is encoded by its words, not as a tree.
 LEAF_CHARS = 1 << 20
@@ -117,20 +117,71 @@ def fills(bins: list[list[int]], lengths: np.ndarray) -> np.ndarray:
     return np.add.reduceat(lengths[flat], np.cumsum(sizes) - sizes)
 
 
-def fitness(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> tuple[int, int]:
-    """Fewer bins first; among as many, the sum of squared fills, which favours full ones beside one that holds the rest."""
-    f = fills(bins, lengths)
-    return -len(bins), int(f @ f)
-
-
-def crossover(a: list[list[int]], b: list[list[int]], lengths: np.ndarray, capacity: int, rng: random.Random) -> list[list[int]]:
-    """Whole well-filled bins of b go into a; what they displace is best-fitted."""
-    full = np.flatnonzero(50 * fills(b, lengths) >= 49 * capacity).tolist()
-    injected = [b[k] for k in full if rng.random() < 0.5]
-    taken = set(chain.from_iterable(injected))
-    stay = [x for x in a if taken.isdisjoint(x)]
-    held = taken.union(*stay)
-    return _packed(lengths, capacity, injected + stay, [i for x in a for i in x if i not in held])
+class Packing:
+    """A packing of all pieces of an island: its bins, how full they are, and the bin of each piece."""
+
+    def __init__(self, bins: list[list[int]], lengths: np.ndarray):
+        self.bins, self.fill = bins, fills(bins, lengths)
+        sizes = np.fromiter(map(len, bins), "int64", len(bins))
+        self.where = np.empty(len(lengths), "int64")
+        self.where[np.fromiter(chain.from_iterable(bins), "int64", len(lengths))] = np.repeat(np.arange(len(bins)), sizes)
+
+    def score(self) -> tuple[int, int]:
+        """Fewer bins first; among as many, the sum of squared fills, which favours full ones beside one that holds the rest."""
+        return -len(self.bins), int(self.fill @ self.fill)
+
+
+def _gains(a: Packing, b: Packing, capacity: int) -> tuple[list[list[int]], np.ndarray]:
+    """The full bins of b that a does not have, and how many full bins of a each would take pieces from."""
+    items = [b.bins[k] for k in np.flatnonzero(b.fill == capacity).tolist()]
+    if not items:
+        return [], np.zeros(0, "int64")
+    sizes = np.fromiter(map(len, items), "int64", len(items))
+    hit = a.where[np.fromiter(chain.from_iterable(items), "int64", int(sizes.sum()))]
+    of = np.repeat(np.arange(len(items)), sizes)
+    order = np.lexsort((hit, of))
+    of, hit = of[order], hit[order]
+    new = np.ones(len(hit), bool)
+    new[1:] = (of[1:] != of[:-1]) | (hit[1:] != hit[:-1])
+    of, hit = of[new], hit[new]
+    costs = np.bincount(of, weights=a.fill[hit] == capacity, minlength=len(items)).astype("int64")
+    # A full bin whose pieces lie in one full bin is that bin.
+    own = (np.bincount(of, minlength=len(items)) == 1) & (costs == 1)
+    return [x for x, same in zip(items, own.tolist(), strict=True) if not same], costs[~own]
+
+
+def crossover(a: Packing, b: Packing, lengths: np.ndarray, capacity: int, rng: random.Random) -> Packing | None:
+    """a with full bins of b injected whole; None if there is none to inject.
+
+    Bins of a that hold a duplicate of an injected piece go, and the pieces they
+    hold beside are best-fitted into the open bins. Bins that take from no full
+    bin of a come first; those that take from one are a fair exchange, and every
+    other of them is taken; no bin is injected that costs more than it brings.
+    """
+    items, costs = _gains(a, b, capacity)
+    order = np.flatnonzero(costs <= 1).tolist()
+    rng.shuffle(order)
+    order.sort(key=costs.__getitem__)
+    gone, taken, whole = set(), set(), []
+    for k in order:
+        if not taken.isdisjoint(items[k]):
+            continue
+        hit = set(a.where[items[k]].tolist()) - gone
+        lost = sum(a.fill[j] == capacity for j in hit)
+        if lost > 1 or lost == 1 and rng.random() < 0.5:
+            continue
+        gone |= hit
+        taken.update(items[k])
+        whole.append(items[k])
+    if not whole:
+        return None
+    open_ = Bins(lengths.tolist(), capacity)
+    for k in np.flatnonzero(a.fill < capacity).tolist():
+        if k not in gone:
+            open_.add(list(a.bins[k]), capacity - int(a.fill[k]))
+    open_.best_fit([i for k in gone for i in a.bins[k] if i not in taken])
+    kept = [a.bins[k] for k in np.flatnonzero(a.fill == capacity).tolist() if k not in gone]
+    return Packing(kept + whole + open_.bins, lengths)
 
 
 def fullest(items: list[int], lengths: list[int], capacity: int) -> list[int]:
@@ -146,18 +197,17 @@ def fullest(items: list[int], lengths: list[int], capacity: int) -> list[int]:
     return out
 
 
-def mutate(a: list[list[int]], lengths: list[int], capacity: int, rng: random.Random, known: np.ndarray) -> list[list[int]]:
+def mutate(a: Packing, lengths: np.ndarray, capacity: int, rng: random.Random) -> Packing:
     """The emptiest bins and a few others are dissolved, and bins as full as can be are built from their items, one after another."""
-    order = np.argsort(fills(a, known), kind="stable")[:8].tolist()
-    gone = set(order) | {rng.randrange(len(a)) for _ in range(8)}
-    left, bins = [i for k in gone for i in a[k]], [x for k, x in enumerate(a) if k not in gone]
+    gone = set(np.argsort(a.fill, kind="stable")[:8].tolist()) | {rng.randrange(len(a.bins)) for _ in range(8)}
+    left, bins, known = [i for k in gone for i in a.bins[k]], [x for k, x in enumerate(a.bins) if k not in gone], lengths.tolist()
     rng.shuffle(left)
     while left:
-        x = fullest(left, lengths, capacity)
+        x = fullest(left, known, capacity)
         taken = set(x)
         bins.append(x)
         left = [i for i in left if i not in taken]
-    return bins
+    return Packing(bins, lengths)
 
 
 def immigrant(patterns: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -180,43 +230,58 @@ def immigrant(patterns: list[list[int]], lengths: np.ndarray, capacity: int) ->
     return _packed(lengths, capacity, whole, [i for x in by.values() for i in x])
 
 
-def evolve(lengths: list[int], capacity: int = CAPACITY, seed: int = 0, start: list[list[int]] | None = None, patterns: list[list[int]] | None = None, population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
+def evolve(
+    lengths: list[int], capacity: int = CAPACITY, seed: int = 0, start: list[list[int]] | None = None, patterns: list[list[int]] | None = None,
+    population: int = POPULATION, generations: int = GENERATIONS, crossing: bool = True, won: dict[str, int] | None = None,
+) -> list[list[int]]:
     """The best packing found, as lists of places in lengths.
 
-    Few bins are not enough: what is left empty is to lie in one bin, whose
-    pieces go on to the next level. So evolution ends before its generations
-    only where all bins but one are full, which no packing beats.
+    Each generation crosses the best packing with another, both ways, and
+    mutates the children; a child that is better than the worst packing, and
+    equal to none, takes its place. Few bins are not enough: what is left empty
+    is to lie in one bin, whose pieces go on to the next level. So evolution ends
+    before its generations where all bins but one are full, which no packing
+    beats, or where PATIENCE generations have brought no child in.
+
+    crossing: whether packings are crossed, for tests; won: gets the number of
+    children of each kind that came in.
     """
     if not lengths:
         return []
     rng, known = random.Random(seed), np.array(lengths, "int64")
-    score = lambda x: fitness(x, known, capacity)
-    perfect = lambda x: (fills(x, known) < capacity).sum() <= 1
-    people = [start] if start else [_packed(known, capacity, [], list(range(len(lengths))))]
-    if perfect(people[0]):
-        return people[0]
+    perfect = lambda x: (x.fill < capacity).sum() <= 1
+    first = Packing(start or _packed(known, capacity, [], list(range(len(lengths)))), known)
+    if perfect(first):
+        return first.bins
+    people = [first]
     if patterns:
-        people.append(immigrant(patterns, known, capacity))
+        people.append(Packing(immigrant(patterns, known, capacity), known))
     while len(people) < population:
         # Part of the items first in pairs at random, so that the parents differ.
-        first = rng.sample(range(len(lengths)), len(lengths) // 3)
+        some = rng.sample(range(len(lengths)), len(lengths) // 3)
         b = Bins(lengths, capacity)
-        for i in first:
+        for i in some:
             b.best_fit([i])
-        b.best_fit(list(set(range(len(lengths))) - set(first)))
-        people.append(b.bins)
-    rated = sorted(((score(x), k, x) for k, x in enumerate(people)), reverse=True)
-    for turn in range(max(generations, 12_000 // len(lengths))):
-        if perfect(rated[0][2]):
+        b.best_fit(list(set(range(len(lengths))) - set(some)))
+        people.append(Packing(b.bins, known))
+    people.sort(key=Packing.score, reverse=True)
+    won, idle = {} if won is None else won, 0
+    for _ in range(max(generations, 12_000 // len(lengths))):
+        if perfect(people[0]) or idle == PATIENCE:
             break
-        a, b = rated[0][2], rated[rng.randrange(1, len(rated))][2]
-        if rng.random() < 0.5:
-            a, b = b, a
-        children = [mutate(crossover(a, b, known, capacity, rng), lengths, capacity, rng, known), mutate(rated[0][2], lengths, capacity, rng, known)]
-        best = max((score(x), population + turn, x) for x in children)
-        if best[0] > rated[-1][0]:
-            rated = sorted([*rated[:-1], best], reverse=True)
-    return rated[0][2]
+        idle += 1
+        a, b = people[0], people[rng.randrange(1, len(people))]
+        children = []
+        for x, y in ((a, b), (b, a)):
+            child = crossover(x, y, known, capacity, rng) if crossing else None
+            if child:
+                children.append(("crossed", child))
+            children.append(("mutated", mutate(child or x, known, capacity, rng)))
+        for kind, child in children:
+            if child.score() > people[-1].score() and all(child.score() != x.score() for x in people):
+                people = sorted([*people[:-1], child], key=Packing.score, reverse=True)
+                won[kind], idle = won.get(kind, 0) + 1, 0
+    return people[0].bins
 
 
 def _placed(pdf: pd.DataFrame, lengths: list[int], bins: list[list[int]], capacity: int) -> pd.DataFrame:

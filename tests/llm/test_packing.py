@@ -39,6 +39,36 @@ def test_evolution_fills_bins_that_best_fit_leaves_open():
     assert len(bins) <= len(best_fit) and full(bins) > full(best_fit)
 
 
+@pytest.mark.parametrize("kind", ["texts", "triplets"])
+def test_crossover_makes_the_difference_on_a_whole_island(kind):
+    """4,096 pieces: with crossing more bins are full than without, in as many generations, and children of crossings come in."""
+    rng, n = random.Random(11), P.ISLAND_PIECES
+    lengths = [1 + int(rng.lognormvariate(6.2, 1.2)) % (P.CAPACITY - 1) for _ in range(n)] if kind == "texts" else triplets(n // 3, 1)[0]
+    known, won = np.array(lengths), {}
+    full = lambda bins: (-len(bins), int((P.fills(bins, known) == P.CAPACITY).sum()))
+    crossed, alone, best_fit = P.evolve(lengths, seed=3, won=won), P.evolve(lengths, seed=3, crossing=False), P._packed(known, P.CAPACITY, [], list(range(len(lengths))))
+    assert sorted(i for b in crossed for i in b) == list(range(len(lengths))) and P.fills(crossed, known).max() <= P.CAPACITY
+    assert full(crossed) > full(alone) >= full(best_fit) and won["crossed"] >= 3
+
+
+def test_injected_bins_are_whole_and_cost_no_more_than_they_bring():
+    rng = random.Random(2)
+    for seed in range(20):
+        lengths = np.array([rng.choice([512, 1024, 256, rng.randrange(1, 900)]) for _ in range(300)])
+        parents = []
+        for k in range(2):
+            order = list(range(300))
+            random.Random(seed + 100 * k).shuffle(order)
+            b = P.Bins(lengths.tolist(), P.CAPACITY)
+            for i in order:
+                b.best_fit([i])
+            parents.append(P.Packing(b.bins, lengths))
+        child = P.crossover(*parents, lengths, P.CAPACITY, random.Random(seed))
+        full = lambda x: {frozenset(v) for v, f in zip(x.bins, x.fill.tolist(), strict=True) if f == P.CAPACITY}
+        assert sorted(i for x in child.bins for i in x) == list(range(300)) and child.fill.max() <= P.CAPACITY
+        assert full(child) & (full(parents[1]) - full(parents[0])) and len(full(child)) >= len(full(parents[0]))
+
+
 def packed(spark, lengths, island_pieces):
     rows = [(str(k), 0, 0, n, 0, k) for k, n in enumerate(lengths)]
     out = P.pack(spark.createDataFrame(rows, P.PIECES), island_pieces=island_pieces).collect()
