@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glosswork.sources.tables import ranked
+from glosswork.operators.settle import numbered
 
 #: Words of each level, the last taking the rest; rank up to which a word is ambient; peripheral shares by level.
 BANDS = (("A1", 600), ("A2", 700), ("B1", 700))
@@ -34,15 +34,14 @@ def rank_blend(spoken: DataFrame, written: DataFrame, weighted: DataFrame | None
 
     weighted: a third ranking (token, rank); what it lacks counts as just past its end.
     """
-    s = ranked(spoken.withColumn("_", F.lit(0)), ["_"], name="sr").select("token", "sr")
-    x = s.join(ranked(written.withColumn("_", F.lit(0)), ["_"], name="wr").select("token", "wr"), "token")
+    by_count = lambda t, name: numbered(t.select("token", "n"), [], [F.desc("n"), F.col("token")], name).select("token", name)
+    x = by_count(spoken, "sr").join(by_count(written, "wr"), "token")
     score = (F.ln("sr") + F.ln("wr")) / 2
     if weighted is not None:
         size = weighted.agg((F.count("*") + 1).alias("end"))
         x = x.join(weighted.select("token", F.col("rank").alias("cr")), "token", "left").crossJoin(F.broadcast(size))  # one row
         score = (F.ln("sr") + F.ln("wr") + weight * F.ln(F.coalesce("cr", "end"))) / (2 + weight)
-    x = x.select("token", F.round(score, 9).alias("score"))
-    return ranked(x.withColumn("n", -F.col("score")).withColumn("_", F.lit(0)), ["_"]).select("token", "score", "rank")
+    return numbered(x.select("token", F.round(score, 9).alias("score")), [], [F.col("score"), F.col("token")])
 
 
 def distribute_surface(readings: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glosswork.operators.settle import carried
+
 
 def truecase(sentences: DataFrame, counts: DataFrame) -> DataFrame:
     """Adds cased: the text, its first word in lower case where that is the word's usual form inside sentences.
@@ -102,10 +104,11 @@ def page_shift(pages: DataFrame, twins: DataFrame, most: int = 3, least_pages: i
 
 
 def as_of(rows: DataFrame, curves: DataFrame) -> DataFrame:
-    """Each row (id, grp, at) with the curve (grp, since, curve) of the greatest `since` not after it: one ordered pass over the union, no pairs."""
+    """Each row (id, grp, at) with the curve (grp, since, curve) of the greatest `since` not after it: one ordered pass over the union, no pairs; a group is spread over tasks."""
     u = rows.select("id", "grp", "at", F.lit(None).cast("string").alias("curve"), F.lit(1).alias("o")).unionByName(curves.select(F.lit(None).cast("long").alias("id"), "grp", F.col("since").alias("at"), "curve", F.lit(0).alias("o")))
-    w = W.partitionBy("grp").orderBy("at", "o", "curve").rowsBetween(W.unboundedPreceding, 0)
-    return u.withColumn("found", F.last("curve", ignorenulls=True).over(w)).filter("o = 1").select("id", "grp", "at", F.coalesce("found", F.lit("")).alias("curve"))
+    # Rows of one place may meet in any order after its curves.
+    x = carried(u, ["grp"], [F.col("at"), F.col("o"), F.col("curve"), F.col("id")], "curve", "found")
+    return x.filter("o = 1").select("id", "grp", "at", F.coalesce("found", F.lit("")).alias("curve"))
 
 
 def compose_gloss(senses: DataFrame, fits: int = 45) -> DataFrame:

@@ -12,6 +12,7 @@ from glosswork.functions import spans
 from glosswork.functions import text as X
 from glosswork.operators import alignment, corpus, planners, sessions, state
 from glosswork.operators import relations as R
+from glosswork.operators.settle import numbered
 from glosswork.sources import tables as T
 from glosswork.sources.tables import WORDS
 from glosswork.sources.html import html_text
@@ -39,9 +40,13 @@ def q48(spark, d):
 @query("q49_sentence_align")
 def q49(spark, d):
     """Each document's lines against those of the next document of its source, as a page and its translation."""
-    w = W.partitionBy("source").orderBy("doc_id")
-    s = T.read(spark, d, "documents").select("source", "doc_id", F.filter(F.split("text", "\n"), lambda x: x != "").alias("us"))
-    pages = s.withColumn("es", F.lead("us").over(w)).filter("es IS NOT NULL")
+    docs = T.read(spark, d, "documents")
+    ranks = numbered(docs.select("source", "doc_id"), ["source"], [F.col("doc_id")])
+    # Texts meet by their ids; no order is made of them.
+    after = ranks.select("source", (F.col("rank") - 1).alias("rank"), F.col("doc_id").alias("next"))
+    lines = docs.select("doc_id", F.filter(F.split("text", "\n"), lambda x: x != "").alias("us"))
+    pairs = ranks.join(after, ["source", "rank"]).select("source", "doc_id", "next")
+    pages = pairs.join(lines, "doc_id").join(lines.select(F.col("doc_id").alias("next"), F.col("us").alias("es")), "next").drop("next")
     spark.udtf.register("aligned_sentences", alignment.Aligned)
     return spark.sql("SELECT p.doc_id, a.* FROM {pages} p, LATERAL aligned_sentences(p.us, p.es) a", pages=pages)
 
