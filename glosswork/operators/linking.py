@@ -147,8 +147,9 @@ def flat_profile(buckets: DataFrame, spread: float = 15.0) -> DataFrame:
 def story_drops(pairs: DataFrame, order: list[str], tokens: tuple[int, int] = (3, 14), glued: int = 20, openers: tuple[str, ...] = (), relative: tuple[str, ...] = (), meta: str = "$^") -> DataFrame:
     """Adds reason: the first filter that a pair (target, english, names) of a story fails, '' where it passes all.
 
-    names: the story's names, an array (an empty or null one drops nothing). Of
-    kept pairs with the same target, but for case and blanks, the first in the
+    names: the story's names, an array (an empty or null one drops nothing);
+    spelt, where pairs have it: the words of the target's language that spell one
+    of them in its own writing, see names.alike. Of kept pairs with the same target, but for case and blanks, the first in the
     order stays and the others are duplicates; they meet in an aggregate.
     """
     t, e = F.regexp_extract_all(F.lower("target"), F.lit(r"(\p{L}+)"), 1), F.regexp_extract_all("english", F.lit("([A-Za-z']+)"), 1)
@@ -157,6 +158,7 @@ def story_drops(pairs: DataFrame, order: list[str], tokens: tuple[int, int] = (3
     one_sound = ((n >= 2) & (F.size(F.array_distinct(t)) <= F.greatest(F.lit(1), F.floor(n / 3)))) | ((F.size(e) >= 3) & (F.size(F.array_distinct(low)) == 1))
     uneven = lambda c: (F.regexp_count(c, F.lit('"')) % 2 == 1) | (F.regexp_count(c, F.lit(r"\(")) != F.regexp_count(c, F.lit(r"\)")))
     words = lambda x: F.array(*[F.lit(w) for w in x]).cast("array<string>")
+    spelt = F.coalesce(F.arrays_overlap(t, "spelt"), F.lit(False)) if "spelt" in pairs.columns else F.lit(False)
     reason = (
         F.when((ratio < 0.7) | (ratio > 1.4), "pair_alignment")
         .when(~F.col("target").rlike(r"[.!?]$"), "not_terminated")
@@ -168,7 +170,7 @@ def story_drops(pairs: DataFrame, order: list[str], tokens: tuple[int, int] = (3
         .when((n > 10) & F.arrays_overlap(t, words(relative)), "complex_clause")
         .when(uneven("target") | uneven("english"), "quotation_fragment")
         .when(F.col("english").rlike(r"^[A-Z][a-z]+[.!?]$"), "names_only")
-        .when(F.coalesce(F.arrays_overlap(e, "names"), F.lit(False)), "story_name")
+        .when(F.coalesce(F.arrays_overlap(e, "names"), F.lit(False)) | spelt, "story_name")
         .when(F.col("english").rlike(meta), "meta_line")
         .otherwise("")
     )

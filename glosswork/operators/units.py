@@ -93,6 +93,27 @@ def excerpts(pages: DataFrame, text: str) -> DataFrame:
     return pages.filter(F.contains("text", F.lit(text))).select("story", "page")
 
 
+def excerpt_runs(pages: DataFrame, levels: DataFrame) -> DataFrame:
+    """(story, lv, runs): how many contiguous runs of a story's pages are excerpts of a level, where any is.
+
+    pages: (story, page, words, known), the words of a page and how many of them
+    a level (lv) knows, a row for each level; levels: (lv, least, most, coverage).
+    A run counts if it has `least` to `most` words and knows `coverage` of them.
+
+    The words before a page place it on a line; a run ends `most` words after it
+    begins at the latest, so pages meet within two blocks of that length.
+    """
+    up = W.partitionBy("story", "lv").orderBy("page").rowsBetween(W.unboundedPreceding, 0)
+    x = pages.join(F.broadcast(levels), "lv")  # a row a level, a fixed list
+    x = x.withColumn("end", F.sum("words").over(up)).withColumn("upto", F.sum("known").over(up)).withColumn("start", F.col("end") - F.col("words"))
+    block = lambda c: F.floor(F.col(c) / F.col("most"))
+    first = x.select("story", "lv", F.col("page").alias("i"), "start", (F.col("upto") - F.col("known")).alias("before"), "least", "most", "coverage", F.explode(F.array(block("start"), block("start") + 1)).alias("b"))
+    last = x.select("story", "lv", F.col("page").alias("j"), "end", "upto", block("end").alias("b"))
+    n = F.col("end") - F.col("start")
+    fits = (F.col("j") >= F.col("i")) & (n >= F.col("least")) & (n <= F.col("most")) & (F.col("upto") - F.col("before") >= F.col("coverage") * n)
+    return first.join(last, ["story", "lv", "b"]).filter(fits).groupBy("story", "lv").agg(F.count("*").alias("runs"))
+
+
 def bare_first(candidates: DataFrame, most: int = 3) -> DataFrame:
     """Candidates (learner, item, bare, s, session) with reserved: the first bare ones of each learner take the places before all others."""
     w = W.partitionBy("learner").orderBy((~F.col("bare")).cast("int"), "s", "session", "item")

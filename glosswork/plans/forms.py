@@ -9,14 +9,17 @@ from glosswork.functions import combinations as K
 from glosswork.functions import glosses as G
 from glosswork.functions import meanings as M
 from glosswork.functions import paradigms, spans
+from glosswork.functions import readings as D
 from glosswork.functions.language import LANGUAGES
 from glosswork.operators import linking as L
 from glosswork.operators import meanings as N
+from glosswork.operators import names, planners
 from glosswork.operators import relations as R
 from glosswork.operators import segments as Y
+from glosswork.operators import units as U
 from glosswork.sources import archives as A
 from glosswork.sources import tables as T
-from glosswork.sources.tables import SENTENCES, WORDS
+from glosswork.sources.tables import ANSWERS, SENTENCES, WORDS
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -388,3 +391,71 @@ def q169(spark, d):
     docs = T.read(spark, d, "documents").filter("text <> ''")
     named = docs.select(F.concat("lang", F.lit("-"), (F.col("doc_id") % 8).cast("string")).alias("archive"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("member"), "text")
     return A.lines(A.unpacked(A.packed_tar(named, "archive", "member", "text"), "d*.txt")).select("path", "member", "line", "text")
+
+
+_LEVELS = "levels(lv, least, most, coverage) AS (VALUES (0, 20, 60, 0.5::DOUBLE), (1, 40, 120, 0.8::DOUBLE))"
+
+
+@query("q170_excerpt_runs", "WITH " + WORDS + ",\n" + _LEVELS + """,
+p AS (SELECT t.doc_id AS story, sent AS page, lv, count(*) AS words, count(*) FILTER (w.rank <= CASE lv WHEN 0 THEN 600 ELSE 2000 END) AS known FROM tokens t JOIN words w ON w.lang = t.lang AND w.token = t.token, levels GROUP BY ALL),
+s AS (SELECT *, sum(words) OVER u AS upto, sum(known) OVER u AS kn FROM p WINDOW u AS (PARTITION BY story, lv ORDER BY page))
+SELECT a.story, a.lv, count(*) AS runs FROM s a JOIN s b ON b.story = a.story AND b.lv = a.lv AND b.page >= a.page JOIN levels l ON l.lv = a.lv
+WHERE b.upto - a.upto + a.words BETWEEN least AND most AND b.kn - a.kn + a.known >= coverage * (b.upto - a.upto + a.words) GROUP BY ALL""")
+def q170(spark, d):
+    """Runs of sentences in a document, its pages, that are long enough and known enough for a level."""
+    rank = T.words(spark, d).select("lang", "token", "rank")
+    x = T.tokens(spark, d).select("lang", "doc_id", "sent", "token").join(rank, ["lang", "token"])
+    levels = spark.createDataFrame([(0, 20, 60, 0.5), (1, 40, 120, 0.8)], "lv int, least int, most int, coverage double")
+    per = x.groupBy(F.col("doc_id").alias("story"), F.col("sent").alias("page")).agg(F.count("*").alias("words"), F.count_if(F.col("rank") <= 600).alias("k0"), F.count_if(F.col("rank") <= 2000).alias("k1"))
+    known = F.array(*[F.struct(F.lit(k).alias("lv"), F.col(f"k{k}").alias("known")) for k in (0, 1)])
+    pages = per.select("story", "page", "words", F.explode(known).alias("x")).select("story", "page", "words", "x.lv", "x.known")
+    return U.excerpt_runs(pages, levels)
+
+
+@query("q171_placement_sweep", "WITH " + ANSWERS + """,
+r AS (SELECT learner, item // 2 AS bucket, count(*) FILTER (ok) * 4 >= count(*) * 3 AS passed FROM answers WHERE kind <> 'read' AND item % 4 < 2 GROUP BY ALL),
+l AS (SELECT learner, max(bucket) AS floor FROM r WHERE passed GROUP BY learner),
+b AS (SELECT learner, unnest(range(0, floor + 1)) AS bucket FROM l),
+s AS (SELECT learner, item // 2 AS bucket, bool_and(ok) AS right FROM answers WHERE kind = 'read' AND item % 5 = 2 GROUP BY ALL)
+SELECT b.learner, CAST(b.bucket AS INT) AS bucket, CASE WHEN r.learner IS NOT NULL THEN 'probed' WHEN s.right THEN 'right' WHEN NOT s.right THEN 'missed' ELSE 'open' END AS how
+FROM b LEFT JOIN r ON r.learner = b.learner AND r.bucket = b.bucket LEFT JOIN s ON s.learner = b.learner AND s.bucket = b.bucket""")
+def q171(spark, d):
+    """Buckets below each learner's floor: probed, confirmed by reading items, missed there, or open."""
+    a = T.answers(spark, d)
+    bucket = F.floor(F.col("item") / 2).cast("int").alias("bucket")
+    r = a.filter("kind <> 'read' AND item % 4 < 2").groupBy("learner", bucket).agg((F.count_if("ok") * 4 >= F.count("*") * 3).alias("passed"))
+    swept = a.filter("kind = 'read' AND item % 5 = 2").select("learner", bucket, F.col("ok").alias("right"))
+    return planners.placement_sweep(r, 5, swept)
+
+
+@query("q172_name_likeness")
+def q172(spark, d):
+    """Names of each document against the other words of it: capitalised ones inside sentences, and those in lower case that share their consonants by six tenths."""
+    t = T.tokens(spark, d).filter("lang = 'en'").select(F.col("doc_id").alias("story"), "surface", "token", "pos")  # English spellings
+    told = lambda c: names.skeleton(F.col(c)).alias("skeleton")
+    name = t.filter((F.col("pos") > 0) & F.col("surface").rlike("^[A-Z][a-z]+$")).select("story", F.col("surface").alias("name"), told("surface")).distinct()
+    word = t.filter(F.col("surface").rlike("^[a-z]{4,}$")).select("story", "token", told("token")).distinct()
+    return names.alike(name, word, ["story"], 0.8)
+
+
+_WRITTEN = """written AS (SELECT p_partkey AS id, translate(p_name, 'aeioubcdglnrstwmpv ', 'あえいおう木口田日月水火山川石人手目・') AS writing,
+  array_to_string(list_transform(string_split(p_name, ''), lambda c: coalesce(map {'a': 'あ', 'e': 'え', 'i': 'い', 'o': 'お', 'u': 'う', 'b': 'もく', 'c': 'く', 'd': 'た', 'g': 'にい', 'l': 'つき', 'n': 'みず', 'r': 'か', 's': 'さあん', 't': 'せん', 'w': 'いし', 'm': 'じん', 'p': 'て', 'v': 'めえ', ' ': 'ん'}[c], c)), '') AS reading FROM part)"""
+_SOUNDS = dict(zip("aeioubcdglnrstwmpv ", "あ え い お う もく く た にい つき みず か さあん せん いし じん て めえ ん".split(" "), strict=True))
+
+
+@query("q173_reading_parts", "WITH RECURSIVE " + _WRITTEN + """,
+w AS (SELECT DISTINCT writing, reading, regexp_extract_all(writing, '[ぁ-ゖ]+|[^ぁ-ゖ]+') AS runs FROM written),
+f AS (SELECT writing, reading, runs, 0 AS k, 1 AS p, CAST([] AS VARCHAR[]) AS parts FROM w
+  UNION ALL SELECT writing, reading, runs, k + 1, p + CAST(n AS INT), list_append(parts, CASE WHEN regexp_matches(runs[k + 1], '^[ぁ-ゖ]') THEN runs[k + 1] ELSE runs[k + 1] || '=' || substr(reading, p, n) END)
+  FROM f, range(1, 60) r(n) WHERE k < len(runs) AND p + n - 1 <= length(reading) AND CASE WHEN regexp_matches(runs[k + 1], '^[ぁ-ゖ]') THEN substr(reading, p, n) = runs[k + 1] AND n = length(runs[k + 1]) ELSE true END),
+g AS (SELECT writing, reading, count(*) AS ways, any_value(array_to_string(parts, ' ')) AS parts FROM f WHERE k = len(runs) AND p = length(reading) + 1 GROUP BY ALL)
+SELECT id, writing, CASE WHEN ways IS NULL THEN 'none' WHEN ways > 1 THEN 'several' ELSE 'one' END AS status, CASE WHEN ways = 1 THEN parts ELSE '' END AS parts FROM written LEFT JOIN g USING (writing, reading)""")
+def q173(spark, d):
+    """Names in mixed writing with their readings split over it, where there is one way."""
+    p = T.read(spark, d, "part")
+    sounds = F.create_map(*[F.lit(x) for pair in _SOUNDS.items() for x in pair])
+    reading = F.array_join(F.transform(F.filter(F.split("p_name", ""), lambda c: c != ""), lambda c: F.coalesce(sounds[c], c)), "")
+    x = p.select(F.col("p_partkey").alias("id"), F.translate("p_name", "aeioubcdglnrstwmpv ", "あえいおう木口田日月水火山川石人手目・").alias("writing"), reading.alias("reading"))
+    got = x.withColumn("r", D.split_reading(F.col("writing"), F.col("reading")))
+    told = F.transform("r.parts", lambda q: F.when(q["reading"].isNull(), q["text"]).otherwise(F.concat(q["text"], F.lit("="), q["reading"])))
+    return got.select("id", "writing", F.col("r.status").alias("status"), F.array_join(told, " ").alias("parts"))
