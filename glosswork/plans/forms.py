@@ -16,6 +16,7 @@ from glosswork.operators import meanings as N
 from glosswork.operators import names, planners
 from glosswork.operators import relations as R
 from glosswork.operators import segments as Y
+from glosswork.operators import state as S
 from glosswork.operators import units as U
 from glosswork.sources import archives as A
 from glosswork.sources import tables as T
@@ -459,3 +460,16 @@ def q173(spark, d):
     got = x.withColumn("r", D.split_reading(F.col("writing"), F.col("reading")))
     told = F.transform("r.parts", lambda q: F.when(q["reading"].isNull(), q["text"]).otherwise(F.concat(q["text"], F.lit("="), q["reading"])))
     return got.select("id", "writing", F.col("r.status").alias("status"), F.array_join(told, " ").alias("parts"))
+
+
+@query("q174_day_plan")
+def q174(spark, d):
+    """A day's ten items of each learner by all shares; items from six on are words, every third one is held."""
+    a = T.answers(spark, d)
+    tiers = S.day_tiers(S.answer_fold(a), a).select("learner", "item", "tier")
+    seen = a.groupBy("learner", "item").agg(F.max("session").alias("age"), F.count_if(~F.col("ok")).alias("weak"), F.count_distinct("kind").alias("asked"), F.max(F.when(~F.col("ok"), F.col("session"))).alias("since"))
+    state = S.answer_fold(a).select("learner", "item", "s")
+    i = F.col("item")
+    x = tiers.join(seen, ["learner", "item"]).join(state, ["learner", "item"])
+    x = x.select("*", (i >= 6).alias("word"), (i % 3 == 0).alias("held"), ((F.col("tier") == 2) & (i < 4) & (F.col("s") < 5)).alias("consolidating"), (i % 5).cast("double").alias("jitter"), (i == 2).alias("aged"))
+    return planners.day_plan(x, 6, 0.3)

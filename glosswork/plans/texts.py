@@ -13,6 +13,7 @@ from glosswork.functions import text as X
 from glosswork.operators import alignment, corpus, planners, sessions, state
 from glosswork.operators import relations as R
 from glosswork.operators.settle import numbered
+from glosswork.plans.learner import _PAIRS
 from glosswork.sources import tables as T
 from glosswork.sources.tables import WORDS
 from glosswork.sources.html import html_text
@@ -67,7 +68,14 @@ def q51(spark, d):
     return planners.examples_exact(corpus.candidates(words, tokens, listed=LISTED))
 
 
-@query("q52_pair_plan_exact")
+@query("q52_pair_plan_exact", "WITH RECURSIVE " + _PAIRS + """,
+px AS (SELECT learner, item, min(CASE WHEN s < 3 THEN (s, CASE WHEN kind = 'type' THEN 0 ELSE 1 END, session, item, kind) END) AS low, min(CASE WHEN s >= 3 THEN (session, item, kind) END) AS high FROM pairs GROUP BY ALL),
+pn AS (SELECT learner, count(low) AS nl, least(1, count(high)) AS kept FROM px GROUP BY learner),
+pa AS (SELECT px.*, least(nl, 8 - kept) AS first, row_number() OVER (PARTITION BY learner, low IS NULL ORDER BY low) AS i FROM px JOIN pn USING (learner)),
+pb AS (SELECT *, low IS NOT NULL AND i <= first AS one FROM pa), pc AS (SELECT *, row_number() OVER (PARTITION BY learner, NOT one AND high IS NOT NULL ORDER BY high) AS j FROM pb),
+pe AS (SELECT *, NOT one AND high IS NOT NULL AND j <= 8 - first AS two FROM pc), pf AS (SELECT *, count(*) FILTER (two) OVER (PARTITION BY learner) AS second, row_number() OVER (PARTITION BY learner, one OR two OR low IS NULL ORDER BY low) AS k FROM pe),
+pg AS (SELECT learner, item, CASE WHEN one THEN i WHEN two THEN first + j WHEN low IS NOT NULL THEN first + second + k END AS place, CASE WHEN two THEN high[3] ELSE low[5] END AS kind FROM pf)
+SELECT learner, CAST(place AS INT) AS place, CAST(item AS INT) AS item, kind FROM pg WHERE place <= 8""")
 def q52(spark, d):
     return planners.pair_plan(state.pair_state(T.answers(spark, d)))
 
