@@ -13,7 +13,7 @@ from glosswork.functions import readings as D
 from glosswork.functions.language import LANGUAGES
 from glosswork.operators import linking as L
 from glosswork.operators import meanings as N
-from glosswork.operators import names, planners
+from glosswork.operators import glyphs, names, planners
 from glosswork.operators import relations as R
 from glosswork.operators import segments as Y
 from glosswork.operators import state as S
@@ -473,3 +473,25 @@ def q174(spark, d):
     x = tiers.join(seen, ["learner", "item"]).join(state, ["learner", "item"])
     x = x.select("*", (i >= 6).alias("word"), (i % 3 == 0).alias("held"), ((F.col("tier") == 2) & (i < 4) & (F.col("s") < 5)).alias("consolidating"), (i % 5).cast("double").alias("jitter"), (i == 2).alias("aged"))
     return planners.day_plan(x, 6, 0.3)
+
+
+@query("q175_glyph_words")
+def q175(spark, d):
+    """The words of each language that hold one of its twenty most frequent pairs of letters, accents taken apart."""
+    words = T.words(spark, d)
+    pairs = words.filter(F.length("token") > 1).select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring("token", i, F.lit(2)))).alias("pair"), "n")
+    first = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "pair"))
+    units = pairs.groupBy("lang", "pair").agg(F.sum("n").alias("n")).withColumn("i", first).filter("i <= 20").select("lang", F.col("pair").alias("unit"), F.col("pair").alias("text"))
+    return glyphs.holders(units, words.select("lang", F.col("token").alias("word"), F.col("token").alias("text")), ("lang",))
+
+
+@query("q176_option_counts", """
+WITH u AS (SELECT p_partkey AS unit, p_size % 6 AS stage, lower(p_name) || CAST(p_partkey % 9 AS VARCHAR) AS roman, lower(p_brand) AS say, lower(p_type) || CAST(p_size AS VARCHAR) AS form, [lower(p_name) || CAST((p_partkey + 1) % 9 AS VARCHAR)] AS alt FROM part),
+r AS (SELECT a.unit, count(*) AS n FROM u a JOIN u b ON a.stage = b.stage AND (a.unit = b.unit OR a.form = b.form OR a.say = b.say OR a.roman = b.roman OR (list_contains(a.alt, b.roman) AND list_contains(b.alt, a.roman))) GROUP BY a.unit)
+SELECT unit, stage, least(4, 1 + count(*) OVER (PARTITION BY stage) - n) AS options FROM u JOIN r USING (unit)""")
+def q176(spark, d):
+    """How many options each part has among those of its stage, by form, sound and names."""
+    p, k = T.read(spark, d, "part"), F.col("p_partkey")
+    name = lambda i: F.concat("p_name", ((k + i) % 9).cast("string"))
+    units = p.select(k.alias("unit"), (F.col("p_size") % 6).alias("stage"), F.concat(F.lit("X "), "p_type", F.col("p_size").cast("string")).alias("text"), F.col("p_brand").alias("say"), name(0).alias("roman"), F.array(name(1)).alias("alt"))
+    return glyphs.option_counts(units)
