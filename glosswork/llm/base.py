@@ -53,6 +53,14 @@ def with_made(df: DataFrame, column: str, fields: list[tuple[str, str]], make, r
     return df.mapInArrow(run, schema)
 
 
+def free(name: str, df: DataFrame) -> str:
+    """A name that no column of df has, whatever the case: name, with as many underscores as it takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key as string, text): pandas would turn whole numbers with nulls among them into floats."""
     return docs.select(F.col(key).cast("string").alias(key), text)

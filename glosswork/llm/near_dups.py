@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import checkpoint, table, unkeyed
+from .base import checkpoint, free, table, unkeyed
 from .shingles import DF_BITS, Sampler, bands, df_bucket, idf_levels, jaccard, shingles, weights
 from .words import batches
 
@@ -330,12 +330,13 @@ def representatives(docs: DataFrame) -> DataFrame:
     chosen id are told apart by their text's digest and reduced to one; only the
     chosen rows are shuffled whole.
     """
-    own = docs.withColumn("_digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    digest = free("_digest", docs)
+    own = docs.withColumn(digest, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     named = _classes(docs)
     chosen = named.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("_c")).select("_c.*")
-    same = own["_digest"].eqNullSafe(chosen["digest"]) & own["doc_id"].eqNullSafe(chosen["doc_id"])
+    same = own[digest].eqNullSafe(chosen["digest"]) & own["doc_id"].eqNullSafe(chosen["doc_id"])
     kept = own.join(chosen.select("doc_id", "digest"), same).select(*[own[c] for c in own.columns])
-    return kept.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    return kept.dropDuplicates(["doc_id", digest]).drop(digest)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

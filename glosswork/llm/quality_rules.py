@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import SPACE, let, table
+from .base import SPACE, free, let, table
 
 #: Frequent short words of the four languages that the rules know.
 STOP_WORDS = (
@@ -169,8 +169,9 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
         kept = lambda x: F.struct(*[m[k].alias(k) for k in names], x["b"].alias("base_failed"), x["r"].alias("broken_rules"), (~x["b"] & (F.size(x["r"]) == 0)).alias("kept"))
         return let(F.struct(base.alias("b"), compiled(m, rules).alias("r")), kept)
 
-    made = docs.withColumn("_v", let(metrics(F.col(text)), verdict))
-    return made.withColumns({k: F.col(f"_v.{k}") for k in (*names, "base_failed", "broken_rules", "kept")}).drop("_v")
+    v = free("_v", docs)
+    made = docs.withColumn(v, let(metrics(F.col(text)), verdict))
+    return made.withColumns({k: F.col(f"{v}.{k}") for k in (*names, "base_failed", "broken_rules", "kept")}).drop(v)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,11 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import checkpoint, checkpoint_folder, table, widened
+from .base import checkpoint, checkpoint_folder, free, table, widened
 
 SHARDS = 16
 #: Bytes of records that one bucket is to hold in the second pass, and times as many at which copies are counted.
 BUCKET_BYTES, OVERFULL = 32 << 20, 4
+#: Buckets whose starts (16 bytes each) are broadcast; more are joined.
+SENT_BUCKETS = 1 << 20
 
 
 #: Bytes of a record beside its values: its hashes and offsets.
@@ -54,28 +56,40 @@ def bucket_count(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
 def scattered(docs: DataFrame, n: int, seed: int, copies: bool = False) -> DataFrame:
     """(_r, _h, _g, _b): each record of docs, two hashes of it and its bucket. copies: equal records are told apart by a number."""
     cols = docs.columns
+    copy = free("_copy", docs)
     if copies:
-        docs = docs.groupBy(*cols).agg(F.count("*").alias("_copy")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copy")))
-    told = [*cols, "_copy"] if copies else cols
+        docs = docs.groupBy(*cols).agg(F.count("*").alias(copy)).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copy))))
+    told = [*cols, copy] if copies else cols
     h = [F.xxhash64(F.lit(seed + k), *told).alias(x) for k, x in enumerate(("_h", "_g"))]
     return docs.select(F.struct(*cols).alias("_r"), *h, record_bytes(docs.select(*cols)).alias("_n")).withColumn("_b", F.pmod("_h", F.lit(n)).cast("int"))
 
 
+def bucket_starts(totals: DataFrame, block: int = 4096) -> DataFrame:
+    """(_b, _start): the rows of all buckets before each, of (_b, _k); sums of blocks of buckets first, so that no window holds them all."""
+    x = totals.withColumn("_g", F.floor(F.col("_b") / block))
+    before = lambda w: F.coalesce(F.sum("_k").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = x.groupBy("_g").agg(F.sum("_k").alias("_k")).select("_g", before(W.orderBy("_g")).alias("_s"))
+    inner = x.select("_b", "_g", before(W.partitionBy("_g").orderBy("_b")).alias("_i"))
+    return inner.join(blocks, "_g").select("_b", (F.col("_s") + F.col("_i")).alias("_start"))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """docs with shard and slot, law `rows`. A task of the result holds one bucket, a run of slots of each shard."""
     docs = docs.select(*[c for c in docs.columns if c not in ("shard", "slot")])
     n = bucket_count(docs, bucket_bytes)
     for copies in (False, True):
         spread = scattered(docs, n, seed, copies)
-        # One row a bucket, so the window and the broadcast below see bytes / bucket_bytes of them.
+        # One row a bucket.
         totals = checkpoint(spread.groupBy("_b").agg(F.count("*").alias("_k"), F.sum("_n").alias("_n")))
         if (totals.agg(F.max("_n")).first()[0] or 0) <= OVERFULL * bucket_bytes:
             break
-    starts = totals.select("_b", F.coalesce(F.sum("_k").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    starts = bucket_starts(totals.select("_b", "_k"))
+    if n <= SENT_BUCKETS:
+        starts = F.broadcast(starts)
     # Pass one: bucket k to task k. Sorted there, so that the order of arrival does not matter.
     buckets = spread.select("_b", "_h", "_g", "_r").repartitionById(n, F.col("_b")).groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("_h", "_g", "_r"))).alias("_a"))
     # Pass two: Fisher-Yates within the bucket, then round robin over the concatenation.
-    dealt = buckets.withColumn("_a", F.shuffle("_a", F.lit(seed))).join(F.broadcast(starts), "_b").select("_start", F.posexplode("_a").alias("_i", "_x"))
+    dealt = buckets.withColumn("_a", F.shuffle("_a", F.lit(seed))).join(starts, "_b").select("_start", F.posexplode("_a").alias("_i", "_x"))
     at = F.col("_start") + F.col("_i")
     return dealt.select("_x._r.*", F.pmod(at, F.lit(shards)).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot"))
 

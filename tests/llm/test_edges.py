@@ -238,3 +238,24 @@ def test_chat_events(spark):
     df = spark.createDataFrame(rows, "conv_id long, seq long, msg long, kind string, role string, text string")
     got = {r["msg"]: (r["role"], r["text"]) for r in chat.fold(df.orderBy("text")).collect()}
     assert got == {1: ("user", "hello you"), 2: ("assistant", "right")}
+
+
+def test_inner_names_are_free(spark):
+    """Columns named like those that the operators make on the way stay as they are."""
+    from glosswork.llm import near_dups
+
+    names = ("_v", "_digest", "_copy", "_r", "_h", "_b", "_n", "_k", "_start")
+    own = spark.createDataFrame([(k, "the one of these " * 20 + str(k % 2), *[f"{c}{k}" for c in names]) for k in range(4)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    same = lambda rows: all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names)
+    ruled = quality_rules.apply_rules(own).collect()
+    assert len(ruled) == 4 and same(ruled) and "n_words" in ruled[0].asDict()
+    kept = near_dups.representatives(own).collect()
+    assert [r["doc_id"] for r in sorted(kept)] and same(kept) and set(kept[0].asDict()) == set(own.columns)
+    for bucket in (1 << 20, 200):
+        dealt = sharding.shard(own.unionByName(own.filter("doc_id = 0")), 3, bucket_bytes=bucket).collect()
+        assert len(dealt) == 5 and same(dealt)
+
+
+def test_starts_of_buckets(spark):
+    got = sharding.bucket_starts(spark.createDataFrame([(b, b % 5 + 1) for b in range(100)], "_b int, _k long"), 8).collect()
+    assert {r["_b"]: r["_start"] for r in got} == {b: sum(k % 5 + 1 for k in range(b)) for b in range(100)}
