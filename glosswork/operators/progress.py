@@ -10,12 +10,14 @@ from glosswork.operators.state import MASTERED
 
 GATE, GOAL, TOLERANCE, RING = 0.7, 0.9, 0.02, 14
 UNIT_WEIGHT = PASSAGE_WEIGHT = 0.2
+#: Weights of units and passages in the position on the whole map; words have the rest.
+MAP_WEIGHTS = (0.25, 0.25)
 
 
-def position(known: Column, units: Column | None, listened: Column | None) -> Column:
-    """Weighted position of a level in [0, 1]; absent parts give their weight to the words."""
-    wu = 0.0 if units is None else UNIT_WEIGHT
-    wp = 0.0 if listened is None else PASSAGE_WEIGHT
+def position(known: Column, units: Column | None, listened: Column | None, weights: tuple[float, float] = (UNIT_WEIGHT, PASSAGE_WEIGHT)) -> Column:
+    """Weighted position of a level or goal in [0, 1], with MAP_WEIGHTS on the whole map; absent parts give their weight to the words."""
+    wu = 0.0 if units is None else weights[0]
+    wp = 0.0 if listened is None else weights[1]
     out = (1 - wu - wp) * known
     if units is not None:
         out = out + wu * units
@@ -28,12 +30,12 @@ def level_of(item: Column, size: int = 4) -> Column:
     return F.floor(item / size).cast("int")
 
 
-def progress_position(state: DataFrame, pairs: DataFrame, items: int = 10) -> DataFrame:
+def progress_position(state: DataFrame, pairs: DataFrame, items: int = 10, weights: tuple[float, float] = (UNIT_WEIGHT, PASSAGE_WEIGHT)) -> DataFrame:
     """(learner, known, units_ok, listened, position) over all items, seen or not."""
     k = state.groupBy("learner").agg((F.count_if(F.col("s") >= MASTERED) / items).alias("known"))
     p = pairs.groupBy("learner").agg((F.count_if((F.col("kind") == "recall") & (F.col("s") >= 2)) / items).alias("units_ok"), (F.count_if((F.col("kind") == "hear") & (F.col("s") >= 1)) / items).alias("listened"))
     x = k.join(p, "learner")
-    pos = position(F.col("known"), F.col("units_ok"), F.col("listened"))
+    pos = position(F.col("known"), F.col("units_ok"), F.col("listened"), weights)
     return x.select("learner", *[F.round(c, 9).alias(c) for c in ("known", "units_ok", "listened")], F.round(pos, 9).alias("position"))
 
 

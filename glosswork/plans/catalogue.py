@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glosswork.plans import extra, forms, kept, learner, linked, more, relational, texts, words
+from glosswork.plans import extra, forms, kept, learner, linked, more, relational, texts, validate, words
 
-PARTS = (learner, words, relational, texts, more, linked, kept, extra, forms)
+PARTS = (learner, words, relational, texts, more, linked, kept, extra, forms, validate)
 
 
 def queries() -> dict:

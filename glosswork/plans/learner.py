@@ -140,6 +140,13 @@ def q10(spark, d):
     return P.progress_position(S.answer_fold(a), S.pair_state(a))
 
 
+@query("q180_map_position", "WITH RECURSIVE " + _PAIRS + _STATE.replace(ANSWERS, "") + _POSITION.replace("0.6 * known + 0.2 * units_ok + 0.2 * listened", "0.5 * known + 0.25 * units_ok + 0.25 * listened"))
+def q180(spark, d):
+    """The position on the whole map."""
+    a = T.answers(spark, d)
+    return P.progress_position(S.answer_fold(a), S.pair_state(a), weights=P.MAP_WEIGHTS)
+
+
 _LEVELS = {0: 4, 1: 4, 2: 2, 3: 0}
 
 

@@ -2,7 +2,8 @@
 
 All of them are declared with Spark's readers, so that compressed files are
 split where the codec allows it, filters come before parsing, and faulty lines
-go to a table of their own instead of ending the job.
+don't end the job: the readers leave them out, `rejected` tells which and why,
+and `progress` gives them beside the good ones.
 """
 
 from __future__ import annotations
@@ -15,8 +16,21 @@ PERMISSIVE_AUDIO = ("CC BY 4.0", "CC BY-SA 4.0", "CC BY 2.0 FR", "CC0 1.0", "Pub
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value) of each line of text files; compressed ones by their names."""
-    return spark.read.text(path)
+    """(value, file, block) of each line of text files, with its file and where in it the part begins that was read with it; compressed ones by their names."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def rejected(lines: DataFrame, columns: int, numbers: tuple[int, ...] = (), filled: tuple[int, ...] = ()) -> DataFrame:
+    """(value, reason) of tab-separated lines that are no row: too few fields, a field that must be a number is none, or one that must be filled is empty."""
+    parts = F.split("value", "\t")
+    number = F.lit(False)
+    for k in numbers:
+        number = number | ~F.coalesce(F.get(parts, F.lit(k)).rlike("^[0-9]+$"), F.lit(False))
+    empty = F.lit(False)
+    for k in filled:
+        empty = empty | (F.coalesce(F.get(parts, F.lit(k)), F.lit("")) == "")
+    reason = F.when(F.size(parts) < columns, "fields").when(number, "number").when(empty, "empty")
+    return lines.select("value", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
 def _tsv(lines: DataFrame, *columns: str) -> DataFrame:
@@ -57,10 +71,11 @@ def subtitle_list(lines: DataFrame, fold=F.lower, pattern: str = r"^\p{L}+$", mo
     """(token, n) from lines `surface count`: the first `most` distinct surfaces in the order of the file (None: all), counts of equal folds added up.
 
     Only what stands up to the line of the last new surface counts. The order is
-    that of the file's bytes; line numbers are taken by blocks, so no task sorts
-    the whole list.
+    that of the files' names and of the bytes in them, where lines carry these
+    (see lines), however Spark deals the files to tasks; no task sorts the whole list.
     """
-    t = lines.withColumn("at", F.monotonically_increasing_id())
+    place = [F.col(c) for c in ("file", "block") if c in lines.columns]
+    t = lines.withColumn("at", F.struct(*place, F.monotonically_increasing_id().alias("line")))
     parts = F.split("value", " ")
     t = t.select("at", fold(parts[0]).alias("token"), F.expr("try_cast(split(value, ' ')[1] AS bigint)").alias("n"), parts[0].rlike(pattern).alias("ok")).filter("ok AND n IS NOT NULL")
     if most is None:

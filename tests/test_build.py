@@ -50,6 +50,19 @@ def test_lists(spark, tmp_path):
     assert [(r["token"], r["n"]) for r in z] == [("a", 20.0)]
 
 
+def test_a_list_in_several_files_keeps_their_order(spark, tmp_path):
+    # The second file is the larger one, which Spark deals first.
+    (tmp_path / "1.txt").write_text("b 1\na 2\n")
+    (tmp_path / "2.txt").write_text("c 3\n" + "".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)} 1\n" for k in range(500)) + "b 5\n")
+    got = readers.subtitle_list(readers.lines(spark, str(tmp_path)), most=3).collect()
+    assert {r["token"]: r["n"] for r in got} == {"b": 1, "a": 2, "c": 3}
+
+
+def test_rejected_lines(spark):
+    x = spark.createDataFrame([("1\teng\ttext",), ("x\teng\ttext",), ("1\teng",), ("2\teng\t",)], "value string")
+    assert {r["value"]: r["reason"] for r in readers.rejected(x, 3, numbers=(0,), filled=(2,)).collect()} == {"x\teng\ttext": "number", "1\teng": "fields", "2\teng\t": "empty"}
+
+
 def test_lexicon_json_and_script(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"word": "mot", "lang_code": "fr", "pos": "noun", "senses": [{"glosses": ["word"]}]}\n{"word": "fr", "lang_code": "en"}\nnot json "fr"\n')
     assert [r["word"] for r in readers.lexicon(readers.lines(spark, str(tmp_path / "x.jsonl")), "fr").collect()] == ["mot"]
