@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glosswork.operators.state import MISS_SESSIONS, RECENT
@@ -99,6 +100,34 @@ def missed_kinds(plan: list[tuple[int, str]], misses: dict[int, list[str]]) -> l
     return out
 
 
+def mixed_kinds(plan: DataFrame, production: float, kinds: tuple[str, ...] = ("type", "recall"), others: tuple[str, ...] = ("hear", "read")) -> DataFrame:
+    """plan (learner, place, item) with the kind that kind_mix gives each place, from 1, of a learner's plan; each row by itself, but for the plan's length."""
+    n = F.count("*").over(W.partitionBy("learner"))
+    asked = F.floor(F.lit(production) * n + 0.5)
+    at = F.col("place") - 1
+    spots = F.when(asked > 0, F.transform(F.sequence(F.lit(0).cast("long"), asked - 1), lambda j: F.floor((j + 0.5) * n / asked))).otherwise(F.array().cast("array<bigint>"))
+    x = plan.withColumn("_s", spots)
+    before = F.size(F.filter("_s", lambda p: p < at))
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    return x.withColumn("kind", F.when(F.array_contains("_s", at), pick(kinds, before)).otherwise(pick(others, at - before))).drop("_s")
+
+
+def swapped_kinds(plan: DataFrame, misses: DataFrame) -> DataFrame:
+    """plan (learner, place, item, kind) with the kinds that were missed in place of others, at most half of a learner's plan moved, from the first place on.
+
+    misses: (learner, item, missed), the missed kinds of an item in their order;
+    the first that the planned kind would not settle is asked.
+    """
+    x = plan.join(misses, ["learner", "item"], "left")
+    settled_by = lambda m: (m == F.col("kind")) | F.col("kind").isin(*PRODUCTION)
+    want = F.get(F.filter(F.coalesce("missed", F.array().cast("array<string>")), lambda m: ~settled_by(m)), F.lit(0))
+    x = x.withColumn("_w", want)
+    own = W.partitionBy("learner")
+    moved = F.count("_w").over(own.orderBy("place").rowsBetween(W.unboundedPreceding, 0))
+    swap = F.col("_w").isNotNull() & (2 * moved <= F.count("*").over(own))
+    return x.withColumn("kind", F.when(swap, F.col("_w")).otherwise(F.col("kind"))).select(*plan.columns)
+
+
 def weighted_pick(weights: dict[str, float], u: float) -> str:
     """The kind in whose part of the summed weights u, in [0, 1), falls."""
     names, cuts = list(weights), np.cumsum(list(weights.values()))

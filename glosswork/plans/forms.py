@@ -13,7 +13,7 @@ from glosswork.functions import readings as D
 from glosswork.functions.language import LANGUAGES
 from glosswork.operators import linking as L
 from glosswork.operators import meanings as N
-from glosswork.operators import glyphs, names, planners
+from glosswork.operators import glyphs, names, planners, sessions
 from glosswork.operators import relations as R
 from glosswork.operators import segments as Y
 from glosswork.operators import state as S
@@ -495,3 +495,19 @@ def q176(spark, d):
     name = lambda i: F.concat("p_name", ((k + i) % 9).cast("string"))
     units = p.select(k.alias("unit"), (F.col("p_size") % 6).alias("stage"), F.concat(F.lit("X "), "p_type", F.col("p_size").cast("string")).alias("text"), F.col("p_brand").alias("say"), name(0).alias("roman"), F.array(name(1)).alias("alt"))
     return glyphs.option_counts(units)
+
+
+@query("q181_mixed_kinds", "WITH " + ANSWERS + """,
+i AS (SELECT learner, item, list_sort(list(DISTINCT kind) FILTER (NOT ok)) AS missed, row_number() OVER (PARTITION BY learner ORDER BY item) AS place, count(*) OVER (PARTITION BY learner) AS n FROM answers GROUP BY learner, item),
+p AS (SELECT *, CASE WHEN floor(0.4::DOUBLE * n + 0.5) > 0 THEN list_transform(range(0, CAST(floor(0.4::DOUBLE * n + 0.5) AS INT)), lambda j: floor((j + 0.5::DOUBLE) * n / floor(0.4::DOUBLE * n + 0.5))) ELSE [] END AS spots FROM i),
+b AS (SELECT *, len(list_filter(spots, lambda x: x < place - 1)) AS before FROM p),
+k AS (SELECT *, CASE WHEN list_contains(spots, CAST(place - 1 AS DOUBLE)) THEN ['type', 'recall'][before % 2 + 1] ELSE ['hear', 'read'][(place - 1 - before) % 2 + 1] END AS kind FROM b),
+w AS (SELECT *, CASE WHEN kind IN ('type', 'recall') THEN NULL ELSE list_filter(missed, lambda m: m <> kind)[1] END AS want FROM k),
+z AS (SELECT *, count(want) OVER (PARTITION BY learner ORDER BY place) AS moved FROM w)
+SELECT learner, place, item, CASE WHEN want IS NOT NULL AND 2 * moved <= n THEN want ELSE kind END AS kind FROM z""")
+def q181(spark, d):
+    """The items of each learner as a plan with two fifths of production, and missed kinds in the place of others."""
+    a = T.answers(spark, d)
+    plan = a.select("learner", "item").distinct().withColumn("place", F.row_number().over(W.partitionBy("learner").orderBy("item")))
+    misses = a.filter(~F.col("ok")).groupBy("learner", "item").agg(F.array_sort(F.collect_set("kind")).alias("missed"))
+    return sessions.swapped_kinds(sessions.mixed_kinds(plan.select("learner", "place", "item"), 0.4), misses)

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from glosswork.operators import planners as P
+from glosswork.operators import sessions as S
 
 COLUMNS = "learner int, item int, tier int, word boolean, held boolean, consolidating boolean, since int, weak int, s int, age int, asked int, jitter double, aged boolean"
 
@@ -86,3 +87,18 @@ def test_pair_plan(spark):
     for r in P.pair_plan(spark.createDataFrame(rows, "learner long, item int, kind string, s int, session int")).orderBy("learner", "place").collect():
         got.setdefault(r["learner"], []).append((r["item"], r["kind"]))
     assert got == {learner: pairs([r for r in rows if r[0] == learner]) for learner in range(20)}
+
+
+@pytest.mark.parametrize("production", [0.0, 0.3, 0.5, 1.0])
+def test_kinds_of_a_plan(spark, production):
+    rng = random.Random(4)
+    sizes = {k: rng.randrange(1, 14) for k in range(12)}
+    rows = [(k, place, 10 * place) for k, n in sizes.items() for place in range(1, n + 1)]
+    missed = {(k, item): rng.sample(["type", "recall", "hear", "read"], rng.randrange(1, 4)) for k, _, item in rows if rng.random() < 0.6}
+    plan = S.mixed_kinds(spark.createDataFrame(rows, "learner int, place int, item int"), production)
+    out = S.swapped_kinds(plan, spark.createDataFrame([(*k, v) for k, v in missed.items()], "learner int, item int, missed array<string>"))
+    got = {(r["learner"], r["place"]): r["kind"] for r in out.collect()}
+    for k, n in sizes.items():
+        kinds = S.kind_mix(n, production)
+        want = S.missed_kinds([(10 * p, kind) for p, kind in enumerate(kinds, 1)], {i: v for (learner, i), v in missed.items() if learner == k})
+        assert [got[k, p] for p in range(1, n + 1)] == [kind for _, kind in want]
