@@ -126,15 +126,24 @@ def compose_gloss(senses: DataFrame, fits: int = 45) -> DataFrame:
     return g.select("id", F.when(ok, both).otherwise(F.col("top.sense")).alias("gloss"))
 
 
-def phrase_share(sentences: DataFrame, phrases: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, phrase, n, bound, share): sentences that hold a phrase's head word, and the share of them that hold the phrase.
+def phrase_share(sentences: DataFrame, phrases: DataFrame, by: tuple[str, ...] = (), size: int = 2) -> DataFrame:
+    """(*by, phrase, n, bound, share): sentences that hold a phrase's head word, and the share of them that hold the phrase between blanks.
 
-    sentences: (*by, sentence, text, token) with one row for each distinct token; phrases: (*by, phrase, head).
+    sentences: (*by, text, toks), a row each, text and tokens in lower case; phrases: (*by, phrase, head), `size` words of letters parted by blanks, the first the head.
+    Both counts are sums over what each sentence holds, so no text is shuffled:
+    a phrase stands between blanks where the pieces of a text between blanks are its words.
     """
-    x = sentences.join(phrases.select(*by, "phrase", F.col("head").alias("token")), [*by, "token"])
-    hit = F.contains(F.concat(F.lit(" "), "text", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" ")))
-    g = x.groupBy(*by, "phrase").agg(F.count("*").alias("n"), F.count_if(hit).alias("bound"))
-    return g.withColumn("share", F.round(F.col("bound") / F.col("n"), 6))
+    holds = sentences.select(*by, F.explode_outer(F.array_distinct("toks")).alias("head")).groupBy(*by, "head").agg(F.count("*").alias("n"))
+    runs = F.transform(F.slice("pieces", 1, F.greatest(F.size("pieces") - (size - 1), F.lit(0))), lambda _, i: F.array_join(F.slice("pieces", i + 1, size), " "))
+    head = lambda p: F.substring_index(p, " ", 1)
+    # Pieces of letters are tokens; only a dotted capital I has a mark in lower case.
+    letters = "[\\p{L}\u0307]+"
+    told = lambda p: p.rlike(f"^{letters}( {letters}){{{size - 1}}}$") & (~F.contains(p, F.lit("\u0307")) | F.array_contains("toks", head(p)))
+    x = sentences.select(*by, "toks", F.split("text", " ").alias("pieces"))
+    x = x.select(*by, "toks", F.array_distinct(runs).alias("runs")).select(*by, F.explode_outer(F.filter("runs", told)).alias("phrase"))
+    bound = x.groupBy(*by, "phrase").agg(F.count("*").alias("bound"))
+    g = phrases.select(*by, "phrase", "head").join(holds, [*by, "head"]).join(bound, [*by, "phrase"], "left").withColumn("bound", F.coalesce("bound", F.lit(0)))
+    return g.select(*by, "phrase", "n", "bound", F.round(F.col("bound") / F.col("n"), 6).alias("share"))
 
 
 def flat_profile(buckets: DataFrame, spread: float = 15.0) -> DataFrame:

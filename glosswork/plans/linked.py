@@ -142,11 +142,9 @@ s AS (SELECT {_SID} AS sentence, lower(text) AS text FROM sentences), k AS (SELE
 SELECT lang, phrase, count(*) AS n, count(*) FILTER (contains(' ' || text || ' ', ' ' || phrase || ' ')) AS bound, round(count(*) FILTER (contains(' ' || text || ' ', ' ' || phrase || ' ')) / count(*), 6) AS share
 FROM bi JOIN k USING (lang) JOIN s USING (sentence) WHERE k.token = head GROUP BY lang, phrase""")
 def q95(spark, d):
-    t = T.tokens(spark, d)
-    w = W.partitionBy("doc_id", "sent").orderBy("pos")
-    bi = t.withColumn("next", F.lead("token").over(w)).filter("next IS NOT NULL").groupBy("lang", F.col("token").alias("head"), F.concat_ws(" ", "token", "next").alias("phrase")).agg(F.count("*").alias("n")).filter("n >= 40")
-    s = T.sentences(spark, d).select(_sid(), F.lower("text").alias("text"))
-    return L.phrase_share(t.select("lang", _sid(), "token").distinct().join(s, "sentence"), bi, ("lang",))
+    t = T.following(spark, d, 2).filter("n1 IS NOT NULL")
+    bi = t.groupBy("lang", F.col("token").alias("head"), F.concat_ws(" ", "token", "n1").alias("phrase")).agg(F.count("*").alias("n")).filter("n >= 40")
+    return L.phrase_share(T.bagged(spark, d).select("lang", F.lower("text").alias("text"), "toks"), bi, ("lang",))
 
 
 @query("q96_flat_placement", "WITH " + ANSWERS + """,

@@ -401,3 +401,11 @@ def test_gloss_cleaning(spark):
     rows = {"(of people) the way (path (long)), a road": "way, road", "a lot, many": "a lot, many", "to do [w] this (open": "to do this", "": "", None: None, "x" * 30 + " " + "y" * 30: "x" * 30}
     got = spark.createDataFrame([(k,) for k in rows], "g string").select("g", glosses.clean(F.col("g")).alias("c")).collect()
     assert {r["g"]: r["c"] for r in got} == rows
+
+
+def test_phrase_share_counts_what_stands_between_blanks(spark):
+    rows = [("x", "the red hat, the red hat"), ("x", "a red, hat"), ("x", "red hats the red hat red hat"), ("y", "red hat"), ("x", "red"), ("x", "red  hat")]
+    df = spark.createDataFrame(rows, "lang string, text string").withColumn("toks", tables.words_of(F.col("text")))
+    phrases = spark.createDataFrame([("x", "red hat", "red"), ("y", "red hat", "red"), ("x", "hat red", "hat")], "lang string, phrase string, head string")
+    got = {(r["lang"], r["phrase"]): (r["n"], r["bound"]) for r in linking.phrase_share(df, phrases, ("lang",)).collect()}
+    assert got == {("x", "red hat"): (5, 2), ("y", "red hat"): (1, 1), ("x", "hat red"): (4, 1)}
