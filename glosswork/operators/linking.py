@@ -200,11 +200,22 @@ def cloze(tokens: DataFrame, function_words: DataFrame, on: tuple[str, ...] = ("
     return g.join(function_words.select(*on), list(on), "left_anti").join(size, "sentence").filter("k = 1 AND n > 1").select("sentence", "token", "pos")
 
 
-def occurrences(texts: DataFrame, surfaces: DataFrame) -> DataFrame:
-    """(id, surface, n, first): whole-word occurrences of surfaces in texts (id, text, token) and the first one's offset, -1 if it stands only inside words."""
-    x = texts.join(surfaces.select(F.col("surface").alias("token"), "surface"), "token")
+def occurrences(texts: DataFrame, surfaces: DataFrame | None = None) -> DataFrame:
+    """(id, surface, n, first): whole-word occurrences of surfaces (surface), of all words without them, in texts and the first one's offset.
+
+    texts: (id, text, toks), a row each, the text's words in order. Sorted, equal
+    words stand side by side; they are counted in the text's own row, so no text
+    is shuffled.
+    """
+    s = texts.select("id", "text", F.sort_array("toks").alias("_s"))
+    starts = F.filter(F.transform("_s", lambda _, i: i), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
+    s = s.select("id", "text", "_s", starts.alias("_a"))
+    # The outer form: the filter that Spark derives from the other would sort again for each word.
+    x = s.select("id", "text", "_s", "_a", F.posexplode_outer("_a").alias("_k", "_i")).filter("_i IS NOT NULL")
+    x = x.select("id", "text", F.get("_s", F.col("_i")).alias("surface"), (F.coalesce(F.get("_a", F.col("_k") + 1), F.size("_s")) - F.col("_i")).alias("n"))
+    x = x if surfaces is None else x.join(surfaces.select("surface"), "surface", "left_semi")
     whole = F.concat(F.lit(r"(?<!\p{L})"), "surface", F.lit(r"(?!\p{L})"))
-    return x.select("id", "surface", F.regexp_count("text", whole).alias("n"), (F.regexp_instr("text", whole) - 1).alias("first"))
+    return x.select("id", "surface", "n", (F.regexp_instr("text", whole) - 1).alias("first"))
 
 
 def pool(words: DataFrame, most: int) -> DataFrame:

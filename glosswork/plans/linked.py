@@ -187,10 +187,8 @@ def q98(spark, d):
 @query("q99_surface_occurrences", "WITH " + TOKENS + f"""
 SELECT {_SID} AS id, token AS surface, count(*) AS n FROM tokens GROUP BY 1, 2""")
 def q99(spark, d):
-    t = T.tokens(spark, d).select(_sid(), "token").distinct()
-    s = T.sentences(spark, d).select(_sid(), F.lower("text").alias("text"))
-    x = t.join(s, "sentence").select(F.col("sentence").alias("id"), "text", "token")
-    return L.occurrences(x, t.select(F.col("token").alias("surface")).distinct()).select("id", "surface", F.col("n").cast("long").alias("n"))
+    x = T.bagged(spark, d).select(_sid().alias("id"), F.lower("text").alias("text"), "toks")
+    return L.occurrences(x).select("id", "surface", F.col("n").cast("long").alias("n"))
 
 
 @query("q100_word_pool", "WITH " + WORDS + """,
