@@ -190,14 +190,19 @@ def story_drops(pairs: DataFrame, order: list[str], tokens: tuple[int, int] = (3
     return x.drop("_k", "_first")
 
 
-def cloze(tokens: DataFrame, function_words: DataFrame, on: tuple[str, ...] = ("token",)) -> DataFrame:
+def cloze(sentences: DataFrame, function_words: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(sentence, token, pos): tokens that can be left out: no function word, once in the sentence, and something left outside.
 
-    tokens: (sentence, pos, *on); function_words: (*on), where `on` names what a token is known by.
+    sentences: (*by, sentence, toks), a row each with its tokens in order;
+    function_words: (*by, token), few rows for each `by`. Sorted, equal tokens
+    stand side by side in a sentence's own row, so no token is shuffled.
     """
-    g = tokens.groupBy("sentence", *on).agg(F.count("*").alias("k"), F.min("pos").alias("pos"))
-    size = tokens.groupBy("sentence").agg(F.count("*").alias("n"))
-    return g.join(function_words.select(*on), list(on), "left_anti").join(size, "sentence").filter("k = 1 AND n > 1").select("sentence", "token", "pos")
+    placed = F.sort_array(F.transform("toks", lambda t, i: F.struct(t.alias("token"), i.cast("long").alias("pos"))))
+    x = sentences.select(*by, "sentence", placed.alias("_s"))
+    near = lambda i: F.get("_s", i)["token"]
+    alone = lambda x, i: (F.size("_s") > 1) & ~(x["token"] == F.coalesce(near(i - 1), F.lit(""))) & ~(x["token"] == F.coalesce(near(i + 1), F.lit("")))
+    x = x.select(*by, "sentence", F.explode_outer(F.filter("_s", alone)).alias("_t")).filter("_t IS NOT NULL").select(*by, "sentence", "_t.token", "_t.pos")
+    return x.join(F.broadcast(function_words.select(*by, "token")), [*by, "token"], "left_anti").select("sentence", "token", "pos")
 
 
 def occurrences(texts: DataFrame, surfaces: DataFrame | None = None) -> DataFrame:

@@ -180,8 +180,7 @@ def q97(spark, d):
 t AS (SELECT lang, {_SID} AS sentence, token, pos FROM tokens), c AS (SELECT sentence, count(*) AS n FROM t GROUP BY sentence)
 SELECT sentence, token, min(pos) AS pos FROM t JOIN c USING (sentence) ANTI JOIN (SELECT lang, token FROM words WHERE rank <= 50) f ON f.lang = t.lang AND f.token = t.token WHERE n > 1 GROUP BY sentence, token HAVING count(*) = 1""")
 def q98(spark, d):
-    t = T.tokens(spark, d).select("lang", _sid(), "token", F.col("pos").cast("long").alias("pos"))
-    return L.cloze(t, T.words(spark, d).filter("rank <= 50"), ("lang", "token"))
+    return L.cloze(T.bagged(spark, d).select("lang", _sid(), "toks"), T.words(spark, d).filter("rank <= 50"), ("lang",))
 
 
 @query("q99_surface_occurrences", "WITH " + TOKENS + f"""

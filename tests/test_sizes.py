@@ -29,7 +29,7 @@ def long_sentences(spark, tmp_path_factory):
 
 
 #: Of texts of 192,000 bytes; the forms that dealt out tokens or texts for each token shuffled 1.5, 183, 2.8 and 1.8 MB.
-@pytest.mark.parametrize("name, most", [("q95_phrase_share", 1_300_000), ("q99_surface_occurrences", 0)])
+@pytest.mark.parametrize("name, most", [("q95_phrase_share", 1_300_000), ("q99_surface_occurrences", 0), ("q142_phrase_spans", 2_400_000), ("q98_cloze_candidates", 1_200_000)])
 def test_long_sentences_are_not_shuffled_for_each_word(spark, long_sentences, name, most):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
     try:
@@ -37,3 +37,11 @@ def test_long_sentences_are_not_shuffled_for_each_word(spark, long_sentences, na
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert n <= most
+
+
+def test_planted_overrides_fit_no_part(spark, tmp_path):
+    rows = [(k, f"n{k}") for k in (0, 1, 400, 1_000_000, 1_000_400)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(tuple(r) for r in queries()["q80_overrides"](spark, str(tmp_path)).collect())
+    used = [(0, "fixed", False), (1, "n1", False), (400, "fixed", False), (1_000_000, "fixed", False), (1_000_400, "fixed", False)]
+    assert got == sorted(used + [(k + 1_000_000, "fixed", True) for k in (0, 400, 1_000_000, 1_000_400)])
