@@ -188,10 +188,13 @@ def q79(spark, d):
 SELECT p_partkey AS id, CASE WHEN p_partkey % 40 = 0 THEN 'fixed' ELSE p_name END AS p_name, false AS unused FROM part
 UNION ALL SELECT p_partkey + 1000000, 'fixed', true FROM part WHERE p_partkey % 400 = 0""")
 def q80(spark, d):
-    p = T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name")
-    table = p.filter("id % 40 = 0").select("id").unionByName(p.filter("id % 400 = 0").select((F.col("id") + 1000000).alias("id"))).withColumn("value", F.lit("fixed"))
-    rows, unused = U.overrides(p, table, "p_name")
-    return rows.select("id", "p_name", F.lit(False).alias("unused")).unionByName(unused.select("id", F.col("value").alias("p_name"), F.lit(True).alias("unused")))
+    # The planted overrides are of another list, so that they fit no part however many there are.
+    key = lambda k, other: F.struct(k.alias("k"), F.lit(other).alias("other")).alias("id")
+    k = F.col("p_partkey")
+    p = T.read(spark, d, "part")
+    table = p.filter(k % 40 == 0).select(key(k, False)).unionByName(p.filter(k % 400 == 0).select(key(k + 1000000, True))).withColumn("value", F.lit("fixed"))
+    rows, unused = U.overrides(p.select(key(k, False), "p_name"), table, "p_name")
+    return rows.select("id.k", "p_name", F.lit(False).alias("unused")).unionByName(unused.select("id.k", F.col("value").alias("p_name"), F.lit(True).alias("unused"))).withColumnRenamed("k", "id")
 
 
 @query("q81_pattern_picks", "WITH RECURSIVE " + _PAIRS + """
