@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from glosswork.operators import glyphs as G
 
 
@@ -36,3 +38,27 @@ def test_also_right_against_all_pairs(spark):
     df = spark.createDataFrame(units, "unit int, text string, say string, roman string, alt array<string>")
     got = {(r["unit"], r["other"]) for r in G.also_right(df).collect()}
     assert got == {(u[0], v[0]) for u in units for v in units if right(u, v)}
+
+
+def test_option_counts_are_those_of_the_pairs(spark):
+    rng = random.Random(8)
+    some = lambda x: rng.choice(["", None, *x])
+    rows = [(k, rng.randrange(3), some(["x A", "b", "c"]), some(["s", " S", "t"]), some(["p", "q", "r", "P"]), rng.choice([None, [], ["p"], ["q", "Q", ""], ["r", "p"], ["q", None]])) for k in range(150)]
+    df = spark.createDataFrame(rows, "unit long, stage int, text string, say string, roman string, alt array<string>")
+    stage = {r[0]: r[1] for r in rows}
+    right = {k: 0 for k in stage}
+    for r in G.also_right(df).collect():
+        right[r["unit"]] += stage[r["unit"]] == stage[r["other"]]
+    size = {s: sum(v == s for v in stage.values()) for s in range(3)}
+    old, G.OPTIONS = G.OPTIONS, 1000
+    try:
+        got = {r["unit"]: r["options"] for r in G.option_counts(df).collect()}
+    finally:
+        G.OPTIONS = old
+    assert got == {k: 1 + size[stage[k]] - right[k] for k in stage}
+
+
+def test_option_counts_make_no_pairs(spark):
+    n = 40000  # of one sound in one stage: 1.6 thousand million pairs
+    df = spark.range(n).select(F.col("id").alias("unit"), F.lit(0).alias("stage"), F.col("id").cast("string").alias("text"), F.lit("s").alias("say"), F.col("id").cast("string").alias("roman"), F.array().cast("array<string>").alias("alt"))
+    assert [tuple(r) for r in G.option_counts(df).groupBy("options").count().collect()] == [(1, n)]
