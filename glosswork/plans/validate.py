@@ -15,9 +15,10 @@ def _empty(c: str) -> Column:
     return F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
 
 
-def _counted(rows: DataFrame, prefix: str, rules: dict[str, Column]) -> DataFrame:
-    """(rule, n): rows that meet each condition, in one pass."""
-    one = rows.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in rules.items()])
+def _counted(rows: DataFrame, prefix: str, rules: dict[str, Column], times: Column | None = None) -> DataFrame:
+    """(rule, n): rows that meet each condition, in one pass; each counts `times`, once without it."""
+    times = F.lit(1) if times is None else times
+    one = rows.agg(*[F.coalesce(F.sum(F.when(c, times)), F.lit(0)).cast("long").alias(k) for k, c in rules.items()])
     return one.select(F.explode(F.array(*[F.struct(F.lit(f"{prefix}_{k}").alias("rule"), F.col(k).alias("n")) for k in rules])).alias("r")).select("r.*")
 
 
@@ -60,14 +61,50 @@ def synonym_rules(links: DataFrame, words: DataFrame) -> DataFrame:
     ])
 
 
+#: Lengths of the runs of characters by which lines meet texts.
+RUNS = (1, 2, 4, 8, 16)
+
+
+def _apart(lines: DataFrame, passages: DataFrame) -> DataFrame:
+    """(rule, n): pairs of a line (passage, t, _n: passages of its id) that is not blank and a text of its id that does not hold it.
+
+    Where an id has one passage, its lines meet the text. Where it has several,
+    only pairs that may hold are made: equal lines and equal texts are one row,
+    and a line meets the texts that hold its rarest run of characters, of the
+    greatest length in RUNS that fits. All other pairs are counted without being made.
+    """
+    t = lines.select("passage", "_n", F.trim("t").alias("t")).filter("t <> ''").groupBy("passage", "_n", "t").agg(F.count("*").alias("w"))
+    texts = passages.select(F.col("id").alias("passage"), F.coalesce("text", F.lit("")).alias("text"))
+    holds = F.contains("text", F.col("t"))
+    one = t.filter("_n = 1").join(texts, "passage").filter(holds).select("w")
+    many = t.filter("_n > 1")
+    ids = passages.groupBy(F.col("id").alias("passage")).count().filter("count > 1").select("passage")
+    texts = texts.join(ids, "passage", "left_semi").groupBy("passage", "text").agg(F.count("*").alias("c")).withColumn("k", F.sha2("text", 256))
+    size = F.lit(RUNS[0])
+    for r in RUNS[1:]:
+        size = F.when(F.length("t") >= r, r).otherwise(size)
+    runs = F.transform(F.sequence(F.lit(1), F.length("t") - F.col("g") + 1, F.col("g")), lambda i: F.substring("t", i, F.col("g")))
+    asked = many.withColumn("g", size).select("passage", "t", "w", F.explode_outer(F.array_distinct(runs)).alias("run"))
+    cut = lambda r: F.transform("chars", lambda _, i: F.when(i + r <= F.size("chars"), F.array_join(F.slice("chars", i + 1, r), "")))
+    chars = texts.select("passage", "k", F.filter(F.split("text", ""), lambda x: x != "").alias("chars"))
+    index = chars.select("passage", "k", F.explode_outer(F.array_distinct(F.concat(*[cut(r) for r in RUNS]))).alias("run")).filter("run IS NOT NULL")
+    index = index.join(asked.select("passage", "run").distinct(), ["passage", "run"], "left_semi")
+    held = index.groupBy("passage", "run").agg(F.count("*").alias("n"))
+    rarest = asked.join(held, ["passage", "run"], "left").groupBy("passage", "t", "w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("b"))
+    met = rarest.filter("b.n > 0").select("passage", "t", "w", "b.run").join(index, ["passage", "run"]).join(texts, ["passage", "k"]).filter(holds)
+    sums = t.select((F.col("w") * F.col("_n")).alias("v")).unionByName(one.select((-F.col("w")).alias("v"))).unionByName(met.select((-F.col("w") * F.col("c")).alias("v")))
+    return sums.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("n")).select(F.lit("passage_lines_in_text").alias("rule"), "n")
+
+
 def passage_rules(passages: DataFrame, lines: DataFrame, levels: tuple[str, ...]) -> DataFrame:
     """(rule, ok, n) of passages (id, lv, title, text) and their lines (passage, t, en): filled, ids once, levels known, lines there and in the text."""
     level = F.coalesce(F.col("lv").isin(*levels), F.lit(False))
-    told = lines.join(passages.select(F.col("id").alias("passage"), "text"), "passage")
+    # A line counts once for each passage of its id.
+    told = lines.join(passages.groupBy(F.col("id").alias("passage")).agg(F.count("*").alias("_n")), "passage")
     rules = {"titles_filled": _empty("title"), "texts_filled": _empty("text"), "levels_known": ~level}
-    of_lines = {"lines_filled": _empty("t"), "lines_translated": _empty("en"), "lines_in_text": ~_empty("t") & ~F.contains(F.coalesce("text", F.lit("")), F.trim("t"))}
+    of_lines = {"lines_filled": _empty("t"), "lines_translated": _empty("en")}
     bare = passages.select(F.col("id").alias("passage")).distinct().join(lines.select("passage").distinct(), "passage", "left_anti")
-    return _verdicts([_counted(passages, "passage", rules), _counted(told, "passage", of_lines), _rows(_repeated(passages, "id"), "passage_ids_once"), _rows(bare, "passage_has_lines")])
+    return _verdicts([_counted(passages, "passage", rules), _counted(told, "passage", of_lines, F.col("_n")), _apart(told, passages), _rows(_repeated(passages, "id"), "passage_ids_once"), _rows(bare, "passage_has_lines")])
 
 
 def query(name: str, sql: str):

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from glosswork.plans import validate
 from glosswork.plans.catalogue import queries
 
 
@@ -45,3 +46,25 @@ def test_planted_overrides_fit_no_part(spark, tmp_path):
     got = sorted(tuple(r) for r in queries()["q80_overrides"](spark, str(tmp_path)).collect())
     used = [(0, "fixed", False), (1, "n1", False), (400, "fixed", False), (1_000_000, "fixed", False), (1_000_400, "fixed", False)]
     assert got == sorted(used + [(k + 1_000_000, "fixed", True) for k in (0, 400, 1_000_000, 1_000_400)])
+
+
+def test_lines_meet_only_texts_that_may_hold_them(spark):
+    rng = random.Random(6)
+    line = lambda: "".join(rng.choice("ab é") for _ in range(rng.choice([0, 1, 2, 3, 5, 9, 17, 40])))
+    made = [(rng.choice([1, 1, 2, 3]), rng.choice([None, *["\n".join(line() for _ in range(6)) for _ in range(5)]])) for _ in range(40)] + [(9, "one\ntwo")]
+    own = [(k, x) for k, t in made for x in (t or "").split("\n")[:4]]
+    lines = own + [(rng.choice([1, 2, 3, 7]), f" {line()} ") for _ in range(60)] + [(9, "two "), (9, "three")]
+    passages = spark.createDataFrame([(k, "en", "x", t) for k, t in made], "id long, lv string, title string, text string")
+    df = spark.createDataFrame([(k, t, rng.choice([None, "x"])) for k, t in lines], "passage long, t string, en string")
+    got = {r["rule"]: r["n"] for r in validate.passage_rules(passages, df, ("en",)).collect()}
+    pairs = [(t.strip(" "), x) for k, t in lines for i, x in made if i == k]
+    assert got["passage_lines_in_text"] == sum(t != "" and t not in (x or "") for t, x in pairs)
+    assert got["passage_lines_filled"] == sum(t == "" for t, _ in pairs)
+
+
+def test_lines_of_one_id_make_no_pairs_with_all_its_texts(spark):
+    n = 20000  # texts and lines of one id: four hundred million pairs
+    passages = spark.range(n).select(F.lit(1).alias("id"), F.lit("en").alias("lv"), F.lit("x").alias("title"), F.concat(F.lit("a text of many words, number "), F.col("id").cast("string"), F.lit(".")).alias("text"))
+    lines = passages.select(F.lit(1).alias("passage"), F.col("text").alias("t"), F.lit("x").alias("en"))
+    got = {r["rule"]: r["n"] for r in validate.passage_rules(passages, lines, ("en",)).collect()}
+    assert got["passage_lines_in_text"] == n * n - n
