@@ -44,11 +44,28 @@ def sentence_links(tokens: DataFrame, keys: DataFrame, allowed: DataFrame, conte
     return x.groupBy("sentence").agg(F.count_distinct(F.when(F.col("key"), F.col("token"))).alias("links"), F.coalesce(F.bool_or(out), F.lit(False)).alias("outside"))
 
 
+#: Words of one form and the same cues that are one row of homographs' join.
+BLOCK = 512
+
+
 def homographs(words: DataFrame) -> DataFrame:
-    """(form, a, b, shared): words of one form, a < b, and whether their cues overlap. words: (id, form, cues)."""
-    x = words.select("form", F.col("id").alias("a"), F.col("cues").alias("ca"))
-    y = words.select("form", F.col("id").alias("b"), F.col("cues").alias("cb"))
-    return x.join(y, "form").filter("a < b").select("form", "a", "b", F.arrays_overlap("ca", "cb").alias("shared"))
+    """(form, a, b, shared): words of one form, a < b, and whether their cues overlap. words: (id, form, cues).
+
+    The pairs are many by nature, so each costs little: words of one form and
+    the same cues go in blocks, cues are compared once for two blocks, and pairs
+    of blocks are dealt to all tasks before their words are listed, whatever
+    their form. No task holds more than two blocks.
+    """
+    i = F.row_number().over(W.partitionBy("form", "cues").orderBy("id"))
+    blocks = words.withColumn("i", F.floor((i - 1) / BLOCK)).groupBy("form", "cues", "i").agg(F.collect_list("id").alias("ids"))
+    side = lambda c: blocks.select("form", F.struct("cues", "i").alias(c), F.col("ids").alias(f"{c}s"))
+    met = side("x").join(side("y"), "form").filter("x <= y")
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = met.select("form", "xs", "ys", (F.col("x") == F.col("y")).alias("same"), F.arrays_overlap("x.cues", "y.cues").alias("shared"), F.xxhash64("form", "x", "y").alias("k")).repartition(tasks, "k")
+    pairs = dealt.select("form", "same", "shared", "ys", F.explode("xs").alias("p")).select("form", "same", "shared", "p", F.explode("ys").alias("q"))
+    # Within a block each pair comes both ways, between two blocks once.
+    kept = pairs.filter((F.col("p") < F.col("q")) | (~F.col("same") & (F.col("p") > F.col("q"))))
+    return kept.select("form", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared")
 
 
 def level_budget(passages: DataFrame, words: DataFrame, cap: int, on: tuple[str, ...] = ("word",)) -> DataFrame:

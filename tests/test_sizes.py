@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from glosswork.operators import linking
 from glosswork.plans import validate
 from glosswork.plans.catalogue import queries
 
@@ -68,3 +69,14 @@ def test_lines_of_one_id_make_no_pairs_with_all_its_texts(spark):
     lines = passages.select(F.lit(1).alias("passage"), F.col("text").alias("t"), F.lit("x").alias("en"))
     got = {r["rule"]: r["n"] for r in validate.passage_rules(passages, lines, ("en",)).collect()}
     assert got["passage_lines_in_text"] == n * n - n
+
+
+def test_pairs_of_one_form_are_dealt_to_all_tasks(spark):
+    rng = random.Random(8)
+    rows = [(k, "one", sorted({rng.choice("ab"), rng.choice("cd")})) for k in range(1400)] + [(k, "two", [rng.choice("ab"), rng.choice([None, "b"])]) for k in (*range(9), 3, 4)] + [(1, None, ["a"])]
+    got = linking.homographs(spark.createDataFrame(rows, "id long, form string, cues array<string>")).withColumn("task", F.spark_partition_id())
+    share = [r["count"] for r in got.groupBy("task").count().collect()]
+    overlap = lambda x, y: True if set(x) & set(y) - {None} else None if None in (*x, *y) else False
+    want = [(f, a, b, overlap(x, y)) for a, f, x in rows for b, g, y in rows if f == g is not None and a < b]
+    assert sorted(map(repr, ((r["form"], r["a"], r["b"], r["shared"]) for r in got.collect()))) == sorted(map(repr, want))
+    assert max(share) < 0.6 * len(want)  # it was one task's
