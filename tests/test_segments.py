@@ -104,3 +104,12 @@ def test_token_places_as_a_column(spark):
     x = spark.createDataFrame([("The cat", ["the", "x", "cat"]), (None, ["a"]), ("a", None)], "t string, k array<string>")
     got = x.select(spans.token_places()("t", "k").alias("p")).collect()
     assert [[p and tuple(p) for p in r["p"]] for r in got] == [[(0, 3), None, (4, 7)], [None], []]
+
+
+def test_token_places_make_no_pattern_for_each_token(monkeypatch):
+    monkeypatch.setattr(spans.re, "compile", lambda *_: pytest.fail("a pattern for a token"))
+    words = [f"Wort{k}" for k in range(200)]
+    said = [w.lower() + ("x" if k % 7 == 3 else "") for k, w in enumerate(words)]
+    got = spans.token_offsets(", ".join(words), said)
+    assert [x is None for x in got] == [k % 7 == 3 for k in range(200)]
+    assert spans.token_offsets("ſie KK", ["SIE", "kk"]) == [(0, 3), (4, 6)]
