@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from glosswork.operators import linking
+from glosswork.operators import linking, meanings
 from glosswork.plans import validate
 from glosswork.plans.catalogue import queries
 
@@ -80,3 +80,19 @@ def test_pairs_of_one_form_are_dealt_to_all_tasks(spark):
     want = [(f, a, b, overlap(x, y)) for a, f, x in rows for b, g, y in rows if f == g is not None and a < b]
     assert sorted(map(repr, ((r["form"], r["a"], r["b"], r["shared"]) for r in got.collect()))) == sorted(map(repr, want))
     assert max(share) < 0.6 * len(want)  # it was one task's
+
+
+def test_a_text_is_read_once_however_many_rows_have_it(spark):
+    rows = spark.createDataFrame([(k, ["a", "b", None][k % 3]) for k in range(60)], "id long, gloss string")
+    got = meanings.told_once(rows, "gloss", mark=F.uuid()).collect()
+    assert len(got) == 60 and len({r["mark"] for r in got}) == 3 and all((r["mark"] is None) == (r["gloss"] is None) for r in got)
+
+
+def test_pairs_are_looked_up_without_a_row_for_each_meaning(spark):
+    links = [(kind, f"meaning {m} of many", i, None) for kind in ("asks", "answers", "syn") for i in range(40) for m in range(i % 4, 300, 4)] + [("blocked", "", 0, 4)]
+    x = spark.createDataFrame(links, "kind string, meaning string, id long, other long")
+    pairs = spark.createDataFrame([(t, o) for t in range(40) for o in range(40)], "t long, x long")
+    rows, n = shuffled(spark, meanings.accepted(pairs, x))
+    same = lambda r: r["t"] != r["x"] and r["t"] % 4 == r["x"] % 4
+    assert all(r["syn"] == same(r) and r["typed"] == (same(r) and (r["t"], r["x"]) != (0, 4)) for r in rows) and len(rows) == 1600
+    assert n < 1_000_000
