@@ -98,14 +98,16 @@ def leaves(parts: DataFrame) -> DataFrame:
     when nothing new comes, so a character that contains itself by a detour ends
     too. A whole all of whose components go round has no leaf.
     """
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = settled(parts.select("whole", "part").distinct())
     reached = new = parts
     step = parts.select(F.col("whole").alias("part"), F.col("part").alias("next"))
     while True:
-        more = new.join(step, "part").select("whole", F.col("next").alias("part")).distinct()
-        new = settled(more.join(reached, ["whole", "part"], "left_anti"))
+        more = new.hint("merge").join(step, "part").select("whole", F.col("next").alias("part")).distinct()
+        new = settled(more.join(reached.hint("merge"), ["whole", "part"], "left_anti"))
         if new.isEmpty():
             break
-        reached = settled(reached.unionByName(new))
+        # Rounds send the driver no rows (the hints), and add no tasks to those after them.
+        reached = reached.unionByName(new).coalesce(tasks)
     own = parts.select(F.col("whole").alias("part")).distinct()
-    return reached.join(own, "part", "left_anti").select("whole", F.col("part").alias("leaf"))
+    return reached.join(own.hint("merge"), "part", "left_anti").select("whole", F.col("part").alias("leaf"))
