@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glosswork.functions.meanings import let
+
 # Spellings of one sound in English names, in the order in which they are made one, and letters that may be missing in another writing.
 SOUNDS = (("ph", "f"), ("th", "t"), ("sh", "s"), ("ch", "c"), ("kh", "k"), ("gh", "g"), ("ck", "k"), ("qu", "k"), ("x", "ks"), ("q", "k"), ("w", "v"), ("c", "k"))
 UNWRITTEN = "aeiouyhv"
 FLOOR = 0.6
+#: Pairs of skeletons whose likeness a task remembers.
+CACHED = 1 << 17
 
 
 def skeleton(name: Column) -> Column:
@@ -29,28 +35,40 @@ def _marks(s: Column, floor: float) -> Column:
     letters at least, and n is m * floor / (2 - floor) at least; so they share one
     of the first m - ceil(m * floor / (2 - floor)) + 1.
     """
-    letters = F.array_sort(F.split(s, ""))
-    told = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
-    return F.slice(told, F.lit(1), F.length(s) - F.ceil(F.length(s) * (floor / (2 - floor)) - 1e-9).cast("int") + 1)
+    # Equal letters stand together, so a letter's number is its distance from the first of them.
+    told = lambda letters: F.transform(letters, lambda c, i: F.concat(c, (i + 2 - F.array_position(letters, c)).cast("string")))
+    return F.slice(let(F.sort_array(F.split(s, "")), told), F.lit(1), F.length(s) - F.ceil(F.length(s) * (floor / (2 - floor)) - 1e-9).cast("int") + 1)
+
+
+def _near(floor: float) -> Callable[[str, str], bool]:
+    """Whether two skeletons have the likeness; the last CACHED answers are kept, and letters that they share are counted before their order is looked at."""
+
+    @functools.lru_cache(CACHED)
+    def near(x: str, y: str) -> bool:
+        if x == y:
+            return True
+        least = floor * (len(x) + len(y)) / 2 - 1e-9
+        return sum(min(x.count(c), y.count(c)) for c in set(x)) >= least and SequenceMatcher(None, x, y).ratio() >= floor
+
+    return near
 
 
 def alike(names: DataFrame, tokens: DataFrame, by: list[str], floor: float = FLOOR) -> DataFrame:
     """(*by, name, token): the tokens (*by, token, skeleton) that may spell a name (*by, name, skeleton), of likeness `floor` or more.
 
     Skeletons meet where they share `by` (a story, a sentence) and one of their
-    first letters, and only if their lengths allow it; each pair of skeletons is
-    compared once. An empty skeleton is like nothing.
+    first letters, and only if their lengths allow it. Names and tokens go along
+    with them, so both are read once, and only pairs that are alike are dealt
+    anew. An empty skeleton is like nothing.
     """
-    side = lambda df, c, s: df.filter("skeleton <> ''").select(*by, F.col("skeleton").alias(s)).distinct().withColumn("mark", F.explode(_marks(F.col(s), floor)))
+    side = lambda df, c, s: df.filter("skeleton <> ''").select(*by, c, F.col("skeleton").alias(s), F.explode(_marks(F.col("skeleton"), floor)).alias("mark"))
     m, n = F.length("a"), F.length("b")
     met = side(names, "name", "a").join(side(tokens, "token", "b"), [*by, "mark"]).filter((m >= n * (floor / (2 - floor)) - 1e-9) & (n >= m * (floor / (2 - floor)) - 1e-9))
-    pairs = met.select(*by, "a", "b").distinct()
 
     @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([x == y or SequenceMatcher(None, x, y).ratio() >= floor for x, y in zip(a, b, strict=True)])
+    def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        told = _near(floor)
+        for a, b in batches:
+            yield pd.Series([told(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    like = pairs.select("a", "b").distinct().filter(near("a", "b"))
-    kept = pairs.join(like, ["a", "b"])
-    x = names.select(*by, "name", F.col("skeleton").alias("a")).distinct().join(kept, [*by, "a"])
-    return x.join(tokens.select(*by, "token", F.col("skeleton").alias("b")).distinct(), [*by, "b"]).select(*by, "name", "token")
+    return met.filter(near("a", "b")).select(*by, "name", "token").distinct()

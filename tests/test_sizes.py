@@ -41,6 +41,15 @@ def test_long_sentences_are_not_shuffled_for_each_word(spark, long_sentences, na
     assert n <= most
 
 
+def test_documents_without_names_are_not_dealt_for_likeness(spark, long_sentences, tmp_path):
+    docs = spark.read.parquet(f"{long_sentences}/documents.parquet")
+    told = docs.limit(1).selectExpr("99L doc_id", "'We saw Philip there. flipped by nobody, fulip' text", "lang", "source", "n_chars")
+    docs.unionByName(told).write.parquet(f"{tmp_path}/documents.parquet")
+    rows, n = shuffled(spark, queries()["q172_name_likeness"](spark, str(tmp_path)))
+    assert sorted(map(tuple, rows)) == [(99, "Philip", "flipped"), (99, "Philip", "fulip")]
+    assert n <= 20_000  # of texts of 192,000 bytes
+
+
 def test_planted_overrides_fit_no_part(spark, tmp_path):
     rows = [(k, f"n{k}") for k in (0, 1, 400, 1_000_000, 1_000_400)]
     spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
