@@ -31,13 +31,12 @@ class Pack:
 
 def build(spark: SparkSession, corpus_dir: str, lang: str, spec: LanguageSpec | None = None) -> Pack:
     spec = spec or LANGUAGES[lang]
-    tokens = tables.tokens(spark, corpus_dir).filter(F.col("lang") == lang)
-    words = tables.ranked(tokens.groupBy("lang", "token").agg(F.count("*").alias("n")), ["lang"]).withColumn("lv", spec.level(F.col("rank")))
+    words = tables.words(spark, corpus_dir).filter(F.col("lang") == lang).withColumn("lv", spec.level(F.col("rank")))
     words = corpus.freq_tiers(words, spec.shares).filter(F.col("rank") <= sum(n for _, n in spec.bands))
     admitted = corpus.admission(tables.sentences(spark, corpus_dir).filter(F.col("lang") == lang), spec.lengths[1])
     kept = corpus.first_seen(admitted.filter("reason IS NULL").drop("reason"), F.lower("text"), "doc_id", "sent")
-    inside = tokens.join(kept.select("doc_id", "sent"), ["doc_id", "sent"], "left_semi")
-    examples = corpus.example_selection(words, inside)
+    inside = kept.withColumn("toks", F.transform(tables.words_of(F.col("text")), lambda w: F.lower(w)))
+    examples = corpus.example_selection(words, inside, listed=words)
     used = kept.join(examples.select("doc_id", "sent").distinct(), ["doc_id", "sent"], "left_semi")
     reasons = admitted.groupBy(F.coalesce("reason", F.lit("admitted")).alias("reason")).agg(F.count("*").alias("n"))
     return Pack(words, used, examples, relations.attribution(used, "lang", "source"), reasons)

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glosswork.operators import corpus as C
+from glosswork.operators.settle import settled
 from glosswork.sources import tables as T
 from glosswork.sources.tables import SENTENCES, TOKENS, WORDS
 
@@ -126,11 +127,13 @@ al AS (SELECT lang, count(DISTINCT sentence) AS all_ FROM b GROUP BY lang),
 x AS (SELECT lang, key, token, df / nsent AS p, (bg + 1) / all_ AS q FROM df JOIN sz USING (lang, key) JOIN bg USING (lang, token) JOIN al USING (lang))
 SELECT lang, key, token, round(CASE WHEN p > q THEN p * log2(p / q) ELSE 0.0 END, 6) AS score FROM x""")
 def q27(spark, d):
-    t = T.tokens(spark, d)
-    bags = t.select("lang", F.col("source").alias("key"), (F.col("doc_id") * 100000 + F.col("sent")).alias("sentence"), "token").distinct()
-    whole = bags.groupBy("lang").agg(F.count_distinct("sentence").alias("all"))
-    background = bags.groupBy("lang", "token").agg(F.count_distinct("sentence").alias("bg")).join(whole, "lang")
-    return C.sense_association(bags, background, ("lang",))
+    s = T.sentences(spark, d).filter(F.col("text").rlike(r"\p{L}")).select("lang", F.col("source").alias("key"), (F.col("doc_id") * 100000 + F.col("sent")).alias("sentence"), "text")
+    # Sentences are dealt as texts, so that texts of one id are one bag; tokens are counted where they are, with an empty one for the sentence itself.
+    one = s.repartition("sentence").groupBy("lang", "sentence").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+    held = F.array_append(F.array_distinct(F.transform(T.words_of(F.col("text")), lambda w: F.lower(w))), F.lit(""))
+    counts = settled(one.select("lang", F.explode_outer(held).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("bg")))
+    background = counts.join(F.broadcast(counts.filter("token = ''").select("lang", F.col("bg").alias("all"))), "lang")  # a row a language
+    return C.sense_association(s, background, ("lang",))
 
 
 _EXAMPLES = WORDS + """,
@@ -143,7 +146,7 @@ ex AS (SELECT t.lang, t.token, row_number() OVER (PARTITION BY t.lang, t.token O
 
 @query("q28_example_selection_window", "WITH " + _EXAMPLES + " SELECT * FROM ex")
 def q28(spark, d):
-    return C.example_selection(T.words(spark, d), T.tokens(spark, d))
+    return C.example_selection(T.words(spark, d), T.bagged(spark, d))
 
 
 @query("q29_coverage_histogram", "WITH " + _EXAMPLES + """,
@@ -152,7 +155,7 @@ g AS (SELECT lang, count(*) AS words, count(*) FILTER (k >= 1) AS one, count(*)
 SELECT *, one >= 0.9 * words AND two >= 0.7 * words AS gate FROM g""")
 def q29(spark, d):
     words = T.words(spark, d)
-    return C.coverage_histogram(words, C.example_selection(words, T.tokens(spark, d)))
+    return C.coverage_histogram(words, C.example_selection(words, T.bagged(spark, d)))
 
 
 @query("q30_token_coverage", "WITH " + WORDS + """
