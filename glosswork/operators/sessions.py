@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,20 +67,32 @@ def midnight(book: dict, session: int) -> tuple[dict, int]:
 def day_log(answers: DataFrame) -> DataFrame:
     """(learner, day, carried, settled, expired, pending): open misses brought from before, settled, dropped for age, and left for the next day.
 
-    A fold by learner with the day as its clock; a learner's log is one group.
+    A fold by learner with the day as its clock: each task goes through the sorted
+    answers of its learners, and holds one learner's open items.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, rows, book = pdf.sort_values(["ts", "event_id"]), [], {}
-        for day, part in pdf.groupby("day", sort=True):
-            session = int(part["session"].iloc[0])
-            book, expired = midnight(book, session)
-            carried = sum(len(e["missed"]) for e in book.values())
-            settled = sum(answer(book, int(r.item), r.kind, bool(r.ok), session, session) for r in part.itertuples())
-            rows.append((int(pdf["learner"].iloc[0]), day, carried, settled, expired, sum(len(e["missed"]) for e in book.values())))
-        return pd.DataFrame(rows, columns=["learner", "day", "carried", "settled", "expired", "pending"])
-
-    return answers.groupBy("learner").applyInPandas(fold, "learner long, day date, carried int, settled int, expired int, pending int")
+    names = ["learner", "day", "session", "item", "kind", "ok"]
+    out = pa.schema([("learner", pa.int64()), ("day", pa.date32()), *[(c, pa.int32()) for c in ("carried", "settled", "expired", "pending")]])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = day = None
+        book, row, rows = {}, [], []
+        left = lambda: sum(len(e["missed"]) for e in book.values())
+        for batch in batches:
+            for who, when, session, item, kind, ok in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
+                if who != learner or when != day:
+                    if row:
+                        rows.append((*row, left()))
+                    book, expired = midnight(book if who == learner else {}, session)
+                    learner, day, row = who, when, [who, when, left(), 0, expired]
+                row[3] += answer(book, item, kind, ok, session, session)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+                rows = []
+        if row:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*row, left()), out, strict=True)], schema=out)
+
+    own = answers.filter("learner IS NOT NULL AND day IS NOT NULL").repartition("learner").sortWithinPartitions("learner", "ts", "event_id")
+    return own.select(*names).mapInArrow(fold, "learner long, day date, carried int, settled int, expired int, pending int")
 
 
 def kind_mix(n: int, production: float, kinds: tuple[str, ...] = ("type", "recall"), others: tuple[str, ...] = ("hear", "read")) -> list[str]:
