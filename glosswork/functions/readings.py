@@ -33,20 +33,23 @@ def split_reading(writing: Column, reading: Column) -> Column:
     empty = F.array().cast("array<struct<text:string,reading:string>>")
 
     def split(rs: Column) -> Column:
-        kana = lambda r: r.rlike(f"^[{KANA}]")
-        quoted = lambda r: F.concat(F.lit(r"\Q"), r, F.lit(r"\E"))
-        shape = lambda group: F.concat(F.lit("^"), F.array_join(F.transform(rs, lambda r: F.when(kana(r), quoted(r)).otherwise(F.lit(group))), ""), F.lit("$"))
-        said = hiragana(F.coalesce(reading, F.lit("")))
-        n = F.size(F.filter(rs, lambda r: ~kana(r)))
-        groups = lambda pattern: F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.call_function("regexp_extract", said, pattern, i))).otherwise(F.array().cast("array<string>"))
-        short, long = shape("(.+?)"), shape("(.+)")
-        fits = (F.size(rs) > 0) & F.call_function("rlike", said, short)
-        numbers = lambda i: F.size(F.filter(F.slice(rs, F.lit(1), i + 1), lambda r: ~kana(r)))
+        # What each run asks for is made once a row.
+        kana = F.transform(rs, lambda r: r.rlike(f"^[{KANA}]"))
+        return let(kana, lambda ks: let(told(rs, ks), lambda v: parts_of(rs, ks, v)))
 
+    def told(rs: Column, ks: Column) -> Column:
+        quoted = lambda r: F.concat(F.lit(r"\Q"), r, F.lit(r"\E"))
+        shape = lambda group: F.concat(F.lit("^"), F.array_join(F.transform(rs, lambda r, i: F.when(F.get(ks, i), quoted(r)).otherwise(F.lit(group))), ""), F.lit("$"))
         # As the runs of the writing itself, not of its fold.
         own = F.regexp_extract_all(writing, F.lit(f"([{KANA}{_KATAKANA[0]}-{_KATAKANA[-3]}]+|[^{KANA}{_KATAKANA[0]}-{_KATAKANA[-3]}]+)"), 1)
-        made = lambda gs: F.transform(rs, lambda r, i: F.struct(F.get(own, i).alias("text"), F.when(~kana(r), F.get(gs, numbers(i) - 1)).alias("reading")))
-        one = let(groups(short), lambda a: let(groups(long), lambda b: F.when(a == b, made(a))))
+        return F.struct(shape("(.+?)").alias("short"), shape("(.+)").alias("long"), hiragana(F.coalesce(reading, F.lit(""))).alias("said"), F.size(F.filter(ks, lambda k: ~k)).alias("n"), own.alias("own"))
+
+    def parts_of(rs: Column, ks: Column, v: Column) -> Column:
+        groups = lambda pattern: F.when(v["n"] > 0, F.transform(F.sequence(F.lit(1), v["n"]), lambda i: F.call_function("regexp_extract", v["said"], pattern, i))).otherwise(F.array().cast("array<string>"))
+        fits = (F.size(rs) > 0) & F.call_function("rlike", v["said"], v["short"])
+        numbers = lambda i: F.size(F.filter(F.slice(ks, F.lit(1), i + 1), lambda k: ~k))
+        made = lambda gs: F.transform(rs, lambda r, i: F.struct(F.get(v["own"], i).alias("text"), F.when(~F.get(ks, i), F.get(gs, numbers(i) - 1)).alias("reading")))
+        one = let(groups(v["short"]), lambda a: let(groups(v["long"]), lambda b: F.when(a == b, made(a))))
         return F.when(fits, let(one, lambda p: F.struct(F.when(p.isNull(), "several").otherwise("one").alias("status"), F.coalesce(p, empty).alias("parts")))).otherwise(F.struct(F.lit("none").alias("status"), empty.alias("parts")))
 
     return let(runs, split)
