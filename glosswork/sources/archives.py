@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 PARTS = "path string, member string, part int, content binary, fault string"
 #: Bytes of a part, and packed bytes that one task is to read.
 PART_BYTES, TASK_BYTES = 4 << 20, 64 << 20
+#: Bytes of text in one archive that is packed here.
+VOLUME_BYTES = 16 << 20
 _PACKED = ((b"BZh", bz2.open), (b"\x1f\x8b", gzip.open), (b"\xfd7zXZ", lzma.open))
 
 
@@ -102,8 +104,12 @@ def lines(parts: DataFrame) -> DataFrame:
     return cut
 
 
-def packed_tar(rows: DataFrame, group: str, member: str, text: str, packing: str = "bz2") -> DataFrame:
-    """(path, content): a tar of each group with a file for each row, in the order of their names. A group is one archive, and so one task."""
+def packed_tar(rows: DataFrame, group: str, member: str, text: str, packing: str = "bz2", volume_bytes: int = VOLUME_BYTES) -> DataFrame:
+    """(path, content): a tar of each group with a file for each row, in the order of their names.
+
+    A group of more than `volume_bytes` of text is several archives of its path,
+    of about that size, each a task; a member is in one of them, by its name.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         out = io.BytesIO()
@@ -116,4 +122,6 @@ def packed_tar(rows: DataFrame, group: str, member: str, text: str, packing: str
         return pa.table({"path": [table.column("_g")[0].as_py()], "content": pa.array([out.getvalue()], pa.binary())})
 
     x = rows.select(F.col(group).cast("string").alias("_g"), F.col(member).alias("_m"), F.col(text).alias("_t"))
-    return x.groupBy("_g").applyInArrow(run, "path string, content binary")
+    volumes = x.groupBy(F.col("_g").alias("_h")).agg(F.ceil(F.sum(F.coalesce(F.octet_length("_t"), F.lit(0)).cast("long") + 1) / volume_bytes).alias("_n"))
+    x = x.join(F.broadcast(volumes), F.col("_g").eqNullSafe(F.col("_h"))).withColumn("_v", F.pmod(F.xxhash64("_m"), F.col("_n")))  # a name and a number an archive
+    return x.groupBy("_g", "_v").applyInArrow(run, "path string, content binary")

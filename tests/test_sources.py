@@ -65,3 +65,11 @@ def test_packed_tar_comes_back(spark):
     rows = spark.createDataFrame([("g", "m2", "b\nc"), ("g", "m1", "a"), ("h", "m1", None)], "g string, m string, t string")
     got = A.unpacked(A.packed_tar(rows, "g", "m", "t")).collect()
     assert sorted((r["path"], r["member"], bytes(r["content"])) for r in got) == [("g", "m1", b"a"), ("g", "m2", b"b\nc"), ("h", "m1", b"")]
+
+
+def test_a_large_group_is_several_archives_of_its_path(spark):
+    rows = [("a" if k < 40 else "b", f"m{k}.txt", f"{k}\n" + "x" * 1000) for k in range(42)]
+    packed = A.packed_tar(spark.createDataFrame(rows, "g string, m string, t string"), "g", "m", "t", volume_bytes=8000)
+    files = packed.groupBy("path").count().collect()
+    got = sorted((r["path"], r["member"], bytes(r["content"]).decode()) for r in A.unpacked(packed).collect())
+    assert {r["path"]: r["count"] > 3 for r in files} == {"a": True, "b": False} and got == sorted(rows)
