@@ -41,6 +41,26 @@ def test_long_sentences_are_not_shuffled_for_each_word(spark, long_sentences, na
     assert n <= most
 
 
+@pytest.fixture(scope="module")
+def short_sentences(spark, tmp_path_factory):
+    """Documents of 150 sentences of eight words each, of 300 words in all."""
+    rng, d = random.Random(5), str(tmp_path_factory.mktemp("short"))
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(300)]
+    rows = [(k, ". ".join(" ".join(rng.choices(words, k=8)) for _ in range(150)), "en", f"s{k % 3}", 9000) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{d}/documents.parquet")
+    return d
+
+
+#: With what is written while the query is made; the forms that dealt out each token shuffled 0.83, 1.52 and 1.67 MB.
+@pytest.mark.parametrize("name, most", [("q28_example_selection_window", 700_000), ("q156_form_links", 800_000), ("q27_sense_association", 800_000)])
+def test_tokens_are_not_dealt_to_meet_words(spark, short_sentences, name, most):
+    class Made:
+        collect = staticmethod(lambda: queries()[name](spark, short_sentences).collect())
+
+    rows, n = shuffled(spark, Made)
+    assert rows and n <= most
+
+
 def test_documents_without_names_are_not_dealt_for_likeness(spark, long_sentences, tmp_path):
     docs = spark.read.parquet(f"{long_sentences}/documents.parquet")
     told = docs.limit(1).selectExpr("99L doc_id", "'We saw Philip there. flipped by nobody, fulip' text", "lang", "source", "n_chars")
