@@ -25,9 +25,15 @@ _LETTERS = {start + k: ord(c) for start, letters in HANGUL for k, c in enumerate
 OPTIONS = 4
 
 
+def spelt(text: str) -> str:
+    """A text in the letters and marks by which glyphs are compared: lower case, compatibility forms taken apart, Hangul letters wherever they stand."""
+    low = text.lower()
+    return low if low.isascii() else unicodedata.normalize("NFKD", low).translate(_LETTERS)
+
+
 def letters(text: str) -> list[str]:
-    """A text as the letters and marks by which glyphs are compared: lower case, compatibility forms taken apart, Hangul letters wherever they stand."""
-    return list(unicodedata.normalize("NFKD", text.lower()).translate(_LETTERS))
+    """The letters and marks of a text as it is spelt."""
+    return list(spelt(text))
 
 
 def glyph(text: Column) -> Column:
@@ -38,14 +44,19 @@ def glyph(text: Column) -> Column:
 def holders(units: DataFrame, words: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(*by, unit, word): the words (*by, word, text) that hold a form of a unit (*by, unit, text; forms parted by blanks), each once.
 
-    Words are rows of the index, one a letter; a form meets the letters equal to
-    its first, and the rest is compared there. Empty forms are in no word.
+    A word is a row of the index for each of its letters, however often it has
+    it; a form meets the letters equal to its first, and is looked for in the
+    whole word there. Empty forms are in no word. Words are a list, as a
+    vocabulary is; repeated rows cost as often. They are dealt by (*by, word):
+    where units are few and the caller says so (F.broadcast), that is the only
+    shuffle, as what a word holds stays with it.
     """
-    told = column(letters, "array<string>")
-    form = units.select(*by, "unit", F.explode(F.array_distinct(F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != ""))).alias("form")).withColumn("f", told("form"))
-    index = words.select(*by, "word", told("text").alias("t")).distinct().select(*by, "word", "t", F.posexplode("t").alias("at", "letter"))
-    met = form.withColumn("letter", F.get("f", F.lit(0))).join(index, [*by, "letter"])
-    return met.filter(F.slice("t", F.col("at") + 1, F.size("f")) == F.col("f")).select(*by, "unit", "word").distinct()
+    told = column(spelt, "string").asNondeterministic()  # else words are spelt again in a filter that Spark derives
+    form = units.select(*by, "unit", F.explode(F.array_distinct(F.filter(F.split(F.trim("text"), r"\s+"), lambda x: x != ""))).alias("form"))
+    form = form.select(*by, "unit", told("form").alias("f")).withColumn("letter", F.substring("f", 1, 1))
+    index = words.select(*by, "word", told("text").alias("t")).repartition(*by, "word").select(*by, "word", "t", F.explode_outer(F.array_distinct(F.split("t", ""))).alias("letter"))
+    met = index.join(form.filter("f <> ''"), [*by, "letter"])
+    return met.filter(F.contains("t", "f")).select(*by, "unit", "word").distinct()
 
 
 def _normal(units: DataFrame, *cols: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Glyphs in words and answers that are right as well, against all pairs."""
 
 import random
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
 from glosswork.operators import glyphs as G
+from glosswork.plans import catalogue
 
 
 def inside(form, text):
@@ -24,6 +26,30 @@ def test_holders_against_all_pairs(spark):
     assert got == {(u, w) for u, t in units for w, x in words if x and any(inside(f, x) for f in t.split())}
 
 
+def test_holders_deal_words_once(spark):
+    words = spark.range(4).select(F.lit("x").alias("lang"), (F.col("id") % 2).alias("word"), F.concat(F.lit("banana"), "id").alias("text"))  # words of two texts
+    words = words.unionByName(words)
+    units = spark.createDataFrame([("x", 1, "an na"), ("x", 2, "a3 a1"), ("x", 3, "nn")], "lang string, unit int, text string")
+    got = G.holders(F.broadcast(units), words, ("lang",))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("ArrowEvalPython") == 2
+    assert sorted((r["unit"], r["word"]) for r in got.collect()) == [(1, 0), (1, 1), (2, 1)]
+
+
+def test_glyph_words_against_all_pairs(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [(k, rng.choice(["a", "b", None]), " ".join("".join(rng.choices("aeéfiTkß", weights=range(8, 0, -1), k=rng.randrange(1, 6))) for _ in range(12))) for k in range(40)] + [(900, "a", None), (901, "a", "")]
+    spark.createDataFrame(texts, "doc_id long, lang string, text string").withColumn("source", F.lit("s")).write.parquet(str(tmp_path / "documents.parquet"))
+    counts = Counter((lang, w.lower()) for _, lang, text in texts if lang and text for w in text.split())
+    pairs = defaultdict(Counter)
+    for (lang, w), n in counts.items():
+        for i in range(len(w) - 1):
+            pairs[lang][w[i : i + 2]] += n
+    expected = {(lang, p, w) for lang, c in pairs.items() for p in sorted(c, key=lambda p: (-c[p], p.encode()))[:20] for has, w in counts if has == lang and inside(p, w)}
+    got = catalogue.queries()["q175_glyph_words"](spark, str(tmp_path)).collect()
+    assert len(got) == len(expected) and {(r["lang"], r["unit"], r["word"]) for r in got} == expected
+
+
 def test_also_right_against_all_pairs(spark):
     rng = random.Random(2)
     pick = lambda: rng.choice(["a", "b", "c", "D", " d ", "", None])
