@@ -136,3 +136,24 @@ def test_leaves_send_no_rows_to_the_driver(spark):
     got = segments.leaves(parts)
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert {(r["whole"], r["leaf"]) for r in got.collect()} == {(str(k), "1") for k in range(2, 64)}
+
+
+def sent_to_all(spark, name, d):
+    """The joins' broadcasts in the plans that a query ran, written tables included, where Spark takes every table for small."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    known = lambda: {x.executionId(): x.physicalPlanDescription() for l in [store.executionsList()] for x in map(l.apply, range(l.size()))}
+    before = set(known())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        rows = queries()[name](spark, d).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    plans = [p for k, p in known().items() if k not in before]
+    assert rows and plans
+    return sum(p.count("BroadcastExchange") for p in plans)
+
+
+@pytest.mark.parametrize("name", ["q159_typed_meanings"])
+def test_words_and_their_keys_are_not_broadcast(spark, name):
+    assert sent_to_all(spark, name, "/root/testdata/sf0.001") == 0
