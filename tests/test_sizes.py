@@ -154,6 +154,6 @@ def sent_to_all(spark, name, d):
     return sum(p.count("BroadcastExchange") for p in plans)
 
 
-@pytest.mark.parametrize("name", ["q159_typed_meanings"])
+@pytest.mark.parametrize("name", ["q159_typed_meanings", "q161_accepted_synonyms"])
 def test_words_and_their_keys_are_not_broadcast(spark, name):
     assert sent_to_all(spark, name, "/root/testdata/sf0.001") == 0
