@@ -119,7 +119,7 @@ def q26(spark, d):
 
 @query("q27_sense_association", "WITH " + TOKENS + """,
 b AS (SELECT DISTINCT lang, source AS key, doc_id * 100000 + sent AS sentence, token FROM tokens),
-f AS (SELECT lang, key, sentence FROM (SELECT DISTINCT lang, key, sentence FROM b) QUALIFY row_number() OVER (PARTITION BY lang, key ORDER BY sentence) <= 400),
+f AS (SELECT DISTINCT lang, key, sentence FROM b),
 sz AS (SELECT lang, key, count(*) AS nsent FROM f GROUP BY ALL),
 df AS (SELECT lang, key, token, count(*) AS df FROM b JOIN f USING (lang, key, sentence) GROUP BY ALL),
 bg AS (SELECT lang, token, count(*) AS bg FROM (SELECT DISTINCT lang, sentence, token FROM b) GROUP BY ALL),
@@ -128,12 +128,7 @@ x AS (SELECT lang, key, token, df / nsent AS p, (bg + 1) / all_ AS q FROM df JOI
 SELECT lang, key, token, round(CASE WHEN p > q THEN p * log2(p / q) ELSE 0.0 END, 6) AS score FROM x""")
 def q27(spark, d):
     s = T.sentences(spark, d).filter(F.col("text").rlike(r"\p{L}")).select("lang", F.col("source").alias("key"), (F.col("doc_id") * 100000 + F.col("sent")).alias("sentence"), "text")
-    # Sentences are dealt as texts, so that texts of one id are one bag; tokens are counted where they are, with an empty one for the sentence itself.
-    one = s.repartition("sentence").groupBy("lang", "sentence").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
-    held = F.array_append(F.array_distinct(F.transform(T.words_of(F.col("text")), lambda w: F.lower(w))), F.lit(""))
-    counts = settled(one.select("lang", F.explode_outer(held).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("bg")))
-    background = counts.join(F.broadcast(counts.filter("token = ''").select("lang", F.col("bg").alias("all"))), "lang")  # a row a language
-    return C.sense_association(s, background, ("lang",))
+    return C.sense_association(settled(C.bag_counts(s, ("lang",))), ("lang",))
 
 
 _EXAMPLES = WORDS + """,

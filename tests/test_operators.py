@@ -409,3 +409,12 @@ def test_phrase_share_counts_what_stands_between_blanks(spark):
     phrases = spark.createDataFrame([("x", "red hat", "red"), ("y", "red hat", "red"), ("x", "hat red", "hat")], "lang string, phrase string, head string")
     got = {(r["lang"], r["phrase"]): (r["n"], r["bound"]) for r in linking.phrase_share(df, phrases, ("lang",)).collect()}
     assert got == {("x", "red hat"): (5, 2), ("y", "red hat"): (1, 1), ("x", "hat red"): (4, 1)}
+
+
+def test_association_counts_all_sentences_of_a_key(spark):
+    bags = spark.createDataFrame([(k % 2, k // 2, "late word" if k // 2 >= 400 else "Early word") for k in range(1600)] + [(0, 0, "twice early")], "key int, sentence long, text string")
+    got = {(r["key"], r["token"], r["n"]) for r in corpus.bag_counts(bags.withColumn("lang", F.lit("en")), ("lang",)).collect()}
+    of = lambda k: {(k, "", 800), (k, "word", 800), (k, "early", 400), (k, "late", 400)}
+    assert got == of(0) | of(1) | of(None) | {(0, "twice", 1), (None, "twice", 1)}
+    score = {(r["key"], r["token"]): r["score"] for r in corpus.sense_association(corpus.bag_counts(bags)).collect()}
+    assert score[0, "twice"] == 0.0 and score[1, "late"] == 0.0 and len(score) == 7
