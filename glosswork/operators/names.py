@@ -41,14 +41,14 @@ def _marks(s: Column, floor: float) -> Column:
 
 
 def _near(floor: float) -> Callable[[str, str], bool]:
-    """Whether two skeletons have the likeness; the last CACHED answers are kept, and letters that they share are counted before their order is looked at."""
+    """Whether two skeletons have the likeness; the last CACHED answers are kept, and letters that they share are counted before their order is looked at. No letter is junk, however long a skeleton is."""
 
     @functools.lru_cache(CACHED)
     def near(x: str, y: str) -> bool:
         if x == y:
             return True
         least = floor * (len(x) + len(y)) / 2 - 1e-9
-        return sum(min(x.count(c), y.count(c)) for c in set(x)) >= least and SequenceMatcher(None, x, y).ratio() >= floor
+        return sum(min(x.count(c), y.count(c)) for c in set(x)) >= least and SequenceMatcher(None, x, y, autojunk=False).ratio() >= floor
 
     return near
 

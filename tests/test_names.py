@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from glosswork.functions import folding
 from glosswork.functions import readings as D
 from glosswork.operators import linking, names, planners, units
+from glosswork.plans.catalogue import queries
 
 
 def test_skeletons(spark):
@@ -109,3 +110,16 @@ def test_excerpt_runs_against_all_runs(spark):
                 if least <= w <= most and k >= coverage * w:
                     want[s, lv] = want.get((s, lv), 0) + 1
     assert got == want
+
+
+def test_long_skeletons_are_alike(spark):
+    a = "".join(random.Random(5).choices("bkdfglmnrst", k=240))
+    frame = lambda c, s: spark.createDataFrame([(1, c, s)], f"story int, {c} string, skeleton string")
+    assert names.alike(frame("name", a), frame("token", a[:120] + "z" + a[121:]), ["story"], 0.9).count() == 1
+
+
+def test_names_of_a_text_are_alike_by_six_tenths(spark, tmp_path):
+    rows = [(1, "We met Martin there. Some merten and marden, nobody else", "en", "s", 50)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["name"], r["token"]) for r in queries()["q172_name_likeness"](spark, str(tmp_path)).collect()}
+    assert got == {("Martin", "merten"), ("Martin", "marden")}  # mrtn, mrtn and mrdn: 0.75
