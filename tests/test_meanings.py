@@ -148,3 +148,15 @@ def test_paradigms_compile(lang):
     for r in paradigms.PARADIGMS[lang]:
         re.compile(r.when)
         assert r.endings and r.cut >= 0
+
+
+def test_all_groups_may_be_left_out(spark):
+    gloss = "tea (a1) pot(b2) (c3) (d4) (e5) (f6)"
+    words = spark.createDataFrame([(1, gloss), (2, "tea pot"), (3, "tea pot f6")], "id long, gloss string")
+    none = spark.createDataFrame([], "id long, other long")
+    links = N.directions(words, none, spark.createDataFrame([], "grp string, id long"))
+    got = {(r["kind"], r["meaning"].replace(M.KEY_SEP, " "), r["id"]) for r in links.collect()}
+    assert {("asks", "tea pot", 1), ("syn", "tea pot", 1), ("answers", "tea pot f6", 1), ("asks", "tea pot", 2)} <= got
+    keys = spark.createDataFrame([(gloss,)], "g string").select(F.explode(M.meaning_keys(F.col("g"), most=None)).alias("k")).collect()
+    want = {" ".join(w for w in ("tea", a, "pot" + b, c, d, e, f) if w) for a in ("", "a1") for b in ("", "b2") for c in ("", "c3") for d in ("", "d4") for e in ("", "e5") for f in ("", "f6")}
+    assert {r["k"].replace(M.KEY_SEP, " ") for r in keys} == want and len(keys) == 64
