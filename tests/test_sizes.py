@@ -61,6 +61,22 @@ def test_tokens_are_not_dealt_to_meet_words(spark, short_sentences, name, most):
     assert rows and n <= most
 
 
+#: Of texts of 192,000 bytes without phrases, whose runs are dealt once, to be counted; the form that dealt them to meet phrases as well shuffled 2,027,105.
+NO_PHRASES = 1_400_000
+
+
+def test_runs_that_are_no_phrase_are_not_dealt_to_meet_phrases(spark, long_sentences):
+    class Made:
+        collect = staticmethod(lambda: queries()["q142_phrase_spans"](spark, long_sentences).collect())
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, n = shuffled(spark, Made)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert n <= NO_PHRASES
+
+
 def test_documents_without_names_are_not_dealt_for_likeness(spark, long_sentences, tmp_path):
     docs = spark.read.parquet(f"{long_sentences}/documents.parquet")
     told = docs.limit(1).selectExpr("99L doc_id", "'We saw Philip there. flipped by nobody, fulip' text", "lang", "source", "n_chars")
